@@ -169,3 +169,28 @@ def predictions(p_with_vhi: DataFrame) -> DataFrame:
 
 def severity_clip(c):
     return clip(c, 0.0, 1.0)
+
+
+EXPORT_PREFIX = "gee_export_"
+MISSING_MONTH = "1996-02-01"
+DUPLICATE_MONTH = "1997-03-01"
+TOO_NULL_MONTH = "1998-06-01"
+
+
+def export_files(p: DataFrame) -> DataFrame:
+    """Rows of monthly feature-export files (file, grid_id, date, modis_ndvi, modis_lst,
+    chirps_rainfall): one file per month, -9999 fills where id % 10 == 3, one month
+    missing, one month exported twice (second copy ``(1)``, even cells only), one
+    month fully masked."""
+    gid = F.col("grid_id").cast("int")
+    ym = F.date_format("date", "yyyy_MM")
+    masked = (gid % 10 == 3) | (F.col("date") == F.lit(TOO_NULL_MONTH).cast("date"))
+
+    def v(c):
+        return F.when(masked, F.lit(-9999.0)).otherwise(F.col(c))
+    base = p.where(F.col("date") != F.lit(MISSING_MONTH).cast("date")).select(
+        F.concat(F.lit(EXPORT_PREFIX), ym, F.lit(".csv")).alias("file"), "grid_id", "date",
+        v("ndvi").alias("modis_ndvi"), v("lst").alias("modis_lst"), v("rainfall").alias("chirps_rainfall"))
+    dup = (base.where((F.col("date") == F.lit(DUPLICATE_MONTH).cast("date")) & (gid % 2 == 0))
+               .withColumn("file", F.concat(F.lit(EXPORT_PREFIX), ym, F.lit("(1).csv"))))
+    return base.unionByName(dup)
