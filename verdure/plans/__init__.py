@@ -5,7 +5,7 @@ from . import registry
 def load_all():
     """Import every query module so its ``@register`` calls run."""
     from . import q_indices  # noqa: F401
-    for mod in ("q_sources", "q_quality", "q_aggregate", "q_joins", "q_temporal", "q_datasets",
+    for mod in ("q_sources", "q_quality", "q_aggregate", "q_temporal", "q_datasets", "q_scoring",
                 "q_metrics", "q_models", "q_scoring", "q_history", "q_streaming"):
         try:
             __import__(f"{__name__}.{mod}")

@@ -194,3 +194,22 @@ def export_files(p: DataFrame) -> DataFrame:
     dup = (base.where((F.col("date") == F.lit(DUPLICATE_MONTH).cast("date")) & (gid % 2 == 0))
                .withColumn("file", F.concat(F.lit(EXPORT_PREFIX), ym, F.lit("(1).csv"))))
     return base.unionByName(dup)
+
+
+def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring payloads: one per district-month.  ``state`` cycles through the
+    states that have crop lists plus one without (by nation key)."""
+    from ..functions import constants as K
+    dp = district_panel(spark, sf_dir)
+    nat = table(spark, sf_dir, "nation").select(F.col("n_name").alias("district"), "n_nationkey")
+    states = list(K.STATE_CROPS) + ["Sindh"]
+    st = F.element_at(F.array(*[F.lit(s) for s in states]), (F.col("n_nationkey") % len(states) + 1).cast("int"))
+    lst, rain, ndvi = F.col("lst"), F.col("rainfall"), F.col("ndvi")
+    return dp.join(nat, "district").select(
+        F.concat(F.col("district"), F.lit("-"), F.date_format("date", "yyyyMM")).alias("id"),
+        st.alias("state"), "district", "date",
+        (F.lit(6.0) + F.col("n_nationkey")).alias("latitude"), (F.lit(68.0) + F.col("n_nationkey")).alias("longitude"),
+        "ndvi", "lst", "rainfall", (lst - 2.0).alias("temperature"),
+        clip(65 - lst + rain / 8, 15.0, 95.0).alias("humidity"),
+        clip(2.5 + lst / 30, 0.2, 8.0).alias("wind_speed"),
+        clip(0.12 + rain / 300 + ndvi / 3, 0.02, 0.95).alias("soil_moisture_proxy"))
