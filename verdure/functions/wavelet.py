@@ -57,12 +57,14 @@ def approx_from_history(hist: list[Column], n: Column) -> Column:
     return F.when((n < MIN_LEN) | flat, newest).otherwise(expr)
 
 
-def approx_sql(hist: list[str], n: str) -> str:
-    """DuckDB text of the same projection (used by the oracle)."""
+def approx_sql(hist: list[str], n: str, double_suffix: str = "") -> str:
+    """SQL text of the same projection: ``double_suffix='D'`` gives Spark double
+    literals (one expression string instead of hundreds of Column objects); the
+    bare form is what the DuckDB oracle runs."""
     cases = []
     for length in range(MIN_LEN, WAVELET_WINDOW + 1):
         w = approx_weights(length)
-        terms = " + ".join(f"{hist[length - 1 - i]} * {w[i]!r}" for i in range(length))
+        terms = " + ".join(f"{hist[length - 1 - i]} * {w[i]!r}{double_suffix}" for i in range(length))
         cases.append(f"WHEN {n} = {length} THEN {terms}")
     hs = ", ".join(hist[:WAVELET_WINDOW])
     return (f"CASE WHEN {n} < {MIN_LEN} OR greatest({hs}) = least({hs}) THEN {hist[0]} "

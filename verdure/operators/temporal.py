@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.wavelet import approx_from_history
+from ..functions.wavelet import approx_sql
 
 
 def order_window(keys, order: str = "date"):
@@ -84,16 +84,21 @@ def add_wavelet_causal(df: DataFrame, cols, keys=("grid_id",), window: int = K.W
         filled[s] = F.coalesce(F.last(s, ignorenulls=True).over(upto),
                                F.first(s, ignorenulls=True).over(whole_ahead))
     df = df.withColumns(filled)
-    n = F.least(F.row_number().over(w), F.lit(window))
+    # history lags as plain columns (one Window node), then the projection is a
+    # cheap codegen'd expression over those columns
+    lags = {"__n": F.least(F.row_number().over(w), F.lit(window))}
+    for c in cols:
+        for k in range(1, window):
+            lags[f"__h{k}_{c}"] = F.lag(f"__s_{c}", k).over(w)
+    df = df.withColumns(lags)
     out = {}
     for c in cols:
-        s = f"__s_{c}"
-        hist = [F.col(s)] + [F.lag(s, k).over(w) for k in range(1, window)]
-        approx = approx_from_history(hist, n)
+        hist = [f"__s_{c}"] + [f"__h{k}_{c}" for k in range(1, window)]
+        approx = F.expr(approx_sql(hist, "__n", double_suffix="D"))
         out[f"{c}_wavelet_approx"] = approx
+        out[f"{c}_wavelet_detail"] = F.col(f"__s_{c}") - approx
     df = df.withColumns(out)
-    df = df.withColumns({f"{c}_wavelet_detail": F.col(f"__s_{c}") - F.col(f"{c}_wavelet_approx") for c in cols})
-    return df.drop(*[f"__s_{c}" for c in cols])
+    return df.drop("__n", *[f"__s_{c}" for c in cols], *[f"__h{k}_{c}" for c in cols for k in range(1, window)])
 
 
 def ffill_bfill(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
