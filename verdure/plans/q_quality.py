@@ -118,7 +118,7 @@ def _isnull(c):
 INSPECT_SQL = f"""SELECT file, CASE WHEN regexp_extract(file, '{MONTH_RE}', 1) = '' THEN NULL ELSE
     regexp_extract(file, '{MONTH_RE}', 1) || '_' || regexp_extract(file, '{MONTH_RE}', 2) END AS month,
   count(*) AS row_count,
-  round_even(sum({_isnull('modis_ndvi')} + {_isnull('modis_lst')} + {_isnull('chirps_rainfall')}) / (count(*) * 3) * 100, 2) AS null_pct
+  {S.bround(f"sum({_isnull('modis_ndvi')} + {_isnull('modis_lst')} + {_isnull('chirps_rainfall')}) / (count(*) * 3) * 100", 2)} AS null_pct
 FROM exp GROUP BY file"""
 EXPORT_COLS = ["modis_ndvi", "modis_lst", "chirps_rainfall"]
 

@@ -29,8 +29,8 @@ REQ = f"""SELECT district || '-' || strftime(date, '%Y%m') AS id,
 FROM district JOIN nation ON district = n_name"""
 RISK_FB = S.clip(f"35 * {S.clip('0.75 - ndvi', lo=0.0)} + 25 * {S.clip('1 - rainfall / 220', lo=0.0)}"
                  f" + 20 * {S.clip('(lst - 28) / 18', lo=0.0)} + 20 * (1 - soil_moisture_proxy)", 0.0, 100.0)
-SCORED = f"""SELECT *, {S.sev_label_risk('risk')} AS severity, round_even(risk / 100, 4) AS probability,
-  round_even(risk, 2) AS risk_score FROM (SELECT *, {RISK_FB} AS risk FROM req)"""
+SCORED = f"""SELECT *, {S.sev_label_risk('risk')} AS severity, {S.bround('risk / 100', 4)} AS probability,
+  {S.bround('risk', 2)} AS risk_score FROM (SELECT *, {RISK_FB} AS risk FROM req)"""
 REQ_CTE = S.with_(district=S.DISTRICT, req=REQ, scored=SCORED)
 
 
@@ -57,9 +57,9 @@ def sc_synthetic_history(spark, d):
 @register("sc_recursive_forecast", VHI100_CTE + f""", latest AS (SELECT grid_id, max(date) AS date, arg_max(vhi, date) AS vhi FROM vhi GROUP BY grid_id),
 st AS (SELECT grid_id, date, vhi, CAST(s AS INTEGER) AS step FROM latest, range(1, 4) r(s)),
 fc AS (SELECT *, {S.clip(f'vhi - step * (step + 1) * {_dbl(1.25)}', 0.0, 100.0)} AS v FROM st)
-SELECT grid_id, step, strftime(date + to_months(step), '%Y-%m') AS forecast_month, round_even(v, 2) AS forecast_vhi,
+SELECT grid_id, step, strftime(date + to_months(step), '%Y-%m') AS forecast_month, {S.bround('v', 2)} AS forecast_vhi,
   {S.sev_label100('v')} AS severity,
-  round_even(greatest({_dbl(0.55)}, {_dbl(0.92)} - step * {_dbl(0.07)}), 2) AS confidence FROM fc""")
+  {S.bround(f'greatest({_dbl(0.55)}, {_dbl(0.92)} - step * {_dbl(0.07)})', 2)} AS confidence FROM fc""")
 def sc_recursive_forecast(spark, d):
     v = I.add_vci_tci_vhi(FX.panel(spark, d), scale=100.0).select("grid_id", "date", "vhi")
     return SC.recursive_forecast(latest_per_key(v), 3)
@@ -125,7 +125,7 @@ def sc_advisory(spark, d):
 @register("ml_magnitude_importance", REQ_CTE + f""", long AS (
   {' UNION ALL '.join(f"SELECT id, '{c}' AS feature, abs({c}) AS mag FROM req" for c in SC.PAYLOAD_BASE)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY mag DESC, feature) AS rk FROM long)
-SELECT id, feature, CAST(rk AS INTEGER) AS rk, round_even(mag / greatest(sum(mag) OVER (PARTITION BY id), 1e-6), 4) AS importance
+SELECT id, feature, CAST(rk AS INTEGER) AS rk, {S.bround('mag / greatest(sum(mag) OVER (PARTITION BY id), 1e-6)', 4)} AS importance
 FROM r WHERE rk <= 8""")
 def ml_magnitude_importance(spark, d):
     r = FX.score_requests(spark, d)

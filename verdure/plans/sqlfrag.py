@@ -36,6 +36,12 @@ def r6(x: str) -> str:
     return f"(round(({x}) * 1000000) / 1000000 + 0.0)"
 
 
+def bround(x: str, digits: int) -> str:
+    """Python ``round`` / Spark ``bround``: half-even on the exact binary value
+    (a DECIMAL(38,18) image of the double), back to DOUBLE."""
+    return f"CAST(round_even(CAST(({x}) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def clip(x: str, lo=None, hi=None) -> str:
     if lo is not None and hi is not None:
         return f"(CASE WHEN ({x}) < {lo!r} THEN {lo!r} WHEN ({x}) > {hi!r} THEN {hi!r} ELSE ({x}) END)"
