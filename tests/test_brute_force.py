@@ -159,3 +159,33 @@ def test_nonneg_ridge_matches_lstsq_when_interior():
 def test_projector_rows_reproduce_constant_series(n):
     w = approx_weights(n)
     assert abs(sum(w) - 1.0) < 1e-12
+
+
+def test_full_wavelet_is_a_projection_and_keeps_constants():
+    from verdure.functions.wavelet import full_series_lowband
+    rng = np.random.default_rng(11)
+    for n in (4, 9, 27, 28, 83):
+        x = rng.normal(size=n)
+        once = full_series_lowband(x)
+        if n % 2 == 0 and (n // 2) % 2 == 0 or n < 28 and n % 2 == 0:
+            assert np.allclose(full_series_lowband(once), once, atol=1e-10)
+        assert np.allclose(full_series_lowband(np.full(n, 3.5)), 3.5, atol=1e-10)
+    x = rng.normal(size=3)
+    assert np.allclose(full_series_lowband(x), x)
+
+
+def test_full_wavelet_level1_matches_causal_weights():
+    from verdure.functions.wavelet import full_series_lowband
+    rng = np.random.default_rng(13)
+    for n in range(4, 13):
+        x = rng.normal(size=n)
+        assert math.isclose(full_series_lowband(x)[-1], float(np.dot(approx_weights(n), x)), abs_tol=1e-12)
+
+
+def test_wavelet_full_operator(spark, sf):
+    from verdure.sources.fixtures import panel
+    out = T.wavelet_full(panel(spark, sf), ["ndvi"]).toPandas()
+    src = panel(spark, sf).toPandas()
+    assert len(out) == len(src)
+    j = out.merge(src, on=["grid_id", "date"])
+    assert np.allclose(j["ndvi_wavelet_approx"] + j["ndvi_wavelet_detail"], j["ndvi"])

@@ -69,3 +69,45 @@ def approx_sql(hist: list[str], n: str, double_suffix: str = "") -> str:
     hs = ", ".join(hist[:WAVELET_WINDOW])
     return (f"CASE WHEN {n} < {MIN_LEN} OR greatest({hs}) = least({hs}) THEN {hist[0]} "
             + " ".join(cases) + " END")
+
+
+# ---- full-series (non-causal) transform, used per cell inside applyInPandas -------------------
+def _analysis_low(x: np.ndarray) -> np.ndarray:
+    taps = np.asarray(DB4_DEC_LO)
+    size = len(x)
+    idx = (np.arange(_PHASE, _PHASE + size, 2)[:, None] - np.arange(len(taps))[None, :]) % size
+    return (x[idx] * taps[None, :]).sum(axis=1)
+
+
+def _synthesis_low(a: np.ndarray, size: int) -> np.ndarray:
+    taps = np.asarray(DB4_DEC_LO)
+    idx = (np.arange(_PHASE, _PHASE + size, 2)[:, None] - np.arange(len(taps))[None, :]) % size
+    out = np.zeros(size)
+    np.add.at(out, idx.ravel(), (a[:, None] * taps[None, :]).ravel())
+    return out
+
+
+def full_level(n: int) -> int:
+    """max(1, min(2, floor(log2(n / 7)))) — level 2 from 28 samples on."""
+    return 2 if n >= 28 else 1
+
+
+def full_series_lowband(x: np.ndarray) -> np.ndarray:
+    """Low-band reconstruction of the whole series (periodised db4, detail bands
+    zeroed); odd lengths are padded with the last sample at each level and the
+    reconstruction trimmed back.  Series shorter than 4 are returned unchanged."""
+    x = np.asarray(x, dtype=float)
+    n = len(x)
+    if n < MIN_LEN:
+        return x.copy()
+    sizes, a = [], x
+    for _ in range(full_level(n)):
+        m = len(a)
+        if m % 2:
+            a = np.append(a, a[-1])
+        sizes.append(m)
+        a = _analysis_low(a)
+    for m in reversed(sizes):
+        size = m + (m % 2)
+        a = _synthesis_low(a, size)[:m]
+    return a

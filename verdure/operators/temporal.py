@@ -175,3 +175,29 @@ def downsample_even(df: DataFrame, n_out: int = 120, keys=("grid_id",), order="d
     hit = F.floor(j * (F.col("__n") - 1) / (n_out - 1)) == F.col("__pos")
     keep = (F.col("__n") <= n_out) | hit
     return df.where(keep).drop("__pos", "__n")
+
+
+def wavelet_full(df: DataFrame, cols, keys=("grid_id",), order="date") -> DataFrame:
+    """Non-causal db4 approx/detail over each key's whole series (level 1, or 2 from
+    28 samples).  The projection matrix depends on the series length, so this is
+    a grouped-map Pandas UDF; a group is one cell's series (bounded by its months).
+    Output: keys, date, <c>_wavelet_approx, <c>_wavelet_detail."""
+    import pandas as pd
+
+    from ..functions.wavelet import full_series_lowband
+
+    cols = list(cols)
+    key_types = {c: t for c, t in df.dtypes}
+    fields = [f"{k} {key_types[k]}" for k in keys] + [f"{order} {key_types[order]}"]
+    fields += [f"{c}_wavelet_{s} double" for c in cols for s in ("approx", "detail")]
+
+    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        out = pdf[list(keys) + [order]].copy()
+        for c in cols:
+            x = pdf[c].astype(float).to_numpy()
+            approx = full_series_lowband(x)
+            out[f"{c}_wavelet_approx"] = approx
+            out[f"{c}_wavelet_detail"] = x - approx
+        return out
+    return df.select(*keys, order, *cols).groupBy(*keys).applyInPandas(per_key, ", ".join(fields))

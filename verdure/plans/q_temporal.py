@@ -185,3 +185,9 @@ def dq_interpolate(spark, d):
 
 
 _ = math
+
+
+@register("win_wavelet_full")
+def win_wavelet_full(spark, d):
+    v = vhi_panel(spark, d).select("grid_id", "date", "ndvi", "rainfall", "lst")
+    return rounded(T.wavelet_full(v, ["ndvi", "rainfall", "lst"]))
