@@ -55,8 +55,21 @@ def predict(model, df: DataFrame, name: str, lo=0.0, hi=1.0) -> DataFrame:
     return out.drop("prediction", "__scaled")
 
 
+def fit_input(train: DataFrame) -> DataFrame:
+    """Iterative learners run one job per tree level per iteration, so per-task
+    overhead dominates with many small partitions: use at most one partition per
+    core (at cluster scale that is thousands of partitions of a cached frame)."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    n = train.rdd.getNumPartitions()
+    return train.coalesce(cores) if n > cores else train
+
+
+def fit(estimator, train: DataFrame):
+    return estimator.fit(fit_input(train))
+
+
 def fit_predict(estimator, train: DataFrame, test: DataFrame, name: str) -> DataFrame:
-    return predict(estimator.fit(train), test, name)
+    return predict(fit(estimator, train), test, name)
 
 
 def eval_metrics(preds: DataFrame, protocol: str, label="label") -> DataFrame:
@@ -89,7 +102,7 @@ def stack(train: DataFrame, test: DataFrame, folds: int = 3, keys=("grid_id", "d
         cols = [F.col(c) for c in (*keys, "label")]
         preds = None
         for name, make in base.items():
-            p = make().fit(fit_rows).transform(hold).select(*keys, F.col("prediction").alias(f"b_{name}"))
+            p = fit(make(), fit_rows).transform(hold).select(*keys, F.col("prediction").alias(f"b_{name}"))
             preds = p if preds is None else preds.join(p, list(keys))
         oof_parts.append(hold.select(*cols).join(preds, list(keys)))
     oof = oof_parts[0]
@@ -100,7 +113,7 @@ def stack(train: DataFrame, test: DataFrame, folds: int = 3, keys=("grid_id", "d
         VectorAssembler(inputCols=bcols, outputCol="__meta").transform(oof))
     test_preds = None
     for name, make in base.items():
-        p = make().fit(train).transform(test).select(*keys, F.col("prediction").alias(f"b_{name}"))
+        p = fit(make(), train).transform(test).select(*keys, F.col("prediction").alias(f"b_{name}"))
         test_preds = p if test_preds is None else test_preds.join(p, list(keys))
     t = test.select(*keys, "label").join(test_preds, list(keys))
     out = meta.transform(VectorAssembler(inputCols=bcols, outputCol="__meta").transform(t))
@@ -143,7 +156,7 @@ def physics_residual(train: DataFrame, test: DataFrame, params=None) -> DataFram
     the label is VHI itself this is an identity check, not a model."""
     base = (F.col("vci") + F.col("tci")) / 2
     tr = train.withColumn("__resid", F.col("label") - base)
-    m = gbt(params, label="__resid").fit(tr)
+    m = fit(gbt(params, label="__resid"), tr)
     out = m.transform(test.withColumn("__resid", F.lit(0.0)))
     return out.select("grid_id", "date", "label", clip(base + F.col("prediction"), 0.0, 1.0).alias("y_pred"),
                       F.lit("physics_residual").alias("model"))

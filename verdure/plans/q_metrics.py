@@ -6,6 +6,7 @@ test side of the chronological cut over the prediction rows.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -25,7 +26,8 @@ def predictions(spark, d):
     v = vhi_panel(spark, d).select(
         "grid_id", "date", F.lead("vhi", 1).over(w).alias("y_true"), "vhi",
         F.avg("vhi").over(w.rowsBetween(-2, 0)).alias("smooth3"))
-    v = v.where(F.col("y_true").isNotNull())
+    # the scalar cut-off and both metric passes read these rows: compute them once
+    v = v.where(F.col("y_true").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     cut = DS.date_quantile_cut(v, 0.8)
     v = v.withColumn("protocol", F.when(F.unix_date("date") <= cut, "chrono_train").otherwise("chrono_test"))
     models = F.array(F.struct(F.lit("persistence").alias("model"), F.col("vhi").alias("y_pred")),

@@ -70,7 +70,7 @@ def ml_ridge_meta(spark, d):
     fit_rows = DS.split_valid_quantile(tr).where(F.col("split") == "fit").drop("split")
     valid = DS.split_valid_quantile(tr).where(F.col("split") == "valid").drop("split")
     bases = {"gbt": ML.gbt({"maxIter": 20}), "forest": ML.forest({"numTrees": 20}), "linear": ML.linear()}
-    models = {k: est.fit(fit_rows) for k, est in bases.items()}
+    models = {k: ML.fit(est, fit_rows) for k, est in bases.items()}
 
     def base_preds(rows):
         out = rows.select("grid_id", "date", "label")
@@ -138,14 +138,14 @@ def ml_model_family_eval(spark, d):
 @register("ml_feature_importance")
 def ml_feature_importance(spark, d):
     tr, _, feats = ml_data(spark, d)
-    model = ML.gbt().fit(tr)
+    model = ML.fit(ML.gbt(), tr)
     return ML.feature_importance(model, feats, top=10, spark=spark)
 
 
 @register("ml_permutation_importance")
 def ml_permutation_importance(spark, d):
     tr, te, feats = ml_data(spark, d)
-    model = ML.gbt({"maxIter": 20}).fit(tr)
+    model = ML.fit(ML.gbt({"maxIter": 20}), tr)
     top = [r["feature"] for r in ML.feature_importance(model, feats, top=3, spark=spark).collect()]
     # shuffle the top features only; the model still sees every feature
     return ML.permutation_importance(model, te.drop("split"), feats, repeats=3, shuffle=top)
@@ -154,5 +154,5 @@ def ml_permutation_importance(spark, d):
 @register("ml_batch_score")
 def ml_batch_score(spark, d):
     tr, te, _ = ml_data(spark, d)
-    model = ML.gbt().fit(tr)
+    model = ML.fit(ML.gbt(), tr)
     return rounded(ML.batch_score(model, te).select("grid_id", "date", "predicted_vhi", "severity", "risk_score"))

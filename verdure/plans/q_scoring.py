@@ -137,9 +137,9 @@ HIST_CTE = S.with_(hist=S.HISTORY, logs=S.LOGS, users=S.USERS)
 SEV = S.sev_label_risk("risk_score")
 
 
-@register("hist_latest_n", HIST_CTE + "SELECT id, created_at, risk_score FROM hist ORDER BY created_at DESC, id DESC LIMIT 10")
+@register("hist_latest_n", HIST_CTE + "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, risk_score FROM hist ORDER BY hist.created_at DESC, id DESC LIMIT 10")
 def hist_latest_n(spark, d):
-    return H.latest_n(FX.history(spark, d), 10).select("id", "created_at", "risk_score")
+    return rounded(H.latest_n(FX.history(spark, d), 10).select("id", "created_at", "risk_score"))
 
 
 @register("hist_counters", HIST_CTE + f"SELECT count(*) AS total, CAST(count_if(risk_score >= {K.HIGH_RISK}) AS BIGINT) AS high_risk FROM hist")
@@ -159,9 +159,9 @@ def hist_dashboard(spark, d):
     return rounded(H.dashboard(FX.history(spark, d)))
 
 
-@register("hist_risk_trend", HIST_CTE + "SELECT id, created_at, risk_score FROM hist ORDER BY created_at DESC, id DESC LIMIT 20")
+@register("hist_risk_trend", HIST_CTE + "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, risk_score FROM hist ORDER BY hist.created_at DESC, id DESC LIMIT 20")
 def hist_risk_trend(spark, d):
-    return H.risk_trend(FX.history(spark, d))
+    return rounded(H.risk_trend(FX.history(spark, d)))
 
 
 @register("hist_admin_analytics", HIST_CTE + """
@@ -173,9 +173,9 @@ def hist_admin_analytics(spark, d):
 @register("hist_last_login", HIST_CTE + """, lg AS (
   SELECT CAST(regexp_extract(message, '^User (\\d+) ', 1) AS BIGINT) AS user_id, max(created_at) AS last_login
   FROM logs WHERE event = 'signup' GROUP BY 1)
-SELECT u.id, u.email, lg.last_login FROM users u LEFT JOIN lg ON u.id = lg.user_id""")
+SELECT u.id, u.email, strftime(lg.last_login, '%Y-%m-%d %H:%M:%S.%f') AS last_login FROM users u LEFT JOIN lg ON u.id = lg.user_id""")
 def hist_last_login(spark, d):
-    return H.last_login(FX.users(spark, d), FX.logs(spark, d))
+    return rounded(H.last_login(FX.users(spark, d), FX.logs(spark, d)))
 
 
 @register("hist_user_search", HIST_CTE + "SELECT id, email, role FROM users WHERE contains(lower(concat_ws(' ', email, role)), 'admin')")
@@ -183,9 +183,9 @@ def hist_user_search(spark, d):
     return H.user_search(FX.users(spark, d), "Admin").select("id", "email", "role")
 
 
-@register("hist_recent_logs", HIST_CTE + "SELECT id, event, message, created_at FROM logs ORDER BY created_at DESC, id DESC LIMIT 50")
+@register("hist_recent_logs", HIST_CTE + "SELECT id, event, message, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM logs ORDER BY logs.created_at DESC, id DESC LIMIT 50")
 def hist_recent_logs(spark, d):
-    return H.latest_n(FX.logs(spark, d), 50)
+    return rounded(H.latest_n(FX.logs(spark, d), 50))
 
 
 @register("prj_severity_risk", HIST_CTE + f"SELECT id, {SEV} AS severity FROM hist")

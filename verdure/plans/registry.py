@@ -25,11 +25,14 @@ def register(key: str, sql: str | None = None):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round every double column to 6 decimals (same rule as the oracle text) and
-    render DATE columns as ISO strings, so both engines hand over identical values."""
+    render DATE / TIMESTAMP columns as ISO strings (microseconds), so both engines
+    hand over identical values."""
     def conv(c, t):
         if t in ("double", "float"):
             return r6(c).alias(c)
         if t == "date":
             return F.col(c).cast("string").alias(c)
+        if t.startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
         return F.col(c)
     return df.select(*[conv(c, t) for c, t in df.dtypes])
