@@ -189,3 +189,14 @@ def test_wavelet_full_operator(spark, sf):
     assert len(out) == len(src)
     j = out.merge(src, on=["grid_id", "date"])
     assert np.allclose(j["ndvi_wavelet_approx"] + j["ndvi_wavelet_detail"], j["ndvi"])
+
+
+@pytest.mark.parametrize("probs", [[0.5], [0.25, 0.75], [0.0, 0.05, 0.95, 1.0]])
+def test_exact_quantile_matches_numpy_with_small_rank_limit(spark, probs):
+    from verdure.operators.quantiles import exact_quantile
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])  # a hot value: 40% of rows
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = exact_quantile(df, "x", probs, buckets=16, rank_limit=50)
+    want = np.quantile(x, probs)  # linear interpolation
+    assert np.allclose(got, want, rtol=0, atol=1e-12)

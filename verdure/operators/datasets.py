@@ -163,15 +163,13 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,
 
 
 def robust_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, exact: bool = True) -> DataFrame:
-    """(x - median) / IQR (IQR 0 -> 1).  ``exact=False`` swaps to a bounded-memory
-    quantile sketch for very large inputs."""
+    """(x - median) / IQR (IQR 0 -> 1), statistics from ``fit_on``.  Exact global
+    quantiles by distributed selection; ``exact=False`` swaps to a sketch."""
+    from .quality import global_quantiles
     fit = fit_on if fit_on is not None else df
-    q = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else \
-        (lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-    stats = fit.agg(*[q(c).alias(f"q_{c}") for c in cols])
+    q = global_quantiles(fit, cols, [0.25, 0.5, 0.75], exact)
     out = {}
     for c in cols:
-        qs = stats.select(f"q_{c}").scalar()
-        iqr = qs[2] - qs[0]
-        out[c] = (F.col(c) - qs[1]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
+        iqr = q[c][2] - q[c][0]
+        out[c] = (F.col(c) - q[c][1]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
     return df.withColumns(out)

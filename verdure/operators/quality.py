@@ -8,12 +8,17 @@ from ..functions.scalar import clip, sentinel_to_null
 
 
 def global_quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True):
-    """One aggregate computing every requested quantile of every column, exposed as
-    a scalar subquery (no join).  ``exact=False`` uses a bounded-memory sketch."""
-    arr = F.array(*[F.lit(p) for p in probs])
-    q = (lambda c: F.percentile(c, arr)) if exact else (lambda c: F.percentile_approx(c, arr, 100000))
-    stats = df.agg(F.struct(*[q(c).alias(c) for c in cols]).alias("q"))
-    return stats.scalar()
+    """Every requested quantile of every column over all rows, as literals per
+    column (``q[c][i]``).  Exact: distributed selection (bounded state per task,
+    see ``quantiles.py``); ``exact=False``: one pass of a bounded-memory sketch."""
+    from .quantiles import exact_quantile
+    if exact:
+        vals = {c: exact_quantile(df, c, probs) for c in cols}
+    else:
+        arr = F.array(*[F.lit(p) for p in probs])
+        row = df.agg(*[F.percentile_approx(c, arr, 100000).alias(c) for c in cols]).first()
+        vals = {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
+    return {c: [F.lit(v).cast("double") for v in vs] for c, vs in vals.items()}
 
 
 def median_fill(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
