@@ -200,3 +200,19 @@ def test_exact_quantile_matches_numpy_with_small_rank_limit(spark, probs):
     got = exact_quantile(df, "x", probs, buckets=16, rank_limit=50)
     want = np.quantile(x, probs)  # linear interpolation
     assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+def test_composite_hot_group_split_keeps_results(spark, sf):
+    from verdure.plans.q_sources import COMPOSITE_RULES, scene_samples
+    from verdure.sources.readers import composite_month
+    s = scene_samples(spark, sf)
+    exact = composite_month(s, COMPOSITE_RULES).orderBy("grid_id", "date").toPandas()
+    split = composite_month(s, COMPOSITE_RULES, exact_median_limit=1).orderBy("grid_id", "date").toPandas()
+    assert len(exact) == len(split)
+    assert np.allclose(exact["chirps"], split["chirps"]) and np.allclose(exact["modis"], split["modis"])
+    # every group is "hot" at limit 1: the sketch returns a middle order statistic
+    raw = s.where("band = 's2'").withColumn("date", F.trunc(F.col("ts").cast("date"), "month")).toPandas()
+    mids = raw.groupby(["grid_id", "date"])["value"].agg(
+        lo=lambda v: sorted(v)[(len(v) - 1) // 2], hi=lambda v: sorted(v)[len(v) // 2]).reset_index()
+    j = split.merge(mids, on=["grid_id", "date"])
+    assert ((j["s2"] >= j["lo"]) & (j["s2"] <= j["hi"])).all()

@@ -248,9 +248,15 @@ def feature_importance(model, features: list[str], top: int = 10, spark=None) ->
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3,
-                           buckets: int = 64, label="label", shuffle: list[str] | None = None) -> DataFrame:
+                           buckets: int | None = None, label="label", shuffle: list[str] | None = None,
+                           rows_per_bucket: int = 500_000) -> DataFrame:
     """RMSE increase after permuting one feature.  The permutation pairs rows by
-    two independent md5 ranks *within* md5 buckets, so no global ordering is needed."""
+    two independent md5 ranks *within* md5 buckets, so no global ordering is
+    needed; the bucket count grows with the row count (<= ``rows_per_bucket`` rows
+    are ordered per bucket)."""
+    if buckets is None:
+        n = test.agg(F.count(F.lit(1))).first()[0]
+        buckets = max(64, math.ceil(n / rows_per_bucket))
     base = M.regression_metrics(predict(model, test, "base").withColumn("protocol", F.lit("p"))
                                 .withColumnRenamed(label, "y_true")).select(F.col("rmse").alias("base_rmse"))
     key = F.concat_ws("|", F.col("grid_id"), F.col("date").cast("string"))

@@ -101,15 +101,31 @@ def scene_filter(samples: DataFrame, start: str, end: str, cloud_max: float = 45
 COMPOSITE_RULES = {"mean": F.avg, "sum": F.sum, "median": F.median}
 
 
-def composite_month(samples: DataFrame, rules: dict[str, str], keys=("grid_id",), ts="ts") -> DataFrame:
+def composite_month(samples: DataFrame, rules: dict[str, str], keys=("grid_id",), ts="ts",
+                    exact_median_limit: int = 1_000_000) -> DataFrame:
     """Monthly composite of long (key, ts, band, value) samples; per-band reducer
-    (mean / sum / median).  One grouped aggregate pivoted by explicit band list."""
-    month = F.trunc(F.col(ts).cast("date"), "month").alias("date")
-    aggs = []
-    for band, how in rules.items():
-        v = F.when(F.col("band") == band, F.col("value"))
-        aggs.append(COMPOSITE_RULES[how](v).alias(band))
-    return samples.groupBy(*keys, month).agg(*aggs)
+    (mean / sum / median).  Means and sums are one partial-aggregated pass.  An
+    exact median must hold its whole group in one task, so groups with more than
+    ``exact_median_limit`` samples are split off and use a bounded sketch (rank
+    error <= 1e-5); every other group gets the exact median.  No rows are dropped."""
+    s = samples.withColumn("date", F.trunc(F.col(ts).cast("date"), "month"))
+    gk = [*keys, "date"]
+    simple = {b: how for b, how in rules.items() if how != "median"}
+    med = [b for b, how in rules.items() if how == "median"]
+    out = s.groupBy(*gk).agg(*[COMPOSITE_RULES[how](F.when(F.col("band") == b, F.col("value"))).alias(b)
+                              for b, how in simple.items()])
+    if med:
+        m = s.where(F.col("band").isin(med))
+        sizes = m.groupBy(*gk, "band").agg(F.count(F.lit(1)).alias("__n"))
+        hot = sizes.where(F.col("__n") > exact_median_limit).select(*gk, "band")
+        exact = (m.join(hot, [*gk, "band"], "left_anti")
+                  .groupBy(*gk, "band").agg(F.median("value").alias("__v")))
+        sketch = (m.join(hot, [*gk, "band"], "left_semi")
+                   .groupBy(*gk, "band").agg(F.percentile_approx("value", 0.5, 100000).cast("double").alias("__v")))
+        wide = exact.unionByName(sketch).groupBy(*gk).agg(
+            *[F.max(F.when(F.col("band") == b, F.col("__v"))).alias(b) for b in med])
+        out = out.join(wide, gk, "left")
+    return out.select(*gk, *rules.keys())
 
 
 def region_reduce(df: DataFrame, bands: list[str], lon=(67.0, 69.0), lat=(24.0, 26.0), date_col="date") -> DataFrame:
