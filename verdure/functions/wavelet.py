@@ -13,8 +13,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .constants import DB4_DEC_LO, WAVELET_WINDOW
 
@@ -39,24 +37,6 @@ def approx_weights(n: int) -> tuple[float, ...]:
     return tuple(float(x) for x in row[:n])
 
 
-def approx_from_history(hist: list[Column], n: Column) -> Column:
-    """``hist[k]`` = value k steps back (k=0 newest), NULL when unavailable;
-    ``n`` = number of available samples (1..12).  Returns the approximation of the
-    newest sample; short or flat histories return the newest sample unchanged."""
-    newest = hist[0]
-    expr = None
-    for length in range(MIN_LEN, WAVELET_WINDOW + 1):
-        w = approx_weights(length)
-        # w is oldest -> newest; hist[length-1-i] is the i-th oldest
-        terms = [hist[length - 1 - i] * F.lit(w[i]) for i in range(length)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        expr = F.when(n == length, total) if expr is None else expr.when(n == length, total)
-    flat = F.greatest(*hist[:WAVELET_WINDOW]) == F.least(*hist[:WAVELET_WINDOW])
-    return F.when((n < MIN_LEN) | flat, newest).otherwise(expr)
-
-
 def approx_sql(hist: list[str], n: str, double_suffix: str = "") -> str:
     """SQL text of the same projection: ``double_suffix='D'`` gives Spark double
     literals (one expression string instead of hundreds of Column objects); the

@@ -7,12 +7,11 @@ from ..functions.scalar import md5_bucket
 from ..operators import aggregate as A
 from ..operators import conform as C
 from ..operators import joins as J
-from ..operators import quality as Q
 from ..operators.datasets import TWO32
 from ..operators.temporal import order_window
 from ..sources import fixtures as FX
 from . import sqlfrag as S
-from .q_indices import VHI_SQL_CTE, vhi_panel
+from .q_indices import vhi_panel
 from .q_quality import EXPORT_COLS, EXPORT_CTES, _isnull
 from .registry import register, rounded
 
@@ -178,5 +177,3 @@ def set_distinct_grid(spark, d):
     raw = raw.withColumn("order_date", F.make_date("year", "month", F.lit(1)))
     return rounded(J.distinct_first(raw, order="order_date"))
 
-
-_ = Q

@@ -14,7 +14,6 @@ from .q_indices import VHI100_CTE
 from .registry import register, rounded
 
 STATES = list(K.STATE_CROPS) + ["Sindh"]
-DBL = "CAST({} AS DOUBLE)"
 
 
 def _dbl(x):

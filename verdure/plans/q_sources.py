@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.scalar import clip, md5_bucket
+from ..functions.scalar import clip
 from ..operators import conform as C
-from ..operators import temporal as T
 from ..sources import fixtures as FX
 from ..sources import readers as R
 from . import sqlfrag as S
-from .q_quality import EXPORT_COLS, EXPORT_CTES, _isnull
+from .q_quality import EXPORT_CTES, _isnull
 from .q_temporal import GAPPY_CTE
 from .registry import register, rounded
 
@@ -348,5 +347,3 @@ def dq_required_columns(spark, d):
         raise ValueError(f"missing required columns: {missing}")
     return f.select(*required)
 
-
-_ = (T, md5_bucket, EXPORT_COLS)

@@ -1,8 +1,6 @@
 """Registered queries: temporal (window) features and gap handling."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions.wavelet import approx_sql
@@ -184,8 +182,6 @@ def dq_interpolate(spark, d):
     return rounded(T.interpolate(g, ["ndvi"]))
 
 
-_ = math
-
 
 @register("win_wavelet_full")
 def win_wavelet_full(spark, d):

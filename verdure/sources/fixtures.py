@@ -96,11 +96,6 @@ def panel_gappy(p: DataFrame) -> DataFrame:
     return p.withColumn("ndvi", F.when(hole, F.lit(None).cast("double")).otherwise(F.col("ndvi")))
 
 
-def panel_proxy(p: DataFrame) -> DataFrame:
-    from ..operators.conform import proxy_fill
-    return proxy_fill(p)
-
-
 def raster(p: DataFrame) -> DataFrame:
     """Cells laid on a lat/lon raster: lat = id div 10, lon = id % 10."""
     gid = F.col("grid_id").cast("int")
@@ -125,24 +120,6 @@ def raw_grid(p: DataFrame) -> DataFrame:
     )
 
 
-def exports(p: DataFrame) -> DataFrame:
-    """Feature-export shape: panel renamed to export names with -9999 fill values
-    where id % 10 == 3."""
-    gid = F.col("grid_id").cast("int")
-    fill = gid % 10 == 3
-
-    def v(c):
-        return F.when(fill, F.lit(-9999.0)).otherwise(F.col(c))
-    return p.select(
-        "grid_id", "date",
-        F.year("date").alias("year"), F.month("date").alias("month"),
-        v("ndvi").alias("modis_ndvi"),
-        v("lst").alias("modis_lst"),
-        v("rainfall").alias("chirps_rainfall"),
-        F.date_format("date", "yyyy_MM").alias("export_month"),
-    )
-
-
 def climate_json(p: DataFrame) -> DataFrame:
     """One JSON document per grid: {"T2M": {"YYYYMM": v, ..., "YYYY13": annual}, "RH2M": {...}}."""
     ym = F.date_format("date", "yyyyMM")
@@ -158,19 +135,6 @@ def climate_json(p: DataFrame) -> DataFrame:
     return doc.select("grid_id", F.to_json(F.struct("T2M", "RH2M")).alias("body"))
 
 
-def predictions(p_with_vhi: DataFrame) -> DataFrame:
-    """Persistence forecast: y_true = next-month VHI, y_pred = current VHI."""
-    from ..operators.temporal import order_window
-    w = order_window(["grid_id"])
-    return (p_with_vhi.select("grid_id", "date", F.col("vhi").alias("y_pred"),
-                              F.lead("vhi", 1).over(w).alias("y_true"))
-            .where(F.col("y_true").isNotNull()))
-
-
-def severity_clip(c):
-    return clip(c, 0.0, 1.0)
-
-
 EXPORT_PREFIX = "gee_export_"
 MISSING_MONTH = "1996-02-01"
 DUPLICATE_MONTH = "1997-03-01"
