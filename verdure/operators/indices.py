@@ -15,10 +15,16 @@ from ..functions.scalar import clip
 from .temporal import order_window
 
 
+def whole_key(keys, order: str = "date"):
+    """Whole-partition frame, ordered by date: same values as an unordered window,
+    but it shares the (key, date) sort with the temporal windows (one sort, not two)."""
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def scaled_index(x: str, keys=("grid_id",), invert=False, scale: float = 1.0) -> Column:
     """(x - q05) / max(q95 - q05, 1e-6), clipped to [0, 1] (times ``scale``);
     ``invert`` gives scale - value."""
-    w = Window.partitionBy(*keys)
+    w = whole_key(keys)
     q = F.percentile(F.col(x), F.array(F.lit(0.05), F.lit(0.95))).over(w)
     lo, hi = q[0], q[1]
     v = clip((F.col(x) - lo) / F.greatest(hi - lo, F.lit(1e-6)) * scale, 0.0, scale)
@@ -35,7 +41,7 @@ def add_vci_tci_vhi(df: DataFrame, keys=("grid_id",), ndvi="ndvi", lst="lst", cl
 
 def zscore(x, keys=("grid_id",)) -> Column:
     """Clipped z-score over the key; 0 when the std is 0 or undefined."""
-    w = Window.partitionBy(*keys)
+    w = whole_key(keys)
     xc = F.col(x) if isinstance(x, str) else x
     sd = F.stddev_samp(xc).over(w)
     mu = F.avg(xc).over(w)

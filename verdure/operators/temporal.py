@@ -71,7 +71,10 @@ def add_wavelet_causal(df: DataFrame, cols, keys=("grid_id",), window: int = K.W
     one-step-shifted series (first row back-filled), evaluated at its newest
     sample.  Two Window nodes over the same partitioning, zero extra shuffles."""
     w = order_window(keys)
-    whole_ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a back-fill only applies before the first non-null value, where it equals the
+    # first non-null of the whole key: one aggregate per key instead of a
+    # shrinking following-frame per row
+    whole_ahead = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shifted = {}
     for c in cols:
@@ -102,10 +105,12 @@ def add_wavelet_causal(df: DataFrame, cols, keys=("grid_id",), window: int = K.W
 
 
 def ffill_bfill(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
-    """Forward then backward fill per key (ordered by date)."""
+    """Forward then backward fill per key (ordered by date).  The back-fill only
+    reaches rows before the first non-null, so it is the key's first non-null
+    value (whole-key frame, computed once per key)."""
     w = order_window(keys)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(upto),
                                          F.first(c, ignorenulls=True).over(ahead)) for c in cols})
 
