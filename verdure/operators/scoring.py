@@ -21,6 +21,15 @@ def _map_lit(d: dict) -> Column:
     return F.create_map(*parts)
 
 
+def payload_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
+    """Absent inputs take the documented defaults: missing columns are added,
+    NULLs in present ones are filled."""
+    defaults = defaults or K.FORECAST_DEFAULTS
+    present = set(df.columns)
+    return df.withColumns({c: (F.coalesce(F.col(c), F.lit(v)) if c in present else F.lit(v))
+                           for c, v in defaults.items()})
+
+
 def payload_features(df: DataFrame) -> DataFrame:
     """Model features for a payload without history: lag / roll / wavelet = current value."""
     out = {}
