@@ -318,24 +318,81 @@ def _feature_frame(spark, d):
     return feature_panel(spark, d, signals=("ndvi", "vhi"), wavelet=False)
 
 
-@register("prj_numeric_features")
+def _feature_sql():
+    """DuckDB text of ``feature_panel(signals=(ndvi, vhi), wavelet=False)`` plus the
+    schema-level column catalogue the selections run on."""
+    from .q_indices import PROXY_CTES, _zs
+    w = "OVER (PARTITION BY grid_id ORDER BY date)"
+
+    def rows(a, b):
+        return f"OVER (PARTITION BY grid_id ORDER BY date ROWS BETWEEN {-a} PRECEDING AND {-b} PRECEDING)"
+    sig = ["ndvi", "vhi"]
+    cols = {c: "double" for c in ["ndvi", "lst", "rainfall", "temperature", "humidity", "evapotranspiration",
+                                   "soil_moisture", "vci", "tci", "vhi", "spi", "spei"]}
+    cols.update({"month": "int", "month_sin": "double", "month_cos": "double", "season": "int",
+                 "season_sin": "double", "season_cos": "double"})
+    win = []
+    for c in sig:
+        for k in K.LAGS:
+            win.append(f"lag({c}, {k}) {w} AS {c}_lag_{k}")
+            cols[f"{c}_lag_{k}"] = "double"
+        for k in K.ROLLING_WINDOWS:
+            win.append(f"avg({c}) {rows(-k, -1)} AS {c}_roll_{k}")
+            cols[f"{c}_roll_{k}"] = "double"
+        for k in K.ROLLING_WINDOWS:
+            win.append(f"stddev_samp({c}) {rows(-k, -1)} AS {c}_std_{k}")
+            cols[f"{c}_std_{k}"] = "double"
+    for h in K.HORIZONS:
+        win.append(f"lead(vhi, {h}) {w} AS target_vhi_h{h}")
+        cols[f"target_vhi_h{h}"] = "double"
+    ctes = dict(
+        **PROXY_CTES,
+        idx=f"SELECT *, {S.scaled('ndvi', 'grid_id')} AS vci, {S.scaled('lst', 'grid_id', invert=True)} AS tci FROM proxy",
+        vh=f"SELECT *, {S.clip('0.5 * vci + 0.5 * tci', 0.0, 1.0)} AS vhi FROM idx",
+        z=f"""SELECT *, {_zs('rainfall', 'grid_id')} AS spi, {_zs('rainfall - evapotranspiration * 20', 'grid_id')} AS spei,
+              CAST(month(date) AS INTEGER) AS month, CAST(floor((month(date) % 12) / 3) AS INTEGER) AS season FROM vh""",
+        cal=f"""SELECT *, sin({S.TWO_PI} * month / 12) AS month_sin, cos({S.TWO_PI} * month / 12) AS month_cos,
+                sin({S.TWO_PI} * season / 4) AS season_sin, cos({S.TWO_PI} * season / 4) AS season_cos FROM z""",
+        feat=f"SELECT *, {', '.join(win)} FROM cal",
+    )
+    return S.with_(**ctes), cols
+
+
+FEATURE_CTE, FEATURE_COLS = _feature_sql()
+
+
+def _feature_select_sql(chosen):
+    out = [f"{S.r6(c)} AS {c}" if FEATURE_COLS[c] == "double" else c for c in chosen]
+    return FEATURE_CTE + f"SELECT grid_id, CAST(date AS VARCHAR) AS date, {', '.join(out)} FROM feat"
+
+
+def _numeric_sql():
+    return [c for c in FEATURE_COLS if c not in C.NON_FEATURE and not c.startswith("target_")]
+
+
+def _groups_sql():
+    groups = C.feature_groups(_numeric_sql())
+    return C.select_group_features(groups, lag_window=3, wavelet_level=1, enabled=[True] * len(groups))
+
+
+@register("prj_numeric_features", _feature_select_sql(_numeric_sql()))
 def prj_numeric_features(spark, d):
     f = _feature_frame(spark, d)
-    return f.select("grid_id", "date", *C.numeric_features(f))
+    return rounded(f.select("grid_id", "date", *C.numeric_features(f)))
 
 
-@register("prj_leakage_block")
+@register("prj_leakage_block", _feature_select_sql(C.leakage_block(_numeric_sql())))
 def prj_leakage_block(spark, d):
     f = _feature_frame(spark, d)
-    return f.select("grid_id", "date", *C.leakage_block(C.numeric_features(f)))
+    return rounded(f.select("grid_id", "date", *C.leakage_block(C.numeric_features(f))))
 
 
-@register("prj_group_features")
+@register("prj_group_features", _feature_select_sql(_groups_sql()))
 def prj_group_features(spark, d):
     f = _feature_frame(spark, d)
     groups = C.feature_groups(C.numeric_features(f))
     chosen = C.select_group_features(groups, lag_window=3, wavelet_level=1, enabled=[True] * len(groups))
-    return f.select("grid_id", "date", *chosen)
+    return rounded(f.select("grid_id", "date", *chosen))
 
 
 @register("dq_required_columns")
