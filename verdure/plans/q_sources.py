@@ -395,12 +395,13 @@ def prj_group_features(spark, d):
     return rounded(f.select("grid_id", "date", *chosen))
 
 
-@register("dq_required_columns")
+@register("dq_required_columns", FEATURE_CTE + f"""
+SELECT grid_id, CAST(date AS VARCHAR) AS date, {S.r6('vhi')} AS vhi, {S.r6('target_vhi_h1')} AS vhi_next_month FROM feat""")
 def dq_required_columns(spark, d):
     f = _feature_frame(spark, d).withColumn("vhi_next_month", F.col("target_vhi_h1"))
     required = ["grid_id", "date", "vhi", "vhi_next_month"]
     missing = [c for c in required if c not in f.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    return f.select(*required)
+    return rounded(f.select(*required))
 
