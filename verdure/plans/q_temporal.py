@@ -183,7 +183,56 @@ def dq_interpolate(spark, d):
 
 
 
-@register("win_wavelet_full")
+def _wavelet_full_sql():
+    """Periodised db4 low band in SQL: analysis a[k] = sum_j h_j x[(4+2k-j) mod N],
+    synthesis r[p] = sum_{(4+2k-j) mod N = p} h_j a[k]; odd lengths padded with the
+    last sample, reconstructions trimmed; level 2 from 28 samples."""
+    from ..functions.constants import DB4_DEC_LO
+    taps = ", ".join(f"({j}, {t!r})" for j, t in enumerate(DB4_DEC_LO))
+    sig = ["ndvi", "rainfall", "lst"]
+    long = " UNION ALL ".join(f"SELECT grid_id, date, '{c}' AS sig, {c} AS x FROM vhi" for c in sig)
+
+    def analysis(src, n_col, out):
+        # src(grid_id, sig, pos, v, N): N = padded length; returns out(grid_id, sig, k, a, N)
+        return (f"SELECT s.grid_id, s.sig, k.k, sum(t.tap * s.v) AS a, s.N FROM "
+                f"(SELECT DISTINCT grid_id, sig, N FROM {src}) g, LATERAL (SELECT unnest(range(0, g.N // 2)) AS k) k, taps t, {src} s "
+                f"WHERE s.grid_id = g.grid_id AND s.sig = g.sig AND s.pos = ((4 + 2 * k.k - t.j) % g.N + g.N) % g.N "
+                f"GROUP BY s.grid_id, s.sig, k.k, s.N")
+
+    def synthesis(coef, out_len):
+        # coef(grid_id, sig, k, a, N) -> rows (grid_id, sig, pos, v) for pos < out_len column
+        return (f"SELECT c.grid_id, c.sig, ((4 + 2 * c.k - t.j) % c.N + c.N) % c.N AS pos, sum(t.tap * c.a) AS v "
+                f"FROM {coef} c, taps t GROUP BY 1, 2, 3")
+    ctes = f""", taps(j, tap) AS (VALUES {taps}),
+lg AS ({long}),
+b AS (SELECT grid_id, date, sig, x, CAST(row_number() OVER (PARTITION BY grid_id, sig ORDER BY date) - 1 AS BIGINT) AS pos,
+        count(*) OVER (PARTITION BY grid_id, sig) AS n FROM lg),
+s1 AS (SELECT grid_id, sig, pos, x AS v, n + n % 2 AS N, n FROM b WHERE n >= 4 UNION ALL
+       SELECT grid_id, sig, n AS pos, x AS v, n + 1 AS N, n FROM b WHERE n >= 4 AND n % 2 = 1 AND pos = n - 1),
+a1 AS ({analysis('s1', 'N', 'a1')}),
+m1 AS (SELECT grid_id, sig, count(*) AS M FROM a1 GROUP BY 1, 2),
+s2 AS (SELECT a1.grid_id, a1.sig, a1.k AS pos, a1.a AS v, m1.M + m1.M % 2 AS N FROM a1 JOIN m1 USING (grid_id, sig)
+         JOIN (SELECT DISTINCT grid_id, sig, n FROM b) nn USING (grid_id, sig) WHERE nn.n >= 28 UNION ALL
+       SELECT a1.grid_id, a1.sig, m1.M AS pos, a1.a AS v, m1.M + 1 AS N FROM a1 JOIN m1 USING (grid_id, sig)
+         JOIN (SELECT DISTINCT grid_id, sig, n FROM b) nn USING (grid_id, sig) WHERE nn.n >= 28 AND m1.M % 2 = 1 AND a1.k = m1.M - 1),
+a2 AS ({analysis('s2', 'N', 'a2')}),
+r2 AS ({synthesis('a2', 'M')}),
+c1 AS (SELECT r2.grid_id, r2.sig, r2.pos AS k, r2.v AS a, nn.n + nn.n % 2 AS N FROM r2 JOIN m1 USING (grid_id, sig)
+         JOIN (SELECT DISTINCT grid_id, sig, n FROM b) nn USING (grid_id, sig) WHERE r2.pos < m1.M UNION ALL
+       SELECT a1.grid_id, a1.sig, a1.k, a1.a, a1.N FROM a1 JOIN (SELECT DISTINCT grid_id, sig, n FROM b) nn USING (grid_id, sig)
+         WHERE nn.n < 28),
+r1 AS ({synthesis('c1', 'n')}),
+ap AS (SELECT b.grid_id, b.date, b.sig, b.x, CASE WHEN b.n < 4 THEN b.x ELSE r1.v END AS approx
+       FROM b LEFT JOIN r1 ON b.grid_id = r1.grid_id AND b.sig = r1.sig AND b.pos = r1.pos)
+SELECT grid_id, CAST(date AS VARCHAR) AS date, """
+    outs = []
+    for c in sig:
+        outs.append(f"{S.r6(f"max(CASE WHEN sig = '{c}' THEN approx END)")} AS {c}_wavelet_approx")
+        outs.append(f"{S.r6(f"max(CASE WHEN sig = '{c}' THEN x - approx END)")} AS {c}_wavelet_detail")
+    return VHI_SQL_CTE + ctes + ", ".join(outs) + " FROM ap GROUP BY grid_id, date"
+
+
+@register("win_wavelet_full", _wavelet_full_sql())
 def win_wavelet_full(spark, d):
     v = vhi_panel(spark, d).select("grid_id", "date", "ndvi", "rainfall", "lst")
     return rounded(T.wavelet_full(v, ["ndvi", "rainfall", "lst"]))
