@@ -73,7 +73,9 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame, name: str) -> Data
 
 
 def eval_metrics(preds: DataFrame, protocol: str, label="label") -> DataFrame:
-    p = preds.withColumn("protocol", F.lit(protocol)).withColumnRenamed(label, "y_true")
+    # the regression and severity passes all read the same prediction rows
+    p = (preds.withColumn("protocol", F.lit(protocol)).withColumnRenamed(label, "y_true")
+              .select("protocol", "model", "y_true", "y_pred").persist(StorageLevel.MEMORY_AND_DISK))
     reg = M.regression_metrics(p)
     f1 = M.severity_f1(M.severity_confusion(p))
     return reg.join(f1, ["protocol", "model"])
