@@ -292,3 +292,15 @@ def batch_score(model, df: DataFrame) -> DataFrame:
 
 def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def training_table(df: DataFrame) -> DataFrame:
+    """Freeze the assembled training frame for the many fits that follow: cache it,
+    write a reliable checkpoint into the shared ``spark.checkpoint.dir`` (a lost
+    executor then re-reads files instead of recomputing the feature pipeline), and
+    keep the checkpointed frame cached."""
+    from ..session import cut_lineage
+    cached = persist(df)
+    frozen = persist(cut_lineage(cached))
+    cached.unpersist()
+    return frozen

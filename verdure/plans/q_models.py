@@ -21,8 +21,8 @@ def ml_data(spark, d, label="target_vhi_h1"):
     f = feature_panel(spark, d, signals=("ndvi", "lst", "rainfall", "vhi"), wavelet=True)
     feats = [c for c in C.leakage_block(C.numeric_features(f)) if c not in ("month", "season")]
     f = f.withColumn("label", F.col(label))
-    data = ML.persist(ML.assemble(f, feats).select("grid_id", "date", "label", "vci", "tci", "vhi", *feats,
-                                                    ML.FEATURES_COL))
+    data = ML.training_table(ML.assemble(f, feats).select("grid_id", "date", "label", "vci", "tci", "vhi", *feats,
+                                                           ML.FEATURES_COL))
     # the date cut-off subquery reads the cached rows, not a second feature computation
     data = DS.split_chrono(data)
     train = data.where(F.col("split") == "train")
