@@ -120,19 +120,22 @@ def ffill(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
 
 
-def interpolate(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
+def interpolate(df: DataFrame, cols, keys=("grid_id",), order: str = "date") -> DataFrame:
     """Linear interpolation on row position per key; edges take the nearest value
     (pandas ``interpolate(limit_direction='both')`` applied per key)."""
     w = order_window(keys)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "next non-null" as a running frame in descending date order: one extra sort
+    # inside the same partitioning instead of re-aggregating a following frame per row
+    ahead = (Window.partitionBy(*keys).orderBy(F.col(order).desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     df = df.withColumn("__pos", F.row_number().over(w))
     new = {}
     for c in cols:
         pv = F.struct(F.col("__pos").alias("p"), F.col(c).alias("v"))
         tagged = F.when(F.col(c).isNotNull(), pv)
         new[f"__prev_{c}"] = F.last(tagged, ignorenulls=True).over(upto)
-        new[f"__next_{c}"] = F.first(tagged, ignorenulls=True).over(ahead)
+        new[f"__next_{c}"] = F.last(tagged, ignorenulls=True).over(ahead)
     df = df.withColumns(new)
     out = {}
     for c in cols:
