@@ -216,3 +216,13 @@ def test_composite_hot_group_split_keeps_results(spark, sf):
         lo=lambda v: sorted(v)[(len(v) - 1) // 2], hi=lambda v: sorted(v)[len(v) // 2]).reset_index()
     j = split.merge(mids, on=["grid_id", "date"])
     assert ((j["s2"] >= j["lo"]) & (j["s2"] <= j["hi"])).all()
+
+
+def test_global_rank_across_ranges(spark):
+    from verdure.operators.joins import global_rank
+    rng = np.random.default_rng(31)
+    keys = [f"k{int(v):06d}" for v in rng.choice(10**6, 2000, replace=False)]
+    df = spark.createDataFrame([(k,) for k in keys + keys[:100]], "grid_id string")  # duplicates collapse
+    got = {r["grid_id"]: r["rank"] for r in global_rank(df, "grid_id", partitions=7).collect()}
+    want = {k: i for i, k in enumerate(sorted(set(keys)))}
+    assert got == want

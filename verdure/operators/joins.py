@@ -8,6 +8,7 @@ AQE.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +44,22 @@ def common_keys(frames: list[DataFrame], keys=("grid_id", "date")) -> DataFrame:
 def distinct_first(df: DataFrame, key="grid_id", order="date", cols=("longitude", "latitude")) -> DataFrame:
     """One row per key with the first (by ``order``) values."""
     return df.groupBy(key).agg(*[F.min_by(c, F.col(order)).alias(c) for c in cols])
+
+
+def global_rank(keys_df: DataFrame, key: str, out: str = "rank", partitions: int | None = None) -> DataFrame:
+    """0-based rank of each distinct ``key`` in sort order, without a single-partition
+    window: range-partition the keys, count rows per range (one row per partition),
+    prefix-sum those counts, and number rows inside each range."""
+    spark = keys_df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (keys_df.select(key).distinct().repartitionByRange(n_parts, key)
+                     .withColumn("__pid", F.spark_partition_id())
+                     .persist(StorageLevel.MEMORY_AND_DISK))  # pins the range assignment
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    # one row per range partition: the prefix sum runs over n_parts rows
+    offsets = counts.select("__pid", F.coalesce(
+        F.sum("__c").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__off"))
+    local = F.row_number().over(Window.partitionBy("__pid").orderBy(key)) - 1
+    return (ranged.join(F.broadcast(offsets), "__pid")
+                  .select(key, (F.col("__off") + local).alias(out)))

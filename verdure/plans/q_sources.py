@@ -305,10 +305,9 @@ def prj_availability_flag(spark, d):
 r AS (SELECT grid_id, dense_rank() OVER (ORDER BY grid_id) - 1 AS code, count(*) OVER () AS n FROM g)
 SELECT grid_id, round(code / greatest(n - 1, 1) * 1000000) / 1000000 + 0.0 AS grid_code FROM r""")
 def prj_grid_code(spark, d):
-    from pyspark.sql import Window
+    from ..operators.joins import global_rank
     g = FX.panel(spark, d).select("grid_id").distinct()
-    # one row per cell: the global ordering is over the cell list, not the panel
-    r = g.withColumn("code", F.dense_rank().over(Window.orderBy("grid_id")) - 1)
+    r = global_rank(g, "grid_id", out="code")
     n = g.agg(F.count(F.lit(1))).scalar()
     return rounded(r.select("grid_id", (F.col("code") / F.greatest(n - 1, F.lit(1))).alias("grid_code")))
 
