@@ -226,3 +226,14 @@ def test_global_rank_across_ranges(spark):
     got = {r["grid_id"]: r["rank"] for r in global_rank(df, "grid_id", partitions=7).collect()}
     want = {k: i for i, k in enumerate(sorted(set(keys)))}
     assert got == want
+
+
+def test_spatial_exact_count_holds_out_floor_fraction(spark, sf):
+    from verdure.sources.fixtures import panel
+    p = panel(spark, sf)
+    n = p.select("grid_id").distinct().count()
+    s = DS.split_spatial(p, exact_count=True)
+    held = s.where("split = 'test'").select("grid_id").distinct().count()
+    assert held == max(1, int(n * 0.2))
+    assert s.count() == p.count()
+    assert s.groupBy("grid_id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0

@@ -61,11 +61,23 @@ def split_random(df: DataFrame, test_pct: int = 30, keys=("grid_id", "date"), se
 
 
 def split_spatial(df: DataFrame, holdout_frac: float = 0.2, key="grid_id", seed: str = "41",
-                  out="split") -> DataFrame:
+                  out="split", exact_count: bool = False) -> DataFrame:
     """Hold out ~``holdout_frac`` of the cells (md5 of seed||cell below the fraction
-    of the hash range).  Whole cells move together; no ranking, no join."""
+    of the hash range).  Whole cells move together; no ranking, no join.
+    ``exact_count=True`` holds out exactly max(1, floor(frac * n)) cells, the first
+    in md5 order, ranked with the distributed ``global_rank`` (no single-task sort)."""
     b = md5_bucket(key, seed=seed)
-    return df.withColumn(out, F.when(b < F.lit(holdout_frac * TWO32), "test").otherwise("train"))
+    if not exact_count:
+        return df.withColumn(out, F.when(b < F.lit(holdout_frac * TWO32), "test").otherwise("train"))
+    from .joins import global_rank
+    cells = df.select(key).distinct()
+    order_key = F.concat(F.lpad(md5_bucket(key, seed=seed).cast("string"), 10, "0"), F.lit("|"), F.col(key))
+    ranked = global_rank(cells.select(key, order_key.alias("__o")), "__o", out="__r")
+    n = cells.agg(F.count(F.lit(1))).first()[0]
+    k = max(1, int(n * holdout_frac))
+    hold = ranked.where(F.col("__r") < k).select(F.element_at(F.split("__o", r"\|", 2), 2).alias(key))
+    tagged = hold.withColumn(out, F.lit("test"))
+    return df.join(tagged, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("train")))
 
 
 def date_index(df: DataFrame, date_col="date") -> DataFrame:
