@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets
+from . import jaccard, mixing, quality, secrets, sentencepieces, tokens
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -45,3 +45,22 @@ def op7_source_mixing(spark, sf_dir):
     p = mixing.plan(read(spark, sf_dir, "documents"))
     return (p.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
             .repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id"))
+
+
+@query
+def op6_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.read_documents(tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op8_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    return sentencepieces.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(read(spark, sf_dir, "documents"))
