@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, secrets, sentencepieces, simhash, tokens
+from . import jaccard, mixing, quality, secrets, sentencepieces, simhash, tokens, warc
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -69,3 +69,8 @@ def op10_ngram_jaccard(spark, sf_dir):
 @query
 def op5_simhash(spark, sf_dir):
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc_transactions(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
