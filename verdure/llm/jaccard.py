@@ -29,12 +29,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
+from .hashing import U, mix, slices, word_hashes
 
 PARTS, MISSED = 2, 1
 SEEDS = 5
@@ -42,32 +42,9 @@ SPARE = 1
 #: Size bands grow by this many threshold steps: wider ones sign less often upwards, with more groups than needed.
 BAND_STEPS = 2
 
-U = np.uint64
 ODD1, ODD2, ODD3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finalizer of splitmix64 (public domain): every input bit reaches every output bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text); A-Z count as a-z."""
-    import xxhash
-
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts), r"[\x20\x09-\x0D]+")
-    flat = lists.flatten()
-    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    coded = flat.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    table = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), dtype=U, count=len(names))
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    real = np.fromiter((w != "" for w in names), dtype=bool, count=len(names))[codes] if names else np.zeros(0, bool)
-    return (table[codes[real]] if names else np.zeros(0, U)), np.bincount(owner[real], minlength=len(lists))
-
-
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-gram hashes, sorted within each text; number of them per text)."""
     w, counts = word_hashes(texts)
@@ -169,20 +146,9 @@ def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndar
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
-#: Texts are worked on in blocks of about this many bytes.
+#: Texts are worked on in pieces of about this many bytes.
 BLOCK_BYTES = 4 << 20
 
-
-def blocks(batch: pa.RecordBatch, column: str):
-    """Slices of a batch with about BLOCK_BYTES of text each (a longer text is a block of its own)."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start = 0
-    while start < batch.num_rows:
-        stop = start + max(1, int(np.searchsorted(np.cumsum(size[start:]), BLOCK_BYTES, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 #: Ids given to rows without one: above every real id.
 NULL_IDS = 1 << 62
 #: A block of a candidate cluster: rows, and elements of their sets.
@@ -195,7 +161,7 @@ def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches):
         bands = Bands(percent)
         for whole in batches:
-            for batch in blocks(whole, "text"):
+            for batch in slices(whole, "text", BLOCK_BYTES):
                 h, counts = shingle_sets(batch.column("text").fill_null(""), size)
                 ends = np.cumsum(counts)
                 a, b = np.zeros(len(counts), U), np.zeros(len(counts), U)

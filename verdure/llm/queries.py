@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, secrets, sentencepieces, simhash, tokens, warc
+from . import jaccard, mixing, ppm, quality, secrets, sentencepieces, simhash, tokens, warc
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -74,3 +74,8 @@ def op5_simhash(spark, sf_dir):
 @query
 def op4_warc_transactions(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query
+def op2_ppm_scoring(spark, sf_dir):
+    return ppm.score(read(spark, sf_dir, "documents"))
