@@ -229,12 +229,8 @@ def links_within(h: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.
     return forest
 
 
-def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), a row per row of ``docs``.
-
-    Defined results: texts without words are empty sets, linked with nothing; rows without an id take
-    part, and a component of such rows only has a null component_id; repeated rows are one node; an id
-    with several texts has the smallest component of them all."""
+def labelled(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, id, n, component: a row per row of ``docs``; id and component as in ``_with_ids``."""
     signed = cut_lineage(sign(docs, size, percent))
     real = signed.where("key1 IS NOT NULL")
     # equal sets: one node, named by the smallest id
@@ -251,8 +247,27 @@ def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
     linked = components(_links(docs, clusters, ids, size, percent))
     named = ids.join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
     out = signed.select("doc_id", "n", "id").join(named, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NULL_IDS, component).alias("component_id"))
+    return out.withColumn("component", F.coalesce("component", "id"))
+
+
+def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), a row per row of ``docs``.
+
+    Defined results: texts without words are empty sets, linked with nothing; rows without an id take
+    part, and a component of such rows only has a null component_id; repeated rows are one node; an id
+    with several texts has the smallest component of them all."""
+    return labelled(docs, size=size, percent=percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NULL_IDS, F.col("component")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` with one document of every component: that with the smallest id (one row, if the id is repeated)."""
+    gone = labelled(docs, size=size, percent=percent).where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    text = F.col("text").cast("string")
+    stand_in = F.lit(NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(NULL_IDS - 1))
+    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    kept = kept.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return kept.dropDuplicates(["__id"]).select(*docs.columns)
 
 
 def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:

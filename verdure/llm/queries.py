@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, ppm, quality, secrets, sentencepieces, simhash, tokens, warc
+from . import jaccard, licenses, mixing, ppm, quality, secrets, sentencepieces, simhash, tokens, warc
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -79,3 +79,8 @@ def op4_warc_transactions(spark, sf_dir):
 @query
 def op2_ppm_scoring(spark, sf_dir):
     return ppm.score(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scans(spark, sf_dir):
+    return licenses.scan(licenses.document_paths(read(spark, sf_dir, "documents")))
