@@ -52,3 +52,21 @@ def pinned(condition: Column) -> Column:
     """The same condition, but one that no optimizer moves below the projection it stands in (where its costly
     inputs would be computed a second time)."""
     return (F.monotonically_increasing_id() >= 0) & condition
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` of ``df`` and all its columns as the struct ``__row``: names added later cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *cols)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns packed in ``__row``, some of them replaced."""
+    return df.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in columns])

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import fresh
 from .components import components
 from .hashing import U, mix, slices, word_hashes
 
@@ -262,12 +263,13 @@ def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
 
 def deduplicate(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of every component: that with the smallest id (one row, if the id is repeated)."""
-    gone = labelled(docs, size=size, percent=percent).where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    id_, gone_ = fresh(docs, "__id"), fresh(docs, "__gone")
+    gone = labelled(docs, size=size, percent=percent).where("id <> component").select(F.col("id").alias(gone_)).distinct()
     text = F.col("text").cast("string")
     stand_in = F.lit(NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(NULL_IDS - 1))
-    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    kept = kept.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates(["__id"]).select(*docs.columns)
+    kept = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    kept = kept.join(gone, F.col(id_) == F.col(gone_), "left_anti")
+    return kept.dropDuplicates([id_]).select(*docs.columns)
 
 
 def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, let_sql, pinned, text_of, words
+from .common import WORD, let, let_sql, packed, pinned, text_of, unpacked, words
 
 SYMBOLS = r"[#*$%&|<>]"
 TERMINALS = ".!?:;…。！？\"'”’»)]}"
@@ -92,7 +92,7 @@ def _repeated_words(df: DataFrame, w: str, out: str) -> DataFrame:
 
 def measure(docs: DataFrame, text_col: str = "text", *, min_words: int = MIN_WORDS,
             max_repeat_percent: int = MAX_REPEAT_PERCENT, max_loss_percent: int = MAX_LOSS_PERCENT) -> DataFrame:
-    """``docs`` with ``q_`` columns: counts, lost characters, the cleaned text and the verdict."""
+    """``docs`` with ``q_`` columns: counts, lost characters and the verdict (columns of these names are replaced)."""
     t = text_of(text_col)
     df = docs.withColumns({"__w": words(t), "__lines": F.filter(F.split(t, "\n", -1), _has_word), "__low": F.lower(t),
                            "q_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long")})
@@ -118,8 +118,8 @@ def measure(docs: DataFrame, text_col: str = "text", *, min_words: int = MIN_WOR
 
 def clean(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The accepted documents, their failing lines removed, in the columns of ``docs``."""
-    kept = measure(docs, text_col, **limits).where("q_kept")
+    kept = measure(packed(docs, text_col), text_col, **limits).where("q_kept")
     lines = F.filter(F.split(text_of(text_col), "\n", -1), lambda x: ~(_has_word(x) & line_fails(
         x, F.lit(True), F.lit(True))))
     text = F.when(F.col("q_bad_lines") > 0, F.array_join(lines, "\n")).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    return unpacked(kept, docs.columns, **{text_col: text})

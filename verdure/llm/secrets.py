@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import any_case, let_sql, text_of
+from .common import any_case, let_sql, packed, text_of, unpacked
 
 KINDS = ("assign", "access", "hex", "random")
 KEYWORDS = "|".join([*map(any_case, ("password", "passwd", "secret", "token")), "[aA][pP][iI]_?[kK][eE][yY]"])
@@ -182,7 +182,7 @@ def find(docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("d
 
 def redact(docs: DataFrame, text_col: str = "text", *, mark: str = "[secret]", q: float = Q) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark`` (overlapping spans as one); all rows stay."""
-    scanned = scan(docs, text_col)
+    scanned = scan(packed(docs, text_col), text_col)
     df = with_spans(scanned, cuts(scan(docs.select(text_col), text_col), q))
     pieces = let_sql("__t", "t", f"aggregate(z_spans, named_struct('p', 0, 'out', CAST(array() AS array<string>)), (a, x) -> CASE "
               f"WHEN x.s < a.p THEN named_struct('p', greatest(a.p, x.e), 'out', a.out) ELSE named_struct('p', x.e, 'out', "
@@ -190,4 +190,4 @@ def redact(docs: DataFrame, text_col: str = "text", *, mark: str = "[secret]", q
               "a -> concat(array_join(a.out, ''), substring(t, a.p + 1)))")
     df = df.withColumn("__t", text_of(text_col))
     text = F.when(F.size("z_spans") > 0, F.expr(pieces)).otherwise(F.col(text_col))
-    return df.withColumn(text_col, text).select(*docs.columns)
+    return unpacked(df, docs.columns, **{text_col: text})
