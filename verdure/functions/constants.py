@@ -77,6 +77,7 @@ MITIGATION_TIPS = ["Mulch exposed soil", "Use drought-tolerant crop varieties",
 LITERATURE = {"r2": 0.964, "rmse": 0.021, "mae": 0.023}
 
 # --- FIXED VALUES: evaluation protocol names and their honesty notes ---------
+SAME_MONTH_PROTOCOL = "C_same_month_estimation"
 PROTOCOL_NOTES = {
     "A_strict_chronological_future_forecasting": "This is strict future forecasting with no target-month VHI leakage.",
     "B_paper_comparable_random_split": "This is paper-comparable random split evaluation, not chronological deployment forecasting.",

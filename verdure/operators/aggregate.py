@@ -1,10 +1,12 @@
 """Grouped aggregations and reshapes (partial + final hash aggregates)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from ..session import cut_lineage
+from .quantiles import grouped_quantiles
 
 NUMERIC = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 
@@ -41,14 +43,16 @@ def raster_long(df: DataFrame, channels: list[str], date_col="date") -> DataFram
 
 
 def raster_stretch(long_df: DataFrame, lo_q=0.02, hi_q=0.98, date_col="date") -> DataFrame:
-    """Per (month, channel): NULL -> median, then (x - p2) / max(p98 - p2, 1e-6) clipped to [0, 1].
-    The window partition is one month of one channel: bounded by the cell count."""
-    w = Window.partitionBy(date_col, "channel")
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(lo_q), F.lit(hi_q))).over(w)
-    x = long_df.withColumn("__q", q)
-    filled = F.coalesce(F.col("value"), F.col("__q")[0])
-    lo, hi = F.col("__q")[1], F.col("__q")[2]
-    return x.withColumn("value", clip((filled - lo) / F.greatest(hi - lo, F.lit(1e-6)), 0.0, 1.0)).drop("__q")
+    """Per (month, channel): NULL -> median, then (x - p2) / max(p98 - p2, 1e-6) clipped to [0, 1], percentiles of
+    the filled values.  Quantiles by distributed selection: no task holds a whole month."""
+    keys = [date_col, "channel"]
+    med = grouped_quantiles(long_df, keys, [0.5]).select(*keys, F.col("q")[0].alias("__m"))
+    x = long_df.join(med, keys, "left").withColumn("value", F.coalesce("value", "__m")).drop("__m")
+    x = cut_lineage(x)
+    q = grouped_quantiles(x, keys, [lo_q, hi_q]).select(*keys, F.col("q")[0].alias("__l"), F.col("q")[1].alias("__h"))
+    x = x.join(q, keys, "left")
+    return x.withColumn("value", clip((F.col("value") - F.col("__l")) / F.greatest(
+        F.col("__h") - F.col("__l"), F.lit(1e-6)), 0.0, 1.0)).drop("__l", "__h")
 
 
 def distinct_counts(df: DataFrame, key="grid_id", date_col="date") -> DataFrame:

@@ -39,8 +39,8 @@ def dashboard(hist: DataFrame, risk="risk_score", ts="created_at", tie="id") ->
 
 
 def risk_trend(hist: DataFrame, n: int = 20, risk="risk_score", ts="created_at", tie="id") -> DataFrame:
-    """The newest n risk points (callers sort ascending for display)."""
-    return latest_n(hist, n, ts, tie).select(tie, ts, risk)
+    """The newest n risk points, oldest first."""
+    return latest_n(hist, n, ts, tie).select(tie, ts, risk).orderBy(ts, tie)
 
 
 def admin_analytics(users: DataFrame, hist: DataFrame) -> DataFrame:
@@ -48,13 +48,26 @@ def admin_analytics(users: DataFrame, hist: DataFrame) -> DataFrame:
     return u.withColumn("forecast_usage", hist.agg(F.count(F.lit(1))).scalar())
 
 
-def last_login(users: DataFrame, logs: DataFrame, login_event: str = "signup") -> DataFrame:
-    """Latest login per user.  The user token is parsed out of the message so the
-    join is an equi-join (no substring nested loop)."""
+def admin_report(users: DataFrame, hist: DataFrame, logs: DataFrame, n_logs: int = 20) -> DataFrame:
+    """The counters of ``admin_analytics`` beside each of the newest ``n_logs`` log rows (one row of counters, logs
+    NULL, when there are none)."""
+    counters = admin_analytics(users, hist)
+    newest = latest_n(logs, n_logs).agg(F.collect_list(F.struct("id", "event", "message", "created_at"))).scalar()
+    return counters.withColumn("__l", F.explode_outer(newest)).select(
+        "total_users", "active_users", "forecast_usage", F.col("__l.id").alias("log_id"), F.col("__l.event").alias("event"),
+        F.col("__l.message").alias("message"), F.col("__l.created_at").alias("created_at"))
+
+
+EMAIL = r"([^\s:]+@[^\s]+)"
+
+
+def last_login(users: DataFrame, logs: DataFrame, login_event: str = "user_login") -> DataFrame:
+    """Latest login per user.  The email is parsed out of the message so the join is an equi-join (no substring
+    nested loop); messages without one match nobody."""
     lg = (logs.where(F.col("event") == login_event)
-              .withColumn("user_id", F.regexp_extract("message", r"^User (\d+) ", 1).cast("bigint"))
-              .groupBy("user_id").agg(F.max("created_at").alias("last_login")))
-    return users.join(lg, users.id == lg.user_id, "left").select("id", "email", "last_login")
+              .withColumn("__email", F.regexp_extract("message", EMAIL, 1)).where("__email <> ''")
+              .groupBy("__email").agg(F.max("created_at").alias("last_login")))
+    return users.join(lg, F.col("email") == F.col("__email"), "left").select("id", "email", "last_login")
 
 
 def user_search(users: DataFrame, term: str) -> DataFrame:

@@ -8,10 +8,11 @@ AQE.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def left_join_suffixed(base: DataFrame, right: DataFrame, keys=("grid_id", "date"), suffix="_gee") -> DataFrame:
     """base LEFT JOIN right on keys; right columns that clash with base get ``suffix``."""
@@ -53,10 +54,10 @@ def global_rank(keys_df: DataFrame, key: str, out: str = "rank", partitions: int
     spark = keys_df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (keys_df.select(key).distinct().repartitionByRange(n_parts, key)
-                     .withColumn("__pid", F.spark_partition_id())
-                     .persist(StorageLevel.MEMORY_AND_DISK))  # pins the range assignment
+                     .withColumn("__pid", F.spark_partition_id()))
+    ranged = cut_lineage(ranged)  # files pin the range assignment, also when an executor is lost
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
-    # one row per range partition: the prefix sum runs over n_parts rows
+    # one row per range partition: the prefix sum, and the broadcast, are n_parts rows (fixed above)
     offsets = counts.select("__pid", F.coalesce(
         F.sum("__c").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("__off"))

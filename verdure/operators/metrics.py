@@ -2,9 +2,8 @@
 
 Each metric is a sum/avg per group (protocol, model, fold ...), so Spark runs
 them as partial + final hash aggregates: a group holding a third of all rows is
-still combined map-side.  The only two-pass metrics (Willmott, sMAPE need the
-group mean) join a one-row-per-group table back, whose size is the number of
-groups, not the number of rows.
+still combined map-side.  The only two-pass metric, Willmott, needs the group
+mean: a one-row-per-group table is joined back.
 """
 from __future__ import annotations
 
@@ -20,16 +19,18 @@ def _g(group):
 
 
 def regression_metrics(df: DataFrame, group=("protocol", "model"), y="y_true", p="y_pred",
-                       clip_pred: tuple | None = (0.0, 1.0), tol: float = 0.10) -> DataFrame:
+                       clip_pred: tuple | None = (0.0, 1.0), tol: float = 0.10, willmott: bool = True) -> DataFrame:
     """n, r2, rmse, mae, explained_variance, three MAPE variants (fractions), sMAPE,
-    NSE, Willmott d, Pearson r, share within ``tol``."""
+    NSE, Willmott d, Pearson r, share within ``tol``.  One grouped aggregate; only Willmott needs the group means
+    first (``willmott=False`` leaves it out, with its extra pass)."""
     g = _g(group)
     yp = clip(p, *clip_pred) if clip_pred else F.col(p)
     base = df.select(*g, F.col(y).alias("__y"), yp.alias("__p")).where(F.col("__y").isNotNull() & F.col("__p").isNotNull())
-    if g:
-        # groups are few (protocol x model): the broadcast side is one row per group
-        means = base.groupBy(*g).agg(F.avg("__y").alias("__ym"))
-        joined = base.join(F.broadcast(means), g, "inner")
+    if not willmott:
+        joined = base.withColumn("__ym", F.lit(0.0))
+    elif g:
+        # one row per group; how it is joined is left to its size
+        joined = base.join(base.groupBy(*g).agg(F.avg("__y").alias("__ym")), g, "inner")
     else:
         joined = base.withColumn("__ym", base.agg(F.avg("__y")).scalar())
     yv, pv, ym = F.col("__y"), F.col("__p"), F.col("__ym")
@@ -66,7 +67,7 @@ def regression_metrics(df: DataFrame, group=("protocol", "model"), y="y_true", p
          .otherwise(0.0).alias("pearson_correlation"),
         "within_tol",
     )
-    return out
+    return out if willmott else out.drop("willmott_index")
 
 
 def with_severity_classes(df: DataFrame, y="y_true", p="y_pred", clip_pred=(0.0, 1.0)) -> DataFrame:
@@ -131,15 +132,16 @@ def blend_weighted(a: Column, b: Column, w: float) -> Column:
 
 
 def claim_text(metrics: DataFrame) -> DataFrame:
-    """Honesty note per protocol + list of beaten literature metrics."""
+    """``claim``: which literature metrics are beaten, and under what protocol (same-month estimation is said not to
+    be forecasting); ``note``: what the protocol evaluates, NULL for one that is not known."""
     notes = F.create_map(*[x for k, v in K.PROTOCOL_NOTES.items() for x in (F.lit(k), F.lit(v))])
     fm = compare_literature(metrics)
     beaten = F.concat_ws(", ", F.when(F.col("beats_r2"), "r2"), F.when(F.col("beats_rmse"), "rmse"),
                          F.when(F.col("beats_mae"), "mae"))
-    note = F.coalesce(notes[F.col("protocol")], F.lit(K.PROTOCOL_NOTES["E_rolling_origin_validation"]))
-    claim = (F.when(beaten == "", F.concat(F.lit("No literature metric beaten. "), note))
-             .otherwise(F.concat(F.lit("Beats literature on "), beaten, F.lit(". "), note)))
-    return fm.withColumn("claim", claim)
+    where = F.when(F.col("protocol") == K.SAME_MONTH_PROTOCOL, F.lit(" only under same-month estimation, not future forecasting."))
+    claim = (F.when(beaten == "", F.lit("No literature metric beaten."))
+             .otherwise(F.concat(F.lit("Beats literature on "), beaten, F.coalesce(where, F.concat(F.lit(" under "), "protocol", F.lit("."))))))
+    return fm.withColumns({"claim": claim, "note": F.try_element_at(notes, F.col("protocol"))})
 
 
 def average_folds(fold_metrics: DataFrame, group=("protocol", "model"), metrics=None) -> DataFrame:

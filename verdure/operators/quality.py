@@ -11,9 +11,9 @@ def global_quantiles(df: DataFrame, cols: list[str], probs: list[float], exact:
     """Every requested quantile of every column over all rows, as literals per
     column (``q[c][i]``).  Exact: distributed selection (bounded state per task,
     see ``quantiles.py``); ``exact=False``: one pass of a bounded-memory sketch."""
-    from .quantiles import exact_quantile
+    from .quantiles import exact_quantiles
     if exact:
-        vals = {c: exact_quantile(df, c, probs) for c in cols}
+        vals = exact_quantiles(df, cols, probs)
     else:
         arr = F.array(*[F.lit(p) for p in probs])
         row = df.agg(*[F.percentile_approx(c, arr, 100000).alias(c) for c in cols]).first()

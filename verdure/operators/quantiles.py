@@ -1,71 +1,65 @@
-"""Exact global quantiles without an unbounded single-task state.
+"""Exact quantiles without an unbounded single-task state.
 
-Spark's exact ``percentile`` merges a map of every distinct value in one final
-task, which does not survive 100 TB of distinct doubles.  Here a rank is found by
-distributed selection: equal-width bucket counts (a partial-aggregated
-``groupBy`` of at most ``buckets`` rows) locate the bucket holding the rank, the
-range narrows to that bucket's [min, max], and once it holds at most
-``rank_limit`` rows (or a single repeated value — a hot value resolves at once)
-the remaining rows are ranked.  Results equal linear-interpolated
-``percentile`` / ``quantile_cont``.
+Spark's exact ``percentile`` merges a map of every distinct value of a group in one final task,
+which does not survive 100 TB of distinct doubles.  Here all ranks of all groups are found together
+by distributed selection: every pass counts values in equal-width buckets of each rank's range
+(partial aggregates, at most ``buckets`` rows a rank) and narrows the range to the [min, max] of the
+bucket that holds the rank, until it is a single value.  A hot value resolves at once.  Results equal
+linear-interpolated ``percentile`` / ``quantile_cont``.
 """
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+BUCKETS = 1024
+
+
+def grouped_quantiles(long: DataFrame, keys: list[str], probs: list[float], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+    """``keys`` and ``q`` (array, one entry per probability) of every group with a non-null value."""
+    x = long.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("h")) for i, q in enumerate(probs)])
+    targets = cut_lineage(st.select(*keys, "__lo", "__hi", F.inline(wanted)))
+    ranks = targets.select(*keys, "__lo", "__hi", F.explode(F.array_distinct(F.array(
+        F.floor("h").cast("long"), F.ceil("h").cast("long")))).alias("__k")).distinct().withColumn("__below", F.lit(0).cast("long"))
+    ranks = cut_lineage(ranks)
+    while not ranks.where("__lo < __hi").isEmpty():
+        open_ = ranks.where("__lo < __hi")
+        inside = x.join(open_, keys)
+        inside = inside.where((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
+        width = (F.col("__hi") - F.col("__lo")) / buckets
+        # a range too narrow to divide has two values left
+        b = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(buckets - 1))).otherwise(
+            (F.col("__x") > F.col("__lo")).cast("long"))
+        c = inside.groupBy(*keys, "__k", "__below", b.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys, "__k").orderBy("__b").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))
+        c = c.withColumn("__below", F.col("__below") + before)
+        found = c.where((F.col("__k") >= F.col("__below")) & (F.col("__k") < F.col("__below") + F.col("__c")))
+        ranks = cut_lineage(ranks.where("__lo = __hi").select(*keys, "__k", "__lo", "__hi", "__below").unionByName(
+            found.select(*keys, "__k", "__lo", "__hi", "__below")))
+    r = ranks.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__k"), F.col("__lo").alias("__v"))
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    cond = (F.col("__k") == F.floor("h")) | (F.col("__k") == F.ceil("h"))
+    for s in same:
+        cond = cond & s
+    j = targets.join(r, cond).groupBy(*keys, "i", "h").agg(F.min("__v").alias("v0"), F.max("__v").alias("v1"))
+    j = j.withColumn("v", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.floor("h")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
+    return j.groupBy(*keys).agg(ordered.alias("q"))
+
 
-def _kth(x: DataFrame, k: int, lo: float, hi: float, below: int, count: int,
-         buckets: int, rank_limit: int) -> float:
-    """Value of 0-based rank ``k`` among non-null x, known to lie in [lo, hi] with
-    ``below`` values under lo and ``count`` values inside."""
-    while True:
-        if lo == hi:
-            return lo
-        inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        if count <= rank_limit:
-            # bounded: at most rank_limit rows are ordered in one task
-            r = k - below + 1
-            w = Window.orderBy("x")
-            return inside.select("x", F.row_number().over(w).alias("r")).where(F.col("r") == r).first()["x"]
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((F.col("x") - lo) / width).cast("long"), F.lit(buckets - 1))
-        rows = sorted(inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
-                                                     F.max("x").alias("mx")).collect(), key=lambda r: r["b"])
-        acc = below
-        for row in rows:
-            if k < acc + row["n"]:
-                lo, hi, below, count = row["mn"], row["mx"], acc, row["n"]
-                break
-            acc += row["n"]
-        else:  # pragma: no cover - k out of range
-            raise ValueError("rank outside the value range")
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], buckets: int = BUCKETS) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of every column over all its non-null rows; all columns and ranks share each pass."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    rows = grouped_quantiles(long, ["column"], probs, buckets=buckets).collect()  # one row per column
+    found = {r["column"]: list(r["q"]) for r in rows}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
-def exact_quantile(df: DataFrame, col: str, probs: list[float], buckets: int = 4096,
-                   rank_limit: int = 200_000) -> list[float | None]:
-    """Linear-interpolated quantiles of ``col`` over all non-null rows."""
-    # one column, read by every narrowing pass: keep it (memory, spilling to disk)
-    x = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        st = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-        n = st["n"]
-        if not n:
-            return [None for _ in probs]
-        out = []
-        cache: dict[int, float] = {}
-        for q in probs:
-            h = q * (n - 1)
-            k0, k1 = int(math.floor(h)), int(math.ceil(h))
-            for k in (k0, k1):
-                if k not in cache:
-                    cache[k] = _kth(x, k, st["lo"], st["hi"], 0, n, buckets, rank_limit)
-            v0, v1 = cache[k0], cache[k1]
-            out.append(v0 + (v1 - v0) * (h - k0))
-        return out
-    finally:
-        x.unpersist()
+def exact_quantile(df: DataFrame, col: str, probs: list[float], buckets: int = BUCKETS) -> list[float | None]:
+    return exact_quantiles(df, [col], probs, buckets)[col]

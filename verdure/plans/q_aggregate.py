@@ -13,6 +13,7 @@ from ..sources import fixtures as FX
 from . import sqlfrag as S
 from .q_indices import vhi_panel
 from .q_quality import EXPORT_COLS, EXPORT_CTES, _isnull
+from .q_temporal import GAPPY
 from .registry import register, rounded
 
 D = "CAST(date AS VARCHAR) AS date"
@@ -73,14 +74,16 @@ def agg_raster_pivot(spark, d):
 def _stretch_sql():
     long = " UNION ALL ".join(f"SELECT date, lat, lon, '{c}' AS channel, {c} AS value FROM raster" for c in SIG)
     part = "PARTITION BY date, channel"
-    med, lo, hi = (f"quantile_cont(value, {q}) OVER ({part})" for q in (0.5, 0.02, 0.98))
-    val = S.clip(f"(coalesce(value, {med}) - {lo}) / greatest({hi} - {lo}, 1e-6)", 0.0, 1.0)
-    return S.with_(panel=S.PANEL, raster=RASTER, long=long) + f"SELECT {D}, lat, lon, channel, {S.r6(val)} AS value FROM long"
+    filled = f"SELECT date, lat, lon, channel, coalesce(value, quantile_cont(value, 0.5) OVER ({part})) AS value FROM long"
+    lo, hi = (f"quantile_cont(value, {q}) OVER ({part})" for q in (0.02, 0.98))
+    val = S.clip(f"(value - {lo}) / greatest({hi} - {lo}, 1e-6)", 0.0, 1.0)
+    return S.with_(panel=S.PANEL, gappy=GAPPY, raster=RASTER.replace("FROM panel", "FROM gappy"), long=long, filled=filled) + (
+        f"SELECT {D}, lat, lon, channel, {S.r6(val)} AS value FROM filled")
 
 
 @register("agg_raster_stretch", _stretch_sql())
 def agg_raster_stretch(spark, d):
-    r = FX.raster(FX.panel(spark, d))
+    r = FX.raster(FX.panel_gappy(FX.panel(spark, d)))
     return rounded(A.raster_stretch(A.raster_long(r, SIG)))
 
 

@@ -164,15 +164,17 @@ def hist_risk_trend(spark, d):
 
 
 @register("hist_admin_analytics", HIST_CTE + """
-SELECT count(*) AS total_users, CAST(count_if(is_active) AS BIGINT) AS active_users, (SELECT count(*) FROM hist) AS forecast_usage FROM users""")
+SELECT count(*) AS total_users, CAST(count_if(is_active) AS BIGINT) AS active_users, (SELECT count(*) FROM hist) AS forecast_usage,
+  l.id AS log_id, event, message, strftime(l.created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM users, (SELECT * FROM logs ORDER BY created_at DESC, id DESC LIMIT 20) l GROUP BY ALL""")
 def hist_admin_analytics(spark, d):
-    return H.admin_analytics(FX.users(spark, d), FX.history(spark, d))
+    return rounded(H.admin_report(FX.users(spark, d), FX.history(spark, d), FX.logs(spark, d)))
 
 
 @register("hist_last_login", HIST_CTE + """, lg AS (
-  SELECT CAST(regexp_extract(message, '^User (\\d+) ', 1) AS BIGINT) AS user_id, max(created_at) AS last_login
-  FROM logs WHERE event = 'signup' GROUP BY 1)
-SELECT u.id, u.email, strftime(lg.last_login, '%Y-%m-%d %H:%M:%S.%f') AS last_login FROM users u LEFT JOIN lg ON u.id = lg.user_id""")
+  SELECT split_part(message, ': ', 2) AS email, max(created_at) AS last_login
+  FROM logs WHERE event = 'user_login' AND contains(message, '@') GROUP BY 1)
+SELECT u.id, u.email, strftime(lg.last_login, '%Y-%m-%d %H:%M:%S.%f') AS last_login FROM users u LEFT JOIN lg ON u.email = lg.email""")
 def hist_last_login(spark, d):
     return rounded(H.last_login(FX.users(spark, d), FX.logs(spark, d)))
 

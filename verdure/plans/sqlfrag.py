@@ -23,8 +23,11 @@ HISTORY = """SELECT event_id AS id, concat('S', CAST(user_id % 5 AS VARCHAR)) AS
   concat('D', CAST(user_id AS VARCHAR)) AS district, least(100.0, value) AS risk_score, ts AS created_at
 FROM events"""
 
-LOGS = """SELECT event_id AS id, event_type AS event,
-  concat('User ', CAST(user_id AS VARCHAR), ' ', event_type) AS message, ts AS created_at FROM events"""
+LOGS = """SELECT event_id AS id, CASE event_type WHEN 'signup' THEN 'user_signup' WHEN 'click' THEN 'user_login' ELSE event_type END AS event,
+  CASE WHEN event_type = 'signup' THEN 'User registered: user' || user_id || '@example.org'
+    WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'Login without a user'
+    WHEN event_type = 'click' THEN 'User logged in: user' || user_id || '@example.org'
+    ELSE concat('User ', CAST(user_id AS VARCHAR), ' ', event_type) END AS message, ts AS created_at FROM events"""
 
 USERS = """SELECT user_id AS id, concat('user', CAST(user_id AS VARCHAR), '@example.org') AS email,
   CASE WHEN user_id % 10 = 0 THEN 'admin' ELSE 'analyst' END AS role,

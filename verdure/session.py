@@ -1,7 +1,7 @@
 """Session construction and shared-storage helpers."""
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +25,15 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "verdure", extra: dict | None = None) -> SparkSession:
-    master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    b = SparkSession.builder.master(master).appName(app)
+    """Master, shuffle partitions and memory come from the submitted conf unless passed here."""
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local["):
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -40,12 +44,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) point it at a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Unset, a local session (one machine) gets a fresh scratch
+    folder; on a cluster that is an error, as executors would each write to their own disk."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="verdure-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

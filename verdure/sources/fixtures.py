@@ -67,11 +67,17 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System log: sign-ups and clicks are registrations and logins, their message holds the user's email."""
     ev = table(spark, sf_dir, "events")
+    user = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org"))
+    kind = F.col("event_type")
     return ev.select(
         F.col("event_id").alias("id"),
-        F.col("event_type").alias("event"),
-        F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type")).alias("message"),
+        F.when(kind == "signup", "user_signup").when(kind == "click", "user_login").otherwise(kind).alias("event"),
+        F.when(kind == "signup", F.concat(F.lit("User registered: "), user))
+         .when((kind == "click") & (F.col("event_id") % 50 == 0), F.lit("Login without a user"))
+         .when(kind == "click", F.concat(F.lit("User logged in: "), user))
+         .otherwise(F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" "), kind)).alias("message"),
         F.col("ts").alias("created_at"),
     )
 
