@@ -192,32 +192,139 @@ def test_wavelet_full_operator(spark, sf):
 
 
 @pytest.mark.parametrize("probs", [[0.5], [0.25, 0.75], [0.0, 0.05, 0.95, 1.0]])
-def test_exact_quantile_matches_numpy_with_small_rank_limit(spark, probs):
-    from verdure.operators.quantiles import exact_quantile
+def test_exact_quantiles_match_numpy(spark, probs):
+    from verdure.operators.quantiles import exact_quantiles
     rng = np.random.default_rng(21)
     x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])  # a hot value: 40% of rows
-    df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    got = exact_quantile(df, "x", probs, buckets=16, rank_limit=50)
-    want = np.quantile(x, probs)  # linear interpolation
-    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    y = np.concatenate([rng.exponential(size=4000) * 1e9, np.full(1000, np.nan)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "z": [None] * 5000}), "x double, y double, z double")
+    got = exact_quantiles(df, ["x", "y", "z"], probs, buckets=16)
+    assert np.allclose(got["x"], np.quantile(x, probs), rtol=0, atol=1e-12)
+    assert np.allclose(got["y"], np.quantile(y[:4000], probs), rtol=1e-12)
+    assert got["z"] == [None] * len(probs)
 
 
-def test_composite_hot_group_split_keeps_results(spark, sf):
+def test_grouped_quantiles_match_numpy(spark):
+    from verdure.operators.quantiles import grouped_quantiles
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": rng.integers(0, 6, 3000), "value": np.round(rng.normal(size=3000), 2)})
+    got = {r.k: r.q for r in grouped_quantiles(spark.createDataFrame(pdf), ["k"], [0.02, 0.5, 0.98], buckets=7).collect()}
+    for k, g in pdf.groupby("k"):
+        assert np.allclose(got[k], np.quantile(g.value, [0.02, 0.5, 0.98]), atol=1e-12)
+
+
+def test_raster_stretch_fills_before_percentiles(spark):
+    from verdure.operators.aggregate import raster_stretch
+    vals = [0.1, 0.2, 0.4, 0.9, None, None, None, None]
+    df = spark.createDataFrame([("d", 0, i, "c", v) for i, v in enumerate(vals)], "date string, lat int, lon int, channel string, value double")
+    got = [r.value for r in raster_stretch(df).orderBy("lon").collect()]
+    filled = np.array([v if v is not None else 0.3 for v in vals])
+    lo, hi = np.percentile(filled, [2, 98])
+    assert np.allclose(got, np.clip((filled - lo) / (hi - lo), 0, 1))
+
+
+def test_composite_reducers_do_not_depend_on_size(spark, sf):
     from verdure.plans.q_sources import COMPOSITE_RULES, scene_samples
     from verdure.sources.readers import composite_month
     s = scene_samples(spark, sf)
-    exact = composite_month(s, COMPOSITE_RULES).orderBy("grid_id", "date").toPandas()
-    split = composite_month(s, COMPOSITE_RULES, exact_median_limit=1).orderBy("grid_id", "date").toPandas()
-    assert len(exact) == len(split)
-    assert np.allclose(exact["chirps"], split["chirps"]) and np.allclose(exact["modis"], split["modis"])
-    # every group is "hot" at limit 1: the sketch returns a middle order statistic
+    exact = composite_month(s, COMPOSITE_RULES)
+    plan = exact._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    sketch = composite_month(s, {**COMPOSITE_RULES, "s2": "median_sketch"}).toPandas()
     raw = s.where("band = 's2'").withColumn("date", F.trunc(F.col("ts").cast("date"), "month")).toPandas()
     mids = raw.groupby(["grid_id", "date"])["value"].agg(
         lo=lambda v: sorted(v)[(len(v) - 1) // 2], hi=lambda v: sorted(v)[len(v) // 2]).reset_index()
-    j = split.merge(mids, on=["grid_id", "date"])
+    j = sketch.merge(mids, on=["grid_id", "date"])
     assert ((j["s2"] >= j["lo"]) & (j["s2"] <= j["hi"])).all()
 
 
+def test_csv_columns_bind_by_name(spark, tmp_path):
+    from verdure.sources.readers import read_grid_csvs
+    for name, text in (("a.csv", "NDVI,LST,date\n0.4,35.0,1996_01\n"), ("b.csv", "date,LST,extra\n1996_02,30.0,x\n")):
+        (tmp_path / f"source_file={name}").mkdir()
+        (tmp_path / f"source_file={name}" / "part.csv").write_text(text)
+    got = {r.source_file: (r.NDVI, r.LST, r.date) for r in read_grid_csvs(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (0.4, 35.0, "1996_01"), "b.csv": (None, 30.0, "1996_02")}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        read_grid_csvs(spark, str(tmp_path / "none"))
+
+
+def test_strict_geojson_raises(spark):
+    from verdure.operators.conform import geojson_point
+    df = spark.createDataFrame([('{"type":"Point","coordinates":[1.0,2.0]}',), ("broken",)], "`.geo` string")
+    assert geojson_point(df).where("longitude IS NULL").count() == 1
+    with pytest.raises(Exception, match="GeoJSON"):
+        geojson_point(df, strict=True).collect()
+
+
+def test_last_login_reads_emails(spark):
+    from verdure.operators.history import last_login
+    users = spark.createDataFrame([(1, "a@x.org"), (2, "b@x.org")], "id long, email string")
+    logs = spark.createDataFrame([("user_login", "User logged in: a@x.org", "2024-01-02"), ("user_login", "User logged in: a@x.org", "2024-01-01"),
+                                  ("user_signup", "User registered: b@x.org", "2024-01-03"), ("user_login", "no address", "2024-01-04")],
+                                 "event string, message string, created_at string")
+    assert {r.id: r.last_login for r in last_login(users, logs).collect()} == {1: "2024-01-02", 2: None}
+
+
+def test_claims_name_known_protocols_only(spark):
+    m = spark.createDataFrame([(p, "m", 0.999, 1e-6, 1e-6) for p in [*K.PROTOCOL_NOTES, "chrono_train"]],
+                              "protocol string, model string, r2 double, rmse double, mae double")
+    got = {r.protocol: r for r in M.claim_text(m).collect()}
+    assert got["chrono_train"].note is None and "rolling" not in got["chrono_train"].claim
+    assert "not future forecasting" in got[K.SAME_MONTH_PROTOCOL].claim
+    assert all(got[p].note == n for p, n in K.PROTOCOL_NOTES.items())
+
+
+def test_feature_selection_rules():
+    from verdure.operators.conform import feature_groups, select_group_features
+    names = ["ndvi", "lst", "month", "vhi_lag_1", "vhi_lag_6", "vhi_roll_3", "vhi_roll_12", "vhi_std_3", "vhi_wavelet_detail", "longitude", "odd"]
+    assert set(feature_groups(names)) == {"base_remote_sensing", "seasonal", "vhi_lag_roll", "vhi_wavelet", "location"}
+    assert select_group_features(names, 1, 1) == sorted(["ndvi", "lst", "month", "vhi_lag_1", "vhi_roll_3", "longitude"])
+    assert "vhi_wavelet_detail" in select_group_features(names, 12, 2)
+    many = [f"ndvi_lag_{i}" for i in range(1, 40)]
+    assert select_group_features(many, 1, 1) == sorted(many)  # too few left: all, not a part
+
+
+def test_cut_row_split_equals_sorting(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame([(f"g{g:03d}", pd.Timestamp("2020-01-01") + pd.DateOffset(months=int(m))) for g in range(50) for m in range(int(rng.integers(1, 9)))],
+                       columns=["grid_id", "date"])
+    df = spark.createDataFrame(pdf).withColumn("date", F.to_date("date"))
+    got = DS.split_valid_rows(df).toPandas().sort_values(["date", "grid_id"])
+    assert (got.split == "fit").tolist() == [i < int(len(pdf) * 0.8) for i in range(len(pdf))]
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from verdure import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_permutation_importance_covers_every_feature(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 1, (300, 3))
+    pdf = pd.DataFrame({"grid_id": [f"g{i}" for i in range(300)], "date": "2020-01-01", "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": 0.7 * x[:, 0]})
+    df = ML.assemble(spark.createDataFrame(pdf), ["a", "b", "c"])
+    model = ML.fit(ML.linear(), df)
+    got = {r.feature: r.importance for r in ML.permutation_importance(model, df, ["a", "b", "c"], repeats=2).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] > 0.1 and abs(got["b"]) < 1e-6 and abs(got["c"]) < 1e-6
+
+
 def test_global_rank_across_ranges(spark):
     from verdure.operators.joins import global_rank
     rng = np.random.default_rng(31)

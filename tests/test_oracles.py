@@ -2,10 +2,9 @@
 import pandas as pd
 import pytest
 
-import __spark_entry__ as E
+from verdure.plans import load_all
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+QUERIES, ORACLES = load_all()
 
 
 def _norm(df: pd.DataFrame) -> pd.DataFrame:

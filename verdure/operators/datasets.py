@@ -41,17 +41,25 @@ def split_valid_quantile(train: DataFrame, q: float = 0.85, date_col="date", out
 
 def split_valid_rows(df: DataFrame, frac: float = 0.8, date_col="date", tie="grid_id", out="split") -> DataFrame:
     """First floor(frac*n) rows in (date, tie) order -> fit, rest -> valid (may cut a month).
-    Uses per-date counts (one row per date) and a rank within the boundary-date
-    partition instead of a global row_number."""
-    n = df.agg(F.count(F.lit(1))).scalar()
+    Per-date counts (one row per date) say which dates lie wholly on one side; only the one date that
+    is cut has its ties ranked, by the distributed ``global_rank``."""
+    from .joins import global_rank
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    limit = int(n * frac)
     per_date = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("__c"))
-    cum = per_date.select(date_col, (F.sum("__c").over(Window.orderBy(date_col)
-                                                      .rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(date_col).orderBy(tie)))
-    # one row per distinct date on the broadcast side
-    j = ranked.join(F.broadcast(cum), date_col)
-    pos = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__r")
-    return j.withColumn(out, F.when(pos <= F.floor(n * frac), "fit").otherwise("valid")).drop("__r", "__before")
+    cum = per_date.select(date_col, "__c", F.coalesce(F.sum("__c").over(
+        Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    edge = cum.where((F.col("__before") < limit) & (F.col("__before") + F.col("__c") > limit)).first()
+    last = cum.where(F.col("__before") + F.col("__c") <= limit).agg(F.max(date_col)).first()[0]
+    whole = F.col(date_col) <= F.lit(last) if last is not None else F.lit(False)
+    if edge is None:
+        return df.withColumn(out, F.when(whole, "fit").otherwise("valid"))
+    at = F.col(date_col) == F.lit(edge[date_col])
+    # ties are unique within a date (a cell has one row a month)
+    ranks = global_rank(df.where(at), tie, out="__r").withColumnRenamed(tie, "__t")
+    j = df.join(ranks, at & (F.col(tie) == F.col("__t")), "left")
+    inside = at & (F.col("__r") < limit - edge["__before"])
+    return j.withColumn(out, F.when(whole | inside, "fit").otherwise("valid")).drop("__r", "__t")
 
 
 def split_random(df: DataFrame, test_pct: int = 30, keys=("grid_id", "date"), seed: str = "42",
@@ -139,21 +147,20 @@ def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def cap_rows(df: DataFrame, n: int, keys=("grid_id", "date"), seed: str = "42") -> DataFrame:
-    """Deterministic uniform sample of ``n`` rows (sampling operator: the limit is the feature)."""
-    return df.orderBy(md5_bucket(*keys, seed=seed), *keys).limit(n)
+    """Deterministic uniform sample of about ``n`` rows (sampling operator): rows whose key hash lies under
+    n / rows of the hash range.  No sort; each row is decided by itself."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.where(md5_bucket(*keys, seed=seed) < F.lit(n * TWO32) / F.greatest(total, F.lit(1)))
 
 
 def cap_by_grid(df: DataFrame, max_rows: int, key="grid_id", date_col="date", seed: str = "42") -> DataFrame:
-    """If rows > max_rows keep whole cells: ~max_rows / median(dates per cell), at least 8,
-    chosen by md5 order of the cell id (sampling operator)."""
-    n = df.agg(F.count(F.lit(1))).first()[0]
-    if n <= max_rows:
-        return df
+    """A sample of whole cells with about ``max_rows`` rows (sampling operator): cells whose hash lies under
+    k / cells of the hash range, k = max_rows / median(dates per cell), at least 8.  Fewer rows than that keep every cell
+    by the same rule, as the share is then over one."""
     per = df.groupBy(key).agg(F.countDistinct(date_col).alias("__d"))
-    med = per.agg(F.percentile("__d", 0.5)).first()[0]
-    k = max(8, int(max_rows / max(1, int(med))))
-    cells = per.select(key).orderBy(md5_bucket(key, seed=seed), key).limit(k)
-    return df.join(cells, key, "left_semi")
+    st = per.agg(F.percentile("__d", 0.5).alias("m"), F.count(F.lit(1)).alias("cells"))
+    k = F.greatest(F.lit(8), F.floor(F.lit(max_rows) / F.greatest(F.lit(1), F.floor(st.select("m").scalar()))))
+    return df.where(md5_bucket(key, seed=seed) < k * F.lit(TWO32) / F.greatest(st.select("cells").scalar(), F.lit(1)))
 
 
 def same_month_target(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:

@@ -9,9 +9,9 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +23,18 @@ FEATURES_COL = "features"
 
 
 def assemble(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """Rows with complete features/label -> ML vector column."""
-    clean = df.na.drop(subset=features + [label])
-    va = VectorAssembler(inputCols=features, outputCol=FEATURES_COL, handleInvalid="skip")
-    return va.transform(clean)
+    """Rows with complete features and label (a cell's first months have no lags; ``complete`` counts what that leaves
+    out) -> ML vector column.  A value that is still invalid is an error, never a silent drop."""
+    va = VectorAssembler(inputCols=features, outputCol=FEATURES_COL, handleInvalid="error")
+    return va.transform(df.na.drop(subset=features + [label]))
+
+
+def complete(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """n_rows, n_complete: how many rows ``assemble`` keeps."""
+    ok = F.lit(True)
+    for c in [*features, label]:
+        ok = ok & F.col(c).isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_complete"))
 
 
 def gbt(params: dict | None = None, label="label", seed: int = 42) -> GBTRegressor:
@@ -55,17 +63,9 @@ def predict(model, df: DataFrame, name: str, lo=0.0, hi=1.0) -> DataFrame:
     return out.drop("prediction", "__scaled")
 
 
-def fit_input(train: DataFrame) -> DataFrame:
-    """Iterative learners run one job per tree level per iteration, so per-task
-    overhead dominates with many small partitions: use at most one partition per
-    core (at cluster scale that is thousands of partitions of a cached frame)."""
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    n = train.rdd.getNumPartitions()
-    return train.coalesce(cores) if n > cores else train
-
-
-def fit(estimator, train: DataFrame):
-    return estimator.fit(fit_input(train))
+def fit(estimator, train: DataFrame, partitions: int | None = None):
+    """``partitions``: how many the learner's jobs run over (None: as ``train`` has them)."""
+    return estimator.fit(train.coalesce(partitions) if partitions else train)
 
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame, name: str) -> DataFrame:
@@ -73,9 +73,8 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame, name: str) -> Data
 
 
 def eval_metrics(preds: DataFrame, protocol: str, label="label") -> DataFrame:
-    # the regression and severity passes all read the same prediction rows
     p = (preds.withColumn("protocol", F.lit(protocol)).withColumnRenamed(label, "y_true")
-              .select("protocol", "model", "y_true", "y_pred").persist(StorageLevel.MEMORY_AND_DISK))
+              .select("protocol", "model", "y_true", "y_pred"))
     reg = M.regression_metrics(p)
     f1 = M.severity_f1(M.severity_confusion(p))
     return reg.join(f1, ["protocol", "model"])
@@ -95,7 +94,7 @@ def stack(train: DataFrame, test: DataFrame, folds: int = 3, keys=("grid_id", "d
     """Stacking with out-of-fold base predictions: base models fitted on k-1 cell
     folds predict the held-out fold; the meta learner is trained on those; base
     models refitted on all training rows feed the meta learner on test."""
-    base = base or {"forest": lambda: forest({"numTrees": 20}), "gbt": lambda: gbt({"maxIter": 20})}
+    base = base or {"forest": forest, "gbt": gbt}
     fold = (md5_bucket("grid_id", seed="stack") % folds).cast("int")
     tr = train.withColumn("__fold", fold)
     oof_parts = []
@@ -250,37 +249,32 @@ def feature_importance(model, features: list[str], top: int = 10, spark=None) ->
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3,
-                           buckets: int | None = None, label="label", shuffle: list[str] | None = None,
-                           rows_per_bucket: int = 500_000) -> DataFrame:
-    """RMSE increase after permuting one feature.  The permutation pairs rows by
-    two independent md5 ranks *within* md5 buckets, so no global ordering is
-    needed; the bucket count grows with the row count (<= ``rows_per_bucket`` rows
-    are ordered per bucket)."""
-    if buckets is None:
-        n = test.agg(F.count(F.lit(1))).first()[0]
-        buckets = max(64, math.ceil(n / rows_per_bucket))
-    base = M.regression_metrics(predict(model, test, "base").withColumn("protocol", F.lit("p"))
-                                .withColumnRenamed(label, "y_true")).select(F.col("rmse").alias("base_rmse"))
+def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3, buckets: int = 64,
+                           label="label") -> DataFrame:
+    """RMSE increase after permuting one feature, for every feature.  Rows are paired by two independent md5 ranks
+    within ``buckets`` md5 buckets (fixed, so the pairing does not depend on the row count); every row is then scored
+    once per feature and repeat, that feature taken from its partner, in one pass."""
     key = F.concat_ws("|", F.col("grid_id"), F.col("date").cast("string"))
-    raw = test.drop(FEATURES_COL).withColumn("__k", key).withColumn("__b", md5_bucket("__k", seed="b") % buckets)
-    out = []
-    for f in (shuffle or features):
-        for r in range(repeats):
-            wa = Window.partitionBy("__b").orderBy(md5_bucket("__k", seed=f"a{r}{f}"), "__k")
-            wb = Window.partitionBy("__b").orderBy(md5_bucket("__k", seed=f"z{r}{f}"), "__k")
-            a = raw.withColumn("__p", F.row_number().over(wa))
-            b = raw.select("__b", F.row_number().over(wb).alias("__p"), F.col(f).alias("__v"))
-            shuffled = a.join(b, ["__b", "__p"]).withColumn(f, F.col("__v")).drop("__v", "__p", "__b", "__k")
-            assembled = VectorAssembler(inputCols=features, outputCol=FEATURES_COL, handleInvalid="skip").transform(shuffled)
-            m = M.regression_metrics(predict(model, assembled, "perm").withColumn("protocol", F.lit("p"))
-                                     .withColumnRenamed(label, "y_true"))
-            out.append(m.select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "rmse"))
-    allm = out[0]
-    for o in out[1:]:
-        allm = allm.unionByName(o)
-    b = base.first()["base_rmse"]
-    return allm.groupBy("feature").agg((F.avg("rmse") - F.lit(b)).alias("importance"))
+    raw = test.select("grid_id", "date", label, F.array(*[F.col(f).cast("double") for f in features]).alias("__x"))
+    raw = raw.withColumn("__k", key).withColumn("__b", md5_bucket("__k", seed="b") % buckets)
+    raw = raw.withColumn("__rep", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+
+    def rank(side):
+        seed = F.concat(F.lit(side), F.col("__rep").cast("string"), F.lit("|"), F.col("__k"))
+        return F.row_number().over(Window.partitionBy("__rep", "__b").orderBy(F.md5(seed.cast("binary")), "__k"))
+
+    a = raw.withColumn("__p", rank("a"))
+    b = raw.select("__rep", "__b", rank("z").alias("__p"), F.col("__x").alias("__y"))
+    j = a.join(b, ["__rep", "__b", "__p"])
+    # feature -1: nothing replaced, the base
+    j = j.withColumn("__f", F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])))
+    swapped = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__y")[i]).otherwise(v))
+    j = j.select(label, "__f", "__rep", array_to_vector(swapped).alias(FEATURES_COL))
+    m = M.regression_metrics(predict(model, j, "perm").withColumnRenamed(label, "y_true"), group=("__f", "__rep"), willmott=False)
+    per = m.groupBy("__f").agg(F.avg("rmse").alias("rmse"))
+    base = per.where("__f = -1").select("rmse").scalar()
+    names = F.array(*[F.lit(f) for f in features])
+    return per.where("__f >= 0").select(F.element_at(names, F.col("__f") + 1).alias("feature"), (F.col("rmse") - base).alias("importance"))
 
 
 def batch_score(model, df: DataFrame) -> DataFrame:
@@ -290,17 +284,9 @@ def batch_score(model, df: DataFrame) -> DataFrame:
                           "risk_score": (1 - F.col("predicted_vhi")) * 100}).drop("prediction")
 
 
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def training_table(df: DataFrame) -> DataFrame:
-    """Freeze the assembled training frame for the many fits that follow: cache it,
-    write a reliable checkpoint into the shared ``spark.checkpoint.dir`` (a lost
-    executor then re-reads files instead of recomputing the feature pipeline), and
-    keep the checkpointed frame cached."""
+    """Freeze the assembled training frame for the many fits that follow: a reliable checkpoint in the shared
+    ``spark.checkpoint.dir``.  A lost executor re-reads files instead of recomputing the feature pipeline, and no cache
+    is left behind."""
     from ..session import cut_lineage
-    cached = persist(df)
-    frozen = persist(cut_lineage(cached))
-    cached.unpersist()
-    return frozen
+    return cut_lineage(df)

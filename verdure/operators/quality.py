@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, sentinel_to_null
+from ..functions.scalar import sentinel_to_null
 
 
 def global_quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True):
@@ -87,6 +87,22 @@ def export_inspect(rows: DataFrame, value_cols: list[str], prefix: str, max_null
                       F.when(pct <= max_null_pct, "valid").otherwise("too_null").alias("status"))
 
 
+def inspect_files(headers: DataFrame, rows: DataFrame, required: list[str], value_cols: list[str], prefix: str,
+                  max_null_pct: float) -> DataFrame:
+    """Per export file (``headers``: file, header; ``rows``: file and the columns by name): month, row count, NULL share
+    and status: ``invalid`` (a required column is not in its header), ``empty`` (no rows), ``too_null`` or ``valid``.
+    Only readable files have a NULL share."""
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    ok = F.size(F.array_except(F.array(*map(F.lit, required)), names)) == 0
+    counts = export_inspect(rows, value_cols, prefix, max_null_pct).select("file", "row_count", "null_pct", F.col("status").alias("__s"))
+    j = headers.select("file", ok.alias("__ok")).join(counts, "file", "left")
+    n = F.coalesce("row_count", F.lit(0).cast("long"))
+    return j.select(
+        "file", parse_export_month(F.col("file"), prefix).alias("month"), n.alias("row_count"),
+        F.when(F.col("__ok"), F.col("null_pct")).alias("null_pct"),
+        F.when(~F.col("__ok"), "invalid").when(n == 0, "empty").otherwise(F.col("__s")).alias("status"))
+
+
 def month_coverage(expected_months: DataFrame, inspected: DataFrame, max_null_pct: float) -> DataFrame:
     """Per month (expected or exported): number of files, best file by (valid, rows,
     name) and flags missing / duplicate / too_null."""
@@ -108,6 +124,3 @@ def broken_months(coverage: DataFrame, inspected: DataFrame) -> DataFrame:
     flagged = coverage.where(F.col("is_missing") | F.col("is_too_null")).select("month")
     return flagged.unionByName(bad_files).distinct()
 
-
-def clip_columns(df: DataFrame, bounds: dict) -> DataFrame:
-    return df.withColumns({c: clip(c, lo, hi) for c, (lo, hi) in bounds.items()})

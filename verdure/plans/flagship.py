@@ -2,12 +2,12 @@
 wavelet-smoothed forecasts -> metrics per (protocol, model)."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.scalar import md5_bucket
 from ..operators import datasets as DS
 from ..operators import metrics as M
+from ..session import cut_lineage
 from .frames import feature_panel
 
 
@@ -16,8 +16,7 @@ def forecast_predictions(spark, d):
     split and spatial holdout, tagged in one pass (no union of two recomputations)."""
     f = (feature_panel(spark, d, signals=("vhi",), wavelet=True)
          .where(F.col("target_vhi_h1").isNotNull())
-         .select("grid_id", "date", "vhi", "vhi_wavelet_approx", "target_vhi_h1")
-         .persist(StorageLevel.MEMORY_AND_DISK))
+         .select("grid_id", "date", "vhi", "vhi_wavelet_approx", "target_vhi_h1"))
     cut = DS.date_quantile_cut(f, 0.8)
     chrono_test = F.unix_date("date") > cut
     spatial_test = md5_bucket("grid_id", seed="41") < F.lit(0.2 * DS.TWO32)
@@ -36,7 +35,7 @@ def forecast_predictions(spark, d):
 
 
 def flagship(spark, d):
-    preds = forecast_predictions(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    preds = cut_lineage(forecast_predictions(spark, d))  # three metric passes read these rows
     reg = M.regression_metrics(preds)
     f1 = M.severity_f1(M.severity_confusion(preds))
     return reg.join(f1, ["protocol", "model"])

@@ -37,9 +37,16 @@ def _seq(spark, d, length, exclude):
     return rounded(out.withColumn("pos", F.col("pos").cast("bigint")))
 
 
-@register("ds_supervised_seq", _seq_sql(3, False))
+LENGTHS = (3, 6, 12)
+
+
+@register("ds_supervised_seq", " UNION ALL ".join(f"SELECT {n} AS length, * FROM ({_seq_sql(n, False)})" for n in LENGTHS))
 def ds_supervised_seq(spark, d):
-    return _seq(spark, d, 3, False)
+    out = None
+    for n in LENGTHS:
+        s = _seq(spark, d, n, False).withColumn("length", F.lit(n))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @register("ds_sequence_excl", _seq_sql(3, True))
@@ -59,7 +66,8 @@ def ds_drop_incomplete(spark, d):
 
 @register("ds_cap_rows", PANEL_CTE + f"""
 SELECT grid_id, {D}, {S.r6('ndvi')} AS ndvi FROM panel
-ORDER BY CAST(('0x' || substr(md5('42' || grid_id || CAST(date AS VARCHAR)), 1, 8)) AS BIGINT), grid_id, date LIMIT 500""")
+WHERE CAST(('0x' || substr(md5('42' || grid_id || CAST(date AS VARCHAR)), 1, 8)) AS BIGINT)
+  < CAST(500 * 4294967296.0 AS DOUBLE) / (SELECT count(*) FROM panel)""")
 def ds_cap_rows(spark, d):
     p = FX.panel(spark, d).select("grid_id", "date", "ndvi")
     return rounded(DS.cap_rows(p, 500))
@@ -67,8 +75,7 @@ def ds_cap_rows(spark, d):
 
 @register("ds_cap_by_grid", PANEL_CTE + f""", per AS (SELECT grid_id, count(DISTINCT date) AS nd FROM panel GROUP BY grid_id),
 k AS (SELECT greatest(8, CAST(trunc(2000 / greatest(1, CAST(trunc(quantile_cont(nd, 0.5)) AS BIGINT))) AS BIGINT)) AS k FROM per),
-cells AS (SELECT grid_id FROM (SELECT grid_id, row_number() OVER (ORDER BY {S.md5_bucket('grid_id', '42')}, grid_id) AS rk FROM per)
-  WHERE rk <= (SELECT k FROM k))
+cells AS (SELECT grid_id FROM per WHERE {S.md5_bucket('grid_id', '42')} < (SELECT k FROM k) * 4294967296.0::DOUBLE / (SELECT count(*) FROM per))
 SELECT grid_id, {D} FROM panel WHERE grid_id IN (SELECT grid_id FROM cells)""")
 def ds_cap_by_grid(spark, d):
     p = FX.panel(spark, d).select("grid_id", "date")

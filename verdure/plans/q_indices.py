@@ -191,10 +191,17 @@ def idx_severity_score(spark, d):
 
 @register("idx_source_choice", S.with_(panel=S.PANEL) + """,
 ex AS (SELECT grid_id, CAST(date AS VARCHAR) AS date, CASE WHEN CAST(grid_id AS INTEGER) % 10 = 3 THEN NULL ELSE ndvi END AS modis_ndvi FROM panel),
-pick AS (SELECT CASE WHEN count(modis_ndvi) > (SELECT count(ndvi) FROM panel) * 0.5 THEN 'modis_ndvi' ELSE 'ndvi' END AS src FROM ex)
-SELECT src AS ndvi_source, (SELECT count(*) FROM panel) AS n_rows FROM pick""")
+pick AS (SELECT CASE WHEN count(modis_ndvi) > (SELECT count(ndvi) FROM panel) * 0.5 THEN 'modis_ndvi' ELSE 'ndvi' END AS src FROM ex),
+src AS (SELECT p.grid_id, p.date, ex.modis_ndvi AS ndvi, p.lst FROM panel p JOIN ex ON p.grid_id = ex.grid_id AND CAST(p.date AS VARCHAR) = ex.date),
+""" + f"""v AS (SELECT *, {S.scaled('ndvi', 'grid_id')} AS vci, {S.scaled('lst', 'grid_id', invert=True)} AS tci FROM src)
+SELECT grid_id, CAST(date AS VARCHAR) AS date, (SELECT src FROM pick) AS ndvi_source, 'lst' AS lst_source,
+  {S.r6('vci')} AS vci, {S.r6('tci')} AS tci, {S.r6(S.clip('0.5 * vci + 0.5 * tci', 0.0, 1.0))} AS vhi FROM v""")
 def idx_source_choice(spark, d):
+    """NDVI is covered well enough by its second source, LST (a tenth of the cells) is not; VCI, TCI and VHI use the choice."""
+    gid = F.col("grid_id").cast("int")
     p = FX.panel(spark, d)
-    ex = p.withColumn("modis_ndvi", F.when(F.col("grid_id").cast("int") % 10 == 3, F.lit(None)).otherwise(F.col("ndvi")))
-    src = I.choose_source(ex, "ndvi", "modis_ndvi")
-    return ex.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(src).alias("ndvi_source"), "n_rows")
+    ex = p.withColumns({"modis_ndvi": F.when(gid % 10 != 3, F.col("ndvi")), "modis_lst": F.when(gid % 10 == 3, F.col("lst"))})
+    nd, ls = I.choose_source(ex, "ndvi", "modis_ndvi"), I.choose_source(ex, "lst", "modis_lst")
+    chosen = ex.select("grid_id", "date", F.col(nd).alias("ndvi"), F.col(ls).alias("lst"))
+    v = I.add_vci_tci_vhi(chosen).select("grid_id", "date", F.lit(nd).alias("ndvi_source"), F.lit(ls).alias("lst_source"), "vci", "tci", "vhi")
+    return rounded(v)

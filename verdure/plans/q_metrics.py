@@ -12,6 +12,7 @@ from ..functions import constants as K
 from ..operators import datasets as DS
 from ..operators import metrics as M
 from ..operators.temporal import order_window
+from ..sources import readers as R
 from . import sqlfrag as S
 from .q_indices import VHI_SQL_CTE, vhi_panel
 from .registry import register, rounded
@@ -154,11 +155,14 @@ tidy AS ({' UNION ALL '.join(f"SELECT 'regression' AS report, protocol, model, '
   UNION ALL SELECT 'severity', protocol, model, 'accuracy', accuracy FROM f1)
 SELECT report, protocol, model, metric, {S.r6('value')} AS value FROM tidy""")
 def met_report_union(spark, d):
+    """Reports written as JSON and read again; the third one is absent and adds nothing."""
     preds = predictions(spark, d)
-    reg = M.tidy(M.regression_metrics(preds, willmott=False).select("protocol", "model", *REPORT_METRICS)).withColumn("report", F.lit("regression"))
-    sev = M.tidy(M.severity_f1(M.severity_confusion(preds)).select("protocol", "model", "accuracy")).withColumn(
-        "report", F.lit("severity"))
-    return rounded(reg.unionByName(sev).select("report", "protocol", "model", "metric", "value"))
+    reg = M.tidy(M.regression_metrics(preds, willmott=False).select("protocol", "model", *REPORT_METRICS))
+    sev = M.tidy(M.severity_f1(M.severity_confusion(preds)).select("protocol", "model", "accuracy"))
+    top = R.scratch_path(spark, "reports")
+    paths = {"regression": R.write_report(reg, f"{top}/regression"), "severity": R.write_report(sev, f"{top}/severity"),
+             "holdout": f"{top}/holdout"}
+    return rounded(R.read_reports(spark, paths, "protocol STRING, model STRING, metric STRING, value DOUBLE"))
 
 
 def _claim_sql():

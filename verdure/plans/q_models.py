@@ -71,7 +71,7 @@ def ml_ridge_meta(spark, d):
     tr, te, _ = ml_data(spark, d)
     fit_rows = DS.split_valid_quantile(tr).where(F.col("split") == "fit").drop("split")
     valid = DS.split_valid_quantile(tr).where(F.col("split") == "valid").drop("split")
-    bases = {"gbt": ML.gbt({"maxIter": 20}), "forest": ML.forest({"numTrees": 20}), "linear": ML.linear()}
+    bases = {"gbt": ML.gbt(), "forest": ML.forest(), "linear": ML.linear()}
     models = {k: ML.fit(est, fit_rows) for k, est in bases.items()}
 
     def base_preds(rows):
@@ -94,7 +94,7 @@ def ml_ridge_meta(spark, d):
 @register("ml_physics_residual")
 def ml_physics_residual(spark, d):
     tr, te, _ = ml_data(spark, d, label="vhi")
-    return _metrics(ML.physics_residual(tr, te, {"maxIter": 20}), "C_same_month_estimation")
+    return _metrics(ML.physics_residual(tr, te), "C_same_month_estimation")
 
 
 @register("ml_persistence", VHI_SQL_CTE + f""", p AS (
@@ -122,7 +122,7 @@ def ml_search_random(spark, d):
 @register("ml_search_swarm")
 def ml_search_swarm(spark, d):
     fit_rows, valid = _search_rows(spark, d)
-    _, trials = ML.swarm_search(fit_rows, valid, particles=4, iterations=3)
+    _, trials = ML.swarm_search(fit_rows, valid, particles=5, iterations=4)
     return trials
 
 
@@ -147,10 +147,8 @@ def ml_feature_importance(spark, d):
 @register("ml_permutation_importance")
 def ml_permutation_importance(spark, d):
     tr, te, feats = ml_data(spark, d)
-    model = ML.fit(ML.gbt({"maxIter": 20}), tr)
-    top = [r["feature"] for r in ML.feature_importance(model, feats, top=3, spark=spark).collect()]
-    # shuffle the top features only; the model still sees every feature
-    return ML.permutation_importance(model, te.drop("split"), feats, repeats=3, shuffle=top)
+    model = ML.fit(ML.gbt(), tr)
+    return ML.permutation_importance(model, te, feats, repeats=3)
 
 
 @register("ml_batch_score")

@@ -7,7 +7,9 @@ from ..operators import conform as C
 from ..operators import indices as I
 from ..operators import quality as Q
 from ..operators.temporal import order_window
+from ..session import cut_lineage
 from ..sources import fixtures as FX
+from ..sources import readers as R
 from . import sqlfrag as S
 from .q_indices import PROXY_CTES
 from .q_temporal import GAPPY_CTE
@@ -123,8 +125,17 @@ EXPORT_COLS = ["modis_ndvi", "modis_lst", "chirps_rainfall"]
 
 
 def _inspected(spark, d):
-    rows = FX.export_files(FX.panel(spark, d))
-    return Q.export_inspect(rows, EXPORT_COLS, PFX, MAX_NULL_PCT)
+    """Export files written, read again and inspected: one row per file."""
+    path = R.write_export_files(FX.export_lines(FX.panel(spark, d)), R.scratch_path(spark, "exports"))
+    headers, rows = R.read_export_csvs(spark, path)
+    return Q.inspect_files(headers, rows, list(FX.EXPORT_HEADER), EXPORT_COLS, PFX, MAX_NULL_PCT)
+
+
+# invalid and empty files keep their name and month; only readable ones have a NULL share
+STATUS_SQL = f"""SELECT file, month, CASE WHEN month = '{FX.EMPTY_MONTH[:7].replace('-', '_')}' THEN 0 ELSE row_count END AS row_count,
+  CASE WHEN month IN ('{FX.EMPTY_MONTH[:7].replace('-', '_')}', '{FX.INVALID_MONTH[:7].replace('-', '_')}') THEN NULL ELSE null_pct END AS null_pct,
+  CASE WHEN month = '{FX.INVALID_MONTH[:7].replace('-', '_')}' THEN 'invalid' WHEN month = '{FX.EMPTY_MONTH[:7].replace('-', '_')}' THEN 'empty'
+    WHEN null_pct <= {MAX_NULL_PCT} THEN 'valid' ELSE 'too_null' END AS status FROM ins"""
 
 
 @register("dq_export_month_parse", S.with_(**EXPORT_CTES) + f"""
@@ -137,7 +148,7 @@ def dq_export_month_parse(spark, d):
 
 
 @register("dq_export_inspect", S.with_(**EXPORT_CTES, ins=INSPECT_SQL) + f"""
-SELECT file, month, row_count, null_pct, CASE WHEN null_pct <= {MAX_NULL_PCT} THEN 'valid' ELSE 'too_null' END AS status FROM ins""")
+{STATUS_SQL}""")
 def dq_export_inspect(spark, d):
     return rounded(_inspected(spark, d))
 
@@ -145,7 +156,7 @@ def dq_export_inspect(spark, d):
 COVERAGE_CTES = dict(
     **EXPORT_CTES,
     ins=INSPECT_SQL,
-    ins2=f"SELECT *, CASE WHEN null_pct <= {MAX_NULL_PCT} THEN 'valid' ELSE 'too_null' END AS status FROM ins",
+    ins2=STATUS_SQL,
     expected="SELECT DISTINCT strftime(date, '%Y_%m') AS month, true AS expected FROM panel",
     ranked="""SELECT month, file, null_pct, count(*) OVER (PARTITION BY month) AS n_files,
       row_number() OVER (PARTITION BY month ORDER BY CASE WHEN status = 'valid' THEN 1 ELSE 0 END DESC, row_count DESC, file DESC) AS rk
@@ -160,18 +171,19 @@ COVERAGE_CTES = dict(
 def _coverage(spark, d):
     p = FX.panel(spark, d)
     expected = p.select(F.date_format("date", "yyyy_MM").alias("month")).distinct()
-    return Q.month_coverage(expected, _inspected(spark, d), MAX_NULL_PCT)
+    inspected = cut_lineage(_inspected(spark, d))  # one row per file, read by coverage and broken months
+    return Q.month_coverage(expected, inspected, MAX_NULL_PCT), inspected
 
 
 @register("dq_month_coverage", S.with_(**COVERAGE_CTES) + "SELECT * FROM cov")
 def dq_month_coverage(spark, d):
-    return _coverage(spark, d)
+    return _coverage(spark, d)[0]
 
 
 @register("dq_broken_months", S.with_(**COVERAGE_CTES) + """
 SELECT month FROM cov WHERE is_missing OR is_too_null UNION SELECT month FROM ins2 WHERE status <> 'valid' AND month IS NOT NULL""")
 def dq_broken_months(spark, d):
-    return Q.broken_months(_coverage(spark, d), _inspected(spark, d))
+    return Q.broken_months(*_coverage(spark, d))
 
 
 @register("prj_sentinel_null", S.with_(**EXPORT_CTES) + f"""

@@ -54,14 +54,14 @@ def sc_synthetic_history(spark, d):
 
 
 @register("sc_recursive_forecast", VHI100_CTE + f""", latest AS (SELECT grid_id, max(date) AS date, arg_max(vhi, date) AS vhi FROM vhi GROUP BY grid_id),
-st AS (SELECT grid_id, date, vhi, CAST(s AS INTEGER) AS step FROM latest, range(1, 4) r(s)),
+st AS (SELECT grid_id, date, vhi, CAST(s AS INTEGER) AS step FROM latest, range(1, 13) r(s)),
 fc AS (SELECT *, {S.clip(f'vhi - step * (step + 1) * {_dbl(1.25)}', 0.0, 100.0)} AS v FROM st)
 SELECT grid_id, step, strftime(date + to_months(step), '%Y-%m') AS forecast_month, {S.bround('v', 2)} AS forecast_vhi,
   {S.sev_label100('v')} AS severity,
   {S.bround(f'greatest({_dbl(0.55)}, {_dbl(0.92)} - step * {_dbl(0.07)})', 2)} AS confidence FROM fc""")
 def sc_recursive_forecast(spark, d):
     v = I.add_vci_tci_vhi(FX.panel(spark, d), scale=100.0).select("grid_id", "date", "vhi")
-    return SC.recursive_forecast(latest_per_key(v), 3)
+    return SC.recursive_forecast(latest_per_key(v), 12)
 
 
 @register("sc_probability", REQ_CTE + "SELECT id, severity, probability, risk_score FROM scored")

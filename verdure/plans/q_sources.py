@@ -47,10 +47,9 @@ def src_grid_csv_union(spark, d):
 
 @register("src_pruned_scan", """
 SELECT CAST(l_suppkey AS VARCHAR) AS grid_id, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty
-FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1""")
+FROM lineitem GROUP BY 1""")
 def src_pruned_scan(spark, d):
-    li = FX.table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
-    li = li.where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    li = FX.table(spark, d, "lineitem").select("l_suppkey", "l_quantity")
     return li.groupBy(F.col("l_suppkey").cast("string").alias("grid_id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
 
@@ -60,19 +59,21 @@ firstn AS (SELECT source_file FROM f ORDER BY source_file LIMIT 24)
 SELECT grid_id, {D}, 'Grid_' || strftime(date, '%Y_%m') || '.csv' AS source_file FROM panel
 WHERE 'Grid_' || strftime(date, '%Y_%m') || '.csv' IN (SELECT source_file FROM firstn)""")
 def src_file_window(spark, d, n_files: int = 24):
-    raw = _raw_read(spark, d)
-    # the file list is the distinct partition values: one row per file
-    first = raw.select("source_file").distinct().orderBy("source_file").limit(n_files)
-    x = C.date_coalesce(C.rename_conform(raw.join(first, "source_file", "left_semi")))
+    path = R.write_grid_csvs(FX.raw_grid(FX.panel(spark, d)), R.scratch_path(spark, "grid"))
+    # names come from the listing; as literals on the partition column they prune the scan to the chosen files
+    first = R.first_files(spark, path, n_files)
+    raw = R.read_grid_csvs(spark, path).where(F.col("source_file").isin(first))
+    x = C.date_coalesce(C.rename_conform(raw))
     return rounded(x.select("grid_id", "date", "source_file"))
 
 
 @register("src_month_selector", PANEL_CTE + f"""
-SELECT grid_id, {D} FROM panel WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-02-01'""")
-def src_month_selector(spark, d, start="1996-03", end="1997-02"):
+SELECT grid_id, {D}, 'range' AS chosen FROM panel WHERE date BETWEEN DATE '1996-03-01' AND DATE '1997-02-01' UNION ALL
+SELECT grid_id, {D}, 'list' FROM panel WHERE date IN (DATE '1995-01-01', DATE '1996-06-01', DATE '1998-07-01')""")
+def src_month_selector(spark, d, start="1996-03", end="1997-02", months=("1995_01", "1996_06", "1998-07")):
     p = FX.panel(spark, d).select("grid_id", "date")
-    m = F.trunc("date", "month")
-    return rounded(p.where((m >= F.to_date(F.lit(start), "yyyy-MM")) & (m <= F.to_date(F.lit(end), "yyyy-MM"))))
+    a = C.select_months(p, start, end).withColumn("chosen", F.lit("range"))
+    return rounded(a.unionByName(C.select_months(p, months=list(months)).withColumn("chosen", F.lit("list"))))
 
 
 @register("src_geojson_point", PANEL_CTE + f"""
@@ -193,11 +194,16 @@ def prj_rename_conform(spark, d):
 
 
 @register("prj_date_coalesce", PANEL_CTE + f"""
-SELECT grid_id, {D}, CASE WHEN (CAST(grid_id AS INTEGER) + month(date)) % 11 = 0 THEN 'year_month' ELSE 'date' END AS date_source FROM panel""")
+SELECT grid_id, {D}, CASE (CAST(grid_id AS INTEGER) + month(date)) % 11 WHEN 0 THEN 'year_month' WHEN 1 THEN 'file' ELSE 'date' END AS date_source
+FROM panel WHERE (CAST(grid_id AS INTEGER) + month(date)) % 11 <> 2""")
 def prj_date_coalesce(spark, d):
     raw = C.rename_conform(FX.raw_grid(FX.panel(spark, d)))
-    src = F.when(F.col("date").isNull(), "year_month").otherwise("date")
-    x = C.date_coalesce(raw.withColumn("date_source", src))
+    # some rows keep their file name only, some no date at all (those are dropped)
+    k = (F.col("grid_id").cast("int") + F.col("month")) % 11
+    raw = raw.withColumns({"date": F.when(~k.isin(1, 2), F.col("date")), "year": F.when(~k.isin(1, 2), F.col("year")),
+                           "source_file": F.when(k != 2, F.col("source_file")),
+                           "date_source": F.when(k == 0, "year_month").when(k == 1, "file").otherwise("date")})
+    x = C.date_coalesce(raw)
     return rounded(x.select("grid_id", "date", "date_source"))
 
 
@@ -365,32 +371,32 @@ def _feature_select_sql(chosen):
     return FEATURE_CTE + f"SELECT grid_id, CAST(date AS VARCHAR) AS date, {', '.join(out)} FROM feat"
 
 
-def _numeric_sql():
-    return [c for c in FEATURE_COLS if c not in C.NON_FEATURE and not c.startswith("target_")]
-
-
-def _groups_sql():
-    groups = C.feature_groups(_numeric_sql())
-    return C.select_group_features(groups, lag_window=3, wavelet_level=1, enabled=[True] * len(groups))
+# The columns each selection must give, spelled out.
+NUMERIC_EXPECTED = """ndvi lst rainfall temperature humidity evapotranspiration soil_moisture vci tci vhi spi spei
+month month_sin month_cos season season_sin season_cos
+ndvi_lag_1 ndvi_lag_2 ndvi_lag_3 ndvi_lag_6 ndvi_roll_3 ndvi_roll_6 ndvi_roll_12 ndvi_std_3 ndvi_std_6 ndvi_std_12
+vhi_lag_1 vhi_lag_2 vhi_lag_3 vhi_lag_6 vhi_roll_3 vhi_roll_6 vhi_roll_12 vhi_std_3 vhi_std_6 vhi_std_12""".split()
+UNBLOCKED_EXPECTED = [c for c in NUMERIC_EXPECTED if c not in ("vci", "tci", "vhi")]
+GROUP_EXPECTED = """ndvi lst rainfall vci tci vhi temperature humidity soil_moisture month month_sin month_cos season season_sin season_cos
+ndvi_lag_1 ndvi_lag_2 ndvi_lag_3 ndvi_roll_3 vhi_lag_1 vhi_lag_2 vhi_lag_3 vhi_roll_3""".split()
 
 
-@register("prj_numeric_features", _feature_select_sql(_numeric_sql()))
+@register("prj_numeric_features", _feature_select_sql(NUMERIC_EXPECTED))
 def prj_numeric_features(spark, d):
     f = _feature_frame(spark, d)
     return rounded(f.select("grid_id", "date", *C.numeric_features(f)))
 
 
-@register("prj_leakage_block", _feature_select_sql(C.leakage_block(_numeric_sql())))
+@register("prj_leakage_block", _feature_select_sql(UNBLOCKED_EXPECTED))
 def prj_leakage_block(spark, d):
     f = _feature_frame(spark, d)
     return rounded(f.select("grid_id", "date", *C.leakage_block(C.numeric_features(f))))
 
 
-@register("prj_group_features", _feature_select_sql(_groups_sql()))
+@register("prj_group_features", _feature_select_sql(GROUP_EXPECTED))
 def prj_group_features(spark, d):
     f = _feature_frame(spark, d)
-    groups = C.feature_groups(C.numeric_features(f))
-    chosen = C.select_group_features(groups, lag_window=3, wavelet_level=1, enabled=[True] * len(groups))
+    chosen = C.select_group_features(C.numeric_features(f), lag_window=3, wavelet_level=1, off={"vhi_wavelet"})
     return rounded(f.select("grid_id", "date", *chosen))
 
 
@@ -398,9 +404,5 @@ def prj_group_features(spark, d):
 SELECT grid_id, CAST(date AS VARCHAR) AS date, {S.r6('vhi')} AS vhi, {S.r6('target_vhi_h1')} AS vhi_next_month FROM feat""")
 def dq_required_columns(spark, d):
     f = _feature_frame(spark, d).withColumn("vhi_next_month", F.col("target_vhi_h1"))
-    required = ["grid_id", "date", "vhi", "vhi_next_month"]
-    missing = [c for c in required if c not in f.columns]
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    return rounded(f.select(*required))
+    return rounded(C.require_columns(f, ["grid_id", "date", "vhi", "vhi_next_month"]))
 

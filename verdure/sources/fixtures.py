@@ -166,6 +166,28 @@ def export_files(p: DataFrame) -> DataFrame:
     return base.unionByName(dup)
 
 
+INVALID_MONTH = "1995-05-01"
+EMPTY_MONTH = "1995-08-01"
+EXPORT_HEADER = ("grid_id", "date", "modis_ndvi", "modis_lst", "chirps_rainfall")
+
+
+def export_lines(p: DataFrame) -> DataFrame:
+    """``export_files`` as text lines (file, ord, value), header first.  One file swaps two columns, one misnames a
+    column, one holds its header only."""
+    rows = export_files(p)
+    month = F.col("date")
+    empty, invalid = (month == F.lit(m).cast("date") for m in (EMPTY_MONTH, INVALID_MONTH))
+    swapped = F.month(month) == 7
+    day = F.date_format("date", "yyyy-MM-dd")
+    value = F.concat_ws(",", F.col("grid_id"), day, F.when(swapped, F.col("modis_lst")).otherwise(F.col("modis_ndvi")).cast("string"),
+                        F.when(swapped, F.col("modis_ndvi")).otherwise(F.col("modis_lst")).cast("string"),
+                        F.col("chirps_rainfall").cast("string"))
+    head = (F.when(invalid, F.lit("grid_id,date,modis_ndvi,LST,chirps_rainfall"))
+            .when(swapped, F.lit("grid_id,date,modis_lst,modis_ndvi,chirps_rainfall")).otherwise(F.lit(",".join(EXPORT_HEADER))))
+    first = rows.select("file", F.lit(0).alias("ord"), head.alias("value")).distinct()
+    return first.unionByName(rows.where(~empty).select("file", F.lit(1).alias("ord"), value.alias("value")))
+
+
 def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring payloads: one per district-month.  ``state`` cycles through the
     states that have crop lists plus one without (by nation key)."""

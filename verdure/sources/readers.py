@@ -32,22 +32,60 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_grid_csvs(df: DataFrame, path: str) -> str:
-    """One folder per source file (``source_file=<name>``), CSV with header."""
-    df.write.mode("overwrite").option("header", True).partitionBy("source_file").csv(path)
+    """One folder per source file (``source_file=<name>``), CSV with header; a file's rows go to one task, so a month
+    is not scattered over a file per task."""
+    df.repartition("source_file").write.mode("overwrite").option("header", True).partitionBy("source_file").csv(path)
     return path
 
 
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(header line, files that begin with it).  A file's header is the first line of its first split."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("row"), "value")
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    # one row per distinct header; its file list has a name per month
+    return [(r["header"], sorted(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()]
+
+
+def read_csvs_by_name(spark: SparkSession, path: str, schema: T.StructType, partitions: list[T.StructField] = ()) -> DataFrame:
+    """All CSVs under ``path``, columns bound by their names in each file's own header; missing ones are NULL, columns
+    beyond the schema are dropped.  Raises when there is no file, or one shares no column with the schema."""
+    found = _headers(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no CSV file under {path}")
+    types = {f.name: f.dataType for f in schema.fields}
+    out = None
+    for header, files in found:
+        names = [c.strip().strip('"') for c in header.split(",")]
+        if not set(names) & set(types):
+            raise ValueError(f"{files[0]} has none of the columns {sorted(types)}")
+        own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in names] + list(partitions))
+        df = (spark.read.schema(own).option("header", True).option("mode", "PERMISSIVE").option("basePath", path).csv(files)
+              .withColumn("__file", F.col("_metadata.file_name")))
+        have = [F.col(f"`{c}`") if c in names else F.lit(None).cast(t).alias(c) for c, t in types.items()]
+        df = df.select(*have, *[p.name for p in partitions], "__file")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def read_grid_csvs(spark: SparkSession, path: str, schema: T.StructType = RAW_GRID_SCHEMA) -> DataFrame:
-    """All monthly grid CSVs under ``path`` with an explicit schema (no inference);
-    ``source_file`` comes back from the folder names by partition discovery.
-    Raises when no file is found (the reference errors on an empty glob)."""
-    full = T.StructType(list(schema.fields) + [T.StructField("source_file", T.StringType())])
-    df = spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return df
+    """All monthly grid CSVs under ``path``, by column name; ``source_file`` comes back from the folder names by
+    partition discovery.  Raises when no file is found."""
+    return read_csvs_by_name(spark, path, schema, [T.StructField("source_file", T.StringType())]).drop("__file")
+
+
+def first_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` values of ``source_file`` under ``path``, from the file listing alone (contents are not read);
+    raises when there are fewer."""
+    names = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+             .select(F.regexp_extract("path", "source_file=([^/]+)", 1).alias("f")).where("f <> ''").distinct().orderBy("f").limit(n))
+    found = [r["f"] for r in names.collect()]
+    if len(found) < n:
+        raise ValueError(f"{len(found)} files under {path}; {n} are needed")
+    return found
 
 
-def read_export_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """Feature exports: declared columns, permissive parse, file name from metadata."""
+def export_schema() -> T.StructType:
     fields = []
     for c in K.EXPORT_COLUMNS:
         if c in ("grid_id", "date"):
@@ -56,8 +94,22 @@ def read_export_csvs(spark: SparkSession, path: str) -> DataFrame:
             fields.append(T.StructField(c, T.IntegerType()))
         else:
             fields.append(T.StructField(c, T.DoubleType()))
-    df = spark.read.schema(T.StructType(fields)).option("header", True).csv(path)
-    return df.withColumn("file", F.col("_metadata.file_name"))
+    return T.StructType(fields)
+
+
+def write_export_files(lines: DataFrame, path: str) -> str:
+    """Export files as they come: ``lines`` (file, ord, value), the header at the smallest ``ord``; a folder per file."""
+    lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def read_export_csvs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers: file, header; rows of the feature exports by column name, with their file)."""
+    lines = spark.read.text(path).select("file", F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("row"), "value")
+    headers = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    rows = read_csvs_by_name(spark, path, export_schema(), [T.StructField("file", T.StringType())]).drop("__file")
+    return headers, rows
 
 
 CLIMATE_SCHEMA = "MAP<STRING, MAP<STRING, DOUBLE>>"
@@ -98,34 +150,18 @@ def scene_filter(samples: DataFrame, start: str, end: str, cloud_max: float = 45
                          & (F.col(ts) < F.lit(end).cast("timestamp")))
 
 
-COMPOSITE_RULES = {"mean": F.avg, "sum": F.sum, "median": F.median}
+#: Reducers by name.  ``median`` is exact (its partial aggregates keep value counts); ``median_sketch`` is bounded in
+#: memory with a relative rank error of 1e-5, for callers who choose it.
+COMPOSITE_RULES = {"mean": F.avg, "sum": F.sum, "median": F.median,
+                   "median_sketch": lambda c: F.percentile_approx(c, 0.5, 100000).cast("double")}
 
 
-def composite_month(samples: DataFrame, rules: dict[str, str], keys=("grid_id",), ts="ts",
-                    exact_median_limit: int = 1_000_000) -> DataFrame:
-    """Monthly composite of long (key, ts, band, value) samples; per-band reducer
-    (mean / sum / median).  Means and sums are one partial-aggregated pass.  An
-    exact median must hold its whole group in one task, so groups with more than
-    ``exact_median_limit`` samples are split off and use a bounded sketch (rank
-    error <= 1e-5); every other group gets the exact median.  No rows are dropped."""
+def composite_month(samples: DataFrame, rules: dict[str, str], keys=("grid_id",), ts="ts") -> DataFrame:
+    """Monthly composite of long (key, ts, band, value) samples; per-band reducer by name.  One scan, one grouped
+    aggregate for all bands, whatever the size of a group."""
     s = samples.withColumn("date", F.trunc(F.col(ts).cast("date"), "month"))
-    gk = [*keys, "date"]
-    simple = {b: how for b, how in rules.items() if how != "median"}
-    med = [b for b, how in rules.items() if how == "median"]
-    out = s.groupBy(*gk).agg(*[COMPOSITE_RULES[how](F.when(F.col("band") == b, F.col("value"))).alias(b)
-                              for b, how in simple.items()])
-    if med:
-        m = s.where(F.col("band").isin(med))
-        sizes = m.groupBy(*gk, "band").agg(F.count(F.lit(1)).alias("__n"))
-        hot = sizes.where(F.col("__n") > exact_median_limit).select(*gk, "band")
-        exact = (m.join(hot, [*gk, "band"], "left_anti")
-                  .groupBy(*gk, "band").agg(F.median("value").alias("__v")))
-        sketch = (m.join(hot, [*gk, "band"], "left_semi")
-                   .groupBy(*gk, "band").agg(F.percentile_approx("value", 0.5, 100000).cast("double").alias("__v")))
-        wide = exact.unionByName(sketch).groupBy(*gk).agg(
-            *[F.max(F.when(F.col("band") == b, F.col("__v"))).alias(b) for b in med])
-        out = out.join(wide, gk, "left")
-    return out.select(*gk, *rules.keys())
+    return s.groupBy(*keys, "date").agg(*[COMPOSITE_RULES[how](F.when(F.col("band") == b, F.col("value"))).alias(b)
+                                          for b, how in rules.items()])
 
 
 def region_reduce(df: DataFrame, bands: list[str], lon=(67.0, 69.0), lat=(24.0, 26.0), date_col="date") -> DataFrame:
@@ -135,13 +171,33 @@ def region_reduce(df: DataFrame, bands: list[str], lon=(67.0, 69.0), lat=(24.0,
 
 
 def sink_panel(df: DataFrame, path: str, partition_col: str = "year") -> str:
-    """Panel to Parquet partitioned by year (partition pruning on reads)."""
+    """Panel to Parquet partitioned by year (partition pruning on reads), cells clustered: range partitions by
+    (year, cell) give each task a stretch of cells of a year, however large one year is."""
     if partition_col not in df.columns:
         df = df.withColumn(partition_col, F.year("date"))
-    df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    df.repartitionByRange(partition_col, "grid_id").sortWithinPartitions(partition_col, "grid_id", "date").write.mode(
+        "overwrite").partitionBy(partition_col).parquet(path)
     return path
 
 
+def write_report(df: DataFrame, path: str) -> str:
+    """A (small) report table as one JSON document per row."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def read_reports(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+    """Union of JSON reports with their name in ``report``; an absent one adds no rows."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.createDataFrame([], schema).selectExpr("CAST(NULL AS STRING) AS report", "*")
+    for name, path in paths.items():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            out = out.unionByName(spark.read.schema(schema).json(path).select(F.lit(name).alias("report"), "*"))
+    return out
+
+
 def append_history(df: DataFrame, path: str) -> str:
     """Append-only history table (Parquet; a JDBC target would be format('jdbc'))."""
     df.write.mode("append").parquet(path)
