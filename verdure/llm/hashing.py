@@ -1,6 +1,8 @@
 """Vectorised hashing of the words of Arrow string arrays (numpy, over the raw bytes)."""
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,19 +25,35 @@ NEAR = 64  # offsets with a ready hash
 TABLE = mix(np.arange(NEAR * 256, dtype=U) + U(0x9E3779B97F4A7C15))
 
 
-def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts with A-Z as a-z, where each text begins, and the end)."""
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each text begins, and the end); null as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     _, where, data = texts.buffers()
     at = np.frombuffer(where, np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
-    return LOWER[raw], at - at[0]
+    return raw, at - at[0]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, number of words of every text); A-Z count as a-z.
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``raw_bytes`` with A-Z as a-z."""
+    raw, at = raw_bytes(texts)
+    return LOWER[raw], at
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of every run of ``data``; runs begin at ``first`` and cover it without gaps.
 
-    A word's hash is the mixed sum of the hashes of its (offset, byte) pairs."""
+    A run's hash is the mixed sum of the hashes of its (offset, byte) pairs."""
+    offset = np.arange(len(data)) - np.repeat(first, length)
+    h = TABLE[((offset & (NEAR - 1)) << 8) | data]
+    if int(length.max()) > NEAR:
+        far = np.flatnonzero(offset >= NEAR)
+        h[far] = mix(h[far] + (offset[far] // NEAR).astype(U))
+    return mix(np.add.reduceat(h, first) + length.astype(U))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, number of words of every text); A-Z count as a-z."""
     data, at = lowered(texts)
     n = len(at) - 1
     solid = ~BLANK[data]
@@ -49,13 +67,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.flatnonzero(solid)
     first = np.flatnonzero(begins[place])  # each word's first byte among the solid ones
     length = np.diff(np.r_[first, len(place)])
-    offset = np.arange(len(place)) - np.repeat(first, length)
-    code = (offset << 8) | data[place]
-    if int(length.max()) <= NEAR:
-        h = TABLE[code]
-    else:
-        h = mix(code.astype(U) + U(0x9E3779B97F4A7C15))
-    h = mix(np.add.reduceat(h, first) + length.astype(U))
+    h = run_hashes(data[place], first, length)
     return h, np.bincount(np.searchsorted(at, starts, side="right") - 1, minlength=n)[:n]
 
 
@@ -90,3 +102,79 @@ class Lookup:
         if len(miss):
             at[miss] = np.searchsorted(self.keys, wanted[miss])
         return self.values[at]
+
+
+class ChunkTable:
+    """Codes (arrays of ids) of the text chunks that a worker has met, by 64-bit hash.
+
+    ``ask`` encodes new chunks, given as strings; every distinct one is asked for once, until ``limit``
+    entries or ids are held and the table starts anew.  About 40 bytes an entry."""
+
+    def __init__(self, dtype, ask, limit: int = 2_000_000):
+        self.dtype, self.ask, self.limit = np.dtype(dtype), ask, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _learn(self, keys: np.ndarray, chunks: list) -> None:
+        codes = self.ask(chunks)
+        size = np.fromiter(map(len, codes), np.int64, len(codes))
+        total = int(size.sum())
+        if self.used + total > len(self.pool):
+            grown = np.zeros(max(2 * len(self.pool), self.used + total), self.dtype)
+            grown[:self.used] = self.pool[:self.used]
+            self.pool = grown
+        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(codes), self.dtype, total)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.used += total
+
+    def encode(self, data: np.ndarray, first: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after another, ids per chunk).  Chunks begin at ``first`` and cover ``data``;
+        ``flags``: 0 or 1, chunks with different flags are different (``ask`` gets (bytes, flag))."""
+        if not len(first):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        if len(self.keys) > self.limit or self.used > 8 * self.limit:
+            self._clear()
+        length = np.diff(np.r_[first, len(data)])
+        h = run_hashes(data, first, length) + flags.astype(U)
+        order = np.argsort(h)
+        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        distinct = h[order][new]
+        inverse = np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            missing = np.flatnonzero(self.keys[at] != distinct)
+        else:
+            missing = np.arange(len(distinct))
+        if len(missing):
+            where = order[new][missing]
+            whole = data.tobytes()
+            self._learn(distinct[missing], [(whole[a:a + n], f) for a, n, f in
+                                            zip(first[where].tolist(), length[where].tolist(), flags[where].tolist())])
+            at = np.searchsorted(self.keys, distinct)
+        start, size = self.start[at][inverse], self.size[at][inverse]
+        total = np.cumsum(size)
+        index = np.repeat(start - (total - size), size) + np.arange(total[-1])
+        return self.pool[index], size
+
+
+def per_text(first: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ids per text from ids per chunk; texts begin at ``at[:-1]``."""
+    owner = np.searchsorted(at, first, side="right") - 1
+    return np.bincount(owner, weights=size, minlength=len(at) - 1).astype(np.int64)
+
+
+def chunk_starts(at: np.ndarray, cuts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of chunks: those of non-empty texts and ``cuts``, 1 where a chunk begins a text)."""
+    begin = np.unique(at[:-1][at[:-1] < at[1:]])
+    mark = np.zeros(n, np.int8)
+    mark[cuts] = 1
+    mark[begin] = 2
+    first = np.flatnonzero(mark)
+    return first, (mark[first] == 2).astype(np.int64)

@@ -28,59 +28,64 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .common import text_of
+from .hashing import ChunkTable, chunk_starts, per_text, raw_bytes, slices
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 256
 END_ID = 0
-MAX_CACHED = 300_000
-MAX_CACHED_CHARS = 64
-BLOCK_CHARS = 1 << 20
-#: A blank next to another white-space character: there, cutting at blanks would change the tokens.
-ENTANGLED = re.compile(r"\s | \s")
+BLOCK_BYTES = 2 << 20
+ASCII_SPACE = np.zeros(256, bool)
+ASCII_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: UTF-8 of U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000.
+WIDE_SPACES = [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
 
 _LOADED: dict = {}
 
 
+def _blank_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes that begin, bytes that end a white-space character of Unicode, or one that Python counts as such)."""
+    begin = ASCII_SPACE[data]
+    end = begin.copy()
+    n = len(data)
+    if n > 1:
+        two = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+        begin[two] = end[two + 1] = True
+    if n > 2:
+        lead = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3))
+        code = (data[lead].astype(np.int32) << 16) | (data[lead + 1].astype(np.int32) << 8) | data[lead + 2]
+        three = lead[np.isin(code, WIDE_SPACES)]
+        begin[three] = end[three + 2] = True
+    return begin, end
+
+
 class Encoder:
-    """The tokenizers library, asked once per distinct word of a worker's stream.
+    """The tokenizers library, asked once per distinct chunk of a worker's stream.
 
-    Byte-level pre-tokens never end in a blank that a visible character follows, so a text
-    without entangled blanks is the concatenation of its blank-led words, encoded one by one."""
+    Byte-level pre-tokens never end in a blank between two visible characters and never reach over one, so a text
+    is the concatenation of the chunks cut in front of such blanks, encoded one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        known, out, start = self.known, [], 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BLOCK_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            cut = []
-            for t in texts[start:stop]:
-                if ENTANGLED.search(t):
-                    cut.append([t])
-                else:
-                    first, *rest = t.split(" ")
-                    cut.append([first, *[" " + w for w in rest]])
-            new = list({w for c in cut for w in c if w not in known})
-            long: dict[str, bytes] = {}
-            for w, coded in zip(new, self._ask(new)):
-                (known if len(w) <= MAX_CACHED_CHARS else long)[w] = coded
-            for c in cut:
-                out.append(b"".join([known[w] if w in known else long[w] for w in c] if long else map(known.__getitem__, c)))
-            start = stop
-        return out
+        self.table = ChunkTable(self.dtype, self._ask)
+
+    def _ask(self, chunks: list[tuple[bytes, int]]) -> list[list[int]]:
+        return [e.ids for e in self.lib.encode_batch_fast([c.decode() for c, _ in chunks], add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids per text)."""
+        data, at = raw_bytes(texts)
+        blank = np.flatnonzero(data == 0x20)
+        blank = blank[(blank > 0) & (blank < len(data) - 1)]
+        begin, end = _blank_edges(data)
+        inside = np.ones(len(data), bool)
+        inside[at[:-1][at[:-1] < len(data)]] = False  # a text's first byte
+        cuts = blank[inside[blank] & inside[blank + 1] & ~end[blank - 1] & ~begin[blank + 1]]
+        first, leads = chunk_starts(at, cuts, len(data))
+        ids, size = self.table.encode(data, first, np.zeros(len(first), np.int64))
+        return ids, per_text(first, size, at)
 
 
 def encoder(path: str) -> Encoder:
@@ -173,8 +178,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, se
         for batch in batches:
             if batch.num_rows and shard is None:
                 shard = _Shard(path, e.dtype, sequence)
-            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), e.encode(batch.column("text").to_pylist())):
-                shard.add(doc_id, coded + end)
+            for piece in slices(batch, "text", BLOCK_BYTES):
+                ids, n = e.encode(piece.column("text"))
+                stops = np.cumsum(n).tolist()
+                for doc_id, a, b in zip(piece.column("doc_id").to_pylist(), [0, *stops], stops):
+                    shard.add(doc_id, ids[a:b].tobytes() + end)
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64()), "path": [path], "n_tokens": pa.array([shard.total], pa.int64())})
