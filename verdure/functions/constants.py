@@ -109,16 +109,12 @@ EXPORT_COLUMNS = [
     "solar_radiation", "evi", "modis_ndvi", "modis_lst", "chirps_rainfall", "mndwi",
     "has_smap", "has_era5", "has_sentinel2", "has_modis", "has_chirps",
 ]
-EXPORT_ID_COLUMNS = ["grid_id", "longitude", "latitude", "date", "year", "month"]
 
 # --- FIXED VALUES: signal catalogues ------------------------------------------
 BASE_SIGNALS = ["ndvi", "lst", "rainfall", "temperature", "humidity", "evapotranspiration",
                 "soil_moisture", "vci", "tci", "vhi", "spi", "spei"]
 LAGS = [1, 2, 3, 6]
 ROLLING_WINDOWS = [3, 6, 12]
-ROLLING_SIGNALS = ["ndvi", "lst", "rainfall", "vhi", "vci", "tci", "spi", "spei"]
-SEASONAL = ["month_sin", "month_cos", "season_sin", "season_cos"]
-SPATIAL = ["latitude", "longitude"]
 HORIZONS = [1, 2, 3, 6]
 LEAKAGE_BLOCKED = ["target_vhi_h1", "same_month_vhi", "severity_class", "vhi_next_month", "vhi", "vci", "tci"]
 

@@ -6,9 +6,9 @@ aggregate.  Nothing is collected except one metric row per trial.
 """
 from __future__ import annotations
 
-import math
-import random
+import json
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -170,20 +170,29 @@ def persistence(df: DataFrame, keys=("grid_id",), vhi="vhi") -> DataFrame:
                      F.lit("persistence").alias("model"))
 
 
-GBT_SPACE = {"maxDepth": (2, 6), "maxIter": (10, 40), "stepSize": (0.03, 0.3), "subsamplingRate": (0.6, 1.0)}
+#: Search space of the boosted trees; a log-scaled dimension is drawn by its exponent.
+GBT_SPACE = {"maxDepth": (2, 6), "maxIter": (10, 40), "stepSize": (0.03, 0.3), "subsamplingRate": (0.6, 1.0),
+             "minInstancesPerNode": (1, 12), "minInfoGain": (0.0, 0.01)}
+LOG_SCALED = {"stepSize"}
 
 
-def _decode(pos: dict) -> dict:
+def decode(point) -> dict:
+    """Parameters of a point of the unit cube (one coordinate per dimension, in order)."""
     out = {}
-    for k, (lo, hi) in GBT_SPACE.items():
-        v = lo + (hi - lo) * min(1.0, max(0.0, pos[k]))
-        out[k] = int(round(v)) if isinstance(lo, int) else float(v)
-    if "stepSize" in out:  # log-scaled learning rate
-        lo, hi = GBT_SPACE["stepSize"]
-        out["stepSize"] = float(math.exp(math.log(lo) + (math.log(hi) - math.log(lo)) * min(1.0, max(0.0, pos["stepSize"]))))
+    for u, (name, (lo, hi)) in zip(np.clip(point, 0.0, 1.0), GBT_SPACE.items()):
+        v = lo * (hi / lo) ** u if name in LOG_SCALED else lo + (hi - lo) * u
+        out[name] = int(round(v)) if isinstance(lo, int) else float(v)
     return out
 
 
+def refit(params: dict, *parts: DataFrame):
+    """The winner, fitted on all rows of ``parts`` (training and validation)."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return fit(gbt(params), rows)
+
+
 def _score(params, fit_rows, valid) -> float:
     """Validation RMSE of one trial: a fit plus a single aggregate."""
     preds = fit_predict(gbt(params), fit_rows, valid, "trial")
@@ -191,50 +200,40 @@ def _score(params, fit_rows, valid) -> float:
     return float(preds.agg(F.sqrt(F.avg(err * err))).first()[0])
 
 
+TRIALS = "trial INT, params STRING, rmse DOUBLE"
+
+
 def random_search(fit_rows: DataFrame, valid: DataFrame, trials: int = 12, seed: int = 42):
-    """Random search over the boosted-tree space; returns (best params, trials DataFrame)."""
-    rng = random.Random(seed)
-    log = []
-    for t in range(trials):
-        params = _decode({k: rng.random() for k in GBT_SPACE})
-        log.append((t, str(params), _score(params, fit_rows, valid)))
-    spark = fit_rows.sparkSession
-    trials_df = spark.createDataFrame(log, "trial INT, params STRING, rmse DOUBLE")
-    best = min(log, key=lambda r: r[2])
-    return best[1], trials_df
-
-
-def swarm_search(fit_rows: DataFrame, valid: DataFrame, particles: int = 4, iterations: int = 3, seed: int = 42,
-                 inertia=(0.72, 0.50), c1: float = 1.35, c2: float = 1.65):
-    """Particle swarm over the boosted-tree space: the swarm arithmetic is a tiny
-    driver loop, each particle evaluation is a Spark fit + metric aggregate.
-    Inertia decays linearly from inertia[0] to inertia[1]."""
-    rng = random.Random(seed)
-    keys = list(GBT_SPACE)
-    pos = [[rng.random() for _ in keys] for _ in range(particles)]
-    vel = [[0.0 for _ in keys] for _ in range(particles)]
-    best_p = [p[:] for p in pos]
-    best_s = [float("inf")] * particles
-    g_best, g_score = pos[0][:], float("inf")
-    log = []
-    for it in range(iterations):
-        w = inertia[0] + (inertia[1] - inertia[0]) * (it / max(1, iterations - 1))
-        for i in range(particles):
-            params = _decode(dict(zip(keys, pos[i])))
-            s = _score(params, fit_rows, valid)
-            log.append((it, i, str(params), s))
-            if s < best_s[i]:
-                best_s[i], best_p[i] = s, pos[i][:]
-            if s < g_score:
-                g_score, g_best = s, pos[i][:]
-        for i in range(particles):
-            for d in range(len(keys)):
-                r1, r2 = rng.random(), rng.random()
-                vel[i][d] = w * vel[i][d] + c1 * r1 * (best_p[i][d] - pos[i][d]) + c2 * r2 * (g_best[d] - pos[i][d])
-                pos[i][d] = min(1.0, max(0.0, pos[i][d] + vel[i][d]))
-    spark = fit_rows.sparkSession
-    trials_df = spark.createDataFrame(log, "iteration INT, particle INT, params STRING, rmse DOUBLE")
-    return _decode(dict(zip(keys, g_best))), trials_df
+    """Uniform trials over all dimensions of the space; (best parameters, trials DataFrame)."""
+    points = np.random.default_rng(seed).random((trials, len(GBT_SPACE)))
+    scores = [_score(decode(p), fit_rows, valid) for p in points]
+    log = [(i, json.dumps(decode(p)), s) for i, (p, s) in enumerate(zip(points, scores))]
+    return decode(points[int(np.argmin(scores))]), fit_rows.sparkSession.createDataFrame(log, TRIALS)
+
+
+def swarm_search(fit_rows: DataFrame, valid: DataFrame, particles: int = 5, iterations: int = 4, seed: int = 42,
+                 inertia=(0.72, 0.50), own_pull: float = 1.35, swarm_pull: float = 1.65, patience: int | None = None):
+    """Particle swarm (Kennedy and Eberhart) on the unit cube, all particles moved at once as matrices; inertia falls
+    linearly.  ``patience``: stop after so many iterations without a better score.  Each evaluation is a Spark fit and one
+    aggregate; (best parameters, trials DataFrame)."""
+    rng = np.random.default_rng(seed)
+    at = rng.random((particles, len(GBT_SPACE)))
+    speed = np.zeros_like(at)
+    own, own_score = at.copy(), np.full(particles, np.inf)
+    log, stale = [], 0
+    for weight in np.linspace(*inertia, iterations):
+        score = np.array([_score(decode(p), fit_rows, valid) for p in at])
+        log += [(len(log) + i, json.dumps(decode(p)), float(s)) for i, (p, s) in enumerate(zip(at, score))]
+        stale = 0 if score.min() < own_score.min() else stale + 1
+        better = score < own_score
+        own[better], own_score[better] = at[better], score[better]
+        if patience is not None and stale >= patience:
+            break
+        leader = own[own_score.argmin()]
+        toward_own, toward_leader = rng.random(at.shape), rng.random(at.shape)
+        speed = weight * speed + own_pull * toward_own * (own - at) + swarm_pull * toward_leader * (leader - at)
+        at = np.clip(at + speed, 0.0, 1.0)
+    return decode(own[own_score.argmin()]), fit_rows.sparkSession.createDataFrame(log, TRIALS)
 
 
 def feature_importance(model, features: list[str], top: int = 10, spark=None) -> DataFrame:

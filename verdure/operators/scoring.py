@@ -30,10 +30,21 @@ def payload_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
                            for c, v in defaults.items()})
 
 
-def payload_features(df: DataFrame) -> DataFrame:
+def payload_indices(df: DataFrame) -> DataFrame:
+    """VCI, TCI, VHI of a payload where it has none: vci = ndvi and tci = 1 - (lst - 20) / 35, each in [0, 1], vhi their mean."""
+    present = set(df.columns)
+
+    def given(c, e):
+        return F.coalesce(F.col(c), e) if c in present else e
+
+    df = df.withColumns({"vci": given("vci", clip("ndvi", 0.0, 1.0)), "tci": given("tci", clip(1 - (F.col("lst") - 20) / 35, 0.0, 1.0))})
+    return df.withColumn("vhi", given("vhi", 0.5 * F.col("vci") + 0.5 * F.col("tci")))
+
+
+def payload_features(df: DataFrame, signals=("ndvi", "rainfall", "lst")) -> DataFrame:
     """Model features for a payload without history: lag / roll / wavelet = current value."""
     out = {}
-    for c in ("ndvi", "rainfall", "lst"):
+    for c in signals:
         out[f"{c}_lag_1"] = F.col(c)
         out[f"{c}_roll_3"] = F.col(c)
         out[f"{c}_wavelet_low"] = F.col(c)
@@ -67,6 +78,27 @@ def recursive_forecast(latest: DataFrame, horizon: int, vhi_col="vhi", date_col=
         F.bround(F.greatest(F.lit(0.55), 0.92 - s * 0.07), 2).alias("confidence"))
 
 
+def model_forecast(latest: DataFrame, predict, horizon: int, history_col="history", date_col="date") -> DataFrame:
+    """Chained forecast: each step predicts from the state of the steps before it.
+
+    ``history_col``: the last observed values, oldest first (at least one).  ``predict(lag_1, roll_3)`` is a column expression
+    (a fitted linear model, say) of the last value and the mean of the last three; its result, in [0, 1], joins the
+    history for the next step.  One projection: the chain runs inside the row."""
+    def roll(h):
+        last = F.slice(h, F.greatest(F.lit(1), F.size(h) - 2), 3)
+        return F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
+
+    def step(h, _):
+        v = predict(F.element_at(h, -1), roll(h))
+        return F.concat(h, F.array(clip(v, 0.0, 1.0)))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col(history_col), step)
+    x = latest.withColumn("__c", F.slice(chain, F.size(history_col) + 1, horizon))
+    x = x.select(*[c for c in latest.columns if c != history_col], F.posexplode("__c").alias("__p", "forecast"))
+    return x.select(*[c for c in latest.columns if c not in (history_col, date_col)], (F.col("__p") + 1).alias("step"),
+                    F.date_format(F.add_months(F.col(date_col), F.col("__p") + 1), "yyyy-MM").alias("forecast_month"), "forecast")
+
+
 def score_fallback(df: DataFrame) -> DataFrame:
     """risk (formula), severity (risk ladder), probability = risk/100 to 4 places,
     risk rounded to 2 places (half-even, like Python ``round``)."""

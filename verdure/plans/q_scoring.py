@@ -10,7 +10,7 @@ from ..operators import scoring as SC
 from ..operators.temporal import latest_per_key
 from ..sources import fixtures as FX
 from . import sqlfrag as S
-from .q_indices import VHI100_CTE
+from .q_indices import VHI100_CTE, VHI_SQL_CTE, vhi_panel
 from .registry import register, rounded
 
 STATES = list(K.STATE_CROPS) + ["Sindh"]
@@ -37,11 +37,22 @@ def _scored(spark, d):
     return SC.score_fallback(FX.score_requests(spark, d))
 
 
-@register("sc_payload_features", REQ_CTE + f"""
-SELECT id, {', '.join(f"{S.r6(c)} AS {c}_lag_1, {S.r6(c)} AS {c}_roll_3, {S.r6(c)} AS {c}_wavelet_low" for c in ('ndvi', 'rainfall', 'lst'))} FROM req""")
+PAYLOAD_SIGNALS = ("ndvi", "rainfall", "lst", "vhi")
+
+
+@register("sc_payload_features", REQ_CTE + f""", sparse AS (SELECT id, CASE WHEN n % 3 = 0 THEN 0.35 ELSE ndvi END AS ndvi, CASE WHEN n % 4 = 0 THEN 36.0 ELSE lst END AS lst,
+  rainfall, 24.0 AS solar_radiation FROM (SELECT *, CAST(latitude - 6 AS INTEGER) AS n FROM req)),
+v AS (SELECT *, {S.clip('ndvi', 0.0, 1.0)} AS vci, {S.clip('1 - (lst - 20) / 35', 0.0, 1.0)} AS tci FROM sparse),
+w AS (SELECT *, 0.5 * vci + 0.5 * tci AS vhi FROM v)
+SELECT id, {S.r6('vci')} AS vci, {S.r6('tci')} AS tci, solar_radiation,
+  {', '.join(f"{S.r6(c)} AS {c}_lag_1, {S.r6(c)} AS {c}_roll_3, {S.r6(c)} AS {c}_wavelet_low" for c in PAYLOAD_SIGNALS)} FROM w""")
 def sc_payload_features(spark, d):
-    r = SC.payload_features(FX.score_requests(spark, d))
-    return rounded(r.select("id", *[f"{c}_{s}" for c in ("ndvi", "rainfall", "lst") for s in ("lag_1", "roll_3", "wavelet_low")]))
+    """Payloads that lack some values (and a whole column): defaults, then indices, then model features."""
+    n = (F.col("latitude") - 6).cast("int")
+    r = FX.score_requests(spark, d)
+    r = r.withColumns({"ndvi": F.when(n % 3 != 0, F.col("ndvi")), "lst": F.when(n % 4 != 0, F.col("lst"))})
+    r = SC.payload_features(SC.payload_indices(SC.payload_defaults(r)), PAYLOAD_SIGNALS)
+    return rounded(r.select("id", "vci", "tci", "solar_radiation", *[f"{c}_{s}" for c in PAYLOAD_SIGNALS for s in ("lag_1", "roll_3", "wavelet_low")]))
 
 
 @register("sc_synthetic_history", REQ_CTE + f"""
@@ -64,6 +75,21 @@ def sc_recursive_forecast(spark, d):
     return SC.recursive_forecast(latest_per_key(v), 12)
 
 
+@register("sc_model_forecast", VHI_SQL_CTE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY date DESC) AS k FROM vhi),
+h AS (SELECT grid_id, max(date) AS date, max(CASE WHEN k = 1 THEN vhi END) AS a, max(CASE WHEN k = 2 THEN vhi END) AS b, max(CASE WHEN k = 3 THEN vhi END) AS c
+  FROM r GROUP BY grid_id HAVING count(*) >= 3),
+f AS (SELECT grid_id, date, 0 AS step, a, b, c FROM h UNION ALL
+  SELECT grid_id, date, step + 1, {S.clip('0.05::DOUBLE + 0.55::DOUBLE * a + 0.35::DOUBLE * ((0.0::DOUBLE + c + b + a) / 3)', 0.0, 1.0)}, a, b FROM f WHERE step < 12)
+SELECT grid_id, CAST(step AS INTEGER) AS step, strftime(date + to_months(step), '%Y-%m') AS forecast_month, {S.r6('a')} AS forecast FROM f WHERE step > 0""")
+def sc_model_forecast(spark, d):
+    """Twelve chained steps of a linear model of lag and rolling state, from the last three observations of a cell."""
+    v = vhi_panel(spark, d).select("grid_id", "date", "vhi")
+    h = v.groupBy("grid_id").agg(F.max("date").alias("date"), F.transform(F.array_sort(F.collect_list(F.struct("date", "vhi"))), lambda x: x["vhi"]).alias("all"))
+    h = h.where(F.size("all") >= 3).select("grid_id", "date", F.slice("all", -3, 3).alias("history"))
+    return rounded(SC.model_forecast(h, lambda lag, roll: 0.05 + 0.55 * lag + 0.35 * roll, 12))
+
+
 @register("sc_probability", REQ_CTE + "SELECT id, severity, probability, risk_score FROM scored")
 def sc_probability(spark, d):
     return _scored(spark, d).select("id", "severity", "probability", "risk_score")

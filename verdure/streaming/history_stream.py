@@ -2,9 +2,9 @@
 reference has no streaming code; this keeps the dashboard counters live).
 
 Files land in a folder (one per day); ``readStream`` picks them up, a 1-day
-watermark bounds late data, and a daily tumbling window counts predictions per
-severity.  ``foreachBatch`` rewrites the (small, per-window) result table, so the
-sink is a plain Parquet folder and nothing passes through the driver.
+watermark bounds late data and state, and a daily tumbling window counts predictions per
+severity.  Each batch writes the windows it changed, keyed by its epoch; readers take the
+newest count of a window.  The sink is a plain Parquet folder and nothing passes through the driver.
 """
 from __future__ import annotations
 
@@ -38,11 +38,16 @@ def severity_counts_stream(spark: SparkSession, source: str, watermark: str = "1
 
 
 def run_available_now(stream_df: DataFrame, sink: str, checkpoint: str) -> str:
-    """Process everything available, then stop; each micro-batch rewrites the
-    complete result table at ``sink``."""
-    def write(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite").parquet(sink)
-    q = (stream_df.writeStream.outputMode("complete").foreachBatch(write)
+    """Process everything available, then stop.  Update mode: a batch writes only the windows it changed, into the
+    folder of its epoch (a repeated batch overwrites just that), and state of windows behind the watermark is dropped."""
+    def write(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+    q = (stream_df.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
+
+
+def read_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """window, severity, n: the newest count of every window."""
+    return spark.read.parquet(sink).groupBy("window", "severity").agg(F.max_by("n", "epoch").alias("n"))
