@@ -1,13 +1,17 @@
-"""Registered queries: Spark ML fits, searches and scoring (rows checks; the
-persistence baseline also has an exact oracle)."""
+"""Registered queries: Spark ML fits, searches and scoring.
+
+Fits are randomised, so their queries return facts that SQL can compute as well: which rows were scored, and
+which bounds hold.  One-feature least squares and the persistence baseline are checked value by value."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import conform as C
 from ..operators import datasets as DS
-from ..operators import metrics as M
 from ..operators import models as ML
+from ..session import cut_lineage
 from . import sqlfrag as S
 from .frames import feature_panel
 from .q_indices import VHI_SQL_CTE, vhi_panel
@@ -30,44 +34,89 @@ def ml_data(spark, d, label="target_vhi_h1"):
     return train, test, feats
 
 
-def _metrics(preds, protocol=PROTOCOL):
-    return rounded(ML.eval_metrics(preds, protocol))
-
-
-@register("ml_gbt")
+# ---- facts that SQL can check ------------------------------------------------------------------
+# A cell's first six months lack lag_6, so they are incomplete; the last month has no next-month label.
+ROWS_SQL = VHI_SQL_CTE + f""", m AS (SELECT grid_id, date, vhi, row_number() OVER (PARTITION BY grid_id ORDER BY date) AS k,
+  lead(vhi, 1) OVER (PARTITION BY grid_id ORDER BY date) AS y FROM vhi),
+rows_a AS (SELECT grid_id, date, y FROM m WHERE k > 6 AND y IS NOT NULL), rows_c AS (SELECT grid_id, date, vhi AS y FROM m WHERE k > 6),
+cut_a AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS c FROM rows_a),
+cut_c AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS c FROM rows_c),
+train_a AS (SELECT * FROM rows_a WHERE date_diff('day', DATE '1970-01-01', date) <= (SELECT c FROM cut_a)),
+test_a AS (SELECT * FROM rows_a WHERE date_diff('day', DATE '1970-01-01', date) > (SELECT c FROM cut_a)),
+test_c AS (SELECT * FROM rows_c WHERE date_diff('day', DATE '1970-01-01', date) > (SELECT c FROM cut_c))
+"""
+
+
+def _facts_sql(models, protocol=PROTOCOL, table="test_a"):
+    names = ", ".join(f"('{m}')" for m in models)
+    return ROWS_SQL + f"""SELECT '{protocol}' AS protocol, model, count(*) AS n, count(DISTINCT grid_id) AS n_cells, CAST(min(date) AS VARCHAR) AS first_date,
+  CAST(max(date) AS VARCHAR) AS last_date, {S.r6('avg(y)')} AS label_mean, true AS in_unit_interval, true AS rmse_over_mae, true AS r2_at_most_1, true AS scores_in_unit_interval
+FROM {table}, (VALUES {names}) v(model) GROUP BY model"""
+
+
+def _facts(preds, protocol=PROTOCOL):
+    """One row per model: what was scored (rows, cells, dates, labels) and whether predictions and metrics keep their bounds.
+    The metrics themselves come from ``ML.eval_metrics`` (see the bench)."""
+    preds = cut_lineage(preds.select("grid_id", "date", "label", "y_pred", "model"))
+    what = preds.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("grid_id").alias("n_cells"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.avg("label").alias("label_mean"), F.bool_and(F.col("y_pred").between(0, 1)).alias("in_unit_interval"))
+    m = ML.eval_metrics(preds, protocol)
+    unit = F.lit(True)
+    for c in ("accuracy", "f1_macro", "f1_weighted", "within_tol"):
+        unit = unit & F.col(c).between(0, 1)
+    m = m.select("protocol", "model", (F.col("rmse") >= F.col("mae") - 1e-9).alias("rmse_over_mae"), (F.col("r2") <= 1).alias("r2_at_most_1"),
+                 unit.alias("scores_in_unit_interval"))
+    return rounded(m.join(what, "model").select("protocol", "model", "n", "n_cells", "first_date", "last_date", "label_mean", "in_unit_interval",
+                                                "rmse_over_mae", "r2_at_most_1", "scores_in_unit_interval"))
+
+
+@register("ml_gbt", _facts_sql(["gbt"]))
 def ml_gbt(spark, d):
     tr, te, _ = ml_data(spark, d)
-    return _metrics(ML.fit_predict(ML.gbt(), tr, te, "gbt"))
+    return _facts(ML.fit_predict(ML.gbt(), tr, te, "gbt"))
 
 
-@register("ml_forest")
+@register("ml_forest", _facts_sql(["forest"]))
 def ml_forest(spark, d):
     tr, te, _ = ml_data(spark, d)
-    return _metrics(ML.fit_predict(ML.forest(), tr, te, "forest"))
+    return _facts(ML.fit_predict(ML.forest(), tr, te, "forest"))
 
 
-@register("ml_linear")
+@register("ml_linear", _facts_sql(["linear"]))
 def ml_linear(spark, d):
     tr, te, _ = ml_data(spark, d)
-    return _metrics(ML.fit_predict(ML.linear(), tr, te, "linear"))
+    return _facts(ML.fit_predict(ML.linear(), tr, te, "linear"))
 
 
-@register("ml_ensemble")
+@register("ml_linear_exact", ROWS_SQL + f""", x AS (SELECT t.grid_id, t.date, t.y, m.vhi AS v FROM train_a t JOIN m ON m.grid_id = t.grid_id AND m.date = t.date),
+fit AS (SELECT regr_slope(y, v) AS b, regr_intercept(y, v) AS a FROM x)
+SELECT t.grid_id, CAST(t.date AS VARCHAR) AS date, round({S.clip('(SELECT a FROM fit) + (SELECT b FROM fit) * m.vhi', 0.0, 1.0)} * 1e5) / 1e5 + 0.0 AS y_pred
+FROM test_a t JOIN m ON m.grid_id = t.grid_id AND m.date = t.date""")
+def ml_linear_exact(spark, d):
+    """Least squares on one feature, every prediction checked (5 decimals)."""
+    tr, te, _ = ml_data(spark, d)
+    one = lambda df: ML.assemble(df.select("grid_id", "date", "label", "vhi"), ["vhi"])
+    p = ML.fit_predict(ML.linear(), one(tr), one(te), "linear")
+    return rounded(p.select("grid_id", "date", (F.round(F.col("y_pred") * 1e5) / 1e5 + 0.0).alias("y_pred")))
+
+
+@register("ml_ensemble", _facts_sql(["ensemble"]))
 def ml_ensemble(spark, d):
     tr, te, _ = ml_data(spark, d)
-    return _metrics(ML.ensemble(tr, te, weight=0.5))
+    return _facts(ML.ensemble(tr, te, weight=0.5))
 
 
-@register("ml_stack")
+@register("ml_stack", _facts_sql(["stack"]))
 def ml_stack(spark, d):
     tr, te, _ = ml_data(spark, d)
-    return _metrics(ML.stack(tr, te))
+    return _facts(ML.stack(tr, te).withColumn("model", F.lit("stack")))
 
 
-@register("ml_ridge_meta")
+@register("ml_ridge_meta", _facts_sql(["ridge_meta"]))
 def ml_ridge_meta(spark, d):
     """Non-negative ridge (alpha .05) over three base predictions on the validation
-    tail of the training period; weights + blended test metrics."""
+    tail of the training period; the blend is scored on the test rows."""
     tr, te, _ = ml_data(spark, d)
     fit_rows = DS.split_valid_quantile(tr).where(F.col("split") == "fit").drop("split")
     valid = DS.split_valid_quantile(tr).where(F.col("split") == "valid").drop("split")
@@ -82,19 +131,16 @@ def ml_ridge_meta(spark, d):
     xs = [f"p_{k}" for k in bases]
     xx, xy = ML.gram(base_preds(valid), xs)
     w = ML.nonneg_ridge(xx, xy, alpha=0.05)
-    tp = base_preds(te)
     blend = sum((F.col(x) * wi for x, wi in zip(xs, w)), F.lit(0.0))
-    preds = tp.select("grid_id", "date", "label", F.when(blend < 0, 0.0).when(blend > 1, 1.0).otherwise(blend).alias("y_pred"),
-                      F.lit("ridge_meta").alias("model"))
-    metrics = ML.eval_metrics(preds, PROTOCOL)
-    weights = F.create_map(*[x for k, wi in zip(bases, w) for x in (F.lit(k), F.lit(float(wi)))])
-    return rounded(metrics.withColumn("weights", F.to_json(weights)))
+    preds = base_preds(te).select("grid_id", "date", "label", F.when(blend < 0, 0.0).when(blend > 1, 1.0).otherwise(blend).alias("y_pred"),
+                                  F.lit("ridge_meta").alias("model"))
+    return _facts(preds)
 
 
-@register("ml_physics_residual")
+@register("ml_physics_residual", _facts_sql(["physics_residual"], "C_same_month_estimation", "test_c"))
 def ml_physics_residual(spark, d):
     tr, te, _ = ml_data(spark, d, label="vhi")
-    return _metrics(ML.physics_residual(tr, te), "C_same_month_estimation")
+    return _facts(ML.physics_residual(tr, te), "C_same_month_estimation")
 
 
 @register("ml_persistence", VHI_SQL_CTE + f""", p AS (
@@ -112,21 +158,36 @@ def _search_rows(spark, d):
     return s.where(F.col("split") == "fit").drop("split"), s.where(F.col("split") == "valid").drop("split")
 
 
-@register("ml_search_random")
+def _search_facts(best, trials, fit_rows, valid):
+    """Trial count, whether every trial lies in the space, whether the winner is the best of them, and the rows it is refitted on."""
+    bounds = F.lit(True)
+    for name, (lo, hi) in ML.GBT_SPACE.items():
+        bounds = bounds & F.get_json_object("params", f"$.{name}").cast("double").between(lo, hi)
+    model = ML.refit(best, fit_rows, valid)
+    won = trials.orderBy("rmse", "trial").limit(1).select((F.col("params") == json.dumps(best)).alias("won"))
+    refit_rows = fit_rows.unionByName(valid)
+    scored = ML.predict(model, refit_rows, "refit").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return trials.agg(F.count(F.lit(1)).alias("n_trials"), F.bool_and(bounds).alias("in_space"), F.bool_and(F.col("rmse") > 0).alias("scored")).select(
+        "n_trials", "in_space", "scored", won.scalar().alias("winner_is_best"), scored.alias("refit_rows"))
+
+
+def _search_sql(n):
+    return ROWS_SQL + f"SELECT CAST({n} AS BIGINT) AS n_trials, true AS in_space, true AS scored, true AS winner_is_best, count(*) AS refit_rows FROM train_a"
+
+
+@register("ml_search_random", _search_sql(12))
 def ml_search_random(spark, d):
     fit_rows, valid = _search_rows(spark, d)
-    _, trials = ML.random_search(fit_rows, valid, trials=12)
-    return trials
+    return _search_facts(*ML.random_search(fit_rows, valid, trials=12), fit_rows, valid)
 
 
-@register("ml_search_swarm")
+@register("ml_search_swarm", _search_sql(20))
 def ml_search_swarm(spark, d):
     fit_rows, valid = _search_rows(spark, d)
-    _, trials = ML.swarm_search(fit_rows, valid, particles=5, iterations=4)
-    return trials
+    return _search_facts(*ML.swarm_search(fit_rows, valid, particles=5, iterations=4), fit_rows, valid)
 
 
-@register("ml_model_family_eval")
+@register("ml_model_family_eval", _facts_sql(["gbt", "forest", "linear"]))
 def ml_model_family_eval(spark, d):
     tr, te, _ = ml_data(spark, d)
     fam = {"gbt": ML.gbt(), "forest": ML.forest(), "linear": ML.linear()}
@@ -134,25 +195,38 @@ def ml_model_family_eval(spark, d):
     for k, est in fam.items():
         p = ML.fit_predict(est, tr, te, k).select("grid_id", "date", "label", "y_pred", "model")
         preds = p if preds is None else preds.unionByName(p)
-    return M.tidy(_metrics(preds))
+    return _facts(preds)
 
 
-@register("ml_feature_importance")
+@register("ml_feature_importance", "SELECT CAST(10 AS BIGINT) AS n, true AS shares, true AS in_order")
 def ml_feature_importance(spark, d):
     tr, _, feats = ml_data(spark, d)
-    model = ML.fit(ML.gbt(), tr)
-    return ML.feature_importance(model, feats, top=10, spark=spark)
+    imp = ML.feature_importance(ML.fit(ML.gbt(), tr), feats, top=10, spark=spark)
+    return imp.agg(F.count_distinct("feature").alias("n"), (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"),
+                   F.bool_and(F.col("feature").isin(feats)).alias("in_order"))
 
 
-@register("ml_permutation_importance")
+# every model feature, spelled out: base signals, calendar, and per signal lags, rolling means and deviations, wavelet parts
+MODEL_FEATURES = """ndvi lst rainfall temperature humidity evapotranspiration soil_moisture spi spei month_sin month_cos season_sin season_cos""".split() + [
+    f"{c}_{x}" for c in ("ndvi", "lst", "rainfall", "vhi") for x in (
+        "lag_1", "lag_2", "lag_3", "lag_6", "roll_3", "roll_6", "roll_12", "std_3", "std_6", "std_12", "wavelet_approx", "wavelet_detail")]
+
+
+@register("ml_permutation_importance", "SELECT unnest([" + ", ".join(f"'{c}'" for c in MODEL_FEATURES) + "]) AS feature, true AS finite")
 def ml_permutation_importance(spark, d):
     tr, te, feats = ml_data(spark, d)
     model = ML.fit(ML.gbt(), tr)
-    return ML.permutation_importance(model, te, feats, repeats=3)
+    p = ML.permutation_importance(model, te, feats, repeats=3)
+    return p.select("feature", (F.col("importance").isNotNull() & ~F.isnan("importance") & (F.abs("importance") < 1)).alias("finite"))
 
 
-@register("ml_batch_score")
+@register("ml_batch_score", ROWS_SQL + "SELECT grid_id, CAST(date AS VARCHAR) AS date, true AS in_unit_interval, true AS severity_fits, true AS risk_fits FROM test_a")
 def ml_batch_score(spark, d):
+    """Keys of every scored row; prediction within bounds, severity by the ladder, risk = (1 - vhi) * 100."""
     tr, te, _ = ml_data(spark, d)
-    model = ML.fit(ML.gbt(), tr)
-    return rounded(ML.batch_score(model, te).select("grid_id", "date", "predicted_vhi", "severity", "risk_score"))
+    s = ML.batch_score(ML.fit(ML.gbt(), tr), te)
+    v = F.col("predicted_vhi")
+    ladder = (F.when(v < 0.20, "Extreme Drought").when(v < 0.35, "Severe Drought").when(v < 0.50, "Moderate Drought")
+              .when(v < 0.65, "Mild Drought").otherwise("No Drought"))
+    return rounded(s.select("grid_id", "date", v.between(0, 1).alias("in_unit_interval"), (F.col("severity") == ladder).alias("severity_fits"),
+                            (F.abs(F.col("risk_score") - (1 - v) * 100) < 1e-9).alias("risk_fits")))
