@@ -8,7 +8,8 @@ the head is merged and its new neighbours enter the agenda.  What is no piece at
 back to bytes.  In every Arrow batch the segments met for the first time are also encoded by the
 sentencepiece library, and a difference ends the task.
 
-Scale: a narrow map over Arrow batches, no shuffle; a worker keeps a bounded table of segments.
+Scale: a narrow map over Arrow batches, no shuffle; a worker keeps a bounded table of segments, looked up for
+a whole block of texts at once.
 
 Defined results: a null text is empty (begin and end id only); repeated rows get the same ids;
 extra columns are carried as they are.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+from .hashing import ChunkTable, chunk_starts, per_text, raw_bytes, slices
+
 MARK = "▁"
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-MAX_CACHED = 300_000  # segments kept by a worker
-MAX_CACHED_CHARS = 64  # longer ones are kept for their block only
-BLOCK_CHARS = 1 << 20
+BLOCK_BYTES = 2 << 20
 
 _LOADED: dict = {}
 
@@ -58,8 +58,9 @@ class Codec:
         self.unknown = self.lib.unk_id()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that cross words are not supported")
-        self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.lib.bos_id(), self.lib.eos_id()))
-        self.known: dict[str, bytes] = {}
+        if len(self.score) > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        self.table = ChunkTable("<u2", self._ask)
 
     def segment(self, text: str) -> list[int]:
         """Ids of one escaped segment, by the agenda."""
@@ -99,48 +100,32 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def _learn(self, new: list[str], table: dict[str, bytes]) -> None:
-        """Encodes new segments (each without its first mark) and checks them against the library."""
-        mine = [self.segment(MARK + s) for s in new]
-        theirs = self.lib.encode([s.replace(MARK, " ") for s in new], num_threads=1)
-        for s, a, b in zip(new, mine, theirs):
-            if s and a != b:
+    def _ask(self, chunks: list[tuple[bytes, int]]) -> list[list[int]]:
+        """Encodes new chunks and checks them against the library.  A text's first chunk gets the mark in front."""
+        segments = [(MARK if lead else "") + c.decode().replace(" ", MARK) for c, lead in chunks]
+        mine = [self.segment(s) for s in segments]
+        theirs = self.lib.encode([s[1:].replace(MARK, " ") for s in segments], num_threads=1)
+        for s, a, b in zip(segments, mine, theirs):
+            if s != MARK and a != b:  # the library gives nothing for an empty text
                 raise ValueError(f"agenda and library differ on {s!r}: {a} and {b}")
-            coded = np.array(a, "<u4").tobytes()
-            (self.known if len(s) <= MAX_CACHED_CHARS else table)[s] = coded
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with begin and end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        known, out, start = self.known, [], 0
-        while start < len(texts):
-            stop, chars = start, 0
-            while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BLOCK_CHARS):
-                chars += len(texts[stop])
-                stop += 1
-            cut = [self._cut(t) for t in texts[start:stop]]
-            long: dict[str, bytes] = {}
-            new = list({s for c in cut for s in c if s not in known})
-            if new:
-                self._learn(new, long)
-            for c in cut:
-                body = b"".join([known[s] if s in known else long[s] for s in c] if long else map(known.__getitem__, c))
-                out.append(self.begin + body + self.end)
-            start = stop
-        return out
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Segments of a text, each without its first mark."""
-        if not text:
-            return []
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return [s[1:] for s in SEGMENT.findall(MARK + text.replace(" ", MARK))]
-        return text.split(" ")
-
-    def decode(self, coded: bytes) -> str:
-        return self.lib.decode(np.frombuffer(coded, "<u4").tolist())
+        return mine
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, with begin and end ids; ids per text)."""
+        data, at = raw_bytes(texts)
+        # marks: a blank, or the three bytes of U+2581 itself
+        begin, end = data == 0x20, data == 0x20
+        if len(data) > 2:
+            own = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+            begin[own] = end[own + 2] = True
+        cuts = np.flatnonzero(begin)
+        cuts = cuts[(cuts > 0) & ~end[cuts - 1]]
+        first, leads = chunk_starts(at, cuts, len(data))
+        ids, size = self.table.encode(data, first, leads)
+        n = per_text(first, size, at)
+        out = np.insert(ids, np.repeat(np.cumsum(n), 2), np.tile(np.array([self.lib.eos_id(), self.lib.bos_id()], self.table.dtype), len(n)))
+        # the end of a text is followed by the begin of the next one
+        return np.r_[np.array([self.lib.bos_id()], self.table.dtype), out[:-1]] if len(n) else ids, n + 2
 
 
 def codec(path: str) -> Codec:
@@ -149,25 +134,32 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("__text").to_pylist()]
+def _coded(batch: pa.RecordBatch, c: Codec):
+    """(piece of the batch, its ids as unsigned 32-bit integers, ids per text); the text is the last column."""
+    name = batch.schema.names[-1]
+    for piece in slices(batch, name, BLOCK_BYTES):
+        ids, n = c.encode(piece.column(name))
+        yield piece, ids.astype("<u4"), n
 
 
 def digests(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``n_tokens``, SHA-256 of the ids and of the decoded text."""
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "__text")))
     schema = T.StructType([*src.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
         c = codec(model_path)
         for batch in batches:
-            coded = c.encode(_texts(batch))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], pa.array([len(x) // 4 for x in coded], pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
-                 pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in coded], pa.string())],
-                names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for piece, ids, n in _coded(batch, c):
+                stops = np.cumsum(n).tolist()
+                parts = [ids[a:b] for a, b in zip([0, *stops], stops)]
+                decoded = [c.lib.decode(x.tolist()) for x in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [*[piece.column(k) for k in keep], pa.array(n, pa.int64()),
+                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in parts], pa.string()),
+                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())],
+                    names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return src.mapInArrow(run, schema)
 
@@ -175,19 +167,21 @@ def digests(docs: DataFrame, model_path: str, text_col: str = "text", keep: tupl
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """``docs`` with an array of ids; ``text_col`` becomes the decoded text (null stays null)."""
     keep = [c for c in docs.columns if c != text_col]
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(fresh(docs, "__text")))
+    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
+    schema = T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
     names = [*docs.columns, ids_col]
 
     def run(batches):
         c = codec(model_path)
         for batch in batches:
-            coded = c.encode(_texts(batch))
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype("int32")
-            decoded = pa.array([None if not ok else c.decode(x) for x, ok in zip(coded, batch.column("__text").is_valid().to_pylist())],
-                               pa.string())
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            columns = {k: batch.column(k) for k in keep} | {text_col: decoded, ids_col: ids}
-            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
+            for piece, ids, n in _coded(batch, c):
+                offsets = np.r_[0, np.cumsum(n)]
+                valid = piece.column(piece.num_columns - 1).is_valid().to_pylist()
+                decoded = pa.array([c.lib.decode(ids[a:b].tolist()) if ok else None
+                                    for a, b, ok in zip(offsets.tolist(), offsets[1:].tolist(), valid)], pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(ids.view("<i4")))
+                columns = {k: piece.column(k) for k in keep} | {text_col: decoded, ids_col: lists}
+                yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
 
     return src.mapInArrow(run, schema)
