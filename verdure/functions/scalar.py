@@ -1,7 +1,6 @@
 """Column-level helpers.  All are built-in Spark expressions (codegen friendly)."""
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,17 +31,6 @@ def r6(c) -> Column:
     return F.round(col(c) * 1e6) / 1e6 + F.lit(0.0)
 
 
-def round_half_even(c, digits: int) -> Column:
-    """Python ``round`` semantics (banker's rounding)."""
-    return F.bround(col(c), digits)
-
-
-def finite_or_null(c) -> Column:
-    """NaN / +-Inf -> NULL (Spark ``avg`` would propagate NaN, not skip it)."""
-    c = col(c)
-    return F.when(F.isnan(c) | c.isin(float("inf"), float("-inf")), F.lit(None)).otherwise(c)
-
-
 def sentinel_to_null(c, sentinels=K.SENTINELS) -> Column:
     c = col(c)
     bad = F.isnan(c) | c.isin(float("inf"), float("-inf"))
@@ -92,14 +80,6 @@ def md5_bucket(*keys, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def month_sin(m) -> Column:
-    return F.sin(F.lit(2 * math.pi) * col(m) / 12)
-
-
-def month_cos(m) -> Column:
-    return F.cos(F.lit(2 * math.pi) * col(m) / 12)
-
-
 def season_of(m) -> Column:
     return F.floor((col(m) % 12) / 3).cast("int")
 

@@ -21,20 +21,22 @@ def whole_key(keys, order: str = "date"):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def scaled_index(x: str, keys=("grid_id",), invert=False, scale: float = 1.0) -> Column:
+def scaled_index(x: str, keys=("grid_id",), invert=False, scale: float = 1.0, fit_until: str | None = None) -> Column:
     """(x - q05) / max(q95 - q05, 1e-6), clipped to [0, 1] (times ``scale``);
-    ``invert`` gives scale - value."""
+    ``invert`` gives scale - value.  ``fit_until``: quantiles of the months up to that date only, so that later
+    (test) months do not shape the index."""
     w = whole_key(keys)
-    q = F.percentile(F.col(x), F.array(F.lit(0.05), F.lit(0.95))).over(w)
+    fitted = F.col(x) if fit_until is None else F.when(F.col("date") <= F.lit(fit_until).cast("date"), F.col(x))
+    q = F.percentile(fitted, F.array(F.lit(0.05), F.lit(0.95))).over(w)
     lo, hi = q[0], q[1]
     v = clip((F.col(x) - lo) / F.greatest(hi - lo, F.lit(1e-6)) * scale, 0.0, scale)
     return (F.lit(scale) - v) if invert else v
 
 
 def add_vci_tci_vhi(df: DataFrame, keys=("grid_id",), ndvi="ndvi", lst="lst", clip_vhi=True,
-                    scale: float = 1.0) -> DataFrame:
-    df = df.withColumns({"vci": scaled_index(ndvi, keys, scale=scale),
-                         "tci": scaled_index(lst, keys, invert=True, scale=scale)})
+                    scale: float = 1.0, fit_until: str | None = None) -> DataFrame:
+    df = df.withColumns({"vci": scaled_index(ndvi, keys, scale=scale, fit_until=fit_until),
+                         "tci": scaled_index(lst, keys, invert=True, scale=scale, fit_until=fit_until)})
     vhi = 0.5 * F.col("vci") + 0.5 * F.col("tci")
     return df.withColumn("vhi", clip(vhi, 0.0, scale) if clip_vhi else vhi)
 

@@ -121,12 +121,6 @@ def select_champion(metrics: DataFrame, within: str | None = "protocol") -> Data
     return metrics.orderBy(*order).limit(1)
 
 
-def blend_mean(preds: DataFrame, keys=("grid_id", "date"), pred="y_pred", model="model",
-               blend_name="mean_blend") -> DataFrame:
-    """Mean over models per key."""
-    return preds.groupBy(*keys).agg(F.avg(pred).alias(pred)).withColumn(model, F.lit(blend_name))
-
-
 def blend_weighted(a: Column, b: Column, w: float) -> Column:
     return clip(F.lit(w) * a + F.lit(1 - w) * b, 0.0, 1.0)
 

@@ -18,7 +18,12 @@ def order_window(keys, order: str = "date"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def lag_exprs(cols, lags, keys=("grid_id",)) -> dict[str, Column]:
+def lag_exprs(cols, lags, keys=("grid_id",), calendar: bool = False) -> dict[str, Column]:
+    """Value ``k`` rows before, or with ``calendar`` the value of the month exactly ``k`` months before (NULL where that
+    month is missing): a range frame over the month number, no month spine."""
+    if calendar:
+        w = Window.partitionBy(*keys).orderBy(F.year("date") * 12 + F.month("date"))
+        return {f"{c}_lag_{k}": F.max(c).over(w.rangeBetween(-k, -k)) for c in cols for k in lags}
     w = order_window(keys)
     return {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in cols for k in lags}
 
@@ -50,22 +55,6 @@ def lead_exprs(col, horizons, keys=("grid_id",), prefix="target_vhi_h") -> dict[
     return {f"{prefix}{h}": F.lead(col, h).over(w) for h in horizons}
 
 
-def add_lags(df, cols, lags=K.LAGS, keys=("grid_id",)):
-    return df.withColumns(lag_exprs(cols, lags, keys))
-
-
-def add_roll_mean_past(df, cols, windows=K.ROLLING_WINDOWS, keys=("grid_id",)):
-    return df.withColumns(roll_mean_past_exprs(cols, windows, keys))
-
-
-def add_roll_std_past(df, cols, windows=K.ROLLING_WINDOWS, keys=("grid_id",)):
-    return df.withColumns(roll_std_past_exprs(cols, windows, keys))
-
-
-def add_leads(df, col="vhi", horizons=K.HORIZONS, keys=("grid_id",)):
-    return df.withColumns(lead_exprs(col, horizons, keys))
-
-
 def add_wavelet_causal(df: DataFrame, cols, keys=("grid_id",), window: int = K.WAVELET_WINDOW) -> DataFrame:
     """``<c>_wavelet_approx/detail``: db4 low band of the last <= 12 values of the
     one-step-shifted series (first row back-filled), evaluated at its newest
@@ -115,11 +104,6 @@ def ffill_bfill(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
                                          F.first(c, ignorenulls=True).over(ahead)) for c in cols})
 
 
-def ffill(df: DataFrame, cols, keys=("grid_id",)) -> DataFrame:
-    w = order_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-
-
 def interpolate(df: DataFrame, cols, keys=("grid_id",), order: str = "date") -> DataFrame:
     """Linear interpolation on row position per key; edges take the nearest value
     (pandas ``interpolate(limit_direction='both')`` applied per key)."""

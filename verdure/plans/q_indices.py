@@ -45,6 +45,19 @@ def idx_vhi(spark, d):
     return rounded(vhi_panel(spark, d).select("grid_id", "date", "vhi"))
 
 
+def _until(x, invert=False):
+    lo, hi = (f"quantile_cont(CASE WHEN date <= DATE '1996-12-01' THEN {x} END, {q}) OVER (PARTITION BY grid_id)" for q in (0.05, 0.95))
+    v = S.clip(f"({x} - {lo}) / greatest({hi} - {lo}, 1e-6)", 0.0, 1.0)
+    return f"(1.0 - {v})" if invert else v
+
+
+@register("idx_vhi_fit_until", S.with_(panel=S.PANEL, idx=f"SELECT *, {_until('ndvi')} AS vci, {_until('lst', True)} AS tci FROM panel") + f"""
+SELECT grid_id, CAST(date AS VARCHAR) AS date, {S.r6(S.clip('0.5 * vci + 0.5 * tci', 0.0, 1.0))} AS vhi FROM idx""")
+def idx_vhi_fit_until(spark, d):
+    """VHI whose quantiles come from the training months only."""
+    return rounded(I.add_vci_tci_vhi(FX.panel(spark, d), fit_until="1996-12-01").select("grid_id", "date", "vhi"))
+
+
 @register("prj_severity_vhi", VHI_SQL_CTE + f"""
 SELECT {S.sev_label('vhi')} AS severity, {S.sev_class('vhi')} AS severity_class, COUNT(*) AS n_cells
 FROM vhi GROUP BY 1, 2""")

@@ -37,6 +37,19 @@ def win_lag(spark, d):
     return rounded(v.select("grid_id", "date", *[e.alias(k) for k, e in T.lag_exprs(LAG_SIG, LAGS).items()]))
 
 
+MONTH_NO = "(year(date) * 12 + month(date))"
+
+
+@register("win_lag_calendar", VHI_SQL_CTE + f""", g AS (SELECT * FROM vhi WHERE (CAST(grid_id AS INTEGER) + year(date) * 12 + month(date)) % 9 <> 0)
+SELECT grid_id, {D}, """ + ", ".join(f"{S.r6(f'max({c}) OVER (PARTITION BY grid_id ORDER BY {MONTH_NO} RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING)')} AS {c}_lag_{k}"
+                                     for c in LAG_SIG for k in LAGS) + " FROM g")
+def win_lag_calendar(spark, d):
+    """Lags by calendar month over a panel with missing months."""
+    v = vhi_panel(spark, d)
+    v = v.where((F.col("grid_id").cast("int") + F.year("date") * 12 + F.month("date")) % 9 != 0)
+    return rounded(v.select("grid_id", "date", *[e.alias(k) for k, e in T.lag_exprs(LAG_SIG, LAGS, calendar=True).items()]))
+
+
 RM_SIG = ["ndvi", "lst", "rainfall", "vhi"]
 
 
