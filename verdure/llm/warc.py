@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 MIN_REVISIT_BYTES = 1000
+NO_ID = -(1 << 63)
 PAGES_PER_FILE = 10_000
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -54,18 +55,17 @@ def _record(kind: Column, record_id: Column, uri: Column, headers: list[Column],
 def plan_captures(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, payload_bytes, refers_to, copy: one row a capture."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
+    # a null id is the smallest long in here: plain keys let one exchange serve the grouping and the join
+    p = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                      html.alias("html"))
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "payload_bytes": F.octet_length("html").cast("long")})
     slim = p.groupBy("page_id", "url", "digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("copies"))
     newest = (slim.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("newest")))
     slim = slim.join(newest, "digest", "left")
-    refers = F.when(F.col("newest").isNotNull() & ~F.col("newest").eqNullSafe(F.col("page_id")), F.col("newest"))
-    slim = slim.select(F.col("page_id").alias("s_page"), F.col("url").alias("s_url"), F.col("digest").alias("s_digest"), "copies",
-                       refers.alias("refers_to"))
+    slim = slim.select("page_id", "url", "digest", "copies", F.when(F.col("newest") != F.col("page_id"), F.col("newest")).alias("refers_to"))
     body = p.groupBy("page_id", "url", "digest").agg(F.first("html").alias("html"), F.max("payload_bytes").alias("payload_bytes"))
-    c = body.join(slim, F.col("page_id").eqNullSafe(F.col("s_page")) & (F.col("url") == F.col("s_url"))
-                  & (F.col("digest") == F.col("s_digest"))).drop("s_page", "s_url", "s_digest")
+    c = body.join(slim, ["page_id", "url", "digest"])
+    c = c.withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
     return c.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
