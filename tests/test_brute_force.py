@@ -344,3 +344,23 @@ def test_spatial_exact_count_holds_out_floor_fraction(spark, sf):
     assert held == max(1, int(n * 0.2))
     assert s.count() == p.count()
     assert s.groupBy("grid_id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
+
+
+def test_stream_counts_late_rows_within_the_watermark(spark, tmp_path):
+    from verdure.streaming import history_stream as HS
+    rows = {"2024-01-01": ["2024-01-01 10:00:00"] * 2, "2024-01-03": ["2024-01-03 09:00:00"]}
+    src, sink, ckpt = (str(tmp_path / x) for x in ("src", "sink", "ckpt"))
+
+    def land(day, stamps):
+        df = spark.createDataFrame([(i, "S", "D", 80.0, s, "Severe Drought") for i, s in enumerate(stamps)],
+                                   "id long, state string, district string, risk_score double, created_at string, severity string")
+        df = df.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).withColumn("day", F.lit(day).cast("date"))
+        df.write.mode("append").partitionBy("day").parquet(src)
+        HS.run_available_now(HS.severity_counts_stream(spark, src), sink, ckpt)
+        return {str(r.window.start)[:10]: r.n for r in HS.read_counts(spark, sink).collect()}
+
+    assert land("2024-01-01", rows["2024-01-01"]) == {"2024-01-01": 2}
+    assert land("2024-01-03", rows["2024-01-03"]) == {"2024-01-01": 2, "2024-01-03": 1}
+    # the watermark now stands at 2024-01-02 09:00: a late row of 01-02 counts, one of 01-01 comes too late
+    assert land("2024-01-02", ["2024-01-02 12:00:00"]) == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-03": 1}
+    assert land("2024-01-01", ["2024-01-01 11:00:00"]) == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-03": 1}
