@@ -33,7 +33,7 @@ from .hashing import U, Lookup, lowered, slices, word_hashes
 
 ORDER = 4
 FOLDS, HELD_OUT = 7, 2
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 BLOCK_BYTES = 2 << 20
 START, END = 0xFF, 0xFE  # never in UTF-8: in front of a text, after its last byte
 SYMBOLS = 257
