@@ -18,7 +18,7 @@ P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [None, "", " ", "  a", "a ", "▁", "a▁b", " ▁ x", "\n\n x\n", "é日本 語\t\x00\x1f ok", "　 a", "a" * 3000 + " b", "  \n  ", "it's we'll  x",
-       "same text twice", "same text twice", "Straße İstanbul K"]
+       "same text twice", "same text twice", "a <|endoftext|> b<|endoftext|>", "Straße İstanbul K"]
 
 
 def docs_of(spark, texts, ids=None):
@@ -200,6 +200,7 @@ def test_token_files_hold_the_library_ids(spark, sf, case):
     manifest = tokens.write(docs_of(spark, texts, ids), path, sequence=64, shards=3)
     got = tokens.read_documents(manifest).toPandas().sort_values("doc_id")
     lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     coded = [lib.encode(texts[i] or "", add_special_tokens=False).ids + [0] for i in order]
     n = [len(c) for c in coded]
