@@ -70,3 +70,11 @@ def packed(df: DataFrame, *cols: str) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns packed in ``__row``, some of them replaced."""
     return df.select(*[(new[c] if c in new else F.col(f"__row.`{c}`")).alias(c) for c in columns])
+
+
+#: Rows of a slim table (ids and numbers) that one task writes: small tables make few files, large ones many.
+ROWS_PER_FILE = 100_000
+
+
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_FILE))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import text_of, words
+from .common import files_for, let_sql, text_of, words
 
 SHINGLE = 5
 RADIUS = 3
@@ -54,13 +54,12 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, size: int = SHINGLE)
     two = F.lit((1 << 32) + 1)
     sums = [F.sum(F.shiftrightunsigned("z", b).bitwiseAND(two)).alias(f"s{b}") for b in range(32)]
     t = t.groupBy(*keys).agg(F.count("term").alias("n"), *sums)
-    bits = [F.when(2 * F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1)) > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)]
-    bits += [F.when(2 * F.shiftrightunsigned(f"s{b}", 32) > F.col("n"),
-                    F.lit(-(1 << 63) if b == 31 else 1 << (b + 32))).otherwise(F.lit(0)) for b in range(32)]
-    fp = bits[0].cast("long")
-    for x in bits[1:]:
-        fp = fp.bitwiseOR(x.cast("long"))
-    return t.select(*keys, fp.alias("fp"))
+    # the 64 votes are read from an array in one loop: 64 expressions would make a method too large to compile well
+    votes = t.select(*keys, "n", F.array(*[f"s{b}" for b in range(32)]).alias("s"))
+    low, high = "2 * (v[b] & 4294967295L) > n", "2 * shiftrightunsigned(v[b], 32) > n"
+    fp = F.expr(let_sql("s", "v", "aggregate(sequence(0, 31), 0L, (a, b) -> "
+                        f"a | CASE WHEN {low} THEN shiftleft(1L, b) ELSE 0L END | CASE WHEN {high} THEN shiftleft(1L, b + 32) ELSE 0L END)"))
+    return votes.select(*keys, fp.alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,11 +70,12 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def next_keys(keys: DataFrame) -> DataFrame:
-    """``keys`` (id, h, unique) with next_id, next_h: the next in descending id, then ascending h; after the last the first."""
+def next_keys(keys: DataFrame, files: int | None = None) -> DataFrame:
+    """``keys`` (id, h, unique; written in ``files`` files) with next_id, next_h: the next in descending id, then ascending h; after the last the first."""
     order = [F.col("id").desc(), F.col("h").asc()]
     k = keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    k = cut_lineage(k)
+    # the partition numbers are data from here on
+    k = cut_lineage(k.coalesce(files) if files else k)
     inside = Window.partitionBy("part").orderBy(*order)
     k = k.withColumns({"next": F.lead(F.struct("id", "h")).over(inside), "place": F.row_number().over(inside)})
     # one row a partition: the first key of the next one, the last goes back to the first
@@ -123,7 +123,8 @@ def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, query_ids: int
     ``radius`` for rows whose id ``query_ids`` divides."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_of("text").alias("t"))
     d = d.withColumn("h", F.xxhash64("t"))
-    keys = next_keys(d.groupBy("id", "h").agg(F.count("*").alias("copies"), F.max(F.length("t")).cast("long").alias("n_chars")))
+    files = files_for(docs.count())
+    keys = next_keys(d.groupBy("id", "h").agg(F.count("*").alias("copies"), F.max(F.length("t")).cast("long").alias("n_chars")), files)
     keys = keys.withColumn("need", F.floor(F.col("n_chars") / 2))
     texts = d.groupBy("id", "h").agg(F.first("t").alias("t"))
     front = keys.select("id", "h", "n_chars", "need", "copies", "next_id", "next_h")
@@ -142,7 +143,8 @@ def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, query_ids: int
     fps = fps.groupBy("id", "h", "n_chars", "copies", "next_id", "next_h").agg(
         F.max(F.when(F.col("v") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("v") == 1, F.col("fp"))).alias("edited_fp"),
         F.max("sha").alias("edited_sha256"))
-    fps = cut_lineage(fps)
+    # the texts end here: 100 bytes a document are dealt to a few writers
+    fps = cut_lineage(fps.repartition(files))
     other = fps.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
     out = fps.join(other, ["next_id", "next_h"])
     asked = F.col("id") % query_ids == 0
@@ -150,7 +152,7 @@ def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, query_ids: int
     near = near.groupBy("q").agg((F.sum("docs") - 1).alias("n_near"))
     out = out.join(near, (F.col("fp") == F.col("q")) & asked & (F.col("id") != NULL_ID), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(
+    return out.coalesce(files).select(
         F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
