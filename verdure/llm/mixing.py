@@ -7,7 +7,8 @@ again until the target is met; the word a document copy begins at is put through
 of the demand and gives the copy's training position.  Sorting by position (range partitions)
 gives the training order.
 
-Scale: per-source sums are partial aggregates; the running word count inside a source is a
+Scale: texts are shuffled twice (into the order of their source, and into training order); per-source sums are
+partial aggregates; the running word count inside a source is a
 two-level prefix sum over hash buckets of about ``docs_per_bucket`` documents, so a source with
 a third of all rows is many windows, never one.  Only per-source rows (a handful) and
 per-bucket rows meet in one place.
@@ -59,6 +60,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return s.select("source", "source_size", "source_docs", "weight_place", "target")
 
 
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to be small; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _position(share: Column, place: Column, schedules) -> Column:
     """Training time at which ``share`` of a source's demand is used up: the inverse integral of its schedule."""
     out = share
@@ -81,8 +90,8 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, sc
     sizes = cut_lineage(docs.select(*slim))
     d = docs.select(*slim, *[F.col(c).alias(f"k_{c}") for c in keep]) if keep else sizes
     targets = source_targets(sizes.select("source", "size"), weights, max_repeats)
-    # sources are few, but their number has no proven bound: no broadcast hint, Spark decides by size
-    tg = targets.select(F.col("source").alias("s_source"), "source_size", "source_docs", "weight_place", "target")
+    targets = cut_lineage(targets)
+    tg = small(targets.select(F.col("source").alias("s_source"), "source_size", "source_docs", "weight_place", "target"), targets.count())
     u = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
     bucket = F.shiftright(u * F.ceil(F.col("source_docs") / docs_per_bucket), 32)
 
@@ -93,7 +102,8 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, sc
     per = placed(sizes).groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket")).agg(F.sum("size").alias("b_size"))
     running = Window.partitionBy("b_source").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("b_size").over(running), F.lit(0))).drop("b_size")
-    d = d.join(per, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    per = cut_lineage(per)
+    d = d.join(small(per, per.count()), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     inside = (Window.partitionBy("b_source", "b_bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "h2")
               .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
