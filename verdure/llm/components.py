@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import files_for
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     Links are contracted: (a, b) becomes (smaller label, larger label) until every remaining link is a
     node's pointer to its component's smallest member."""
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
+    count = edges.count()
+    if not count:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         # large star: the larger neighbours of a node go to its smallest neighbour (or itself)
@@ -29,9 +31,11 @@ def components(links: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                                                       F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = cut_lineage(moved.select("x.u", "x.v").where("u <> v").distinct())
+        # links only get fewer: a round is written by as many tasks as their number asks for
+        new = cut_lineage(moved.select("x.u", "x.v").where("u <> v").distinct().coalesce(files_for(count)))
         # done when every node has one pointer and no node pointed at points on
-        state = new.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+        state = new.groupBy("u").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
+        count = state["all"]
         deep = new.select(F.col("v").alias("u")).distinct().join(new, "u", "left_semi")
         edges = new
         if state["n"] == 1 and deep.isEmpty():

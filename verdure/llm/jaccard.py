@@ -2,44 +2,45 @@
 
 A document's set is its distinct word n-grams, as 64-bit hashes.  Sets that link at threshold t
 differ in at most k = (1 - t) / (1 + t) * (|a| + |b|) elements.  Sizes are banded; for each band
-the element domain is partitioned, first into groups, then each group into ``PARTS`` parts, and
-for every group each way of leaving out ``MISSED`` of its parts gives one signature: the
-elements of the parts that stay.  With groups * (MISSED + 1) > k, two sets that link have a group
-with at most MISSED differing elements, hence a signature in common.  A set of a band also signs
+the element domain is partitioned into groups, and each group into two parts.  For every group the subsets of its parts
+that leave one out, so either part, give a signature: the elements in it.  With more than k / 2 groups, two
+sets that link have a group with at most one differing element, hence an equal part.  A set of a band also signs
 for the next band if it can link upwards.
 
-A signature without elements says nothing and is not emitted; ``SPARE`` groups are added so that one
-such group costs no link, and a set that lacks more signs again under another seed (up to
-``SEEDS``), and under the last one also by its empty parts: two sets that link either share a
-signature with elements, or both sign under the next seed.
-
-Documents with equal sets are one set from the start.  Sets under one signature are joined to the
-smallest of them, a star, not all pairs.  The components of the stars are the candidate clusters:
-two sets that link are in the same one.  Clusters are cut into blocks of bounded size; each pair of
-blocks is checked exactly, on the shingles of the texts, in one group that gives back a spanning
-forest of its links.  Components of those links are the result.
-
-Scale: a set has about 0.2 signatures an element; signature and star shuffles carry 16 bytes a row;
-the star needs one grouped minimum (combined before the shuffle) and one join, which AQE splits where a
-signature is hot; only texts in a candidate cluster meet, in groups of two blocks.
+An empty part says nothing and is not emitted.  Where one part of a group is empty, the other also signs with each
+element left out: if the equal part is the empty one, the other parts differ by one element at most, and meet so.  Only a
+group with one element or none may fail; ``spare`` groups are added, so that as many such groups cost no link.  A set
+with more of them signs again under another seed (up to ``SEEDS``), under the last one also by its thin groups: two sets
+that link either share a signature with elements, or both sign under the next seed.  Each band takes the number of
+spare groups that makes for the fewest signatures.
+
+Documents with equal sets are one set (a scan task signs for each once).  Sets under one signature are candidates.  Their
+pairs are first compared by sketches: the domain dealt to 4 k parts, two bits of every part's sum.  Each differing part
+costs a differing element, so more than k of them refute the pair, whatever the bits that happen to agree.  Signatures
+of up to ``PAIRED`` sets give their pairs as rows; larger ones are cut into blocks, each pair of blocks compared in
+one group that gives back a spanning forest.  The components of what is left are clusters: two sets that link are in
+the same one.  Clusters are cut into blocks too, and checked exactly, on the shingles of the texts; again only a
+spanning forest leaves a block.  Components of those links are the result.
+
+Scale: a set has about 0.2 signatures an element at 90 %, 0.7 at 80 %; they are shuffled once, about 13 bytes each.
+Sketches take a ninth of a byte an element at 90 %.  Only texts in a cluster meet, in groups of two blocks.
 """
 from __future__ import annotations
 
-from itertools import combinations
+from math import erfc, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import fresh
+from .common import files_for, fresh
 from .components import components
 from .hashing import U, mix, slices, word_hashes
 
-PARTS, MISSED = 2, 1
 SEEDS = 5
-SPARE = 1
 #: Size bands grow by this many threshold steps: wider ones sign less often upwards, with more groups than needed.
 BAND_STEPS = 2
 
@@ -81,7 +82,28 @@ class Bands:
         high = self.low[1:] - 1
         # integer form of k = (100 - p) * (|a| + |b|) / (100 + p)
         self.k = (100 - percent) * 2 * high // (100 + percent)
-        self.groups = np.where(self.k == 0, 0, -(-(self.k + 1) // (MISSED + 1)) + SPARE)
+        self.spare = np.array([self._spare(int(k), float(n)) for k, n in zip(self.k, self.low)], np.int64)
+        self.groups = np.where(self.k == 0, 0, self._least(self.k) + self.spare)
+
+    @staticmethod
+    def _least(k):
+        return -(-(k + 1) // 2)
+
+    def _spare(self, k: int, n: float) -> int:
+        """Spare groups with the fewest expected signatures for a set of ``n`` elements: more of them cost signatures, fewer
+        make more sets sign again."""
+        least = int(self._least(k))
+        best, fewest = 1, np.inf
+        for spare in sorted({1, 2, 3, *(-(-least * f // 100) for f in range(2, 42, 2))}):
+            groups = least + spare
+            mean = n / groups
+            thin = groups * (1 + mean) * exp(-mean)
+            # chance that more than ``spare`` groups are thin (normal tail, by the error function)
+            again = 0.5 * erfc((spare + 0.5 - thin) / sqrt(2 * max(thin, 1e-9)))
+            cost = groups * sum(again ** i for i in range(SEEDS))
+            if cost < fewest:
+                best, fewest = spare, cost
+        return best
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -109,39 +131,39 @@ def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndar
             element = np.repeat(use, counts)
             owner = np.repeat(np.arange(len(counts)), counts)[element]
             x = mix(h[element] + mix(np.array([seed + 1], U)))
-            n_parts = (bands.groups * PARTS)[band]
-            part = (x % n_parts[owner].astype(U)).astype(np.int64)
+            n_groups = bands.groups[band]
+            slot_of = (x % (2 * n_groups[owner]).astype(U)).astype(np.int64)
             first = np.zeros(len(counts), np.int64)
-            first[who] = np.cumsum(n_parts[who]) - n_parts[who]
-            slot = first[owner] + part
-            total = int(n_parts[who].sum())
+            first[who] = np.cumsum(n_groups[who]) - n_groups[who]
+            slot = 2 * first[owner] + slot_of
+            groups = int(n_groups[who].sum())
             order = np.argsort(slot, kind="stable")
-            s = slot[order]
-            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-            sums, filled = np.zeros(total, U), np.zeros(total, np.int64)
-            if len(s):
-                sums[s[cut]] = np.add.reduceat(mix(x[order] * ODD3), cut)
-                filled[s[cut]] = np.diff(np.r_[cut, len(s)])
-            groups = total // PARTS
-            sums, filled = sums.reshape(groups, PARTS), filled.reshape(groups, PARTS)
-            set_of = np.repeat(who, bands.groups[band][who])
-            group_of = np.arange(groups) - np.repeat(np.cumsum(bands.groups[band][who]) - bands.groups[band][who], bands.groups[band][who])
+            s, part = slot[order], mix(x[order] * ODD3)
+            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            sums, filled = np.zeros(2 * groups, U), np.zeros(2 * groups, np.int64)
+            sums[s[cut]] = np.add.reduceat(part, cut)
+            filled[s[cut]] = np.diff(np.r_[cut, len(s)])
+            set_of = np.repeat(who, n_groups[who])
+            group_of = np.arange(groups) - np.repeat(first[who], n_groups[who])
             key = mix((band[set_of].astype(U) * U(SEEDS) + U(seed)) * ODD1 + group_of.astype(U) * ODD2)
-            empty = np.zeros(groups, bool)
-            last = seed == SEEDS - 1
-            for i, chosen in enumerate(combinations(range(PARTS), PARTS - MISSED)):
-                has = filled[:, chosen].sum(axis=1) > 0
-                # the parts that stay are told apart by their places; an empty one counts too
-                sig = key + U(i + 1) * ODD3
-                for c in chosen:
-                    sig = mix(sig * ODD1 + sums[:, c] + U(c))
-                emit = has | last
-                out_set.append(set_of[emit])
-                out_sig.append(sig[emit])
-                empty |= ~has
-            # one signature in common is sure if fewer groups lack one than were added
-            lacking = np.bincount(set_of[empty], minlength=len(counts)) > SPARE
-            use = use & lacking
+
+            def of(slots, content):
+                return mix((key[slots // 2] + (slots % 2 + 1).astype(U) * ODD3) * ODD1 + content)
+
+            parts = np.flatnonzero(filled)
+            out_set.append(set_of[parts // 2])
+            out_sig.append(of(parts, sums[parts]))
+            # the other part is empty: this one also without each of its elements
+            alone = (filled[s ^ 1] == 0) & (filled[s] > 1)
+            out_set.append(set_of[s[alone] // 2])
+            out_sig.append(of(s[alone], sums[s[alone]] - part[alone]))
+            in_group = filled.reshape(-1, 2).sum(axis=1)
+            if seed == SEEDS - 1:
+                thin = np.flatnonzero(in_group <= 2)
+                out_set.append(set_of[thin])
+                out_sig.append(mix(key[thin] + ODD3))
+            # one signature in common is sure unless more groups are thin than were added
+            use = use & (np.bincount(set_of[in_group <= 1], minlength=len(counts)) > bands.spare[band])
     if not out_set:
         return np.zeros(0, np.int64), np.zeros(0, U)
     return np.concatenate(out_set), np.concatenate(out_sig)
@@ -156,30 +178,211 @@ NULL_IDS = 1 << 62
 BLOCK_ROWS, BLOCK_ELEMENTS = 256, 1 << 17
 
 
+#: Signatures of more sets than this are compared block by block.
+PAIRED = 16
+#: Rows of a block in those comparisons, and of one signature that a task holds before it takes it for a large one.
+SKETCH_BLOCK, HELD = 512, 20_000
+DOC = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64())])
+SIGNED = "sig long, id long, doc struct<doc_id: long, n: long, key1: long, key2: long>"
+
+
 def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row a document: doc_id, n, key1 and key2 (128 bits of its set, null when empty), sigs."""
+    """Two kinds of rows: a document (``doc``: doc_id, n, and key1, key2, 128 bits of its set, null when empty), and a
+    signature with the id of a set."""
 
     def run(batches):
         bands = Bands(percent)
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 h, counts = shingle_sets(batch.column("text").fill_null(""), size)
-                ends = np.cumsum(counts)
-                a, b = np.zeros(len(counts), U), np.zeros(len(counts), U)
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                k1, k2 = np.zeros(len(counts), U), np.zeros(len(counts), U)
                 full = np.flatnonzero(counts)
                 if len(full):
-                    at = (ends - counts)[full]
-                    a[full] = mix(np.add.reduceat(mix(h * ODD1), at) + counts[full].astype(U))
-                    b[full] = mix(np.add.reduceat(mix(h * ODD2 + ODD3), at))
-                who, sig = signatures(h, counts, bands)
-                order = np.argsort(who, kind="stable")
-                per = np.bincount(who, minlength=len(counts))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype("int32")), pa.array(sig[order].view("i8")))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("id"), pa.array(counts, pa.int64()), pa.array(a.view("i8"), mask=counts == 0),
-                     pa.array(b.view("i8"), mask=counts == 0), lists], names=["doc_id", "id", "n", "key1", "key2", "sigs"])
+                    at = (np.cumsum(counts) - counts)[full]
+                    k1[full] = mix(np.add.reduceat(mix(h * ODD1), at) + counts[full].astype(U))
+                    k2[full] = mix(np.add.reduceat(mix(h * ODD2 + ODD3), at))
+                none = counts == 0
+                doc = pa.StructArray.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(k1.view("i8"), mask=none),
+                                                  pa.array(k2.view("i8"), mask=none)], fields=list(DOC))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(U)).view("i8")), pa.array(ids, pa.int64()), doc], names=["sig", "id", "doc"])
+                # equal sets of a piece sign once
+                once = np.zeros(len(counts), bool)
+                once[np.unique(k1, return_index=True)[1]] = True
+                once &= ~none
+                who, sig = signatures(h[np.repeat(once, counts)], counts[once], bands)
+                owner = ids[once][who]
+                for i in range(0, len(sig), 1 << 19):
+                    n = len(sig[i:i + (1 << 19)])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[i:i + n].view("i8")), pa.array(owner[i:i + n], pa.int64()), pa.nulls(n, DOC)],
+                                                     names=["sig", "id", "doc"])
+
+    return _with_ids(docs).mapInArrow(run, SIGNED)
+
+
+def _pairs(sig: np.ndarray, id_: np.ndarray, large):
+    """(pairs of ids under one signature; signatures and ids of large groups) of whole, sorted groups."""
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    size = np.diff(np.r_[first, len(sig)])
+    is_large = (size > PAIRED) | (sig[first] == large if large is not None else False)
+    out = []
+    for z in np.unique(size[(size > 1) & ~is_large]):
+        group = id_[first[(size == z) & ~is_large][:, None] + np.arange(z)]
+        i, j = np.triu_indices(z, 1)
+        out.append(np.stack([np.minimum(group[:, i], group[:, j]).ravel(), np.maximum(group[:, i], group[:, j]).ravel()], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    rows = np.repeat(is_large, size)
+    return pairs[pairs[:, 0] != pairs[:, 1]], sig[rows], id_[rows]
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """The document rows, pairs under small signatures (id, other), and members of large ones (id, large: the
+    signature): one shuffle of the signatures."""
+    names = ["id", "other", "large", "doc"]
+
+    def out(id_, other=None, large=None):
+        n = len(id_)
+        return pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.nulls(n, pa.int64()) if other is None else pa.array(other, pa.int64()),
+                                           pa.nulls(n, pa.int64()) if large is None else pa.array(large, pa.int64()), pa.nulls(n, DOC)], names=names)
+
+    def run(batches):
+        held_sig, held_id, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def give(sig, id_):
+            if len(sig):
+                pairs, s, members = _pairs(sig, id_, large)
+                if len(pairs):
+                    yield out(pairs[:, 0], other=pairs[:, 1])
+                if len(members):
+                    yield out(members, large=s)
+
+        for batch in batches:
+            plain = pc.is_null(batch.column("doc"))
+            docs_ = batch.filter(pc.invert(plain))
+            if docs_.num_rows:
+                n = docs_.num_rows
+                yield pa.RecordBatch.from_arrays([docs_.column("id"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), docs_.column("doc")], names=names)
+            rows = batch.filter(plain)
+            sig = np.r_[held_sig, rows.column("sig").to_numpy()]
+            id_ = np.r_[held_id, rows.column("id").to_numpy()]
+            if not len(sig):
+                continue
+            cut = int(np.searchsorted(sig, sig[-1], side="left"))  # the last group may go on
+            yield from give(sig[:cut], id_[:cut])
+            held_sig, held_id = sig[cut:], id_[cut:]
+            if len(held_sig) > HELD:
+                large = held_sig[0]
+                yield out(held_id, large=held_sig)
+                held_sig, held_id = held_sig[:0], held_id[:0]
+        yield from give(held_sig, held_id)
+
+    dealt = signed.repartition("sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(run, "id long, other long, large long, doc struct<doc_id: long, n: long, key1: long, key2: long>")
+
+
+SKETCH = "id long, n long, band int, own binary, up binary"
+_FIELDS = np.array([sum(1 for f in range(4) if x >> (2 * f) & 3) for x in range(256)], np.int64)
+
+
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """id, n, band and the sketches for the set's band and, if it signs there, the next one."""
+
+    def run(batches):
+        bands = Bands(percent)
+        for whole in batches:
+            for batch in slices(whole, "text", BLOCK_BYTES):
+                h, counts = shingle_sets(batch.column("text").fill_null(""), size)
+                x = mix(h * ODD3 + ODD1)
+                band = bands.of(np.maximum(counts, 1))
+                up = bands.up(counts, band)
+                at = np.cumsum(counts) - counts
+                made = [[], []]
+                for shift in (0, 1):
+                    parts = 4 * np.maximum(1, bands.k[band + shift])
+                    for a, n, m, ok in zip(at.tolist(), counts.tolist(), parts.tolist(), (up if shift else np.ones(len(up), bool)).tolist()):
+                        if not ok or not n:
+                            made[shift].append(None)
+                            continue
+                        e = x[a:a + n]
+                        sums = np.zeros(m, np.uint8)
+                        np.add.at(sums, (e % U(m)).astype(np.int64), ((e >> U(56)).astype(np.uint8) & 3) | 1)
+                        v = (sums & 3).reshape(-1, 4)
+                        made[shift].append((v[:, 0] | v[:, 1] << 2 | v[:, 2] << 4 | v[:, 3] << 6).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(band, pa.int32()),
+                                                  pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())],
+                                                 names=["id", "n", "band", "own", "up"])
+
+    return docs.mapInArrow(run, SKETCH)
+
+
+def may_link(a: dict, b: dict, percent: int) -> bool:
+    """False only if the sketches refute the link."""
+    if abs(a["band"] - b["band"]) > 1:
+        return False
+    if a["band"] > b["band"]:
+        a, b = b, a
+    x, y = a["own"] if a["band"] == b["band"] else a["up"], b["own"]
+    if x is None or y is None:
+        return False
+    d = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+    differ = ((d | d >> 1) & int.from_bytes(b"\x55" * len(x), "little")).bit_count()
+    return differ * (100 + percent) <= (100 - percent) * (a["n"] + b["n"])
+
+
+def _paired_links(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their sketches do not refute."""
+    cols = ["n", "band", "own", "up"]
+    side = {x: sk.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols]) for x in "ab"}
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            keep = [may_link({c: r[f"a_{c}"] for c in cols}, {c: r[f"b_{c}"] for c in cols}, percent) for r in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long")
+
 
-    return _with_ids(docs).mapInArrow(run, "doc_id long, id long, n long, key1 long, key2 long, sigs array<long>")
+def _blocked_links(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b), block by block, of the unrefuted pairs under large signatures (cluster, id)."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / SKETCH_BLOCK).alias("blocks"))
+    m = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sk, "id")
+    m = _block_pairs(m, ["id", "n", "band", "own", "up"])
+
+    def run(table: pa.Table) -> pa.Table:
+        id_, n, band = (table.column(c).to_numpy() for c in ("id", "n", "band"))
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        left, right = block == i, block == j
+        own, up = table.column("own").to_pylist(), table.column("up").to_pylist()
+        found = []
+        for at in np.unique(band):
+            who = np.array([k for k in range(len(id_)) if band[k] == at or band[k] == at - 1 and up[k] is not None])
+            s = np.stack([np.frombuffer(own[k] if band[k] == at else up[k], np.uint8) for k in who])
+            unseen = np.ones(len(who), bool)
+            for root in range(len(who)):
+                if not unseen[root]:
+                    continue
+                unseen[root], front = False, [root]
+                while front:
+                    x = front.pop()
+                    rest = np.flatnonzero(unseen & np.where(left[who[x]], right[who], False) | unseen & np.where(right[who[x]], left[who], False))
+                    if not len(rest):
+                        continue
+                    differ = _FIELDS[s[rest] ^ s[x]].sum(axis=1)
+                    hit = rest[differ * (100 + percent) <= (100 - percent) * (n[who[rest]] + n[who[x]])]
+                    unseen[hit] = False
+                    found.extend((who[x], who[y]) for y in hit.tolist())
+                    front.extend(hit.tolist())
+        return pa.table({"a": pa.array([id_[x] for x, _ in found], pa.int64()), "b": pa.array([id_[y] for _, y in found], pa.int64())})
+
+    return m.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _block_pairs(members: DataFrame, keep: list[str]) -> DataFrame:
+    """``members`` (cluster, block, blocks and ``keep``) once for every pair of blocks (i, j) of its cluster that its own is in."""
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    m = members.select(*keep, "cluster", "block", F.explode(every).alias("other"))
+    return m.select(*keep, "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
 def _with_ids(docs: DataFrame) -> DataFrame:
@@ -232,22 +435,29 @@ def links_within(h: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.
 
 def labelled(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, id, n, component: a row per row of ``docs``; id and component as in ``_with_ids``."""
-    signed = cut_lineage(sign(docs, size, percent))
+    files = files_for(docs.count())
+    found = cut_lineage(candidates(sign(docs, size, percent)).repartition(files))
+    signed = found.where("doc IS NOT NULL").select("id", "doc.*")
     real = signed.where("key1 IS NOT NULL")
     # equal sets: one node, named by the smallest id
     node_of = real.groupBy("key1", "key2").agg(F.min("id").alias("node"))
-    ids = signed.select("id", "key1", "key2", "n").where("key1 IS NOT NULL").distinct()
-    ids = cut_lineage(ids.join(node_of, ["key1", "key2"]).select("id", "node", "n"))
-    # star of every signature: its smallest row, and the others
-    rows = real.select("id", F.explode("sigs").alias("sig"))
-    smallest = rows.groupBy("sig").agg(F.min("id").alias("first"))
-    star = rows.join(smallest, "sig").where("id <> first").select("id", "first").distinct()
-    star = star.join(ids.select("id", "node"), "id").select("first", F.col("node").alias("a"))
-    star = star.join(ids.select(F.col("id").alias("first"), F.col("node").alias("b")), "first").where("a <> b").select("a", "b")
-    clusters = components(star)
-    linked = components(_links(docs, clusters, ids, size, percent))
+    ids = cut_lineage(real.select("id", "key1", "key2", "n").distinct().join(node_of, ["key1", "key2"]).select("id", "node", "n").coalesce(files))
+
+    def at_node(df, col):
+        return df.join(ids.select(F.col("id").alias(col), F.col("node").alias(f"node_{col}")), col).drop(col).withColumnRenamed(f"node_{col}", col)
+
+    pairs = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = at_node(at_node(pairs, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = at_node(found.where("large IS NOT NULL").select("id", F.col("large").alias("cluster")), "id").select("id", "cluster").distinct()
+    pairs, large = cut_lineage(pairs.coalesce(files)), cut_lineage(large.coalesce(files))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
+    texts = sifted(_with_ids(docs).select("id", "text"), "id", sieve(wanted), True)
+    sk = cut_lineage(sketches(texts, size, percent).distinct().coalesce(files))
+    maybe = _paired_links(pairs, sk, percent).unionByName(_blocked_links(large, sk, percent))
+    clusters = components(maybe)
+    linked = components(_links(docs, clusters, ids, size, percent, files))
     named = ids.join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = signed.select("doc_id", "n", "id").join(named, "id", "left")
+    out = signed.select("doc_id", "n", "id").join(named, "id", "left").coalesce(files)
     return out.withColumn("component", F.coalesce("component", "id"))
 
 
@@ -262,17 +472,47 @@ def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` with one document of every component: that with the smallest id (one row, if the id is repeated)."""
+    """``docs`` with one document of every component: that with the smallest id (one row, if the id is repeated).
+
+    Rows that the sieve of removed and repeated ids lets through cannot be among them and stay where they are; only
+    the others are shuffled and decided exactly."""
     id_, gone_ = fresh(docs, "__id"), fresh(docs, "__gone")
-    gone = labelled(docs, size=size, percent=percent).where("id <> component").select(F.col("id").alias(gone_)).distinct()
+    found = cut_lineage(labelled(docs, size=size, percent=percent).select("id", "component"))
+    gone = found.where("id <> component").select(F.col("id").alias(gone_)).distinct()
+    repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    words = cut_lineage(sieve(gone.select(F.col(gone_).alias("id")).unionByName(repeated)).coalesce(files_for(1 << (SIEVE_BITS - 6))))
     text = F.col("text").cast("string")
     stand_in = F.lit(NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(NULL_IDS - 1))
-    kept = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    kept = kept.join(gone, F.col(id_) == F.col(gone_), "left_anti")
-    return kept.dropDuplicates([id_]).select(*docs.columns)
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    clear, doubtful = (sifted(keyed, id_, words, held) for held in (False, True))
+    kept = doubtful.join(gone, F.col(id_) == F.col(gone_), "left_anti").dropDuplicates([id_])
+    return clear.select(*docs.columns).unionByName(kept.select(*docs.columns))
+
 
+SIEVE_BITS = 26
 
-def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+
+def _place(id_: str) -> str:
+    return f"pmod(xxhash64(`{id_}`), {1 << SIEVE_BITS}L)"
+
+
+def sieve(ids: DataFrame) -> DataFrame:
+    """A bitmap of the hashed ``id``s as rows (word, bits): 2^20 of them at most, 16 MB, for any number of ids.  An id
+    that it does not hold is surely none of them; the fuller it is, the more others it holds too."""
+    p = ids.select(F.expr(_place("id")).alias("p"))
+    return p.groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits"))
+
+
+def sifted(df: DataFrame, id_: str, words: DataFrame, held: bool) -> DataFrame:
+    """Rows of ``df`` whose id the sieve holds, or does not.  The broadcast side is bounded by the sieve's size."""
+    word_, bits_ = fresh(df, "__word"), fresh(df, "__bits")
+    w = words.select(F.col("word").alias(word_), F.col("bits").alias(bits_))
+    j = df.join(F.broadcast(w), F.expr(f"shiftright({_place(id_)}, 6)") == F.col(word_), "left")
+    bit = F.expr(f"coalesce(shiftrightunsigned(`{bits_}`, CAST({_place(id_)} & 63 AS INT)) & 1L, 0L)")
+    return j.where(bit == (1 if held else 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, percent: int, files: int) -> DataFrame:
     """Verified links (a, b) that join what links join inside the candidate clusters.
 
     A cluster is cut into blocks of bounded size; every pair of its blocks is one group, in which all
@@ -281,10 +521,11 @@ def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, perc
         clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()).join(ids.select("id", "n"), "id")
     weight = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
     member = member.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    member = member.join(_with_ids(docs).select("id", "text", F.xxhash64("text").alias("h")), "id").dropDuplicates(["id", "cluster", "h"])
-    member = member.select("id", "text", "cluster", "block", F.explode(every).alias("other"))
-    member = member.select("id", "text", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    member = cut_lineage(member.coalesce(files))
+    # texts of ids outside all clusters are left behind before the shuffle
+    texts = sifted(_with_ids(docs).select("id", "text"), "id", sieve(member.select("id")), True)
+    member = member.join(texts.withColumn("h", F.xxhash64("text")), "id").dropDuplicates(["id", "cluster", "h"])
+    member = _block_pairs(member, ["id", "text"])
 
     def verify(table: pa.Table) -> pa.Table:
         h, counts = shingle_sets(table.column("text").combine_chunks(), size)
