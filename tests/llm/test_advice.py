@@ -1,0 +1,20 @@
+"""Cases of the second review: what the operators must find or keep beyond the given tables."""
+from pyspark.sql import functions as F
+
+from verdure.llm import secrets
+
+
+# ------------------------------------------------------------------ op3
+def scanned(spark, rows):
+    """A scanned table with one test a row: (stratum, p, hash of the string)."""
+    return spark.createDataFrame(rows, "stratum string, p double, h long").select(F.array(F.struct("stratum", "p", "h")).alias("z_tests"))
+
+
+def test_secret_cuts_ignore_copies_and_keep_small_strata(spark):
+    uniform = [(i + 0.5) / 1000 for i in range(1000)]
+    rows = [("base62:11", p, i) for i, p in enumerate(uniform)] + [("base62:11", 0.45, 450)] * 100
+    rows += [("base62:12", 0.3, 1)]  # alone
+    rows += [("base64:12", p, i) for i, p in enumerate([0.1, 0.2, 0.3, 0.4, 0.9])]
+    rows += [("hex:11", p, i) for i, p in enumerate(uniform)] + [("hex:11", 0.03, 2000 + i) for i in range(1000)]  # half are not random
+    got = {r.stratum: r.cut for r in secrets.cuts(scanned(spark, rows)).collect()}
+    assert got == {"base62:11": 0.01, "base62:12": 0.01, "base64:12": 0.01, "hex:11": 0.05}

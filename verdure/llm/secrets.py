@@ -7,11 +7,13 @@ about the middle, serial correlation).  Their smallest p-value, corrected for th
 uniform for random strings.  False discoveries are held down per stratum of encoding and length:
 from the share of p-values in the upper half, where only random strings lie in any number, comes
 the number of random strings of the stratum, and the lowest cut is taken at which non-random
-ones make up at most ``q`` of what passes.
+ones make up at most ``q`` of what passes, two standard deviations of that estimate allowed for.
+Each different string counts once, so copies move no cut; a stratum too small to show non-random
+strings has the lowest cut.
 
-Scale: spans are found inside the row that holds the text (no shuffle, no Python).  The strata
-table has at most 5 encodings x 64 lengths x 10 cuts whatever the input, and comes back as one
-scalar map.
+Scale: spans are found inside the row that holds the text (no Python); the different candidates of
+a stratum are counted by a grouped hash.  The strata table has at most 5 encodings x 64 lengths x
+10 cuts whatever the input, and comes back as one scalar map.
 
 Defined results: null text is empty and has no spans; repeated rows each get the same spans; all
 positions are code points, end exclusive; extra columns are left alone.
@@ -32,6 +34,7 @@ HEX = "[0-9a-f]{24,}"  # whole runs of 24 or more, as a run cannot hold a longer
 MIN_VALUE, MIN_ACCESS = 6, 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 Q = 0.05
+NOISE = 2.0  # standard deviations that an estimate may be off by chance
 
 # Fixed alphabets of the encodings, in their value order.
 HEX_LOWER = "0123456789abcdef"
@@ -103,7 +106,7 @@ def _battery(values: str, k: str) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``z_base`` (array of k, s, e by start, then kind) and ``z_tests`` (candidates
-    clear of every base span: s, e, stratum, p)."""
+    clear of every base span: s, e, stratum, p, hash of the string)."""
     df = docs.withColumn("__t", text_of(text_col))
     df = df.withColumns({
         "__assign": F.expr(f"filter({_matches('__t', ASSIGN)}, x -> length(regexp_extract(x.v, {_quoted(ASSIGN)}, 2)) >= {MIN_VALUE})"),
@@ -128,33 +131,36 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         f"y -> named_struct('s', y.s, 'e', y.e, 'b', y.b, 'c', {encoding.replace('b RLIKE', 'y.b RLIKE')})), w -> w.c >= 0 AND length(w.b) >= 20)"))
     df = df.withColumn("__cand", F.expr(
         f"transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'n', {names}[x.c], 'k', length({alphabets}[x.c]), "
-        f"'v', transform(filter(split(x.b, ''), c -> c <> ''), c -> locate(c, {alphabets}[x.c]) - 1)))"))
+        f"'h', xxhash64(x.b), 'v', transform(filter(split(x.b, ''), c -> c <> ''), c -> locate(c, {alphabets}[x.c]) - 1)))"))
     chi, high, runs, serial = _battery("x.v", "x.k")
     df = df.withColumn("__cand", F.expr(
-        f"transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'len', size(x.v), 'chi', {chi}, 'high', {high}, "
+        f"transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'h', x.h, 'len', size(x.v), 'chi', {chi}, 'high', {high}, "
         f"'runs', {runs}, 'serial', {serial}))"))
     m = "(2D * x.high * (x.len - x.high))"
     z_runs = (f"(CASE WHEN x.high = 0 OR x.high = x.len THEN 37D ELSE (x.runs - {m} / x.len - 1) / "
               f"sqrt({m} * ({m} - x.len) / (CAST(x.len AS double) * x.len * (x.len - 1))) END)")
     df = df.withColumn("__cand", F.expr(
-        f"transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'len', x.len, 'p', least({_normal_tail('x.chi')}, "
+        f"transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'h', x.h, 'len', x.len, 'p', least({_normal_tail('x.chi')}, "
         f"2D * {_normal_tail('abs(' + z_runs + ')')}, 2D * {_normal_tail('abs(x.serial)')})))"))
     df = df.withColumn("z_tests", F.expr(
         "transform(__cand, x -> named_struct('s', x.s, 'e', x.e, 'stratum', concat(x.n, ':', CAST(floor(2 * log2(x.len)) AS string)), "
-        "'p', round(1D - pow(1D - least(1D, greatest(0D, x.p)), 3D), 9)))"))
+        "'p', round(1D - pow(1D - least(1D, greatest(0D, x.p)), 3D), 9), 'h', x.h))"))
     return df.drop("__t", "__assign", "__access", "__hex", "__cand")
 
 
 def cuts(scanned: DataFrame, q: float = Q) -> DataFrame:
     """stratum, cut: the lowest p-value cut at which the estimated share of non-random strings is ``q`` at most.
 
-    Random strings number twice those over one half.  A stratum without any has no row."""
-    c = scanned.select(F.explode("z_tests").alias("x")).select("x.stratum", "x.p")
+    Of a stratum's different strings, random ones number twice those over one half.  Were all ``c`` strings over a cut
+    ``a`` random, c - 2 (1 - a) upper would be 0 but for a standard deviation of sqrt(c (1 - 2 a)): ``NOISE`` of these
+    are allowed, which is nothing to speak of in a large stratum and lets a small one keep the lowest cut."""
+    c = scanned.select(F.explode("z_tests").alias("x")).select("x.stratum", "x.h", "x.p")
+    c = c.groupBy("stratum", "h").agg(F.max("p").alias("p"))
     sums = c.groupBy("stratum").agg(F.count_if(F.col("p") > 0.5).alias("upper"),
                                     *[F.count_if(F.col("p") >= a).alias(f"c{i}") for i, a in enumerate(CUTS)])
-    best = F.coalesce(*[F.when(F.col(f"c{i}") - 2 * (1 - a) * F.col("upper") <= q * F.col(f"c{i}"), F.lit(a))
-                        for i, a in enumerate(CUTS)], F.lit(CUTS[-1]))
-    return sums.where("upper > 0").select("stratum", best.alias("cut"))
+    best = F.coalesce(*[F.when(F.col(f"c{i}") - 2 * (1 - a) * F.col("upper") - NOISE * F.sqrt(F.col(f"c{i}") * (1 - 2 * a))
+                               <= q * F.col(f"c{i}"), F.lit(a)) for i, a in enumerate(CUTS)], F.lit(CUTS[-1]))
+    return sums.select("stratum", best.alias("cut"))
 
 
 def with_spans(scanned: DataFrame, cut_table: DataFrame) -> DataFrame:
