@@ -32,7 +32,8 @@ ASSIGN = rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # whole runs of 24 or more, as a run cannot hold a longer one
 MIN_VALUE, MIN_ACCESS = 6, 20
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: ``=`` only as the padding behind a string: in name=value each side is a candidate of its own.
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 Q = 0.05
 NOISE = 2.0  # standard deviations that an estimate may be off by chance
 
@@ -105,8 +106,8 @@ def _battery(values: str, k: str) -> str:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``z_base`` (array of k, s, e by start, then kind) and ``z_tests`` (candidates
-    clear of every base span: s, e, stratum, p, hash of the string)."""
+    """``docs`` with ``z_base`` (array of s, k, e by start, then kind) and ``z_tests`` (candidates,
+    or what base spans leave of them: s, e, stratum, p, hash of the string)."""
     df = docs.withColumn("__t", text_of(text_col))
     df = df.withColumns({
         "__assign": F.expr(f"filter({_matches('__t', ASSIGN)}, x -> length(regexp_extract(x.v, {_quoted(ASSIGN)}, 2)) >= {MIN_VALUE})"),
@@ -117,9 +118,15 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     as_span = "transform({c}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))"
     df = df.withColumn("z_base", F.expr("sort_array(concat({}))".format(
         ", ".join(as_span.format(c=f"__{k}", i=i) for i, k in enumerate(KINDS[:3])))))
-    # the candidate's body without padding, cut free of base spans
-    df = df.withColumn("__cand", F.expr(
-        let_sql("z_base", "z", "filter(__cand, x -> NOT exists(z, b -> b.s < x.e AND x.s < b.e))")))
+    # the parts of a candidate that lie outside base spans
+    part = "named_struct('s', {s}, 'e', {e}, 'v', substring(x.v, {s} - x.s + 1, {e} - {s}))"
+    apart = (f"aggregate(z, named_struct('p', x.s, 'out', CAST(array() AS array<struct<s:int,e:int,v:string>>)), (a, b) -> CASE "
+             f"WHEN b.e <= a.p OR b.s >= x.e THEN a ELSE named_struct('p', b.e, 'out', CASE WHEN b.s > a.p THEN concat(a.out, array("
+             f"{part.format(s='a.p', e='b.s')})) ELSE a.out END) END, a -> CASE WHEN a.p < x.e THEN concat(a.out, array("
+             f"{part.format(s='a.p', e='x.e')})) ELSE a.out END)")
+    df = df.withColumn("__cand", F.expr(let_sql("z_base", "z", "flatten(transform(__cand, x -> CASE WHEN exists(z, b -> b.s < x.e "
+                                                               f"AND x.s < b.e) THEN {apart} ELSE array(x) END))")))
+    # a part's body goes without padding
     encoding = "CASE " + " ".join(
         f"WHEN b RLIKE '^{rx}$' AND (b RLIKE '[0-9]' AND b RLIKE '[A-Za-z]' OR {i} >= 4 AND b RLIKE '[a-z]' AND b RLIKE '[A-Z]') "
         f"THEN {i}" for i, (_, rx, _) in enumerate(ENCODINGS)) + " ELSE -1 END"
