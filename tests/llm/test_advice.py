@@ -1,7 +1,7 @@
 """Cases of the second review: what the operators must find or keep beyond the given tables."""
 from pyspark.sql import functions as F
 
-from verdure.llm import secrets
+from verdure.llm import quality, secrets
 
 
 # ------------------------------------------------------------------ op3
@@ -31,3 +31,13 @@ def test_secret_cuts_ignore_copies_and_keep_small_strata(spark):
     rows += [("hex:11", p, i) for i, p in enumerate(uniform)] + [("hex:11", 0.03, 2000 + i) for i in range(1000)]  # half are not random
     got = {r.stratum: r.cut for r in secrets.cuts(scanned(spark, rows)).collect()}
     assert got == {"base62:11": 0.01, "base62:12": 0.01, "base64:12": 0.01, "hex:11": 0.05}
+
+
+# ------------------------------------------------------------------ op1
+def test_prose_with_the_letters_of_a_phrase_is_kept(spark):
+    prose = "The design industry may assign individuals to " + " ".join(f"task{i}" for i in range(60)) + "."
+    used = "Visitors had to sign up before anyone could read more on " + " ".join(f"topic{i}" for i in range(60)) + "."
+    furniture = ["Click here to read more.", "Copyright 2020 Example Inc. All rights reserved.", "Please sign in."]
+    docs = spark.createDataFrame([(1, prose), (2, "\n".join([prose, *furniture, used]))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert got == {1: prose, 2: prose + "\n" + used}

@@ -11,7 +11,7 @@ rows each get the same result; ids may be null; extra columns are left alone.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ BOILERPLATE_PHRASES = [
     "skip to content", "subscribe to our newsletter", "terms of service", "terms of use",
 ]
 
+#: A line is page furniture if its phrases make up this share of its words.
+PHRASE_PERCENT = 30
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOSS_PERCENT = 40
@@ -42,10 +44,19 @@ def _has_word(line: Column) -> Column:
 
 
 def has_phrase(low: Column) -> Column:
-    """True if a lower-cased text holds a boilerplate phrase."""
+    """True if a lower-cased text holds the letters of a boilerplate phrase."""
     return reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE_PHRASES])
 
 
+def phrase_words(low: Column) -> Column:
+    """Words of a lower-cased text inside boilerplate phrases that stand between word boundaries."""
+    by_size: dict[int, list[str]] = {}
+    for p in BOILERPLATE_PHRASES:
+        by_size.setdefault(len(p.split()), []).append(p)
+    return reduce(add, [n * F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(ps)})(?![\p{{L}}\p{{N}}])"))
+                        for n, ps in sorted(by_size.items())])
+
+
 def line_fails(line: Column, symbols: Column, phrase: Column) -> Column:
     """True if a line with words breaks a rule.  ``symbols``, ``phrase``: whether its document has any at all,
     which spares most lines the costly rules.
@@ -54,7 +65,7 @@ def line_fails(line: Column, symbols: Column, phrase: Column) -> Column:
     * symbols: as many symbol characters as half its words;
     * navigation: two separators or more, one for each five words at least;
     * shouting: ten capitals or more and no small letter;
-    * boilerplate: it holds a known phrase.
+    * boilerplate: known phrases make up ``PHRASE_PERCENT`` of its words; prose that uses one is kept.
     """
     def n(pattern):
         return F.regexp_count(line, F.lit(pattern))
@@ -63,7 +74,7 @@ def line_fails(line: Column, symbols: Column, phrase: Column) -> Column:
             | (symbols & (2 * n(SYMBOLS) >= n(WORD)))
             | (line.rlike(SEPARATORS) & (n(SEPARATORS) >= 2) & (5 * n(SEPARATORS) >= n(WORD)))
             | (~line.rlike(LOWER) & (n(UPPER) >= 10))
-            | (phrase & has_phrase(F.lower(line))))
+            | (phrase & has_phrase(F.lower(line)) & (100 * phrase_words(F.lower(line)) >= PHRASE_PERCENT * n(WORD))))
 
 
 def _chars(lines: Column) -> Column:
