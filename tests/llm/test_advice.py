@@ -1,7 +1,12 @@
 """Cases of the second review: what the operators must find or keep beyond the given tables."""
+import zlib
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verdure.llm import quality, secrets
+from verdure.llm.queries import QUERIES
 
 
 # ------------------------------------------------------------------ op3
@@ -41,3 +46,16 @@ def test_prose_with_the_letters_of_a_phrase_is_kept(spark):
     docs = spark.createDataFrame([(1, prose), (2, "\n".join([prose, *furniture, used]))], "doc_id long, text string")
     got = {r.doc_id: r.text for r in quality.clean(docs).collect()}
     assert got == {1: prose, 2: prose + "\n" + used}
+
+
+# ------------------------------------------------------------------ op6
+def test_token_query_gives_the_plain_library_ids(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b<|endoftext|>", "<|endoftext|>", " x  <|endoftext|>  y", "plain words here", "a\n<|endoftext|> <|endoftext|>\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in QUERIES["op6_token_ids"](spark, str(tmp_path)).collect()}
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert got == {i: (len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for i, c in enumerate(want)}

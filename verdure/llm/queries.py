@@ -51,7 +51,7 @@ def op7_source_mixing(spark, sf_dir):
 def op6_token_ids(spark, sf_dir):
     import public_tokenizers
 
-    return tokens.read_documents(tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return tokens.read_documents(tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False))
 
 
 @query

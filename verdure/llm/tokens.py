@@ -62,13 +62,16 @@ class Encoder:
     """The tokenizers library, asked once per distinct chunk of a worker's stream.
 
     Byte-level pre-tokens never end in a blank between two visible characters and never reach over one, so a text
-    is the concatenation of the chunks cut in front of such blanks, encoded one by one."""
+    is the concatenation of the chunks cut in front of such blanks, encoded one by one.  Strings of special tokens in a
+    text get the special ids, as in the library, or with ``special_as_text`` the ids of ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib.encode_special_tokens = special_as_text
+        # an added token that holds white space, or takes some beside it, could reach over a cut
+        self.whole = any(t.lstrip or t.rstrip or re.search(r"\s", t.content) for t in self.lib.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.table = ChunkTable(self.dtype, self._ask)
 
@@ -84,17 +87,19 @@ class Encoder:
         inside = np.ones(len(data), bool)
         inside[at[:-1][at[:-1] < len(data)]] = False  # a text's first byte
         cuts = blank[inside[blank] & inside[blank + 1] & ~end[blank - 1] & ~begin[blank + 1]]
+        cuts = cuts[:0] if self.whole else cuts
         first, leads = chunk_starts(at, cuts, len(data))
         ids, size = self.table.encode(data, first, np.zeros(len(first), np.int64))
         return ids, per_text(first, size, at)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _LOADED:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    key = (path, special_as_text)
+    if key not in _LOADED:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+        _LOADED[key] = Encoder(path, special_as_text)
+    return _LOADED[key]
 
 
 def _uri(path: str) -> str:
@@ -157,8 +162,9 @@ class _Shard:
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, sequence: int = SEQUENCE, end_id: int = END_ID,
-          shards: int | None = None) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) and returns the manifest: shard, path, n_tokens, first (ids in all shards before)."""
+          shards: int | None = None, special_as_text: bool = True) -> DataFrame:
+    """Writes ``docs`` (doc_id, text) and returns the manifest: shard, path, n_tokens, first (ids in all shards before).
+    With ``special_as_text`` off, a special token's string in a text gets its special id, as the library gives it."""
     spark = docs.sparkSession
     folder = _uri(folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-ids-{uuid4().hex}")
     from pyarrow import fs
@@ -172,7 +178,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, se
     def run(batches):
         from pyspark import TaskContext
 
-        e, shard = encoder(tokenizer_path), None
+        e, shard = encoder(tokenizer_path, special_as_text), None
         end = np.array([end_id], e.dtype).tobytes()
         k = TaskContext.get().partitionId()
         path = f"{folder}/shard-{k:06d}-{uuid4().hex}.arrow"
