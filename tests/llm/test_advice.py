@@ -1,11 +1,12 @@
 """Cases of the second review: what the operators must find or keep beyond the given tables."""
+import textwrap
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdure.llm import quality, secrets
+from verdure.llm import licenses, quality, secrets
 from verdure.llm.queries import QUERIES
 
 
@@ -59,3 +60,23 @@ def test_token_query_gives_the_plain_library_ids(spark, tmp_path):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     assert got == {i: (len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for i, c in enumerate(want)}
+
+
+# ------------------------------------------------------------------ op9
+def test_licence_texts_headers_and_tags_are_known(spark):
+    full = dict(licenses.FULL_TEXTS)
+
+    def file_of(name, width=72):
+        paragraphs = full[name].strip().split("\n\n")
+        return "Copyright (c) 2021 Some Person\nAll rights reserved.\n\n" + "\n\n".join(textwrap.fill(q, width) for q in paragraphs)
+
+    gpl = textwrap.fill("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+                        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+                        "any later version.", 70)
+    rows = [(i, f"{name}/LICENSE", file_of(name), name) for i, name in enumerate(full)]
+    rows += [(100, "MIT/src/a.py", "x = 1", "MIT"), (101, "gpl.py", "".join(f"# {x}\n" for x in gpl.split("\n")) + "\nx = 1", "GPL-3.0"),
+             (102, "mit.c", "/*\n" + "".join(f" * {x}\n" for x in file_of("MIT").split("\n")) + " */\nint x;\n" * 3, "MIT"),
+             (103, "tag.c", "// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0"),
+             (104, "two.c", "# spdx-license-identifier: MIT OR Apache-2.0\n", "MIT OR Apache-2.0"), (105, "p.c", "All rights reserved.", "Proprietary")]
+    found = licenses.scan(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string"))
+    assert {r.doc_id: r.license for r in found.collect()} == {r[0]: r[3] for r in rows}

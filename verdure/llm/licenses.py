@@ -1,8 +1,10 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Header statements (every line that speaks of licensing) and licence files (the whole text) become
-sparse TF-IDF vectors; their cosine to each template is a join on terms and a grouped sum.  The best template
-over the threshold is a file's own licence.  A file without one takes that of the nearest ancestor
+Header statements (every line, and every run of lines between empty ones, that speaks of licensing) and
+licence files (the whole text) become sparse TF-IDF vectors; their cosine to each template is a join on
+terms and a grouped sum.  Templates are statements, and the full texts in ``license_texts``, each group with
+its own document frequencies.  An SPDX tag counts as a statement of score 1.  Of what is over the threshold,
+full texts come before statements and "All rights reserved" comes last; the best is a file's own licence.  A file without one takes that of the nearest ancestor
 directory that holds a licence file with one: directories are exploded into their ancestors, joined
 to the licensed directories, and the nearest wins.
 
@@ -18,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +56,19 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+# Full texts, by SPDX identifier.  Headers repeat the paragraphs of the shortest one.
+FULL_TEXTS = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+LONG_TEMPLATES = [*FULL_TEXTS, *((n, q) for n, t in FULL_TEXTS if n == "MIT" for q in t.strip().split("\n\n"))]
+SPDX_TAG = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9.+(-][a-z0-9.+()-]*(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+()-]+)*)"
+SPDX_NAMES = {n.lower(): n for n, _ in [*TEMPLATES, *FULL_TEXTS]}
+DECORATION = r"(?m)^[\s&&[^\n]]*[#/*;!%<>\"'-]*[\s&&[^\n]]*|[\s&&[^\n]]*[*/#>-]*[\s&&[^\n]]*$"
+
+
+def spdx_license(tag: Column) -> Column:
+    """The licence of an SPDX tag: a known identifier in its usual spelling, with or without version range, or the tag's own words."""
+    known = F.create_map(*[F.lit(x) for kv in SPDX_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(tag), r"(-only|-or-later|\+)$", "")), tag)
+
 
 def template_vectors(templates=TEMPLATES):
     """(rows template, license, term, weight of its unit vector; idf by term; idf of a term in no template)."""
@@ -67,19 +84,33 @@ def template_vectors(templates=TEMPLATES):
 
 def own_licenses(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, h, license, score of every file (doc_id, path, h, text) with a licence of its own."""
-    spark = files.sparkSession
-    rows, idf, other = template_vectors(templates)
-    vectors = spark.createDataFrame(rows, "template int, license string, term string, weight double")
-    weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     low = lower_az(F.col("text"))
     speaks = files.where(low.rlike(CUE)).withColumn("low", low)
-    units = speaks.withColumn("units", F.concat(F.filter(F.split("low", "\n"), lambda x: x.rlike(CUE)),
+    runs = F.split(F.regexp_replace("low", DECORATION, ""), "\n{2,}")
+    units = speaks.withColumn("units", F.concat(F.filter(F.split("low", "\n"), lambda x: x.rlike(CUE)), F.filter(runs, lambda x: x.rlike(CUE)),
                                                 F.when(F.col("path").rlike(LICENSE_FILE), F.array("low")).otherwise(F.array())))
     key = ["doc_id", "path", "h"]
     # equal units of a file count once
     units = units.select(*key, F.explode(F.array_distinct("units")).alias("unit"))
     units = units.select(*key, F.xxhash64("unit").alias("unit"), F.explode(F.regexp_extract_all("unit", F.lit(TERM), F.lit(0))).alias("term"))
     tf = units.groupBy(*key, "unit", "term").agg(F.count("*").alias("tf"))
+    scored = [_scores(tf, key, templates, 0), _scores(tf, key, LONG_TEMPLATES, len(FULL_TEXTS))]
+    tags = speaks.select(*key, F.explode(F.regexp_extract_all("text", F.lit(SPDX_TAG), F.lit(1))).alias("tag"))
+    scored.append(tags.select(*key, F.lit(0).alias("full"), F.lit(0).alias("template"), spdx_license(F.col("tag")).alias("license"),
+                              F.lit(1.0).alias("score")))
+    scored = reduce(DataFrame.unionByName, scored).where(F.col("score") >= threshold)
+    best = scored.groupBy(*key).agg(F.max(F.struct((F.col("license") != "Proprietary").alias("specific"), "full", "score",
+                                                   (-F.col("template")).alias("t"), "license")).alias("b"))
+    return best.select(*key, "b.license", "b.score")
+
+
+def _scores(tf: DataFrame, key: list[str], templates: list, full: int) -> DataFrame:
+    """key, full (1 for one of the first ``full`` templates), template, license, score: cosines of the units in ``tf``
+    (key, unit, term, tf) to the templates they share a term with."""
+    spark = tf.sparkSession
+    rows, idf, other = template_vectors(templates)
+    vectors = spark.createDataFrame(rows, "template int, license string, term string, weight double")
+    weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     # both tables hold the fixed templates' terms only
     tf = tf.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = tf.groupBy(*key, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
@@ -87,9 +118,8 @@ def own_licenses(files: DataFrame, *, templates=TEMPLATES, threshold: float = TH
     dots = norms.select(*key, "unit", "norm", F.explode("terms").alias("x")).select(*key, "unit", "norm", "x.term", "x.w").join(
         F.broadcast(vectors), "term")
     dots = dots.groupBy(*key, "unit", "template", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy(*key).agg(F.max(F.struct("score", (-F.col("template")).alias("t"), "license")).alias("b"))
-    return best.select(*key, "b.license", "b.score")
+    return dots.select(*key, (F.col("template") < full).cast("int").alias("full"), "template", "license",
+                       F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
 
 
 def directory(path: Column) -> Column:
