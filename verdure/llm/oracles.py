@@ -209,3 +209,20 @@ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+# ---------------------------------------------------------------- op11
+ORACLES["op11_chat_formatting"] = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '(\[)(/?(SYS|INST|ROLE|NONE)\]|(ANS|TEXT|NEXT)\])', '\1\\\2', 'g'),
+    '(<)(/?s>)', '\1\\\2', 'g')) AS escaped,
+  length(regexp_replace(regexp_replace(replace(coalesce(role, ''), '\', '\\'), '(\[)(/?(SYS|INST|ROLE|NONE)\]|(ANS|TEXT|NEXT)\])', '\1\\\2', 'g'),
+    '(<)(/?s>)', '\1\\\2', 'g')) AS escaped_role,
+  row_number() OVER w AS k, row_number() OVER w = 1 OR lag(role) OVER w IS DISTINCT FROM role AS opens FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
+m AS (SELECT *, escaped + CASE WHEN NOT opens THEN 6 WHEN role IS NULL THEN 13 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13
+  WHEN role = 'assistant' THEN 9 ELSE 19 + escaped_role END AS chars FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, (3 + sum(chars))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id"""
