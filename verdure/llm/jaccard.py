@@ -14,16 +14,28 @@ with more of them signs again under another seed (up to ``SEEDS``), under the la
 that link either share a signature with elements, or both sign under the next seed.  Each band takes the number of
 spare groups that makes for the fewest signatures.
 
-Documents with equal sets are one set (a scan task signs for each once).  Sets under one signature are candidates.  Their
-pairs are first compared by sketches: the domain dealt to 4 k parts, two bits of every part's sum.  Each differing part
-costs a differing element, so more than k of them refute the pair, whatever the bits that happen to agree.  Signatures
-of up to ``PAIRED`` sets give their pairs as rows; larger ones are cut into blocks, each pair of blocks compared in
-one group that gives back a spanning forest.  The components of what is left are clusters: two sets that link are in
-the same one.  Clusters are cut into blocks too, and checked exactly, on the shingles of the texts; again only a
-spanning forest leaves a block.  Components of those links are the result.
-
-Scale: a set has about 0.2 signatures an element at 90 %, 0.7 at 80 %; they are shuffled once, about 13 bytes each.
-Sketches take a ninth of a byte an element at 90 %.  Only texts in a cluster meet, in groups of two blocks.
+A set is named by 64 bits of its content, so documents with equal sets are one set (a scan task signs for each once), and
+ids, null or repeated, play no part until the result.  Sets under one signature are candidates.  A signature of up to
+``PAIRED`` sets gives their pairs as rows.  A signature of more is hot, and most often one of a few shingles that many
+documents quote.  ``HOT_SPARE`` percent of further groups make most sets independent of such signatures: two sets that
+link share signatures of 1 + spare - thin groups at least, so if either of them has fewer hot signatures than that, they
+meet under another one too.  Only sets with as many hot ones (``exposed``) are compared under these.
+
+Candidates are first compared by sketches: the domain dealt to 4 k parts, two bits of every part's sum.  Each differing
+part costs a differing element, so more than k of them refute the pair, whatever the bits that happen to agree.  Pairs are
+compared as rows, exposed sets under a hot signature block by block, where only a spanning forest leaves a group.  The
+components of what is left are clusters: two sets that link are in the same one.  In a cluster every set is checked
+exactly, on the shingles of the texts, against the first one; the sets that do not link with it, if any, against all
+others, block by block.  Components of those links are the result.
+
+Scale: a set has about 0.2 signatures an element at 90 %, 0.6 at 80 %; they are shuffled once, about 13 bytes each.
+Pairs grow with the signatures, whatever the number of documents.  Sketches take a ninth of a byte an element at 90 %.
+Only texts in a cluster move, once where all link with the first one.  Two things may grow faster than the input: exposed sets
+under a hot signature that do not link, and clusters in which many do not link with the first.
+
+Defined results: null and empty texts, and texts without words, are empty sets, linked with nothing.  Null ids take part;
+repeated rows are one set.  Extra columns are ignored by ``join`` and kept by ``deduplicate``.  Empty tables give no rows.  A
+text of any length is worked on whole, by itself, with some 100 bytes a word.
 """
 from __future__ import annotations
 
@@ -41,6 +53,8 @@ from .components import components
 from .hashing import U, mix, slices, word_hashes
 
 SEEDS = 5
+#: Groups added, in percent of those needed, so that hot signatures can be done without.
+HOT_SPARE = 10
 #: Size bands grow by this many threshold steps: wider ones sign less often upwards, with more groups than needed.
 BAND_STEPS = 2
 
@@ -82,7 +96,7 @@ class Bands:
         high = self.low[1:] - 1
         # integer form of k = (100 - p) * (|a| + |b|) / (100 + p)
         self.k = (100 - percent) * 2 * high // (100 + percent)
-        self.spare = np.array([self._spare(int(k), float(n)) for k, n in zip(self.k, self.low)], np.int64)
+        self.spare = np.array([self._spare(int(k), float(n)) for k, n in zip(self.k, self.low)], np.int64) + -(-self._least(self.k) * HOT_SPARE // 100)
         self.groups = np.where(self.k == 0, 0, self._least(self.k) + self.spare)
 
     @staticmethod
@@ -113,9 +127,11 @@ class Bands:
         return sizes * 100 >= self.low[band + 1] * self.percent
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of every signature of the sets in ``h`` (concatenated, ``counts`` each)."""
+def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, signature) of every signature of the sets in ``h`` (concatenated, ``counts`` each), and for every
+    set, how many signatures it has at least in common with any set it links with."""
     out_set, out_sig = [], []
+    slack = np.full(len(counts), 1 << 40)
     sizes = counts.astype(np.int64)
     mine = bands.of(np.maximum(sizes, 1))
     alive = sizes > 0
@@ -163,121 +179,159 @@ def signatures(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndar
                 out_set.append(set_of[thin])
                 out_sig.append(mix(key[thin] + ODD3))
             # one signature in common is sure unless more groups are thin than were added
-            use = use & (np.bincount(set_of[in_group <= 1], minlength=len(counts)) > bands.spare[band])
+            thin_groups = np.bincount(set_of[in_group <= 1], minlength=len(counts))
+            if not seed:
+                slack[who] = np.minimum(slack[who], np.maximum(0, 1 + bands.spare[band] - thin_groups)[who])
+            use = use & (thin_groups > bands.spare[band])
     if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(out_set), np.concatenate(out_sig)
+        return np.zeros(0, np.int64), np.zeros(0, U), slack
+    return np.concatenate(out_set), np.concatenate(out_sig), slack
 
 
 #: Texts are worked on in pieces of about this many bytes.
 BLOCK_BYTES = 4 << 20
 
-#: Ids given to rows without one: above every real id.
-NULL_IDS = 1 << 62
 #: A block of a candidate cluster: rows, and elements of their sets.
 BLOCK_ROWS, BLOCK_ELEMENTS = 256, 1 << 17
 
 
-#: Signatures of more sets than this are compared block by block.
-PAIRED = 16
-#: Rows of a block in those comparisons, and of one signature that a task holds before it takes it for a large one.
+#: Signatures of more sets than this are hot.
+PAIRED = 8
+#: Rows of a block in the comparisons of hot signatures, and of one signature that a task holds before it takes it for a hot one.
 SKETCH_BLOCK, HELD = 512, 20_000
-DOC = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64())])
-SIGNED = "sig long, id long, doc struct<doc_id: long, n: long, key1: long, key2: long>"
+DOC = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("slack", pa.int64())])
+DOC_SQL = "doc struct<doc_id: long, row: long, n: long, slack: long>"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and ``row``: a hash of both, which names what repeated rows share."""
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(id_.alias("doc_id"), text.alias("text"), row_of(id_, text).alias("row"))
+
+
+def row_of(id_, text):
+    return F.xxhash64(id_.isNull(), id_, text.isNull(), text)
+
+
+def names(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 bits of the content of every set; 0 for an empty one."""
+    name = np.zeros(len(counts), U)
+    full = np.flatnonzero(counts)
+    if len(full):
+        name[full] = mix(np.add.reduceat(mix(h * ODD1), (np.cumsum(counts) - counts)[full]) + counts[full].astype(U))
+    return name.view("i8")
 
 
 def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Two kinds of rows: a document (``doc``: doc_id, n, and key1, key2, 128 bits of its set, null when empty), and a
-    signature with the id of a set."""
+    """Two kinds of rows: a row of ``docs`` (id: its set's name; doc: doc_id, row, n, and slack if it is one that signs), and a signature of
+    the set ``id``."""
 
     def run(batches):
         bands = Bands(percent)
         for whole in batches:
             for batch in slices(whole, "text", BLOCK_BYTES):
                 h, counts = shingle_sets(batch.column("text").fill_null(""), size)
-                ids = batch.column("id").to_numpy(zero_copy_only=False)
-                k1, k2 = np.zeros(len(counts), U), np.zeros(len(counts), U)
-                full = np.flatnonzero(counts)
-                if len(full):
-                    at = (np.cumsum(counts) - counts)[full]
-                    k1[full] = mix(np.add.reduceat(mix(h * ODD1), at) + counts[full].astype(U))
-                    k2[full] = mix(np.add.reduceat(mix(h * ODD2 + ODD3), at))
-                none = counts == 0
-                doc = pa.StructArray.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(k1.view("i8"), mask=none),
-                                                  pa.array(k2.view("i8"), mask=none)], fields=list(DOC))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(ids.view(U)).view("i8")), pa.array(ids, pa.int64()), doc], names=["sig", "id", "doc"])
+                name = names(h, counts)
                 # equal sets of a piece sign once
                 once = np.zeros(len(counts), bool)
-                once[np.unique(k1, return_index=True)[1]] = True
-                once &= ~none
-                who, sig = signatures(h[np.repeat(once, counts)], counts[once], bands)
-                owner = ids[once][who]
+                once[np.unique(name, return_index=True)[1]] = True
+                once &= counts > 0
+                who, sig, slack = signatures(h[np.repeat(once, counts)], counts[once], bands)
+                every = np.zeros(len(counts), np.int64)
+                every[once] = slack
+                doc = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(every, mask=~once)],
+                                                 fields=list(DOC))
+                dealt = mix(batch.column("row").to_numpy(zero_copy_only=False).view(U)).view("i8")
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(name), doc], names=["sig", "id", "doc"])
+                owner = name[once][who]
                 for i in range(0, len(sig), 1 << 19):
                     n = len(sig[i:i + (1 << 19)])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[i:i + n].view("i8")), pa.array(owner[i:i + n], pa.int64()), pa.nulls(n, DOC)],
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[i:i + n].view("i8")), pa.array(owner[i:i + n]), pa.nulls(n, DOC)],
                                                      names=["sig", "id", "doc"])
 
-    return _with_ids(docs).mapInArrow(run, SIGNED)
+    return _rows(docs).mapInArrow(run, "sig long, id long, " + DOC_SQL)
 
 
-def _pairs(sig: np.ndarray, id_: np.ndarray, large):
-    """(pairs of ids under one signature; signatures and ids of large groups) of whole, sorted groups."""
+def _pairs(sig: np.ndarray, id_: np.ndarray, hot):
+    """(pairs of sets under one signature; signatures and sets of hot ones) of whole groups, sorted by signature."""
+    order = np.lexsort((id_, sig))
+    sig, id_ = sig[order], id_[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (id_[1:] != id_[:-1])]
+    sig, id_ = sig[new], id_[new]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[first, len(sig)])
-    is_large = (size > PAIRED) | (sig[first] == large if large is not None else False)
+    is_hot = (size > PAIRED) | (sig[first] == hot if hot is not None else False)
     out = []
-    for z in np.unique(size[(size > 1) & ~is_large]):
-        group = id_[first[(size == z) & ~is_large][:, None] + np.arange(z)]
+    for z in np.unique(size[(size > 1) & ~is_hot]):
+        group = id_[first[(size == z) & ~is_hot][:, None] + np.arange(z)]
         i, j = np.triu_indices(z, 1)
-        out.append(np.stack([np.minimum(group[:, i], group[:, j]).ravel(), np.maximum(group[:, i], group[:, j]).ravel()], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    rows = np.repeat(is_large, size)
-    return pairs[pairs[:, 0] != pairs[:, 1]], sig[rows], id_[rows]
+        out.append(np.stack([group[:, i].ravel(), group[:, j].ravel()], axis=1))
+    rows = np.repeat(is_hot, size)
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64), sig[rows], id_[rows]
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]] if len(pairs) else pairs
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """The document rows, pairs under small signatures (id, other), and members of large ones (id, large: the
-    signature): one shuffle of the signatures."""
-    names = ["id", "other", "large", "doc"]
+    """The document rows, pairs of sets under small signatures (id, other), each once a task, and sets of hot ones (id, hot:
+    the signature): one shuffle of the signatures."""
+    columns = ["id", "other", "hot", "doc"]
 
-    def out(id_, other=None, large=None):
+    def out(id_, other=None, hot=None):
         n = len(id_)
         return pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.nulls(n, pa.int64()) if other is None else pa.array(other, pa.int64()),
-                                           pa.nulls(n, pa.int64()) if large is None else pa.array(large, pa.int64()), pa.nulls(n, DOC)], names=names)
+                                           pa.nulls(n, pa.int64()) if hot is None else pa.array(hot, pa.int64()), pa.nulls(n, DOC)], names=columns)
 
     def run(batches):
-        held_sig, held_id, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-        def give(sig, id_):
-            if len(sig):
-                pairs, s, members = _pairs(sig, id_, large)
-                if len(pairs):
-                    yield out(pairs[:, 0], other=pairs[:, 1])
-                if len(members):
-                    yield out(members, large=s)
+        held_sig, held_id, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        held_pairs, known = [np.zeros((0, 2), np.int64)], 0
 
         for batch in batches:
             plain = pc.is_null(batch.column("doc"))
             docs_ = batch.filter(pc.invert(plain))
             if docs_.num_rows:
                 n = docs_.num_rows
-                yield pa.RecordBatch.from_arrays([docs_.column("id"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), docs_.column("doc")], names=names)
+                yield pa.RecordBatch.from_arrays([docs_.column("id"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), docs_.column("doc")], names=columns)
             rows = batch.filter(plain)
             sig = np.r_[held_sig, rows.column("sig").to_numpy()]
             id_ = np.r_[held_id, rows.column("id").to_numpy()]
             if not len(sig):
                 continue
             cut = int(np.searchsorted(sig, sig[-1], side="left"))  # the last group may go on
-            yield from give(sig[:cut], id_[:cut])
             held_sig, held_id = sig[cut:], id_[cut:]
+            if cut:
+                pairs, s, members = _pairs(sig[:cut], id_[:cut], hot)
+                held_pairs.append(pairs)
+                if len(members):
+                    yield out(members, hot=s)
             if len(held_sig) > HELD:
-                large = held_sig[0]
-                yield out(held_id, large=held_sig)
-                held_sig, held_id = held_sig[:0], held_id[:0]
-        yield from give(held_sig, held_id)
+                distinct = np.unique(held_id)
+                if hot is not None and hot == held_sig[0] or len(distinct) > HELD // 2:
+                    hot = held_sig[0]
+                    yield out(distinct, hot=np.full(len(distinct), hot))
+                    held_sig, held_id = held_sig[:0], held_id[:0]
+                else:
+                    held_sig, held_id = held_sig[:len(distinct)], distinct
+            if sum(map(len, held_pairs)) > 2 * known + (1 << 18):
+                held_pairs = [_distinct(np.concatenate(held_pairs))]
+                known = len(held_pairs[0])
+                if known > 1 << 20:
+                    yield out(held_pairs[0][:, 0], other=held_pairs[0][:, 1])
+                    held_pairs, known = [held_pairs[0][:0]], 0
+        if len(held_sig):
+            pairs, s, members = _pairs(held_sig, held_id, hot)
+            held_pairs.append(pairs)
+            if len(members):
+                yield out(members, hot=s)
+        last = _distinct(np.concatenate(held_pairs))
+        if len(last):
+            yield out(last[:, 0], other=last[:, 1])
 
     dealt = signed.repartition("sig").sortWithinPartitions("sig")
-    return dealt.mapInArrow(run, "id long, other long, large long, doc struct<doc_id: long, n: long, key1: long, key2: long>")
+    return dealt.mapInArrow(run, "id long, other long, hot long, " + DOC_SQL)
 
 
 SKETCH = "id long, n long, band int, own binary, up binary"
@@ -285,7 +339,7 @@ _FIELDS = np.array([sum(1 for f in range(4) if x >> (2 * f) & 3) for x in range(
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, n, band and the sketches for the set's band and, if it signs there, the next one."""
+    """id, n, band and the sketches for the set's band and, if it signs there, the next one; ``docs``: id, text."""
 
     def run(batches):
         bands = Bands(percent)
@@ -344,8 +398,11 @@ def _paired_links(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocked_links(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest (a, b), block by block, of the unrefuted pairs under large signatures (cluster, id)."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / SKETCH_BLOCK).alias("blocks"))
+    """A spanning forest (a, b), block by block, of the unrefuted pairs under hot signatures (cluster, id)."""
+    # signatures of the same sets are compared once: their number and two exclusive ors of hashes tell
+    alike = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    blocks = members.groupBy("cluster").agg(F.count("*").alias("sets"), *alike).where("sets > 1").groupBy("sets", "x0", "x1").agg(
+        F.min("cluster").alias("cluster")).select("cluster", F.ceil(F.col("sets") / SKETCH_BLOCK).alias("blocks"))
     m = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sk, "id")
     m = _block_pairs(m, ["id", "n", "band", "own", "up"])
 
@@ -385,14 +442,6 @@ def _block_pairs(members: DataFrame, keep: list[str]) -> DataFrame:
     return m.select(*keep, "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def _with_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``id``: the doc_id, or for a row without one a number above every real id, from its text."""
-    text = F.col("text").cast("string")
-    stand_in = F.lit(NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(NULL_IDS - 1))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"))
-
-
 def links_within(h: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets flagged ``left`` and those flagged ``right``.
 
@@ -434,59 +483,57 @@ def links_within(h: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.
 
 
 def labelled(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, id, n, component: a row per row of ``docs``; id and component as in ``_with_ids``."""
-    files = files_for(docs.count())
-    found = cut_lineage(candidates(sign(docs, size, percent)).repartition(files))
+    """doc_id, row, n, id, component: a row per row of ``docs``; ``row`` as in ``_rows``, id and component names of sets (0: an empty one)."""
+    found = cut_lineage(candidates(sign(docs, size, percent)))
     signed = found.where("doc IS NOT NULL").select("id", "doc.*")
-    real = signed.where("key1 IS NOT NULL")
-    # equal sets: one node, named by the smallest id
-    node_of = real.groupBy("key1", "key2").agg(F.min("id").alias("node"))
-    ids = cut_lineage(real.select("id", "key1", "key2", "n").distinct().join(node_of, ["key1", "key2"]).select("id", "node", "n").coalesce(files))
-
-    def at_node(df, col):
-        return df.join(ids.select(F.col("id").alias(col), F.col("node").alias(f"node_{col}")), col).drop(col).withColumnRenamed(f"node_{col}", col)
-
-    pairs = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = at_node(at_node(pairs, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    large = at_node(found.where("large IS NOT NULL").select("id", F.col("large").alias("cluster")), "id").select("id", "cluster").distinct()
-    pairs, large = cut_lineage(pairs.coalesce(files)), cut_lineage(large.coalesce(files))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
-    texts = sifted(_with_ids(docs).select("id", "text"), "id", sieve(wanted), True)
-    sk = cut_lineage(sketches(texts, size, percent).distinct().coalesce(files))
-    maybe = _paired_links(pairs, sk, percent).unionByName(_blocked_links(large, sk, percent))
-    clusters = components(maybe)
-    linked = components(_links(docs, clusters, ids, size, percent, files))
-    named = ids.join(linked, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = signed.select("doc_id", "n", "id").join(named, "id", "left").coalesce(files)
-    return out.withColumn("component", F.coalesce("component", "id"))
+    # one row of each set stands for it
+    node = cut_lineage(signed.where("n > 0").groupBy("id").agg(F.min("row").alias("row"), F.min("slack").alias("slack"), F.min("n").alias("n")))
+    pairs = cut_lineage(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
+    hot = found.where("hot IS NOT NULL").select("id", F.col("hot").alias("cluster")).distinct()
+    exposed = hot.groupBy("id").agg(F.count("*").alias("hot")).join(node.select("id", "slack"), "id").where("hot >= slack").select("id")
+    hot = cut_lineage(hot.join(exposed, "id"))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
+    sk = cut_lineage(sketches(_texts(docs, wanted.join(node.select("id", "row"), "id")), size, percent))
+    maybe = _paired_links(pairs, sk, percent).unionByName(_blocked_links(hot, sk, percent))
+    linked = components(_links(docs, components(maybe), node, size, percent))
+    return signed.select("doc_id", "row", "n", "id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select(
+        "doc_id", "row", "n", "id", F.coalesce("component", "id").alias("component"))
 
 
 def join(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), a row per row of ``docs``.
 
-    Defined results: texts without words are empty sets, linked with nothing; rows without an id take
-    part, and a component of such rows only has a null component_id; repeated rows are one node; an id
-    with several texts has the smallest component of them all."""
-    return labelled(docs, size=size, percent=percent).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NULL_IDS, F.col("component")).alias("component_id"))
+    Rows without an id take part, and a component of such rows only has a null component_id; an id with several texts has the
+    component of each text in its row."""
+    rows = cut_lineage(labelled(docs, size=size, percent=percent))
+    least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    # most components are one row, whose id is its own
+    joined = rows.join(least.where("rows > 1").select("component", "component_id", F.lit(True).alias("several")), "component", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"),
+                         F.when(F.col("several") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, size: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` with one document of every component: that with the smallest id (one row, if the id is repeated).
-
-    Rows that the sieve of removed and repeated ids lets through cannot be among them and stay where they are; only
-    the others are shuffled and decided exactly."""
-    id_, gone_ = fresh(docs, "__id"), fresh(docs, "__gone")
-    found = cut_lineage(labelled(docs, size=size, percent=percent).select("id", "component"))
-    gone = found.where("id <> component").select(F.col("id").alias(gone_)).distinct()
-    repeated = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    words = cut_lineage(sieve(gone.select(F.col(gone_).alias("id")).unionByName(repeated)).coalesce(files_for(1 << (SIEVE_BITS - 6))))
-    text = F.col("text").cast("string")
-    stand_in = F.lit(NULL_IDS) + F.xxhash64(text).bitwiseAND(F.lit(NULL_IDS - 1))
-    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    clear, doubtful = (sifted(keyed, id_, words, held) for held in (False, True))
-    kept = doubtful.join(gone, F.col(id_) == F.col(gone_), "left_anti").dropDuplicates([id_])
-    return clear.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    """``docs`` with one row of every component: that with the smallest id (null last; ties by a hash of the text).  Rows
+    whose set is empty link with nothing and all stay.
+
+    Rows that the sieve of removed and repeated rows lets through cannot be among them and stay where they are; only the
+    others are shuffled and decided exactly."""
+    row_, gone_ = fresh(docs, "__row"), fresh(docs, "__gone")
+    found = cut_lineage(labelled(docs, size=size, percent=percent).where("n > 0").select("doc_id", "row", "component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept_rows = found.groupBy("component").agg(first, F.count("*").alias("rows")).where("rows > 1")
+    several = found.join(kept_rows, "component")
+    gone = several.where("row <> first.row").select(F.col("row").alias(gone_)).distinct()
+    repeated = kept_rows.select(F.col("first.row").alias("row"))
+    words = cut_lineage(sieve(gone.select(F.col(gone_).alias("id")).unionByName(repeated.select(F.col("row").alias("id")))).coalesce(
+        files_for(1 << (SIEVE_BITS - 6))))
+    keyed = docs.withColumn(row_, row_of(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    clear, doubtful = (sifted(keyed, row_, words, held) for held in (False, True))
+    kept = doubtful.join(gone, F.col(row_) == F.col(gone_), "left_anti")
+    once = kept.join(repeated.select(F.col("row").alias(gone_)), F.col(row_) == F.col(gone_), "left_semi").dropDuplicates([row_])
+    others = kept.join(repeated.select(F.col("row").alias(gone_)), F.col(row_) == F.col(gone_), "left_anti")
+    return clear.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(others.select(*docs.columns))
 
 
 SIEVE_BITS = 26
@@ -512,26 +559,54 @@ def sifted(df: DataFrame, id_: str, words: DataFrame, held: bool) -> DataFrame:
     return j.where(bit == (1 if held else 0)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _links(docs: DataFrame, clusters: DataFrame, ids: DataFrame, size: int, percent: int, files: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (row and other columns) with the text of each row, once.  Texts of other rows are left behind before the shuffle."""
+    texts = sifted(_rows(docs).select("row", "text"), "row", sieve(wanted.select(F.col("row").alias("id"))), True)
+    return wanted.join(texts.groupBy("row").agg(F.min("text").alias("text")), "row").drop("row")
+
+
+def _links(docs: DataFrame, clusters: DataFrame, node: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that join what links join inside the candidate clusters.
 
-    A cluster is cut into blocks of bounded size; every pair of its blocks is one group, in which all
-    sets meet and only a spanning forest of the links leaves."""
+    First every set of a cluster is checked against that with the smallest name, whose text goes to each block of the cluster.
+    The sets left over are checked against all sets of the cluster: every pair of their blocks and the cluster's blocks is
+    one group, and only a spanning forest of the links leaves it."""
     member = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(
-        clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()).join(ids.select("id", "n"), "id")
-    weight = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).alias("blocks"))
+        clusters.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()).join(node.select("id", "row", "n"), "id")
+
+    def blocks(of):
+        return F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ELEMENTS)).alias(of)
+
+    weight = member.groupBy("cluster").agg(blocks("blocks"))
     member = member.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    member = cut_lineage(member.coalesce(files))
-    # texts of ids outside all clusters are left behind before the shuffle
-    texts = sifted(_with_ids(docs).select("id", "text"), "id", sieve(member.select("id")), True)
-    member = member.join(texts.withColumn("h", F.xxhash64("text")), "id").dropDuplicates(["id", "cluster", "h"])
-    member = _block_pairs(member, ["id", "text"])
+    member = cut_lineage(_texts(docs, member))
 
     def verify(table: pa.Table) -> pa.Table:
         h, counts = shingle_sets(table.column("text").combine_chunks(), size)
-        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
-        found = links_within(h, counts, block == i, block == j, percent)
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        found = links_within(h, counts, left, ~left, percent) if "both" not in table.column_names else links_within(
+            h, counts, left, table.column("both").to_numpy(zero_copy_only=False), percent)
         id_ = table.column("id").to_numpy()
         return pa.table({"a": pa.array([id_[x] for x, _ in found], pa.int64()), "b": pa.array([id_[y] for _, y in found], pa.int64())})
 
-    return member.groupBy("cluster", "i", "j").applyInArrow(verify, "a long, b long")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    is_first = F.col("id") == F.col("cluster")
+    firsts = member.where(is_first).select("cluster", "id", "text", F.explode(every).alias("block"), F.lit(True).alias("left"))
+    others = member.where(~is_first).select("cluster", "id", "text", "block", F.lit(False).alias("left"))
+    star = cut_lineage(firsts.unionByName(others).groupBy("cluster", "block").applyInArrow(verify, "a long, b long"))
+
+    done = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    rest = member.where(~is_first).select("cluster", "id", "n").join(done, "id", "left_anti")
+    rest = rest.join(rest.groupBy("cluster").agg(blocks("rests")), "cluster").withColumn("rest", F.pmod(F.xxhash64("id", F.lit(1)), F.col("rests")))
+    rest = cut_lineage(rest.select("cluster", "id", "rests", "rest"))
+    open_ = member.join(rest.select("cluster", "rests").distinct(), "cluster").join(rest.select("id", "rest"), "id", "left")
+    every_rest = F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)
+    # a row goes to its block for each block of the rest, and if it is of the rest, to each block of the cluster
+    side = F.array_distinct(F.concat(F.transform(every_rest, lambda r: F.struct(F.col("block").alias("i"), r.alias("j"))),
+                                     F.when(F.col("rest").isNull(), F.array().cast("array<struct<i:long,j:long>>")).otherwise(
+                                         F.transform(every, lambda i: F.struct(i.alias("i"), F.col("rest").alias("j"))))))
+    spread = open_.select("cluster", "id", "text", "block", "rest", F.explode(side).alias("x")).select(
+        "cluster", "id", "text", F.col("x.i").alias("i"), F.col("x.j").alias("j"),
+        F.coalesce(F.col("rest") == F.col("x.j"), F.lit(False)).alias("left"), (F.col("block") == F.col("x.i")).alias("both"))
+    more = spread.groupBy("cluster", "i", "j").applyInArrow(verify, "a long, b long")
+    return star.unionByName(more)
