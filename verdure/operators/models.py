@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -80,45 +80,71 @@ def eval_metrics(preds: DataFrame, protocol: str, label="label") -> DataFrame:
     return reg.join(f1, ["protocol", "model"])
 
 
+def _writing_to(model, column: str):
+    """A copy of a fitted model or pipeline whose predictions go to ``column``."""
+    if isinstance(model, PipelineModel):
+        *front, last = model.stages
+        return PipelineModel([*front, _writing_to(last, column)])
+    return model.copy({model.getParam("predictionCol"): column})
+
+
+def score_many(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` with the predictions of every model in a column of its own, ``p_<name>``: chained transforms over the same
+    rows, no join."""
+    for name, model in models.items():
+        df = _writing_to(model, f"p_{name}").transform(df).drop("__scaled")
+    return df
+
+
 def ensemble(train: DataFrame, test: DataFrame, weight: float = 0.5, gbt_params=None, forest_params=None,
              keys=("grid_id", "date")) -> DataFrame:
-    """w * forest + (1 - w) * boosted, clipped; two transforms on the same rows, joined on keys."""
-    a = fit_predict(forest(forest_params), train, test, "forest").select(*keys, "label", F.col("y_pred").alias("__a"))
-    b = fit_predict(gbt(gbt_params), train, test, "gbt").select(*keys, F.col("y_pred").alias("__b"))
-    j = a.join(b, list(keys))
-    return j.select(*keys, "label", M.blend_weighted(F.col("__a"), F.col("__b"), weight).alias("y_pred"),
-                    F.lit("ensemble").alias("model"))
-
-
-def stack(train: DataFrame, test: DataFrame, folds: int = 3, keys=("grid_id", "date"), base=None) -> DataFrame:
-    """Stacking with out-of-fold base predictions: base models fitted on k-1 cell
-    folds predict the held-out fold; the meta learner is trained on those; base
-    models refitted on all training rows feed the meta learner on test."""
+    """w * forest + (1 - w) * boosted, clipped; both score the rows in one pass."""
+    both = score_many({"forest": fit(forest(forest_params), train), "gbt": fit(gbt(gbt_params), train)}, test)
+    return both.select(*keys, "label", M.blend_weighted(F.col("p_forest"), F.col("p_gbt"), weight).alias("y_pred"),
+                       F.lit("ensemble").alias("model"))
+
+
+class Stack:
+    """Base models and the meta learner over their predictions, with the features passed through or not."""
+
+    def __init__(self, bases: dict, meta, passthrough: bool):
+        self.bases, self.meta, self.passthrough = bases, meta, passthrough
+
+    @staticmethod
+    def inputs(rows: DataFrame, names: list[str], passthrough: bool) -> DataFrame:
+        cols = [f"p_{n}" for n in names] + [FEATURES_COL] * passthrough
+        return VectorAssembler(inputCols=cols, outputCol="__meta").transform(rows)
+
+    def predict(self, rows: DataFrame, keys=("grid_id", "date")) -> DataFrame:
+        out = self.meta.transform(self.inputs(score_many(self.bases, rows), list(self.bases), self.passthrough))
+        return out.select(*keys, "label", clip("prediction", 0.0, 1.0).alias("y_pred"), F.lit("stack").alias("model"))
+
+
+def boosted_meta(seed: int = 91) -> GBTRegressor:
+    return GBTRegressor(maxDepth=3, maxIter=30, stepSize=0.1, seed=seed)
+
+
+def fit_stack(train: DataFrame, folds: int = 3, base=None, meta=boosted_meta, passthrough: bool = True) -> Stack:
+    """Stacking with out-of-fold base predictions: base models fitted on k - 1 cell folds predict the held-out fold, in
+    chained transforms over the fold's rows; the union of the folds trains the meta learner, on the predictions and, with
+    ``passthrough``, the features; base models refitted on all training rows feed it later."""
     base = base or {"forest": forest, "gbt": gbt}
-    fold = (md5_bucket("grid_id", seed="stack") % folds).cast("int")
-    tr = train.withColumn("__fold", fold)
-    oof_parts = []
+    tagged = train.withColumn("__fold", (md5_bucket("grid_id", seed="stack") % folds).cast("int"))
+    oof = None
     for k in range(folds):
-        fit_rows, hold = tr.where(F.col("__fold") != k), tr.where(F.col("__fold") == k)
-        cols = [F.col(c) for c in (*keys, "label")]
-        preds = None
-        for name, make in base.items():
-            p = fit(make(), fit_rows).transform(hold).select(*keys, F.col("prediction").alias(f"b_{name}"))
-            preds = p if preds is None else preds.join(p, list(keys))
-        oof_parts.append(hold.select(*cols).join(preds, list(keys)))
-    oof = oof_parts[0]
-    for part in oof_parts[1:]:
-        oof = oof.unionByName(part)
-    bcols = [f"b_{n}" for n in base]
-    meta = LinearRegression(featuresCol="__meta", labelCol="label").fit(
-        VectorAssembler(inputCols=bcols, outputCol="__meta").transform(oof))
-    test_preds = None
-    for name, make in base.items():
-        p = fit(make(), train).transform(test).select(*keys, F.col("prediction").alias(f"b_{name}"))
-        test_preds = p if test_preds is None else test_preds.join(p, list(keys))
-    t = test.select(*keys, "label").join(test_preds, list(keys))
-    out = meta.transform(VectorAssembler(inputCols=bcols, outputCol="__meta").transform(t))
-    return out.select(*keys, "label", clip("prediction", 0.0, 1.0).alias("y_pred"), F.lit("stack").alias("model"))
+        fit_rows, hold = tagged.where(F.col("__fold") != k), tagged.where(F.col("__fold") == k)
+        part = score_many({n: fit(make(), fit_rows) for n, make in base.items()}, hold)
+        oof = part if oof is None else oof.unionByName(part)
+    # the meta learner makes many passes: the predictions are frozen like the features
+    oof = training_table(Stack.inputs(oof, list(base), passthrough).select("label", "__meta"))
+    learner = meta()
+    fitted = learner.copy({learner.getParam("featuresCol"): "__meta", learner.getParam("labelCol"): "label"}).fit(oof)
+    return Stack({n: fit(make(), train) for n, make in base.items()}, fitted, passthrough)
+
+
+def stack(train: DataFrame, test: DataFrame, **how) -> DataFrame:
+    """Predictions of ``fit_stack`` on ``test``."""
+    return fit_stack(train, **how).predict(test)
 
 
 def gram(df: DataFrame, xs: list[str], y: str = "label"):
@@ -248,25 +274,39 @@ def feature_importance(model, features: list[str], top: int = 10, spark=None) ->
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3, buckets: int = 64,
-                           label="label") -> DataFrame:
-    """RMSE increase after permuting one feature, for every feature.  Rows are paired by two independent md5 ranks
-    within ``buckets`` md5 buckets (fixed, so the pairing does not depend on the row count); every row is then scored
-    once per feature and repeat, that feature taken from its partner, in one pass."""
+def shifted(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``rows`` with ``value`` of the next row in the order of the column ``order``, the last row taking the first one's.
+
+    Range partitions by ``order``; inside each the next row is a lead, and its last row takes the first value of the next
+    partition from a table with one row per partition, which is what is broadcast.  No group is larger than a range."""
+    placed = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    placed = training_table(placed)  # files pin the ranges, also when an executor is lost
+    # the first and the last row of a range; ranges are joined in a cycle
+    edge = placed.groupBy("__part").agg(F.min_by(value, order).alias("__first"))
+    numbered = edge.select("__part", "__first", F.row_number().over(Window.orderBy("__part")).alias("__n"))
+    ranges = edge.count()
+    before = numbered.select((F.pmod(F.col("__n") - 2, F.lit(ranges)) + 1).alias("__n"), F.col("__first").alias("__next"))
+    ends = numbered.select("__part", "__n").join(before, "__n").select("__part", "__next")
+    lead = F.lead(value).over(Window.partitionBy("__part").orderBy(order))
+    last = F.lead(F.lit(True)).over(Window.partitionBy("__part").orderBy(order)).isNull()
+    inside = placed.withColumns({"__lead": lead, "__last": last}).join(F.broadcast(ends), "__part")
+    return inside.withColumn(out, F.when(F.col("__last"), F.col("__next")).otherwise(F.col("__lead"))).drop(
+        "__part", "__lead", "__last", "__next")
+
+
+def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3, label="label") -> DataFrame:
+    """RMSE increase after permuting one feature, for every feature.  In each repeat the rows stand in the order of an md5 of
+    their key and that repeat, and every row takes the feature from the next one (cyclic), so each row is partner of exactly
+    one.  Rows are scored once per feature and repeat, in one pass."""
     key = F.concat_ws("|", F.col("grid_id"), F.col("date").cast("string"))
     raw = test.select("grid_id", "date", label, F.array(*[F.col(f).cast("double") for f in features]).alias("__x"))
-    raw = raw.withColumn("__k", key).withColumn("__b", md5_bucket("__k", seed="b") % buckets)
-    raw = raw.withColumn("__rep", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
-
-    def rank(side):
-        seed = F.concat(F.lit(side), F.col("__rep").cast("string"), F.lit("|"), F.col("__k"))
-        return F.row_number().over(Window.partitionBy("__rep", "__b").orderBy(F.md5(seed.cast("binary")), "__k"))
-
-    a = raw.withColumn("__p", rank("a"))
-    b = raw.select("__rep", "__b", rank("z").alias("__p"), F.col("__x").alias("__y"))
-    j = a.join(b, ["__rep", "__b", "__p"])
+    paired = None
+    for r in range(repeats):
+        part = raw.withColumn("__order", F.concat(F.md5(F.concat(F.lit(f"{r}|"), key).cast("binary")), key))
+        part = shifted(part, "__order", "__x", "__y").select(label, "__x", "__y", F.lit(r).alias("__rep"))
+        paired = part if paired is None else paired.unionByName(part)
     # feature -1: nothing replaced, the base
-    j = j.withColumn("__f", F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])))
+    j = paired.withColumn("__f", F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])))
     swapped = F.transform("__x", lambda v, i: F.when(i == F.col("__f"), F.col("__y")[i]).otherwise(v))
     j = j.select(label, "__f", "__rep", array_to_vector(swapped).alias(FEATURES_COL))
     m = M.regression_metrics(predict(model, j, "perm").withColumnRenamed(label, "y_true"), group=("__f", "__rep"), willmott=False)
@@ -276,6 +316,21 @@ def permutation_importance(model, test: DataFrame, features: list[str], repeats:
     return per.where("__f >= 0").select(F.element_at(names, F.col("__f") + 1).alias("feature"), (F.col("rmse") - base).alias("importance"))
 
 
+def save_model(model, features: list[str], path: str, spark) -> str:
+    """A fitted model or pipeline, and the features of its vector in order, into shared storage."""
+    whole = model if isinstance(model, PipelineModel) else PipelineModel([model])
+    whole.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position INT, feature STRING").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/features")
+    return path
+
+
+def load_model(spark, path: str) -> tuple[PipelineModel, list[str]]:
+    """(model, features) as saved; a scoring job needs nothing else of the training run."""
+    features = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("position").collect()]
+    return PipelineModel.load(f"{path}/model"), features
+
+
 def batch_score(model, df: DataFrame) -> DataFrame:
     """Transform, clip to [0, 1], severity label, risk = (1 - vhi) * 100."""
     p = model.transform(df).withColumn("predicted_vhi", clip("prediction", 0.0, 1.0))

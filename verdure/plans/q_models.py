@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import conform as C
 from ..operators import datasets as DS
 from ..operators import models as ML
+from ..operators import search as SE
 from ..session import cut_lineage
+from ..sources.readers import scratch_path
 from . import sqlfrag as S
 from .frames import feature_panel
 from .q_indices import VHI_SQL_CTE, vhi_panel
@@ -107,10 +109,18 @@ def ml_ensemble(spark, d):
     return _facts(ML.ensemble(tr, te, weight=0.5))
 
 
-@register("ml_stack", _facts_sql(["stack"]))
+# every model feature, spelled out: base signals, calendar, and per signal lags, rolling means and deviations, wavelet parts
+MODEL_FEATURES = """ndvi lst rainfall temperature humidity evapotranspiration soil_moisture spi spei month_sin month_cos season_sin season_cos""".split() + [
+    f"{c}_{x}" for c in ("ndvi", "lst", "rainfall", "vhi") for x in (
+        "lag_1", "lag_2", "lag_3", "lag_6", "roll_3", "roll_6", "roll_12", "std_3", "std_6", "std_12", "wavelet_approx", "wavelet_detail")]
+
+
+@register("ml_stack", f"SELECT *, {2 + len(MODEL_FEATURES)} AS meta_inputs FROM ({_facts_sql(['stack'])})")
 def ml_stack(spark, d):
+    """Forest and boosted trees under a boosted meta learner that also sees the features; ``meta_inputs`` is the length of its vector."""
     tr, te, _ = ml_data(spark, d)
-    return _facts(ML.stack(tr, te).withColumn("model", F.lit("stack")))
+    s = ML.fit_stack(tr)
+    return _facts(s.predict(te)).withColumn("meta_inputs", F.lit(s.meta.numFeatures))
 
 
 @register("ml_ridge_meta", _facts_sql(["ridge_meta"]))
@@ -123,16 +133,11 @@ def ml_ridge_meta(spark, d):
     bases = {"gbt": ML.gbt(), "forest": ML.forest(), "linear": ML.linear()}
     models = {k: ML.fit(est, fit_rows) for k, est in bases.items()}
 
-    def base_preds(rows):
-        out = rows.select("grid_id", "date", "label")
-        for k, m in models.items():
-            out = out.join(m.transform(rows).select("grid_id", "date", F.col("prediction").alias(f"p_{k}")), ["grid_id", "date"])
-        return out
     xs = [f"p_{k}" for k in bases]
-    xx, xy = ML.gram(base_preds(valid), xs)
+    xx, xy = ML.gram(ML.score_many(models, valid), xs)
     w = ML.nonneg_ridge(xx, xy, alpha=0.05)
     blend = sum((F.col(x) * wi for x, wi in zip(xs, w)), F.lit(0.0))
-    preds = base_preds(te).select("grid_id", "date", "label", F.when(blend < 0, 0.0).when(blend > 1, 1.0).otherwise(blend).alias("y_pred"),
+    preds = ML.score_many(models, te).select("grid_id", "date", "label", F.when(blend < 0, 0.0).when(blend > 1, 1.0).otherwise(blend).alias("y_pred"),
                                   F.lit("ridge_meta").alias("model"))
     return _facts(preds)
 
@@ -181,10 +186,44 @@ def ml_search_random(spark, d):
     return _search_facts(*ML.random_search(fit_rows, valid, trials=12), fit_rows, valid)
 
 
-@register("ml_search_swarm", _search_sql(20))
+# the rules of the mixed search, feature by feature: group, kind, and the least window or level that lets it in
+SWARM_RULES = {
+    **{f: ("base_remote_sensing", "plain", 0) for f in ("ndvi", "lst", "rainfall", "temperature", "humidity", "soil_moisture")},
+    **{f: ("seasonal", "plain", 0) for f in ("month_sin", "month_cos", "season_sin", "season_cos")},
+    **{f"{c}_lag_{k}": (f"{c}_lag_roll", "window", k) for c in ("ndvi", "lst", "rainfall", "vhi") for k in (1, 2, 3, 6)},
+    # a rolling mean over three months is let in by every window
+    **{f"{c}_roll_{k}": (f"{c}_lag_roll", "window", k if k > 3 else 1) for c in ("ndvi", "lst", "rainfall", "vhi") for k in (3, 6, 12)},
+    **{f"{c}_wavelet_{k}": (f"{c}_wavelet", "level", at) for c in ("ndvi", "lst", "rainfall", "vhi") for k, at in (("approx", 1), ("detail", 2))},
+}
+_RULES_SQL = ", ".join(f"('{f}', '{g}', '{kind}', {least})" for f, (g, kind, least) in SWARM_RULES.items())
+
+
+@register("ml_search_swarm", ROWS_SQL + f"""SELECT feature, feature_group, kind, CAST(least AS INTEGER) AS least, CAST(20 AS BIGINT) AS n_trials, true AS by_rule,
+  true AS in_space, true AS winner_is_best, (SELECT count(*) FROM train_a) AS refit_rows FROM (VALUES {_RULES_SQL}) r(feature, feature_group, kind, least)""")
 def ml_search_swarm(spark, d):
+    """Mixed swarm.  One row per feature: whether every trial used it exactly where its group was on and its lag window or wavelet level let
+    it in (the rules stand as a table, apart from the code that selects); and facts of the search."""
     fit_rows, valid = _search_rows(spark, d)
-    return _search_facts(*ML.swarm_search(fit_rows, valid, particles=5, iterations=4), fit_rows, valid)
+    space = SE.Space(tuple(c for c in fit_rows.columns if c in MODEL_FEATURES))
+    fit_rows, valid = SE.superset(fit_rows, space), SE.superset(valid, space)
+    best, trials = SE.mixed_swarm(fit_rows, valid, space, particles=5, iterations=4)
+    rules = spark.createDataFrame([(f, *r) for f, r in SWARM_RULES.items()], "feature STRING, feature_group STRING, kind STRING, least INT")
+    used = F.array_contains("features", F.col("feature"))
+    on = (F.col("feature_group").isin("base_remote_sensing", "seasonal") | F.array_contains("groups", F.col("feature_group"))) & (
+        F.col("least") <= F.when(F.col("kind") == "window", F.col("lag_window")).when(F.col("kind") == "level", F.col("wavelet_level")).otherwise(0))
+    inside = F.col("lag_window").isin(*SE.LAG_WINDOWS) & F.col("wavelet_level").isin(*SE.WAVELET_LEVELS) & (F.col("rmse") > 0)
+    for name, (lo, hi) in ML.GBT_SPACE.items():
+        inside = inside & F.get_json_object("params", f"$.{name}").cast("double").between(lo, hi)
+    # trials fan out to their rules by a generator: a few dozen literals
+    fan = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(g).alias("feature_group"), F.lit(k).alias("kind"), F.lit(n).alias("least"))
+                              for f, (g, k, n) in SWARM_RULES.items()]))
+    told = trials.select("*", fan.alias("r")).select("*", "r.*").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.bool_and(used == on).alias("by_rule"), F.bool_and(inside).alias("in_space"))
+    won = trials.orderBy("rmse", "trial").limit(1).select(
+        ((F.col("params") == best.as_json()) & (F.col("features") == F.array(*[F.lit(f) for f in best.features]))).alias("won")).scalar()
+    rows = fit_rows.unionByName(valid)
+    scored = SE.predicted(SE.fitted(rows, space, best), rows, space, best).agg(F.count("y_pred").alias("n")).scalar()
+    return rules.join(told, "feature").select("*", won.alias("winner_is_best"), scored.alias("refit_rows"))
 
 
 @register("ml_model_family_eval", _facts_sql(["gbt", "forest", "linear"]))
@@ -198,18 +237,16 @@ def ml_model_family_eval(spark, d):
     return _facts(preds)
 
 
-@register("ml_feature_importance", "SELECT CAST(10 AS BIGINT) AS n, true AS shares, true AS in_order")
+@register("ml_feature_importance", ROWS_SQL + "SELECT CAST(10 AS BIGINT) AS n, true AS shares, true AS in_order, true AS known, count(*) AS fit_rows FROM train_a")
 def ml_feature_importance(spark, d):
+    """The ten largest shares, falling, of features of the model, and how many rows it was fitted on."""
     tr, _, feats = ml_data(spark, d)
     imp = ML.feature_importance(ML.fit(ML.gbt(), tr), feats, top=10, spark=spark)
-    return imp.agg(F.count_distinct("feature").alias("n"), (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"),
-                   F.bool_and(F.col("feature").isin(feats)).alias("in_order"))
-
-
-# every model feature, spelled out: base signals, calendar, and per signal lags, rolling means and deviations, wavelet parts
-MODEL_FEATURES = """ndvi lst rainfall temperature humidity evapotranspiration soil_moisture spi spei month_sin month_cos season_sin season_cos""".split() + [
-    f"{c}_{x}" for c in ("ndvi", "lst", "rainfall", "vhi") for x in (
-        "lag_1", "lag_2", "lag_3", "lag_6", "roll_3", "roll_6", "roll_12", "std_3", "std_6", "std_12", "wavelet_approx", "wavelet_detail")]
+    found = F.transform(F.array_sort(F.collect_list(F.struct("rank", "importance"))), lambda x: x["importance"])
+    ranked = imp.withColumn("rank", F.monotonically_increasing_id())  # rows stand as the report lists them; ten of them
+    return ranked.agg(F.count_distinct("feature").alias("n"), (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"),
+                      (found == F.reverse(F.array_sort(found))).alias("in_order"), F.bool_and(F.col("feature").isin(feats)).alias("known")).withColumn(
+        "fit_rows", tr.agg(F.count(F.lit(1))).scalar())
 
 
 @register("ml_permutation_importance", "SELECT unnest([" + ", ".join(f"'{c}'" for c in MODEL_FEATURES) + "]) AS feature, true AS finite")
@@ -220,13 +257,18 @@ def ml_permutation_importance(spark, d):
     return p.select("feature", (F.col("importance").isNotNull() & ~F.isnan("importance") & (F.abs("importance") < 1)).alias("finite"))
 
 
-@register("ml_batch_score", ROWS_SQL + "SELECT grid_id, CAST(date AS VARCHAR) AS date, true AS in_unit_interval, true AS severity_fits, true AS risk_fits FROM test_a")
+@register("ml_batch_score", ROWS_SQL + "SELECT grid_id, CAST(date AS VARCHAR) AS date, true AS in_unit_interval, true AS severity_fits, true AS risk_fits, true AS as_fitted FROM test_a")
 def ml_batch_score(spark, d):
-    """Keys of every scored row; prediction within bounds, severity by the ladder, risk = (1 - vhi) * 100."""
-    tr, te, _ = ml_data(spark, d)
-    s = ML.batch_score(ML.fit(ML.gbt(), tr), te)
+    """A scoring job: the model is saved, loaded with its feature list, and applied to rows whose vector is assembled from that list.
+    Keys of every scored row; prediction within bounds and equal to the fitted model's, severity by the ladder, risk = (1 - vhi) * 100."""
+    tr, te, feats = ml_data(spark, d)
+    fitted = ML.fit(ML.gbt(), tr)
+    loaded, names = ML.load_model(spark, ML.save_model(fitted, feats, scratch_path(spark, "model"), spark))
+    rows = ML.score_many({"fitted": fitted}, te).select("grid_id", "date", "label", "p_fitted", *names)
+    s = ML.batch_score(loaded, ML.assemble(rows, names))
     v = F.col("predicted_vhi")
     ladder = (F.when(v < 0.20, "Extreme Drought").when(v < 0.35, "Severe Drought").when(v < 0.50, "Moderate Drought")
               .when(v < 0.65, "Mild Drought").otherwise("No Drought"))
     return rounded(s.select("grid_id", "date", v.between(0, 1).alias("in_unit_interval"), (F.col("severity") == ladder).alias("severity_fits"),
-                            (F.abs(F.col("risk_score") - (1 - v) * 100) < 1e-9).alias("risk_fits")))
+                            (F.abs(F.col("risk_score") - (1 - v) * 100) < 1e-9).alias("risk_fits"),
+                            (ML.clip("p_fitted", 0.0, 1.0) == v).alias("as_fitted")))
