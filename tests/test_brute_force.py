@@ -161,8 +161,20 @@ def test_projector_rows_reproduce_constant_series(n):
     assert abs(sum(w) - 1.0) < 1e-12
 
 
-def test_full_wavelet_is_a_projection_and_keeps_constants():
-    from verdure.functions.wavelet import full_series_lowband
+def _lowband(spark):
+    """The whole-series transform of an array, as Spark evaluates it."""
+    from pyspark.sql import functions as F
+
+    from verdure.functions.wavelet import full_series_sql
+
+    def run(x):
+        d = spark.createDataFrame([([float(v) for v in x],)], "x array<double>")
+        return np.array(d.select(F.expr(full_series_sql("x")).alias("y")).first().y)
+    return run
+
+
+def test_full_wavelet_is_a_projection_and_keeps_constants(spark):
+    full_series_lowband = _lowband(spark)
     rng = np.random.default_rng(11)
     for n in (4, 9, 27, 28, 83):
         x = rng.normal(size=n)
@@ -174,8 +186,8 @@ def test_full_wavelet_is_a_projection_and_keeps_constants():
     assert np.allclose(full_series_lowband(x), x)
 
 
-def test_full_wavelet_level1_matches_causal_weights():
-    from verdure.functions.wavelet import full_series_lowband
+def test_full_wavelet_level1_matches_causal_weights(spark):
+    full_series_lowband = _lowband(spark)
     rng = np.random.default_rng(13)
     for n in range(4, 13):
         x = rng.normal(size=n)

@@ -51,43 +51,33 @@ def approx_sql(hist: list[str], n: str, double_suffix: str = "") -> str:
             + " ".join(cases) + " END")
 
 
-# ---- full-series (non-causal) transform, used per cell inside applyInPandas -------------------
-def _analysis_low(x: np.ndarray) -> np.ndarray:
-    taps = np.asarray(DB4_DEC_LO)
-    size = len(x)
-    idx = (np.arange(_PHASE, _PHASE + size, 2)[:, None] - np.arange(len(taps))[None, :]) % size
-    return (x[idx] * taps[None, :]).sum(axis=1)
+# ---- full-series (non-causal) transform of an array
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _synthesis_low(a: np.ndarray, size: int) -> np.ndarray:
-    taps = np.asarray(DB4_DEC_LO)
-    idx = (np.arange(_PHASE, _PHASE + size, 2)[:, None] - np.arange(len(taps))[None, :]) % size
-    out = np.zeros(size)
-    np.add.at(out, idx.ravel(), (a[:, None] * taps[None, :]).ravel())
-    return out
-
-
-def full_level(n: int) -> int:
-    """max(1, min(2, floor(log2(n / 7)))) — level 2 from 28 samples on."""
-    return 2 if n >= 28 else 1
-
-
-def full_series_lowband(x: np.ndarray) -> np.ndarray:
-    """Low-band reconstruction of the whole series (periodised db4, detail bands
-    zeroed); odd lengths are padded with the last sample at each level and the
-    reconstruction trimmed back.  Series shorter than 4 are returned unchanged."""
-    x = np.asarray(x, dtype=float)
-    n = len(x)
-    if n < MIN_LEN:
-        return x.copy()
-    sizes, a = [], x
-    for _ in range(full_level(n)):
-        m = len(a)
-        if m % 2:
-            a = np.append(a, a[-1])
-        sizes.append(m)
-        a = _analysis_low(a)
-    for m in reversed(sizes):
-        size = m + (m % 2)
-        a = _synthesis_low(a, size)[:m]
-    return a
+def _even(x: str) -> str:
+    return f"if(size({x}) % 2 = 0, {x}, concat({x}, array({x}[size({x}) - 1])))"
+
+
+def _analysis_sql(x: str) -> str:
+    """Low band of the array ``x`` of even size: every second output of the periodised filter."""
+    terms = " + ".join(f"{tap!r}D * {x}[pmod(2 * k + {_PHASE - j}, size({x}))]" for j, tap in enumerate(DB4_DEC_LO))
+    return f"transform(sequence(0, size({x}) div 2 - 1), k -> {terms})"
+
+
+def _synthesis_sql(a: str, size: str) -> str:
+    """Series of ``size`` (even) samples whose low band is ``a``: each sample gathers the taps that reached it."""
+    def tap(j, value):
+        return f"if((i + {j}) % 2 = {_PHASE % 2}, {value!r}D * {a}[pmod(i + {j} - {_PHASE}, {size}) div 2], 0D)"
+    return f"transform(sequence(0, {size} - 1), i -> {' + '.join(tap(j, v) for j, v in enumerate(DB4_DEC_LO))})"
+
+
+def full_series_sql(x: str) -> str:
+    """Low-band reconstruction of a whole series (periodised db4, detail bands zeroed) at max(1, min(2, floor(log2(n / 7))))
+    levels, so two from 28 samples on.  Odd lengths are padded with the last sample at each level and the reconstruction is
+    trimmed back; a series shorter than 4 stays as it is."""
+    inner = _let(_even("a1"), "p2", _let(_analysis_sql("p2"), "a2", f"slice({_synthesis_sql('a2', 'size(p2)')}, 1, size(a1))"))
+    two = _let(f"if(size(x) >= 28, {inner}, a1)", "b1", _synthesis_sql("b1", "size(p1)"))
+    body = _let(_even("x"), "p1", _let(_analysis_sql("p1"), "a1", f"slice({two}, 1, size(x))"))
+    return _let(x, "x", f"if(size(x) < {MIN_LEN}, x, {body})")

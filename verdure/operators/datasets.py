@@ -128,6 +128,40 @@ def time_series_cv_folds(df: DataFrame, date_col="date", divisor: int = 18, max_
     return df.join(tagged.where(F.col("role").isNotNull()), date_col)
 
 
+def rolling_origin_ranges(df: DataFrame, fractions=(0.55, 0.65, 0.75), horizon: int = 12, date_col="date") -> DataFrame:
+    """The folds of ``rolling_origin_folds`` as a table: fold, train_start, train_end, test_start, test_end (dates, inclusive).
+    A row of the data stays one row; a fit filters by its fold's dates (``fold_rows``)."""
+    return _ranges(rolling_origin_folds(date_index(df, date_col).select(date_col), fractions, horizon, date_col), date_col)
+
+
+def time_series_cv_ranges(df: DataFrame, date_col="date", divisor: int = 18, max_folds: int = 5) -> DataFrame:
+    """The folds of ``time_series_cv_folds`` as a table of date ranges."""
+    return _ranges(time_series_cv_folds(date_index(df, date_col).select(date_col), date_col, divisor, max_folds), date_col)
+
+
+def _ranges(tagged: DataFrame, date_col: str) -> DataFrame:
+    def of(role, how):
+        return how(F.when(F.col("role") == role, F.col(date_col)))
+    return tagged.groupBy("fold").agg(of("train", F.min).alias("train_start"), of("train", F.max).alias("train_end"),
+                                      of("test", F.min).alias("test_start"), of("test", F.max).alias("test_end"))
+
+
+def fold_rows(df: DataFrame, fold, role: str, date_col="date") -> DataFrame:
+    """Rows of one role (train or test) of a fold, a row of a table of ranges: a filter on the date, which reaches the scan."""
+    return df.where(F.col(date_col).between(F.lit(fold[f"{role}_start"]), F.lit(fold[f"{role}_end"])))
+
+
+def fold_sizes(df: DataFrame, ranges: DataFrame, date_col="date") -> DataFrame:
+    """fold, role, first_date, last_date, n_rows of every fold.  Rows are counted by date before they meet the folds, so only
+    the calendar fans out to them."""
+    per_date = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("__n"))
+    long = ranges.select("fold", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_start").alias("first_date"), F.col(f"{r}_end").alias("last_date"))
+                                                    for r in ("train", "test")])))
+    # a dated row of the fold table for each of its months: an equi-join with the calendar
+    spread = long.withColumn(date_col, F.explode(F.expr("sequence(first_date, last_date, interval 1 month)")))
+    return spread.join(per_date, date_col).groupBy("fold", "role", "first_date", "last_date").agg(F.sum("__n").alias("n_rows"))
+
+
 def supervised_sequences(df: DataFrame, features: list[str], length: int, label="target_vhi_h1",
                          keys=("grid_id",), exclude_current: bool = False) -> DataFrame:
     """Windows of ``length`` rows per key, flattened oldest -> newest into
@@ -146,21 +180,50 @@ def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.na.drop(subset=cols)
 
 
+def smallest(df: DataFrame, n: int, keys, seed: str = "42") -> DataFrame:
+    """Exactly min(n, rows) rows: those with the smallest md5 of seed and ``keys``, ties by the keys.
+
+    The n-th smallest hash is found by distributed selection: rows are counted by the upper 16 bits of its first 32, then, where the
+    n-th lies, by the lower ones (65,536 counts at most each time).  Rows below it are kept where they are; only those that share
+    its 32 bits are sorted, and as many taken as are missing."""
+    if n <= 0:
+        return df.limit(0)
+    taken = {c.lower() for c in df.columns}
+    h = "__h"
+    while h in taken:
+        h = "_" + h
+    text = F.concat(F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])  # a NULL key counts as empty text
+    md5 = F.md5(text.cast("binary"))
+    keyed = df.withColumn(h, F.conv(F.substring(md5, 1, 8), 16, 10).cast("bigint"))
+    low, below, within = 0, 0, 32
+    while within:
+        within -= 16
+        part = F.shiftright(F.col(h), within)
+        inside = keyed.where((F.col(h) >= low) & (F.col(h) < low + (1 << (within + 16)))) if within < 16 else keyed
+        counts = inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+        upto = F.sum("rows").over(Window.orderBy("part"))  # a window over 65,536 counts at most
+        found = counts.withColumn("upto", upto).where(F.col("upto") >= n - below).orderBy("part").limit(1).collect()
+        if not found:  # fewer rows than asked for
+            return df
+        below += found[0]["upto"] - found[0]["rows"]
+        low = found[0]["part"] << within
+    kept = keyed.where(F.col(h) < low).drop(h)
+    return kept.unionByName(keyed.where(F.col(h) == low).orderBy(md5, *keys).limit(n - below).drop(h))
+
+
 def cap_rows(df: DataFrame, n: int, keys=("grid_id", "date"), seed: str = "42") -> DataFrame:
-    """Deterministic uniform sample of about ``n`` rows (sampling operator): rows whose key hash lies under
-    n / rows of the hash range.  No sort; each row is decided by itself."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.where(md5_bucket(*keys, seed=seed) < F.lit(n * TWO32) / F.greatest(total, F.lit(1)))
+    """Uniform sample of exactly min(n, rows) rows, the same in every run (sampling operator)."""
+    return smallest(df, n, keys, seed)
 
 
 def cap_by_grid(df: DataFrame, max_rows: int, key="grid_id", date_col="date", seed: str = "42") -> DataFrame:
-    """A sample of whole cells with about ``max_rows`` rows (sampling operator): cells whose hash lies under
-    k / cells of the hash range, k = max_rows / median(dates per cell), at least 8.  Fewer rows than that keep every cell
-    by the same rule, as the share is then over one."""
+    """A sample of exactly min(k, cells) whole cells, k = max_rows / median(dates per cell), at least 8 (sampling operator)."""
     per = df.groupBy(key).agg(F.countDistinct(date_col).alias("__d"))
-    st = per.agg(F.percentile("__d", 0.5).alias("m"), F.count(F.lit(1)).alias("cells"))
-    k = F.greatest(F.lit(8), F.floor(F.lit(max_rows) / F.greatest(F.lit(1), F.floor(st.select("m").scalar()))))
-    return df.where(md5_bucket(key, seed=seed) < k * F.lit(TWO32) / F.greatest(st.select("cells").scalar(), F.lit(1)))
+    median = per.agg(F.percentile("__d", 0.5)).first()[0]
+    if median is None:
+        return df
+    cells = smallest(per.select(key), max(8, int(max_rows / max(1, int(median)))), [key], seed)
+    return df.join(cells, key, "left_semi")
 
 
 def same_month_target(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:

@@ -20,6 +20,16 @@ BUCKETS = 1024
 def grouped_quantiles(long: DataFrame, keys: list[str], probs: list[float], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
     """``keys`` and ``q`` (array, one entry per probability) of every group with a non-null value."""
     x = long.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+
+    def same(suffix):  # groups whose key is NULL are groups like others
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__{suffix}_{k}"))
+        return cond
+
+    def renamed(df, suffix, *cols):
+        return df.select(*[F.col(k).alias(f"__{suffix}_{k}") for k in keys], *cols)
+
     st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("h")) for i, q in enumerate(probs)])
     targets = cut_lineage(st.select(*keys, "__lo", "__hi", F.inline(wanted)))
@@ -27,8 +37,8 @@ def grouped_quantiles(long: DataFrame, keys: list[str], probs: list[float], valu
         F.floor("h").cast("long"), F.ceil("h").cast("long")))).alias("__k")).distinct().withColumn("__below", F.lit(0).cast("long"))
     ranks = cut_lineage(ranks)
     while not ranks.where("__lo < __hi").isEmpty():
-        open_ = ranks.where("__lo < __hi")
-        inside = x.join(open_, keys)
+        open_ = renamed(ranks.where("__lo < __hi"), "o", "__k", "__lo", "__hi", "__below")
+        inside = x.join(open_, same("o"))
         inside = inside.where((F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi")))
         width = (F.col("__hi") - F.col("__lo")) / buckets
         # a range too narrow to divide has two values left
@@ -42,12 +52,8 @@ def grouped_quantiles(long: DataFrame, keys: list[str], probs: list[float], valu
         found = c.where((F.col("__k") >= F.col("__below")) & (F.col("__k") < F.col("__below") + F.col("__c")))
         ranks = cut_lineage(ranks.where("__lo = __hi").select(*keys, "__k", "__lo", "__hi", "__below").unionByName(
             found.select(*keys, "__k", "__lo", "__hi", "__below")))
-    r = ranks.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__k"), F.col("__lo").alias("__v"))
-    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    cond = (F.col("__k") == F.floor("h")) | (F.col("__k") == F.ceil("h"))
-    for s in same:
-        cond = cond & s
-    j = targets.join(r, cond).groupBy(*keys, "i", "h").agg(F.min("__v").alias("v0"), F.max("__v").alias("v1"))
+    r = renamed(ranks, "r", F.col("__k"), F.col("__lo").alias("__v"))
+    j = targets.join(r, ((F.col("__k") == F.floor("h")) | (F.col("__k") == F.ceil("h"))) & same("r")).groupBy(*keys, "i", "h").agg(F.min("__v").alias("v0"), F.max("__v").alias("v1"))
     j = j.withColumn("v", F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.floor("h")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
     return j.groupBy(*keys).agg(ordered.alias("q"))

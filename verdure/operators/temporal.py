@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.wavelet import full_series_sql
 from ..functions.wavelet import approx_sql
 
 
@@ -170,26 +171,15 @@ def downsample_even(df: DataFrame, n_out: int = 120, keys=("grid_id",), order="d
 
 
 def wavelet_full(df: DataFrame, cols, keys=("grid_id",), order="date") -> DataFrame:
-    """Non-causal db4 approx/detail over each key's whole series (level 1, or 2 from
-    28 samples).  The projection matrix depends on the series length, so this is
-    a grouped-map Pandas UDF; a group is one cell's series (bounded by its months).
-    Output: keys, date, <c>_wavelet_approx, <c>_wavelet_detail."""
-    import pandas as pd
-
-    from ..functions.wavelet import full_series_lowband
-
+    """Non-causal db4 approx/detail over each key's whole series (level 1, or 2 from 28 samples), as array expressions:
+    a key's series (bounded by its months) is collected, sorted, transformed and taken apart again.
+    Output: keys, date, <c>_wavelet_approx, <c>_wavelet_detail.  NULL counts as NaN."""
     cols = list(cols)
-    key_types = {c: t for c, t in df.dtypes}
-    fields = [f"{k} {key_types[k]}" for k in keys] + [f"{order} {key_types[order]}"]
-    fields += [f"{c}_wavelet_{s} double" for c in cols for s in ("approx", "detail")]
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = pdf[list(keys) + [order]].copy()
-        for c in cols:
-            x = pdf[c].astype(float).to_numpy()
-            approx = full_series_lowband(x)
-            out[f"{c}_wavelet_approx"] = approx
-            out[f"{c}_wavelet_detail"] = x - approx
-        return out
-    return df.select(*keys, order, *cols).groupBy(*keys).applyInPandas(per_key, ", ".join(fields))
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"x{i}") for i, c in enumerate(cols)]
+    series = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), *values))).alias("s"))
+    smooth = series.select(*keys, "s", *[F.expr(full_series_sql(f"s.x{i}")).alias(f"a{i}") for i in range(len(cols))])
+    rows = smooth.select(*keys, F.inline(F.arrays_zip("s", *[f"a{i}" for i in range(len(cols))])))
+    out = [F.col("s.t").alias(order)]
+    for i, c in enumerate(cols):
+        out += [F.col(f"a{i}").alias(f"{c}_wavelet_approx"), (F.col(f"s.x{i}") - F.col(f"a{i}")).alias(f"{c}_wavelet_detail")]
+    return rows.select(*keys, *out)

@@ -65,9 +65,7 @@ def ds_drop_incomplete(spark, d):
 
 
 @register("ds_cap_rows", PANEL_CTE + f"""
-SELECT grid_id, {D}, {S.r6('ndvi')} AS ndvi FROM panel
-WHERE CAST(('0x' || substr(md5('42' || grid_id || CAST(date AS VARCHAR)), 1, 8)) AS BIGINT)
-  < CAST(500 * 4294967296.0 AS DOUBLE) / (SELECT count(*) FROM panel)""")
+SELECT grid_id, {D}, {S.r6('ndvi')} AS ndvi FROM panel ORDER BY md5('42' || grid_id || CAST(date AS VARCHAR)), grid_id, panel.date LIMIT 500""")
 def ds_cap_rows(spark, d):
     p = FX.panel(spark, d).select("grid_id", "date", "ndvi")
     return rounded(DS.cap_rows(p, 500))
@@ -75,7 +73,7 @@ def ds_cap_rows(spark, d):
 
 @register("ds_cap_by_grid", PANEL_CTE + f""", per AS (SELECT grid_id, count(DISTINCT date) AS nd FROM panel GROUP BY grid_id),
 k AS (SELECT greatest(8, CAST(trunc(2000 / greatest(1, CAST(trunc(quantile_cont(nd, 0.5)) AS BIGINT))) AS BIGINT)) AS k FROM per),
-cells AS (SELECT grid_id FROM per WHERE {S.md5_bucket('grid_id', '42')} < (SELECT k FROM k) * 4294967296.0::DOUBLE / (SELECT count(*) FROM per))
+cells AS (SELECT grid_id FROM per QUALIFY row_number() OVER (ORDER BY md5('42' || grid_id), grid_id) <= (SELECT k FROM k))
 SELECT grid_id, {D} FROM panel WHERE grid_id IN (SELECT grid_id FROM cells)""")
 def ds_cap_by_grid(spark, d):
     p = FX.panel(spark, d).select("grid_id", "date")
@@ -138,6 +136,30 @@ def split_time_series_cv(spark, d):
     return rounded(DS.time_series_cv_folds(FX.panel(spark, d).select("grid_id", "date")))
 
 
+def _sizes_sql(tagged):
+    return f"SELECT fold, role, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, count(*) AS n_rows FROM ({tagged}) GROUP BY fold, role"
+
+
+@register("split_rolling_origin_ranges", S.with_(panel=S.PANEL, di=DATE_IDX) + f""", f AS (
+  SELECT * FROM (VALUES (1, CAST(0.55 AS DOUBLE)), (2, CAST(0.65 AS DOUBLE)), (3, CAST(0.75 AS DOUBLE))) t(fold, frac)),
+tg AS (SELECT date, fold, CASE WHEN idx <= floor(n * frac) THEN 'train' WHEN idx <= floor(n * frac) + 12 THEN 'test' END AS role FROM di, f)
+{_sizes_sql('SELECT p.date, fold, role FROM panel p JOIN tg ON p.date = tg.date WHERE role IS NOT NULL')}""")
+def split_rolling_origin_ranges(spark, d):
+    """Folds as nested date ranges, with the rows that each range selects."""
+    p = FX.panel(spark, d).select("grid_id", "date")
+    return rounded(DS.fold_sizes(p, DS.rolling_origin_ranges(p)))
+
+
+@register("split_time_series_cv_ranges", S.with_(panel=S.PANEL, di=DATE_IDX) + f""", kk AS (
+  SELECT least(5, greatest(2, n // 18)) AS k, n // (least(5, greatest(2, n // 18)) + 1) AS size, n FROM di LIMIT 1),
+f AS (SELECT CAST(i AS INTEGER) AS fold, n - (k - i + 1) * size AS test_start, size FROM kk, range(1, 6) r(i) WHERE i <= k),
+tg AS (SELECT date, fold, CASE WHEN idx < test_start THEN 'train' WHEN idx < test_start + size THEN 'test' END AS role FROM di, f)
+{_sizes_sql('SELECT p.date, fold, role FROM panel p JOIN tg ON p.date = tg.date WHERE role IS NOT NULL')}""")
+def split_time_series_cv_ranges(spark, d):
+    p = FX.panel(spark, d).select("grid_id", "date")
+    return rounded(DS.fold_sizes(p, DS.time_series_cv_ranges(p)))
+
+
 @register("ds_same_month_target", VHI_SQL_CTE + f"""
 SELECT grid_id, {D}, {S.r6('vhi')} AS label, {S.r6('ndvi')} AS ndvi, {S.r6('lst')} AS lst, {S.r6('rainfall')} AS rainfall FROM vhi""")
 def ds_same_month_target(spark, d):

@@ -13,7 +13,7 @@ from ..operators import datasets as DS
 from ..operators import models as ML
 from ..operators import search as SE
 from ..session import cut_lineage
-from ..sources.readers import scratch_path
+from ..sources.readers import read_reports, scratch_path, write_report
 from . import sqlfrag as S
 from .frames import feature_panel
 from .q_indices import VHI_SQL_CTE, vhi_panel
@@ -226,15 +226,41 @@ def ml_search_swarm(spark, d):
     return rules.join(told, "feature").select("*", won.alias("winner_is_best"), scored.alias("refit_rows"))
 
 
+FAMILY = {"gbt": ML.gbt, "forest": ML.forest, "linear": ML.linear}
+METRICS = ("r2", "rmse", "mae")
+
+
 @register("ml_model_family_eval", _facts_sql(["gbt", "forest", "linear"]))
 def ml_model_family_eval(spark, d):
+    """Each model of the family on the same rows, scored in one pass."""
+    return _facts(_family(spark, d)[0])
+
+
+def _family(spark, d):
     tr, te, _ = ml_data(spark, d)
-    fam = {"gbt": ML.gbt(), "forest": ML.forest(), "linear": ML.linear()}
-    preds = None
-    for k, est in fam.items():
-        p = ML.fit_predict(est, tr, te, k).select("grid_id", "date", "label", "y_pred", "model")
-        preds = p if preds is None else preds.unionByName(p)
-    return _facts(preds)
+    wide = ML.score_many({k: ML.fit(make(), tr) for k, make in FAMILY.items()}, te)
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("model"), ML.clip(f"p_{k}", 0.0, 1.0).alias("y_pred")) for k in FAMILY]))
+    return wide.select("grid_id", "date", "label", "vhi", each), tr
+
+
+@register("ml_metric_rows", ROWS_SQL + f""", p AS (SELECT t.y, m.vhi AS v FROM test_a t JOIN m ON m.grid_id = t.grid_id AND m.date = t.date),
+base AS (SELECT 'rmse' AS metric, sqrt(avg((y - v) * (y - v))) AS value FROM p UNION ALL SELECT 'mae', avg(abs(y - v)) FROM p UNION ALL
+  SELECT 'r2', 1 - sum((y - v) * (y - v)) / sum((y - mean) * (y - mean)) FROM p, (SELECT avg(y) AS mean FROM p))
+SELECT '{PROTOCOL}' AS protocol, model, metric, true AS rounded, true AS in_report, model <> 'persistence' AS is_fitted,
+  CASE WHEN model = 'persistence' THEN round(value, 4) END AS value
+FROM base, (VALUES ('gbt'), ('forest'), ('linear'), ('persistence')) a(model)""")
+def ml_metric_rows(spark, d):
+    """Metric rows of a model run: R2, RMSE and MAE (4 decimals) of the family and the persistence baseline, written as a report and read
+    by the report union.  Values of fitted models are in the report; SQL compares those of the baseline."""
+    preds, _ = _family(spark, d)
+    base = preds.where(F.col("model") == "gbt").select("grid_id", "date", "label", "vhi", F.lit("persistence").alias("model"), F.col("vhi").alias("y_pred"))
+    m = ML.eval_metrics(preds.unionByName(base), PROTOCOL)
+    long = m.select("protocol", "model", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(c, 4).alias("value")) for c in METRICS])))
+    path = write_report(long, scratch_path(spark, "metrics"))
+    report = read_reports(spark, {"run": path, "absent": path + "-none"}, "protocol STRING, model STRING, metric STRING, value DOUBLE")
+    fitted = F.col("model") != "persistence"
+    return report.select("protocol", "model", "metric", (F.col("value") == F.round("value", 4)).alias("rounded"), (F.col("report") == "run").alias("in_report"),
+                         fitted.alias("is_fitted"), F.when(~fitted, F.col("value")).alias("value"))
 
 
 @register("ml_feature_importance", ROWS_SQL + "SELECT CAST(10 AS BIGINT) AS n, true AS shares, true AS in_order, true AS known, count(*) AS fit_rows FROM train_a")

@@ -60,9 +60,8 @@ SELECT grid_id, {D}, 'Grid_' || strftime(date, '%Y_%m') || '.csv' AS source_file
 WHERE 'Grid_' || strftime(date, '%Y_%m') || '.csv' IN (SELECT source_file FROM firstn)""")
 def src_file_window(spark, d, n_files: int = 24):
     path = R.write_grid_csvs(FX.raw_grid(FX.panel(spark, d)), R.scratch_path(spark, "grid"))
-    # names come from the listing; as literals on the partition column they prune the scan to the chosen files
-    first = R.first_files(spark, path, n_files)
-    raw = R.read_grid_csvs(spark, path).where(F.col("source_file").isin(first))
+    # names come from the listing; headers and rows are read of the chosen files only
+    raw = R.read_grid_csvs(spark, path, files=R.first_files(spark, path, n_files))
     x = C.date_coalesce(C.rename_conform(raw))
     return rounded(x.select("grid_id", "date", "source_file"))
 
@@ -178,9 +177,10 @@ def sink_history_append(spark, d):
     from ..operators.history import with_severity
     h = with_severity(FX.history(spark, d))
     path = R.scratch_path(spark, "history")
-    R.append_history(h.where(F.col("id") % 2 == 0), path)
-    R.append_history(h.where(F.col("id") % 2 == 1), path)
-    back = spark.read.parquet(path)
+    even, odd = (h.where(F.col("id") % 2 == r) for r in (0, 1))
+    for batch, rows in (("even", even), ("odd", odd), ("even", even)):  # one batch comes twice
+        R.append_history(rows, path, batch)
+    back = R.read_history(spark, path)
     return back.groupBy("severity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -19,6 +19,6 @@ def stream_history_counters(spark, d):
     hist = with_severity(FX.history(spark, d))
     src = HS.land_daily_files(hist, scratch_path(spark, "hist-stream"))
     sink = scratch_path(spark, "hist-counts")
-    HS.run_available_now(HS.severity_counts_stream(spark, src), sink, scratch_path(spark, "hist-ckpt"))
+    HS.run_counts(HS.severity_counts_stream(spark, src), sink, scratch_path(spark, "hist-ckpt"))
     out = HS.read_counts(spark, sink)
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "n")

@@ -2,7 +2,10 @@
 point-climate JSON, soil JSON, sub-monthly scene samples; panel / history sinks."""
 from __future__ import annotations
 
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +41,41 @@ def write_grid_csvs(df: DataFrame, path: str) -> str:
     return path
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, files that begin with it).  A file's header is the first line of its first split."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-                                         F.monotonically_increasing_id().alias("row"), "value")
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    # one row per distinct header; its file list has a name per month
-    return [(r["header"], sorted(r["files"])) for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()]
+def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> list[str]:
+    """Paths of the files under ``path``, from the listing alone: no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
+    return sorted(r["path"] for r in files.collect())
 
 
-def read_csvs_by_name(spark: SparkSession, path: str, schema: T.StructType, partitions: list[T.StructField] = ()) -> DataFrame:
-    """All CSVs under ``path``, columns bound by their names in each file's own header; missing ones are NULL, columns
-    beyond the schema are dropped.  Raises when there is no file, or one shares no column with the schema."""
-    found = _headers(spark, path)
-    if not found:
+#: Headers that are read at the same time.
+HEADER_JOBS = 16
+
+
+def header_index(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files that begin with them.  Spark's CSV reader opens each file in a task that takes its first line
+    and stops, so the bytes read do not grow with the files, and quoted names are parsed as such."""
+    def names(file: str) -> tuple[str, ...]:
+        return tuple(c.strip() for c in spark.read.option("header", True).csv(file).columns)
+
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        found = list(pool.map(names, files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(found, files):
+        out.setdefault(header, []).append(file)
+    return out
+
+
+def read_csvs_by_name(spark: SparkSession, path: str, schema: T.StructType, partitions: list[T.StructField] = (),
+                      index: dict[tuple[str, ...], list[str]] | None = None) -> DataFrame:
+    """The CSVs under ``path`` (those of ``index``, or all), columns bound by their names in each file's own header; missing ones
+    are NULL, columns beyond the schema are dropped.  Raises when there is no file, or one shares no column with the
+    schema."""
+    index = header_index(spark, list_files(spark, path)) if index is None else index
+    if not index:
         raise FileNotFoundError(f"no CSV file under {path}")
     types = {f.name: f.dataType for f in schema.fields}
     out = None
-    for header, files in found:
-        names = [c.strip().strip('"') for c in header.split(",")]
+    for names, files in index.items():
         if not set(names) & set(types):
             raise ValueError(f"{files[0]} has none of the columns {sorted(types)}")
         own = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in names] + list(partitions))
@@ -68,21 +87,24 @@ def read_csvs_by_name(spark: SparkSession, path: str, schema: T.StructType, part
     return out
 
 
-def read_grid_csvs(spark: SparkSession, path: str, schema: T.StructType = RAW_GRID_SCHEMA) -> DataFrame:
-    """All monthly grid CSVs under ``path``, by column name; ``source_file`` comes back from the folder names by
-    partition discovery.  Raises when no file is found."""
-    return read_csvs_by_name(spark, path, schema, [T.StructField("source_file", T.StringType())]).drop("__file")
+def read_grid_csvs(spark: SparkSession, path: str, schema: T.StructType = RAW_GRID_SCHEMA, files: list[str] | None = None) -> DataFrame:
+    """Monthly grid CSVs under ``path`` (``files`` of them, or all), by column name; ``source_file`` comes back from the
+    folder names by partition discovery.  Raises when no file is found."""
+    index = None if files is None else header_index(spark, files)
+    return read_csvs_by_name(spark, path, schema, [T.StructField("source_file", T.StringType())], index).drop("__file")
 
 
 def first_files(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The first ``n`` values of ``source_file`` under ``path``, from the file listing alone (contents are not read);
-    raises when there are fewer."""
-    names = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
-             .select(F.regexp_extract("path", "source_file=([^/]+)", 1).alias("f")).where("f <> ''").distinct().orderBy("f").limit(n))
-    found = [r["f"] for r in names.collect()]
-    if len(found) < n:
-        raise ValueError(f"{len(found)} files under {path}; {n} are needed")
-    return found
+    """Paths of the files whose ``source_file`` is among its first ``n`` values under ``path``, from the listing alone; raises when there
+    are fewer."""
+    by_name: dict[str, list[str]] = {}
+    for file in list_files(spark, path):
+        m = re.search(r"source_file=([^/]+)", file)
+        if m:
+            by_name.setdefault(m[1], []).append(file)
+    if len(by_name) < n:
+        raise ValueError(f"{len(by_name)} files under {path}; {n} are needed")
+    return [f for name in sorted(by_name)[:n] for f in by_name[name]]
 
 
 def export_schema() -> T.StructType:
@@ -105,10 +127,11 @@ def write_export_files(lines: DataFrame, path: str) -> str:
 
 def read_export_csvs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers: file, header; rows of the feature exports by column name, with their file)."""
-    lines = spark.read.text(path).select("file", F.col("_metadata.file_block_start").alias("at"),
-                                         F.monotonically_increasing_id().alias("row"), "value")
-    headers = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    rows = read_csvs_by_name(spark, path, export_schema(), [T.StructField("file", T.StringType())]).drop("__file")
+    index = header_index(spark, list_files(spark, path, "*"))
+    # a row per file, from the index
+    headers = spark.createDataFrame([(re.search(r"file=([^/]+)", unquote(f))[1], ",".join(names)) for names, files in index.items() for f in files],
+                                    "file STRING, header STRING")
+    rows = read_csvs_by_name(spark, path, export_schema(), [T.StructField("file", T.StringType())], index).drop("__file")
     return headers, rows
 
 
@@ -198,7 +221,18 @@ def read_reports(spark: SparkSession, paths: dict[str, str], schema: str) -> Dat
     return out
 
 
-def append_history(df: DataFrame, path: str) -> str:
-    """Append-only history table (Parquet; a JDBC target would be format('jdbc'))."""
-    df.write.mode("append").parquet(path)
+def append_history(df: DataFrame, path: str, batch_id: str) -> str:
+    """Append one batch to a history table.  Its rows go to a folder of their own; then a commit row, which a repeated batch
+    overwrites, names that folder.  So the same batch twice leaves its rows once, and readers see whole batches only.
+    Rows of attempts that were never committed, or are so no longer, stay on disk unread."""
+    attempt = uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/batch=b-{batch_id}/attempt=a-{attempt}")
+    commit = df.sparkSession.range(1).select(F.lit(f"a-{attempt}").alias("attempt"))
+    commit.write.mode("overwrite").parquet(f"{path}/commits/batch=b-{batch_id}")
     return path
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of committed batches.  The commits (a row per batch) select folders, before their files are opened."""
+    commits = spark.read.parquet(f"{path}/commits")
+    return spark.read.parquet(f"{path}/data").join(commits, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
