@@ -4,9 +4,7 @@ Written from what each query returns, with set operations where the operators us
 """
 from __future__ import annotations
 
-from .licenses import CUE, TEMPLATES, THRESHOLD, template_vectors
-from .quality import BOILERPLATE_PHRASES
-from .secrets import CUTS, ENCODINGS, KEYWORDS
+from .licenses import FULL_TEXTS, TEMPLATES
 
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +21,12 @@ def _text(s: str) -> str:
 
 # ---------------------------------------------------------------- op1
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_PHRASES = " OR ".join(f"contains(lower(line), {_text(p)})" for p in BOILERPLATE_PHRASES)
+# phrases by their number of words; every character that is no letter or digit stands twice in ``low2``, so that a match can take one on
+# each side and leave the other to its neighbour
+_PHRASES = {2: "click  here|cookie  policy|enable  javascript|lorem  ipsum|privacy  policy|read  more|sign  in|sign  up",
+            3: "all  rights  reserved|cookies  to  improve|javascript  is  disabled|skip  to  content|terms  of  service|terms  of  use",
+            4: "subscribe  to  our  newsletter"}
+_PHRASE_WORDS = " + ".join(rf"{n} * len(regexp_extract_all(low2, '(^|[^\p{{L}}\p{{N}}])({p})($|[^\p{{L}}\p{{N}}])'))" for n, p in _PHRASES.items())
 ORACLES["op1_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {_words('t')} AS w FROM d),
@@ -32,14 +35,14 @@ gram AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM g),
 twice AS (SELECT r, i FROM gram QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT r, line, len({_words('line')}) AS n,
+lw AS (SELECT r, line, regexp_replace(lower(line), '([^\p{{L}}\p{{N}}])', '\1\1', 'g') AS low2, len({_words('line')}) AS n,
          len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym, len(regexp_extract_all(line, '[|»›•·→]')) AS sep
        FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-bad AS (SELECT *, (NOT contains('.!?:;…。！？"''”’»)]}}', right(rtrim(line, {_BLANKS}), 1))
+bad AS (SELECT *, (NOT contains('.!?:;…。！？؟।۔"''”’»)]}}', right(rtrim(line, {_BLANKS}), 1))
                    AND NOT regexp_matches(line, '[.!?…][''")»]*\x20+\p{{Lu}}'))
           OR (sym > 0 AND 2 * sym >= n) OR (sep >= 2 AND 5 * sep >= n)
           OR (NOT regexp_matches(line, '\p{{Ll}}') AND len(regexp_extract_all(line, '\p{{Lu}}')) >= 10)
-          OR {_PHRASES} AS fails FROM lw),
+          OR 100 * ({_PHRASE_WORDS}) >= 30 * n AND {_PHRASE_WORDS} > 0 AS fails FROM lw),
 lines AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (fails) AS n_bad,
             sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (fails), 0) AS lost FROM bad GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS word_chars,
@@ -53,7 +56,7 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   n_lines, n_bad_lines, lost_chars FROM m"""
 
 # ---------------------------------------------------------------- op3
-_ASSIGN = rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
 def _spans(kind: int, pattern: str, keep: str) -> str:
@@ -73,38 +76,57 @@ def _tail(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN {q} ELSE 1.0::DOUBLE - {q} END)"
 
 
+# encoding, the whole value's pattern, alphabet
+_ENCODINGS = [
+    ("hex", "[0-9a-f]*", "0123456789abcdef"),
+    ("hex", "[0-9A-F]*", "0123456789ABCDEF"),
+    ("base32", "[A-Z2-7]*", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base36", "[0-9a-z]*", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base62", "[0-9A-Za-z]*", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("base64", "[0-9A-Za-z+/]*", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64", "[0-9A-Za-z_-]*", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+]
 _ENCODED = "CASE " + " ".join(
     f"WHEN regexp_matches(b, '^{rx}$') AND (regexp_matches(b, '[0-9]') AND regexp_matches(b, '[A-Za-z]') "
-    f"OR {i} >= 4 AND regexp_matches(b, '[a-z]') AND regexp_matches(b, '[A-Z]')) THEN {i}" for i, (_, rx, _) in enumerate(ENCODINGS)) + " ELSE -1 END"
-_ALPHABET = "CASE c " + " ".join(f"WHEN {i} THEN {_text(a)}" for i, (_, _, a) in enumerate(ENCODINGS)) + " END"
-_ENC_NAME = "CASE c " + " ".join(f"WHEN {i} THEN {_text(n)}" for i, (n, _, _) in enumerate(ENCODINGS)) + " END"
+    f"OR {i} >= 4 AND regexp_matches(b, '[a-z]') AND regexp_matches(b, '[A-Z]')) THEN {i}" for i, (_, rx, _) in enumerate(_ENCODINGS)) + " ELSE -1 END"
+_ALPHABET = "CASE c " + " ".join(f"WHEN {i} THEN {_text(a)}" for i, (_, _, a) in enumerate(_ENCODINGS)) + " END"
+_ENC_NAME = "CASE c " + " ".join(f"WHEN {i} THEN {_text(n)}" for i, (n, _, _) in enumerate(_ENCODINGS)) + " END"
+# the lowest cut whose strings are not random in 5 % at most, two standard deviations allowed for
 _BEST_CUT = "coalesce(" + ", ".join(
-    f"CASE WHEN count(*) FILTER (p >= {a}::DOUBLE) - 2 * (1 - {a}::DOUBLE) * count(*) FILTER (p > 0.5::DOUBLE) <= 0.05::DOUBLE * count(*) FILTER (p >= {a}::DOUBLE) THEN {a}::DOUBLE END"
-    for a in CUTS) + f", {CUTS[-1]}::DOUBLE)"
+    f"CASE WHEN count(*) FILTER (p >= {a}::DOUBLE) - 2 * (1 - {a}::DOUBLE) * count(*) FILTER (p > 0.5::DOUBLE) "
+    f"- 2.0::DOUBLE * sqrt(count(*) FILTER (p >= {a}::DOUBLE) * (1 - 2 * {a}::DOUBLE)) <= 0.05::DOUBLE * count(*) FILTER (p >= {a}::DOUBLE) THEN {a}::DOUBLE END"
+    for a in (0.01, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)) + ", 0.5::DOUBLE)"
 _M = "(2.0::DOUBLE * high * (n - high))"
 _Z_RUNS = (f"(CASE WHEN high = 0 OR high = n THEN 37.0::DOUBLE ELSE (runs - {_M} / n - 1) / sqrt({_M} * ({_M} - n) / (n::DOUBLE * n * (n - 1))) END)")
 ORACLES["op3_secret_scans"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_spans(0, _ASSIGN, f"length(regexp_extract(v, {_text(_ASSIGN)}, 2)) >= 6")}
   UNION ALL {_spans(1, 'AKIA[A-Z0-9]+', 'length(v) >= 20')} UNION ALL {_spans(2, '[0-9a-f]{24,}', 'true')}),
-cand AS (SELECT r, s, e, regexp_replace(v, '=+$', '') AS b FROM ({_spans(9, '[A-Za-z0-9+/_=-]{20,}', 'true')}) x
-  WHERE NOT EXISTS (SELECT 1 FROM base y WHERE y.r = x.r AND y.s < x.e AND x.s < y.e)),
+runs AS ({_spans(9, '[A-Za-z0-9+/_-]{20,}=*', 'true')}),
+-- "=" belongs to a candidate only where nothing of an encoding follows
+cand0 AS (SELECT runs.r, s, CASE WHEN v LIKE '%=' AND regexp_matches(substr(t, (e + 1)::BIGINT, 1), '[A-Za-z0-9+/_-]') THEN e - length(v) + length(regexp_replace(v, '=+$', '')) ELSE e END AS e
+  FROM runs JOIN d ON d.r = runs.r),
+touch AS (SELECT x.r, x.s, x.e, y.s AS bs, y.e AS be, greatest(x.s, coalesce(max(y.e) OVER (PARTITION BY x.r, x.s ORDER BY y.s, y.k, y.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), x.s)) AS p
+  FROM cand0 x JOIN base y ON y.r = x.r AND y.s < x.e AND x.s < y.e),
+parts AS (SELECT r, s, e FROM cand0 x WHERE NOT EXISTS (SELECT 1 FROM touch y WHERE y.r = x.r AND y.s = x.s)
+  UNION ALL SELECT r, p, bs FROM touch WHERE bs > p UNION ALL SELECT r, greatest(s, max(be)), e FROM touch GROUP BY r, s, e HAVING max(be) < e),
+cand AS (SELECT parts.r, s, e, regexp_replace(substr(t, (s + 1)::BIGINT, (e - s)::BIGINT), '=+$', '') AS b FROM parts JOIN d ON d.r = parts.r),
 coded AS (SELECT *, {_ENCODED} AS c FROM cand WHERE length(b) >= 20),
 named AS (SELECT r, s, e, b, {_ENC_NAME} AS name, {_ALPHABET} AS abc FROM coded WHERE c >= 0),
-sym AS (SELECT r, s, e, name, length(abc) AS k, length(b) AS n, i, instr(abc, b[i]) - 1 AS v
+sym AS (SELECT r, s, e, name, b, length(abc) AS k, length(b) AS n, i, instr(abc, b[i]) - 1 AS v
   FROM (SELECT *, unnest(range(1, length(b) + 1)) AS i FROM named)),
 counts AS (SELECT r, s, sum(c * c) AS sq FROM (SELECT r, s, v, count(*) AS c FROM sym GROUP BY r, s, v) GROUP BY r, s),
 walk AS (SELECT *, lag(v) OVER (PARTITION BY r, s ORDER BY i) AS u FROM sym),
-stat AS (SELECT r, s, e, name, k, n, count(*) FILTER (2 * v >= k) AS high,
+stat AS (SELECT r, s, e, name, any_value(b) AS b, k, n, count(*) FILTER (2 * v >= k) AS high,
     count(*) FILTER (u IS NULL OR (2 * v >= k) <> (2 * u >= k)) AS runs,
     coalesce(sum((u - (k - 1) / 2) * (v - (k - 1) / 2)), 0) / (((k * k - 1) / 12) * sqrt((n - 1)::DOUBLE)) AS serial
   FROM walk GROUP BY r, s, e, name, k, n),
-z AS (SELECT r, s, e, name, n, ((k * sq::DOUBLE / n - n) - (k - 1)) / sqrt(2.0::DOUBLE * (k - 1) * (n - 1) / n) AS chi,
+z AS (SELECT r, s, e, name, b, n, ((k * sq::DOUBLE / n - n) - (k - 1)) / sqrt(2.0::DOUBLE * (k - 1) * (n - 1) / n) AS chi,
     {_Z_RUNS} AS zr, serial FROM stat JOIN counts USING (r, s)),
-tests AS (SELECT r, s, e, name || ':' || floor(2 * log2(n))::BIGINT AS stratum,
+tests AS (SELECT r, s, e, b, name || ':' || floor(2 * log2(n))::BIGINT AS stratum,
     round(1.0::DOUBLE - pow(1.0::DOUBLE - least(1.0::DOUBLE, greatest(0.0::DOUBLE, least({_tail('chi')}, 2.0::DOUBLE * {_tail('abs(zr)')},
       2.0::DOUBLE * {_tail('abs(serial)')}))), 3.0::DOUBLE), 9) AS p FROM z),
-cuts AS (SELECT stratum, {_BEST_CUT} AS cut FROM tests GROUP BY stratum HAVING count(*) FILTER (p > 0.5) > 0),
+cuts AS (SELECT stratum, {_BEST_CUT} AS cut FROM (SELECT stratum, b, max(p) AS p FROM tests GROUP BY stratum, b) GROUP BY stratum),
 found AS (SELECT r, k, s, e FROM base UNION ALL SELECT r, 3, s, e FROM tests JOIN cuts USING (stratum) WHERE p >= cut),
 text AS (SELECT r, k, s, e, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s || ':' || e AS x FROM found),
 per AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
@@ -173,22 +195,42 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies, CASE W
     ELSE (sqrt(0.25::DOUBLE + 2.0::DOUBLE * share) - 0.5::DOUBLE) / 1.0::DOUBLE END END AS position FROM x"""
 
 # ---------------------------------------------------------------- op9
-_ROWS, _IDF, _OTHER = template_vectors(TEMPLATES)
-_VECTORS = ", ".join(f"({i}, {_text(n)}, {_text(t)}, {w!r}::DOUBLE)" for i, n, t, w in _ROWS)
-_IDFS = ", ".join(f"({_text(t)}, {w!r}::DOUBLE)" for t, w in sorted(_IDF.items()))
+# statements and full texts, from which SQL works out terms, document frequencies and unit vectors by itself; paragraphs of the shortest
+# full text are templates too
+_MIT = next(t for n, t in FULL_TEXTS if n == "MIT")
+_TEXTS = ", ".join([f"(0, {i}, {_text(n)}, {_text(t)}, 0)" for i, (n, t) in enumerate(TEMPLATES)]
+                   + [f"(1, {i}, {_text(n)}, {_text(t)}, 1)" for i, (n, t) in enumerate(FULL_TEXTS)]
+                   + [f"(1, {len(FULL_TEXTS) + i}, 'MIT', {_text(t)}, 0)" for i, t in enumerate(_MIT.strip().split("\n\n"))])
+_CUE = "licen[cs]e|copyright|spdx|rights reserved|hereby granted|redistribut|public domain|cc by|cc0"
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DECORATION = r"(?m)^[ \t\v\f\r]*[#/*;!%<>\"''-]*[ \t\v\f\r]*|[ \t\v\f\r]*[*/#>-]*[ \t\v\f\r]*$"
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9.+(-][a-z0-9.+()-]*(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+()-]+)*)"
+_NAMES = ", ".join(f"({_text(n.lower())}, {_text(n)})" for n in sorted({n for n, _ in [*TEMPLATES, *FULL_TEXTS]}))
+_TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 ORACLES["op9_license_scans"] = rf"""
-WITH vec(template, license, term, weight) AS (VALUES {_VECTORS}), idf(term, idf) AS (VALUES {_IDFS}),
-f AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+WITH given_texts(grp, template, license, text, whole) AS (VALUES {_TEXTS}), names(low, name) AS (VALUES {_NAMES}),
+tt AS (SELECT grp, template, license, whole, term, count(*) AS n FROM (SELECT grp, template, license, whole, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM given_texts)
+  GROUP BY ALL),
+size AS (SELECT grp, count(*) AS k FROM given_texts GROUP BY grp),
+idf AS (SELECT grp, term, ln((1 + k)::DOUBLE / (1 + count(*))) + 1 AS idf FROM tt JOIN size USING (grp) GROUP BY grp, term, k),
+tw AS (SELECT tt.*, n * idf AS w FROM tt JOIN idf USING (grp, term)),
+vec AS (SELECT grp, template, license, whole, term, w / sqrt(sum(w * w) OVER (PARTITION BY grp, template)) AS weight FROM tw),
+f AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS raw, {_LOWER.format(t="coalesce(text, '')")} AS t,
     concat_ws('/', source, lang, floor(doc_id / 1000)::BIGINT, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
 p AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_matches(path, '(^|/)LICENSE$') AS is_file FROM f),
-u AS (SELECT DISTINCT r, unit FROM (SELECT r, unnest(string_split(t, chr(10))) AS unit FROM p UNION ALL SELECT r, t FROM p WHERE is_file)
-  WHERE regexp_matches(unit, {_text(CUE)})),
-tf AS (SELECT r, unit, term, count(*) AS tf FROM (SELECT r, unit, unnest(regexp_extract_all(unit, '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM u) GROUP BY ALL),
-w AS (SELECT r, unit, term, tf * coalesce(idf, {_OTHER!r}::DOUBLE) AS w FROM tf LEFT JOIN idf USING (term)),
-norm AS (SELECT r, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY r, unit),
-score AS (SELECT r, template, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM w JOIN vec USING (term) JOIN norm USING (r, unit)
-  GROUP BY r, unit, template, license),
-own AS (SELECT r, license, score FROM score WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, template) = 1),
+speaks AS (SELECT * FROM p WHERE regexp_matches(t, '{_CUE}')),
+u AS (SELECT DISTINCT r, unit FROM (SELECT r, unnest(string_split(t, chr(10))) AS unit FROM speaks
+    UNION ALL SELECT r, unnest(string_split_regex(regexp_replace(t, '{_DECORATION}', '', 'g'), '\n{{2,}}')) FROM speaks UNION ALL SELECT r, t FROM speaks WHERE is_file)
+  WHERE regexp_matches(unit, '{_CUE}')),
+tf AS (SELECT r, unit, term, count(*) AS tf FROM (SELECT r, unit, unnest(regexp_extract_all(unit, '{_TERM}')) AS term FROM u) GROUP BY ALL),
+w AS (SELECT grp, r, unit, tf.term, tf * coalesce(idf, ln((1 + k)::DOUBLE) + 1) AS w FROM tf CROSS JOIN size LEFT JOIN idf USING (grp, term)),
+norm AS (SELECT grp, r, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY grp, r, unit),
+score AS (SELECT r, whole, template, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM w JOIN vec USING (grp, term) JOIN norm USING (grp, r, unit)
+  GROUP BY grp, r, unit, template, license, whole
+  UNION ALL SELECT r, 0, 0, coalesce(name, tag), 1.0 FROM (SELECT r, unnest(regexp_extract_all(raw, '{_SPDX}', 1)) AS tag FROM speaks)
+    LEFT JOIN names ON low = regexp_replace(lower(tag), '(-only|-or-later|\+)$', '')),
+own AS (SELECT r, license, score FROM score WHERE score >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY license <> 'Proprietary' DESC, whole DESC, score DESC, template, license DESC) = 1),
 given AS (SELECT dir, license FROM p JOIN own USING (r) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) = 1),
 near AS (SELECT d.dir, g.dir AS at, g.license FROM (SELECT DISTINCT dir FROM p) d JOIN given g ON g.dir = d.dir OR starts_with(d.dir, g.dir || '/') OR g.dir = ''
   QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(g.dir) DESC) = 1)

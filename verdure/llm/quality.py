@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, let, let_sql, packed, pinned, text_of, unpacked, words
 
 SYMBOLS = r"[#*$%&|<>]"
-TERMINALS = ".!?:;…。！？\"'”’»)]}"
+TERMINALS = ".!?:;…。！？؟।۔\"'”’»)]}"
 SENTENCE_END = r"[.!?…]['\")»]*\x20+\p{Lu}"
 SEPARATORS = r"[|»›•·→]"
 UPPER, LOWER = r"\p{Lu}", r"\p{Ll}"
