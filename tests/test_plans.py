@@ -7,8 +7,7 @@ from verdure.plans.frames import feature_panel
 
 QUERIES = load_all()[0]
 ML_KEYS = {k for k in QUERIES if k.startswith("ml_") and k not in ("ml_persistence", "ml_magnitude_importance")}
-IO_KEYS = {"src_grid_csv_union", "src_file_window", "src_climate_json", "sink_panel", "sink_history_append",
-           "stream_history_counters"}
+IO_KEYS = {"stream_history_counters"}
 
 
 def plan_text(df):
@@ -29,6 +28,24 @@ def test_no_python_udf_no_cartesian(spark, sf, key):
         assert bad not in p, f"{key}: {bad}"
 
 
+def test_scoring_of_fitted_models_is_join_free(spark, sf):
+    """Predictions of several models stand side by side without a join on the keys."""
+    from verdure.operators import models as ML
+    from verdure.plans.q_models import ml_data
+
+    tr, te, feats = ml_data(spark, sf)
+    assert not set(feats) - {"vhi", "vci", "tci"} & set(te.columns)
+    quick = {"gbt": ML.fit(ML.gbt({"maxIter": 2}), tr), "forest": ML.fit(ML.forest({"numTrees": 2}), tr), "linear": ML.fit(ML.linear(), tr)}
+    p = plan_text(ML.score_many(quick, te))
+    assert "Join" not in p
+
+
+def test_file_queries_read_no_text(spark, sf):
+    for key in ("src_grid_csv_union", "src_file_window", "dq_export_inspect"):
+        p = plan_text(QUERIES[key](spark, sf))
+        assert "Scan text" not in p and "Scan csv" in p, key
+
+
 def test_pruned_scan_reads_two_columns(spark, sf):
     df = QUERIES["src_pruned_scan"](spark, sf)
     p = plan_text(df)

@@ -58,6 +58,13 @@ def linear(label="label") -> Pipeline:
     return Pipeline(stages=[scaler, lr])
 
 
+def linear_terms(model) -> tuple[float, list[float]]:
+    """(intercept, coefficient per feature) of a fitted ``linear`` pipeline in units of the features themselves."""
+    scaler, lr = model.stages
+    weights = [float(c) / s if s else 0.0 for c, s in zip(lr.coefficients, scaler.std)]
+    return float(lr.intercept) - sum(w * float(m) for w, m in zip(weights, scaler.mean)), weights
+
+
 def predict(model, df: DataFrame, name: str, lo=0.0, hi=1.0) -> DataFrame:
     out = model.transform(df).withColumn("y_pred", clip("prediction", lo, hi)).withColumn("model", F.lit(name))
     return out.drop("prediction", "__scaled")

@@ -22,13 +22,14 @@ from .registry import register, rounded
 PROTOCOL = "A_strict_chronological_future_forecasting"
 
 
-def ml_data(spark, d, label="target_vhi_h1"):
-    """Leakage-blocked features, next-month label, chronological train/test."""
+def ml_data(spark, d, label="target_vhi_h1", columns=False):
+    """Leakage-blocked features, next-month label, chronological train/test.  The frozen rows hold the features as one vector, and
+    with ``columns`` one by one as well."""
     f = feature_panel(spark, d, signals=("ndvi", "lst", "rainfall", "vhi"), wavelet=True)
     feats = [c for c in C.leakage_block(C.numeric_features(f)) if c not in ("month", "season")]
     f = f.withColumn("label", F.col(label))
-    data = ML.training_table(ML.assemble(f, feats).select("grid_id", "date", "label", "vci", "tci", "vhi", *feats,
-                                                           ML.FEATURES_COL))
+    data = ML.training_table(ML.assemble(f, feats).select("grid_id", "date", "label", "vci", "tci", "vhi",
+                                                           *(feats if columns else []), ML.FEATURES_COL))
     # the date cut-off subquery reads the cached rows, not a second feature computation
     data = DS.split_chrono(data)
     train = data.where(F.col("split") == "train")
@@ -158,7 +159,7 @@ def ml_persistence(spark, d):
 
 
 def _search_rows(spark, d):
-    tr, _, _ = ml_data(spark, d)
+    tr, _, _ = ml_data(spark, d, columns=True)
     s = DS.split_valid_quantile(tr)
     return s.where(F.col("split") == "fit").drop("split"), s.where(F.col("split") == "valid").drop("split")
 
@@ -277,7 +278,7 @@ def ml_feature_importance(spark, d):
 
 @register("ml_permutation_importance", "SELECT unnest([" + ", ".join(f"'{c}'" for c in MODEL_FEATURES) + "]) AS feature, true AS finite")
 def ml_permutation_importance(spark, d):
-    tr, te, feats = ml_data(spark, d)
+    tr, te, feats = ml_data(spark, d, columns=True)
     model = ML.fit(ML.gbt(), tr)
     p = ML.permutation_importance(model, te, feats, repeats=3)
     return p.select("feature", (F.col("importance").isNotNull() & ~F.isnan("importance") & (F.abs("importance") < 1)).alias("finite"))
@@ -287,7 +288,7 @@ def ml_permutation_importance(spark, d):
 def ml_batch_score(spark, d):
     """A scoring job: the model is saved, loaded with its feature list, and applied to rows whose vector is assembled from that list.
     Keys of every scored row; prediction within bounds and equal to the fitted model's, severity by the ladder, risk = (1 - vhi) * 100."""
-    tr, te, feats = ml_data(spark, d)
+    tr, te, feats = ml_data(spark, d, columns=True)
     fitted = ML.fit(ML.gbt(), tr)
     loaded, names = ML.load_model(spark, ML.save_model(fitted, feats, scratch_path(spark, "model"), spark))
     rows = ML.score_many({"fitted": fitted}, te).select("grid_id", "date", "label", "p_fitted", *names)

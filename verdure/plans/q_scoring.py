@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import history as H
 from ..operators import indices as I
+from ..operators import models as ML
 from ..operators import scoring as SC
-from ..operators.temporal import latest_per_key
+from ..operators.temporal import latest_per_key, order_window
 from ..sources import fixtures as FX
 from . import sqlfrag as S
 from .q_indices import VHI100_CTE, VHI_SQL_CTE, vhi_panel
@@ -90,6 +91,36 @@ def sc_model_forecast(spark, d):
     return rounded(SC.model_forecast(h, lambda lag, roll: 0.05 + 0.55 * lag + 0.35 * roll, 12))
 
 
+CHAIN_FIT = """x AS (SELECT vhi AS x1, (coalesce(lag(vhi, 2) OVER w, 0) + lag(vhi, 1) OVER w + vhi) / 3 AS x2, lead(vhi, 1) OVER w AS y, row_number() OVER w AS k
+  FROM vhi WINDOW w AS (PARTITION BY grid_id ORDER BY date)),
+c AS (SELECT var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS y1, covar_pop(x2, y) AS y2, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS m
+  FROM x WHERE k >= 3 AND y IS NOT NULL),
+b AS (SELECT *, (y1 * v2 - y2 * v12) / (v1 * v2 - v12 * v12) AS b1, (y2 * v1 - y1 * v12) / (v1 * v2 - v12 * v12) AS b2 FROM c),
+coef AS (SELECT b1, b2, m - b1 * m1 - b2 * m2 AS b0 FROM b),"""
+
+
+@register("sc_model_forecast_fitted", VHI_SQL_CTE.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+{CHAIN_FIT}
+r AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY date DESC) AS k FROM vhi),
+h AS (SELECT grid_id, max(date) AS date, max(CASE WHEN k = 1 THEN vhi END) AS a, max(CASE WHEN k = 2 THEN vhi END) AS b, max(CASE WHEN k = 3 THEN vhi END) AS c
+  FROM r GROUP BY grid_id HAVING count(*) >= 3),
+f AS (SELECT grid_id, date, 0 AS step, a, b, c FROM h UNION ALL
+  SELECT grid_id, date, step + 1, {S.clip('b0 + b1 * a + b2 * ((0.0::DOUBLE + c + b + a) / 3)', 0.0, 1.0)}, a, b FROM f, coef WHERE step < 12)
+SELECT grid_id, CAST(step AS INTEGER) AS step, strftime(date + to_months(step), '%Y-%m') AS forecast_month, round(a * 1e5) / 1e5 + 0.0 AS forecast FROM f WHERE step > 0""")
+def sc_model_forecast_fitted(spark, d):
+    """Twelve chained steps of a linear model fitted on the panel: next month's VHI from this month's and the mean of the last three.
+    Every step is checked by value (5 decimals)."""
+    w = order_window(["grid_id"])
+    v = vhi_panel(spark, d).select("grid_id", "date", "vhi")
+    rows = v.select("vhi", F.avg("vhi").over(w.rowsBetween(-2, 0)).alias("roll_3"), F.lead("vhi", 1).over(w).alias("label"), F.row_number().over(w).alias("k"))
+    rows = ML.assemble(rows.where("k >= 3 AND label IS NOT NULL"), ["vhi", "roll_3"])
+    intercept, (lag, roll) = ML.linear_terms(ML.fit(ML.linear(), ML.training_table(rows.select("label", ML.FEATURES_COL))))
+    h = v.groupBy("grid_id").agg(F.max("date").alias("date"), F.transform(F.array_sort(F.collect_list(F.struct("date", "vhi"))), lambda x: x["vhi"]).alias("all"))
+    h = h.where(F.size("all") >= 3).select("grid_id", "date", F.slice("all", -3, 3).alias("history"))
+    out = SC.model_forecast(h, lambda x, mean: F.lit(intercept) + F.lit(lag) * x + F.lit(roll) * mean, 12)
+    return out.withColumn("forecast", F.round(F.col("forecast") * 1e5) / 1e5 + 0.0)
+
+
 @register("sc_probability", REQ_CTE + "SELECT id, severity, probability, risk_score FROM scored")
 def sc_probability(spark, d):
     return _scored(spark, d).select("id", "severity", "probability", "risk_score")
