@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from verdure.llm import jaccard, ppm, sentencepieces, simhash, tokens, warc
+from verdure.llm import jaccard, licenses, mixing, ppm, sentencepieces, simhash, tokens, warc
 from verdure.llm.hashing import Lookup, word_hashes
 
 P = pytest.importorskip("public_tokenizers")
@@ -387,3 +387,44 @@ def test_jaccard_null_ids_and_repeats(spark):
     rows = kept.toPandas()
     assert (rows.text == t).sum() == 1 and (rows.text == u).sum() == 1 and rows[rows.text == t].doc_id.tolist() == [4]
     assert jaccard.join(d.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ ids
+def test_the_least_long_is_an_id_like_others(spark):
+    low = -1 << 63
+    texts = ["one text of some words", "another text of words", "one text of some words", "third"]
+    got = {(r.doc_id, r.n_chars) for r in simhash.edited_fingerprints(docs_of(spark, texts, [low, None, low + 1, 100])).collect()}
+    assert got == {(low, 22), (None, 21), (low + 1, 22), (100, 5)}
+    page = "<p>" + "x" * 2000
+    pages = spark.createDataFrame([(low, "u", page), (None, "u", page), (None, "u", "s"), (low, "u", "s")], "page_id long, url string, html string")
+    rows = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    assert rows == sorted([(low, 2003, "response", None), (None, 2003, "revisit", low), (None, 1, "response", None), (low, 1, "response", None)], key=str)
+    mit = "Released under the MIT License."
+    files = spark.createDataFrame([(low, "a/LICENSE", mit), (None, "a/LICENSE", mit), (-1 << 62, "b/x", "t"), (None, "a/y", "t")], "doc_id long, path string, text string")
+    assert sorted(((r.doc_id, r.path, r.license) for r in licenses.scan(files).collect()), key=str) == sorted(
+        [(low, "a/LICENSE", "MIT"), (None, "a/LICENSE", "MIT"), (-1 << 62, "b/x", None), (None, "a/y", "MIT")], key=str)
+
+
+def test_rows_without_ids_spread_over_buckets(spark, monkeypatch):
+    seen = []
+    whole = mixing.cut_lineage
+    monkeypatch.setattr(mixing, "cut_lineage", lambda df: seen.append(whole(df)) or seen[-1])
+    d = spark.range(6000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('word ', id) AS text", "'s' AS source")
+    assert mixing.plan(d, docs_per_bucket=200).count() == 6000
+    per_bucket = next(x for x in seen if "b_bucket" in x.columns)
+    assert per_bucket.count() >= 25
+
+
+def test_very_long_texts(spark):
+    """One text of megabytes among short ones: simhash, PPM, tokens, pieces."""
+    long = " ".join(f"w{i % 9000}" for i in range(200_000)) + "y" * 100_000
+    d = docs_of(spark, [long, "short text", long, ""]).selectExpr("*", "1 AS fp", "2 AS h")
+    got = {r.doc_id: r for r in simhash.edited_fingerprints(d).collect()}
+    assert got[0].fingerprint == got[2].fingerprint and got[0].n_chars == len(long)
+    scores = {r.doc_id: r for r in ppm.score(d).collect()}
+    assert scores[0].n_tokens == len(WORD.findall(long)) + 1 and scores[0].score == scores[2].score
+    ids = {r.doc_id: r for r in tokens.read_documents(tokens.write(d, P.path("byte_bpe_50k.json"), special_as_text=False)).collect()}
+    assert ids[0].ids_crc32 == ids[2].ids_crc32 and ids[3].n_tokens == 1
+    back = {r.doc_id: r for r in sentencepieces.digests(d, P.path("piece_bpe_32k.model")).collect()}
+    lib = sentencepieces.codec(P.path("piece_bpe_32k.model")).lib
+    assert back[0].n_tokens == len(lib.encode(long)) + 2

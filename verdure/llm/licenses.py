@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import lower_az, text_of
 
 THRESHOLD = 0.7
-NO_ID = -(1 << 62)  # stands for a null id in joins
+NO_ID = -(1 << 62)  # stands for a null id in joins; the lowest bit of a row's hash tells it from a real one
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 CUE = r"licen[cs]e|copyright|spdx|rights reserved|hereby granted|redistribut|public domain|cc by|cc0"
 LICENSE_FILE = r"(^|/)([Ll][Ii][Cc][Ee][Nn][CScs][Ee]|COPYING|NOTICE)([._-][^/]*)?$"
@@ -129,11 +129,11 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, **options) -> DataFrame:
     """doc_id, path, own_license, own_score, license, origin (own, inherited, none), license_dir of every row of
     ``files`` (doc_id, path, text)."""
-    f = files.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("path", F.lit("")).alias("path"), text_of("text").alias("text"))
-    f = f.withColumns({"h": F.xxhash64("text"), "dir": directory(F.col("path"))})
+    f = files.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().cast("long").alias("none"), F.coalesce("path", F.lit("")).alias("path"), text_of("text").alias("text"))
+    f = f.withColumns({"h": F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("none")), "dir": directory(F.col("path"))})
     own = own_licenses(f.select("doc_id", "path", "h", "text"), **options)
     given = own.where(F.col("path").rlike(LICENSE_FILE)).withColumn("dir", directory(F.col("path")))
-    given = given.groupBy(F.col("dir").alias("g_dir")).agg(F.max(F.struct("score", (-F.col("doc_id")).alias("i"), "license")).alias("g"))
+    given = given.groupBy(F.col("dir").alias("g_dir")).agg(F.max(F.struct("score", F.bitwise_not("doc_id").alias("i"), "license")).alias("g"))
     dirs = f.select("dir").distinct()
     # a/b/c -> a/b/c, a/b, a, (root): nearest first
     parts = F.split("dir", "/")
@@ -141,9 +141,9 @@ def scan(files: DataFrame, **options) -> DataFrame:
         F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))))
     near = up.join(given, F.col("a") == F.col("g_dir")).groupBy("dir").agg(
         F.max(F.struct(F.length("a").alias("n"), "a", F.col("g.license").alias("license"))).alias("near"))
-    out = (f.drop("text").join(own, ["doc_id", "path", "h"], "left").join(near, "dir", "left"))
+    out = (f.drop("text", "none").join(own, ["doc_id", "path", "h"], "left").join(near, "dir", "left"))
     return out.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"),
+        F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")).alias("doc_id"), "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"),
         F.coalesce("license", "near.license").alias("license"),
         F.when(F.col("license").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(F.col("license").isNull(), F.col("near.a")).alias("license_dir"))

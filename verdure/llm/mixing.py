@@ -7,6 +7,8 @@ again until the target is met; the word a document copy begins at is put through
 of the demand and gives the copy's training position.  Sorting by position (range partitions)
 gives the training order.
 
+The windows over sources hold a row per source in one task: meant for some thousands of sources.
+
 Scale: texts are shuffled twice (into the order of their source, and into training order); per-source sums are
 partial aggregates; the running word count inside a source is a
 two-level prefix sum over hash buckets of about ``docs_per_bucket`` documents, so a source with
@@ -84,7 +86,8 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, sc
     (null if it has none).  ``keep``: further columns of ``docs`` to carry (as ``k_...``)."""
     t = text_of("text")
     slim = [F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words(t).alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+            # by id and text: rows that share an id, or have none, spread like others
+            F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(t.cast("binary"))).cast("binary")).alias("h"),
             F.md5(t.cast("binary")).alias("h2")]
     # sizes are read several times, texts once: the slim rows go to the shared checkpoint folder
     sizes = cut_lineage(docs.select(*slim))

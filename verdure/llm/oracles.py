@@ -173,7 +173,7 @@ JOIN fp x ON x.doc_id = o.nid AND x.v = 0 LEFT JOIN near ON near.doc_id = o.doc_
 
 # ---------------------------------------------------------------- op7
 ORACLES["op7_source_mixing"] = rf"""
-WITH d AS (SELECT doc_id, source, len({_words("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+WITH d AS (SELECT doc_id, source, len({_words("coalesce(text, '')")})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h,
     md5(coalesce(text, '')) AS h2 FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 p AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT AS place FROM s),

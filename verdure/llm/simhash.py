@@ -29,6 +29,7 @@ from .common import files_for, let_sql, text_of, words
 SHINGLE = 5
 RADIUS = 3
 BLOCKS = 6
+#: Stands for a null id; what tells it from a real one is the lowest bit of the row's hash.
 NULL_ID = -(1 << 63)
 
 
@@ -121,8 +122,9 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, count: in
 def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, query_ids: int = 100) -> DataFrame:
     """Fingerprints of every text and of its edited text, their likeness, and the number of other documents within
     ``radius`` for rows whose id ``query_ids`` divides."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_of("text").alias("t"))
-    d = d.withColumn("h", F.xxhash64("t"))
+    none = F.lit(1).cast("long")
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_of("text").alias("t"), F.col("doc_id").isNull().cast("long").alias("none"))
+    d = d.withColumn("h", F.xxhash64("t").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("none"))).drop("none")
     files = files_for(docs.count())
     keys = next_keys(d.groupBy("id", "h").agg(F.count("*").alias("copies"), F.max(F.length("t")).cast("long").alias("n_chars")), files)
     keys = keys.withColumn("need", F.floor(F.col("n_chars") / 2))
@@ -147,12 +149,13 @@ def edited_fingerprints(docs: DataFrame, *, radius: int = RADIUS, query_ids: int
     fps = cut_lineage(fps.repartition(files))
     other = fps.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fp").alias("next_fp"))
     out = fps.join(other, ["next_id", "next_h"])
-    asked = F.col("id") % query_ids == 0
-    near = within(fps.where(asked & (F.col("id") != NULL_ID)), fps.groupBy("fp").agg(F.sum("copies").alias("docs")), radius)
+    has_id = F.col("h").bitwiseAND(none) == 0
+    asked = has_id & (F.col("id") % query_ids == 0)
+    near = within(fps.where(asked), fps.groupBy("fp").agg(F.sum("copies").alias("docs")), radius)
     near = near.groupBy("q").agg((F.sum("docs") - 1).alias("n_near"))
-    out = out.join(near, (F.col("fp") == F.col("q")) & asked & (F.col("id") != NULL_ID), "left")
+    out = out.join(near, (F.col("fp") == F.col("q")) & asked, "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.coalesce(files).select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+        F.when(has_id, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")

@@ -55,17 +55,19 @@ def _record(kind: Column, record_id: Column, uri: Column, headers: list[Column],
 def plan_captures(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, payload_bytes, refers_to, copy: one row a capture."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    # a null id is the smallest long in here: plain keys let one exchange serve the grouping and the join
-    p = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
+    # a null id is the smallest long with a flag in here: plain keys let one exchange serve the grouping and the join
+    p = pages.select(F.col("page_id").isNotNull().alias("has_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                      html.alias("html"))
     p = p.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "payload_bytes": F.octet_length("html").cast("long")})
-    slim = p.groupBy("page_id", "url", "digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("copies"))
-    newest = (slim.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("newest")))
+    keys = ["page_id", "has_id", "url", "digest"]
+    slim = p.groupBy(*keys).agg(F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("copies"))
+    newest = (slim.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("has_id", "page_id")).alias("newest")))
     slim = slim.join(newest, "digest", "left")
-    slim = slim.select("page_id", "url", "digest", "copies", F.when(F.col("newest") != F.col("page_id"), F.col("newest")).alias("refers_to"))
-    body = p.groupBy("page_id", "url", "digest").agg(F.first("html").alias("html"), F.max("payload_bytes").alias("payload_bytes"))
-    c = body.join(slim, ["page_id", "url", "digest"])
-    c = c.withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
+    other = F.col("newest.has_id") & ((F.col("newest.page_id") != F.col("page_id")) | ~F.col("has_id"))
+    slim = slim.select(*keys, "copies", F.when(other, F.col("newest.page_id")).alias("refers_to"))
+    body = p.groupBy(*keys).agg(F.first("html").alias("html"), F.max("payload_bytes").alias("payload_bytes"))
+    c = body.join(slim, keys)
+    c = c.withColumn("page_id", F.when(F.col("has_id"), F.col("page_id"))).drop("has_id")
     return c.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
