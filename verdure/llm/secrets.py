@@ -20,10 +20,12 @@ positions are code points, end exclusive; extra columns are left alone.
 """
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .common import any_case, let_sql, packed, text_of, unpacked
 
 KINDS = ("assign", "access", "hex", "random")
@@ -193,10 +195,21 @@ def find(docs: DataFrame, text_col: str = "text", *, keep: tuple[str, ...] = ("d
     return with_spans(slim, cuts(slim, q))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    if "void" in df.schema.simpleString():  # a column of no type, which Parquet cannot hold
+        return cut_lineage(df)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/secrets-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def redact(docs: DataFrame, text_col: str = "text", *, mark: str = "[secret]", q: float = Q) -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by ``mark`` (overlapping spans as one); all rows stay."""
-    scanned = scan(packed(docs, text_col), text_col)
-    df = with_spans(scanned, cuts(scan(docs.select(text_col), text_col), q))
+    """``docs`` with every span of ``text_col`` replaced by ``mark`` (overlapping spans as one); all rows stay.
+
+    The scanned rows are written to the shared checkpoint folder, as Parquet: texts are scanned once, and the cuts read the column of
+    the tests only."""
+    scanned = _written(scan(packed(docs, text_col), text_col))
+    df = with_spans(scanned, cuts(scanned, q))
     pieces = let_sql("__t", "t", f"aggregate(z_spans, named_struct('p', 0, 'out', CAST(array() AS array<string>)), (a, x) -> CASE "
               f"WHEN x.s < a.p THEN named_struct('p', greatest(a.p, x.e), 'out', a.out) ELSE named_struct('p', x.e, 'out', "
               f"concat(a.out, array(substring(t, a.p + 1, x.s - a.p), {_quoted(mark)}))) END, "
