@@ -211,7 +211,7 @@ def test_token_files_hold_the_library_ids(spark, sf, case):
     flat = []
     for r in sorted(manifest.collect(), key=lambda r: r.shard):
         for a, mask in tokens.sequences(re.sub("^file:/+", "/", r.path)):
-            assert a.shape[1] == 64
+            assert a.shape == mask.shape == (64,)
             flat.extend(a[mask].tolist())
     assert flat == [x for c in coded for x in c]
 
@@ -224,6 +224,30 @@ def test_token_files_ties_nulls_and_no_rows(spark):
     assert tokens.read_documents(tokens.write(docs_of(spark, ["x"]).limit(0), path)).count() == 0
 
 
+def test_token_sequences_lie_at_computable_places(spark):
+    """Batches of one size, whatever the texts' lengths; sequence k by index, as views of the memory map."""
+    path = P.path("byte_bpe_50k.json")
+    texts = ["w " * 9000, "short", "", "é x " * 4000, *["some words here " * (i % 40) for i in range(300)]]
+    manifest = tokens.write(docs_of(spark, texts), path, sequence=32, rows=16, shards=2).collect()
+    for r in manifest:
+        name = re.sub("^file:/+", "/", r.path)
+        file = tokens.SequenceFile(name)
+        n = file.reader.num_record_batches
+        assert len(file) == r.n_sequences == -(-r.n_tokens // 32) and n == -(-len(file) // 16)
+        assert all(file.reader.get_batch(i).num_rows == 16 for i in range(n - 1))
+        one_by_one = [file[k] for k in range(len(file))]
+        assert all((a == b).all() and (m == w).all() for (a, m), (b, w) in zip(one_by_one, tokens.sequences(name), strict=True))
+        assert sum(int(m.sum()) for _, m in one_by_one) == r.n_tokens and all(m.all() for _, m in one_by_one[:-1])
+        assert (file[-1][0] == one_by_one[-1][0]).all()
+        with pytest.raises(IndexError):
+            file[len(file)]
+        whole = file.map.size()
+        file.map.seek(0)
+        start = file.map.read_buffer(whole).address
+        assert all(start <= a.ctypes.data < start + whole for a, _ in one_by_one)
+        assert len({m.ctypes.data for _, m in [file[0], file[1]]}) == 1 and not file[0][0].flags.writeable
+
+
 # ------------------------------------------------------------------ op8
 def split_ids(coded):
     ids, n = coded

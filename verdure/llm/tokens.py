@@ -2,17 +2,20 @@
 
 Documents are range-partitioned by id; every partition writes its concatenated ids as one Arrow
 file of equal-length sequences.  A row holds ``ids`` (fixed-size list of unsigned integers),
-``mask`` (true: a real id, false: padding after the shard's end), ``ends`` (true: a document's
-last id) and ``doc_ids`` (the documents that end in the row).  The three lists have one size, so
-sequence k lies at a computable place of a memory map and is read without a copy.
+``mask`` (fixed-size list of bytes, 1: a real id, 0: padding after the shard's end), ``ends`` (places
+of the documents' last ids in the row) and ``doc_ids`` (the documents that end there).  All batches of a
+file but its last one hold the same number of rows, so sequence k is row k % rows of batch k // rows:
+``SequenceFile`` gives it as views of a memory map.  Masks are dictionary-coded, as a file has two of
+them at most: all real, and the last row's.
 
 Recovery: a task writes a file under a name of its own and returns it as a row; the rows that
 Spark commits (reliable checkpoint) are the manifest, files of lost or repeated attempts are in
-none.  Memory: one Arrow batch and one block of sequences a task.
+none.  Memory: one Arrow batch, one block of sequences and several numbers of eight bytes for each byte of
+the piece in work (``BLOCK_BYTES``, or one longer text) a task.
 
 Defined results: a null text is empty (its end id only); documents stand in ascending id, null
 ids first, equal ids by text hash; repeated rows are documents of their own; no documents give an
-empty manifest.
+empty manifest; further columns are ignored, whatever their names; long texts are encoded whole.
 """
 from __future__ import annotations
 
@@ -107,22 +110,23 @@ def _uri(path: str) -> str:
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length)),
-                      ("ends", pa.list_(pa.bool_(), length)), ("doc_ids", pa.list_(pa.int64()))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length))),
+                      ("ends", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64()))])
 
 
 class _Shard:
-    """Writes one Arrow file, a block of sequences at a time."""
+    """Writes one Arrow file, ``rows`` sequences at a time."""
 
-    def __init__(self, path: str, dtype: np.dtype, length: int):
+    def __init__(self, path: str, dtype: np.dtype, length: int, rows: int):
         from pyarrow import fs
 
-        self.dtype, self.length, self.schema = dtype, length, _schema(dtype, length)
+        self.dtype, self.length, self.rows, self.schema = dtype, length, rows, _schema(dtype, length)
         files, name = fs.FileSystem.from_uri(path)
         self.sink = files.open_output_stream(name)
-        self.file = pa.ipc.new_file(self.sink, self.schema)
+        # the last row's mask is known at the end only: it is added to the masks written before
+        self.file = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.parts: list[bytes] = []
-        self.waiting, self.docs, self.total = 0, [], 0
+        self.waiting, self.total, self.n_sequences = 0, 0, 0
         self.open_ends: list[tuple[int, int | None]] = []  # (place of the end id in the waiting ids, document)
 
     def add(self, doc_id: int | None, coded: bytes) -> None:
@@ -131,39 +135,47 @@ class _Shard:
         self.waiting += n
         self.total += n
         self.open_ends.append((self.waiting - 1, doc_id))
-        if self.waiting >= self.length * ROWS_PER_BATCH:
-            self._flush(self.waiting // self.length)
-
-    def _flush(self, rows: int) -> None:
-        ids, size = np.frombuffer(b"".join(self.parts), self.dtype), rows * self.length
-        now, later = ids[:size], ids[size:]
-        self.parts = [later.tobytes()] if later.size else []
-        self.waiting = int(later.size)
-        done = [e for e in self.open_ends if e[0] < size]
-        self.open_ends = [(p - size, d) for p, d in self.open_ends if p >= size]
-        real = now.size
-        if real < size:
-            now = np.concatenate([now, np.zeros(size - real, self.dtype)])
-        ends = np.zeros(size, bool)
-        ends[[p for p, _ in done]] = True
-        per_row = np.bincount([p // self.length for p, _ in done], minlength=rows) if done else np.zeros(rows, int)
-        offsets = np.concatenate([[0], np.cumsum(per_row)]).astype("int32")
+        if self.waiting >= self.length * self.rows:
+            self._flush(self.length * self.rows)
+
+    def _flush(self, least: int) -> None:
+        """Writes batches of full size while ``least`` ids or more are waiting."""
+        ids, size, at, done = np.frombuffer(b"".join(self.parts), self.dtype), self.length * self.rows, 0, 0
+        while at < len(ids) and len(ids) - at >= least:
+            stop = done
+            while stop < len(self.open_ends) and self.open_ends[stop][0] < at + size:
+                stop += 1
+            self._batch(ids[at:at + size], [(p - at, d) for p, d in self.open_ends[done:stop]])
+            at, done = at + size, stop
+        self.parts = [ids[at:].tobytes()] if at < len(ids) else []
+        self.waiting = max(0, len(ids) - at)
+        self.open_ends = [(p - at, d) for p, d in self.open_ends[done:]]
+
+    def _batch(self, ids: np.ndarray, ends: list[tuple[int, int | None]]) -> None:
+        rows = -(-len(ids) // self.length)
+        padding = rows * self.length - len(ids)
+        which, masks = np.zeros(rows, np.int8), np.ones(self.length * (2 if padding else 1), np.uint8)
+        if padding:
+            ids = np.concatenate([ids, np.zeros(padding, self.dtype)])
+            which[-1], masks[-padding:] = 1, 0
+        place = np.array([p for p, _ in ends], np.int64)
+        offsets = pa.array(np.searchsorted(place, np.arange(rows + 1) * self.length).astype(np.int32))
         self.file.write_batch(pa.RecordBatch.from_arrays(
-            [pa.FixedSizeListArray.from_arrays(pa.array(now), self.length),
-             pa.FixedSizeListArray.from_arrays(pa.array(np.arange(size) < real), self.length),
-             pa.FixedSizeListArray.from_arrays(pa.array(ends), self.length),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array([d for _, d in done], pa.int64()))], schema=self.schema))
+            [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
+             pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks), self.length)),
+             pa.ListArray.from_arrays(offsets, pa.array((place % self.length).astype(np.int32))),
+             pa.ListArray.from_arrays(offsets, pa.array([d for _, d in ends], pa.int64()))], schema=self.schema))
+        self.n_sequences += rows
 
     def close(self) -> None:
-        if self.waiting:
-            self._flush(-(-self.waiting // self.length))
+        self._flush(1)
         self.file.close()
         self.sink.close()
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, sequence: int = SEQUENCE, end_id: int = END_ID,
-          shards: int | None = None, special_as_text: bool = True) -> DataFrame:
-    """Writes ``docs`` (doc_id, text) and returns the manifest: shard, path, n_tokens, first (ids in all shards before).
+def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, sequence: int = SEQUENCE, rows: int = ROWS_PER_BATCH,
+          end_id: int = END_ID, shards: int | None = None, special_as_text: bool = True) -> DataFrame:
+    """Writes ``docs`` (doc_id, text) and returns the manifest: shard, path, n_tokens, n_sequences, first (ids in all shards before).
     With ``special_as_text`` off, a special token's string in a text gets its special id, as the library gives it."""
     spark = docs.sparkSession
     folder = _uri(folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-ids-{uuid4().hex}")
@@ -184,7 +196,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, se
         path = f"{folder}/shard-{k:06d}-{uuid4().hex}.arrow"
         for batch in batches:
             if batch.num_rows and shard is None:
-                shard = _Shard(path, e.dtype, sequence)
+                shard = _Shard(path, e.dtype, sequence, rows)
             for piece in slices(batch, "text", BLOCK_BYTES):
                 ids, n = e.encode(piece.column("text"))
                 stops = np.cumsum(n).tolist()
@@ -192,9 +204,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, *, se
                     shard.add(doc_id, ids[a:b].tobytes() + end)
         if shard is not None:
             shard.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64()), "path": [path], "n_tokens": pa.array([shard.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int64()), "path": [path], "n_tokens": pa.array([shard.total], pa.int64()),
+                                               "n_sequences": pa.array([shard.n_sequences], pa.int64())})
 
-    made = cut_lineage(src.mapInArrow(run, "shard long, path string, n_tokens long"))
+    made = cut_lineage(src.mapInArrow(run, "shard long, path string, n_tokens long, n_sequences long"))
     # one row a file: their order is all that a single task sees
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return made.withColumn("first", F.coalesce(before, F.lit(0)))
@@ -215,8 +228,10 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     for i in range(reader.num_record_batches):
                         b = reader.get_batch(i)
                         ids = b.column("ids").flatten().to_numpy()
-                        real = int(b.column("mask").flatten().true_count)
-                        ends = np.flatnonzero(b.column("ends").flatten().to_numpy(zero_copy_only=False))
+                        which, masks = _masks(b)
+                        real = int(masks.sum(axis=1)[which].sum())
+                        row = np.repeat(np.arange(b.num_rows), b.column("ends").value_lengths().to_numpy())
+                        ends = row * masks.shape[1] + b.column("ends").flatten().to_numpy()
                         owners = b.column("doc_ids").flatten().to_pylist()
                         wide, at, out = np.ascontiguousarray(ids[:real].astype("<u4")), 0, []
                         for doc_id, end in zip(owners, ends.tolist()):
@@ -235,12 +250,43 @@ def read_documents(manifest: DataFrame) -> DataFrame:
         [T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])))
 
 
+def _masks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(number of every row's mask, the masks as a 2-D array): views, no copies."""
+    m = batch.column("mask")
+    return m.indices.to_numpy(zero_copy_only=True), m.dictionary.flatten().to_numpy(zero_copy_only=True).view(bool).reshape(len(m.dictionary), -1)
+
+
+class SequenceFile:
+    """Random access for training jobs: ``file[k]`` is ``(ids, mask)`` of sequence k, read-only views without a copy
+    (ids lie in the memory map; masks are the file's two, read once)."""
+
+    def __init__(self, path: str):
+        self.map = pa.memory_map(path)
+        self.reader = pa.ipc.open_file(self.map)
+        n = self.reader.num_record_batches
+        self.rows = self.reader.get_batch(0).num_rows if n else 0
+        self.size = (n - 1) * self.rows + self.reader.get_batch(n - 1).num_rows if n else 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def batch(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids as a 2-D array, number of every row's mask, masks as a 2-D array) of batch ``i``."""
+        b = self.reader.get_batch(i)
+        ids = b.column("ids")
+        return ids.flatten().to_numpy(zero_copy_only=True).reshape(len(ids), -1), *_masks(b)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not -self.size <= k < self.size:
+            raise IndexError(k)
+        i, row = divmod(k % self.size, self.rows)
+        ids, which, masks = self.batch(i)
+        return ids[row], masks[which[row]]
+
+
 def sequences(path: str):
-    """Reader for training jobs: batches of ``(ids, mask)`` as 2-D arrays, without copies on a memory map."""
-    with pa.memory_map(path) as m:
-        reader = pa.ipc.open_file(m)
-        for i in range(reader.num_record_batches):
-            b = reader.get_batch(i)
-            length = b.schema.field("ids").type.list_size
-            yield (b.column("ids").flatten().to_numpy(zero_copy_only=True).reshape(-1, length),
-                   b.column("mask").flatten().to_numpy(zero_copy_only=False).reshape(-1, length))
+    """All ``(ids, mask)`` of a file in order."""
+    file = SequenceFile(path)
+    for i in range(file.reader.num_record_batches):
+        ids, which, masks = file.batch(i)
+        yield from ((ids[row], masks[which[row]]) for row in range(len(ids)))
