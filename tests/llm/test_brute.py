@@ -141,6 +141,38 @@ def test_warc_round_trip_with_awkward_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_records_can_be_read_alone(spark, tmp_path):
+    """One gzip member a record at the place the index gives; archives end by bytes; revisits name their response's record."""
+    import gzip
+
+    body = "".join(f"<p>{i * 7919 % 9973}</p>" for i in range(400))
+    rows = [(i, f"http://x.org/{i}", f"{i} {body[i:]}" if i % 3 else body) for i in range(60)] + [(59, "http://x.org/b\nb", "small"), (57, "http://x.org/c", body)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS path", "2 AS main", "3 AS type")
+    folder = warc.write(pages, f"file://{tmp_path}/a", bytes_per_file=4000)
+    found = warc.index(spark, folder).collect()
+    by_id = {}
+    for r in found:
+        head, block = warc.read_record(r.path, r.main_start, r.main_length)
+        assert head["WARC-Record-ID"] == r.record_id and head["WARC-Type"] == r.type and int(head["X-Page-ID"]) == r.page_id
+        by_id[r.record_id] = head, block.split(b"\r\n\r\n", 1)[1].decode()
+        raw = open(r.path.replace("file://", ""), "rb").read()
+        kinds = [h["WARC-Type"] for h, _ in warc._parse(raw[r.start:r.start + r.length])]
+        assert kinds == ["request", r.type, "metadata"] and gzip.decompress(raw[r.start:r.start + r.length]).count(b"WARC/1.1\r\n") == 3
+    assert Counter((h["WARC-Type"], p) for h, p in by_id.values() if h["WARC-Type"] == "response") == Counter(
+        {**{("response", f"{i} {body[i:]}"): 1 for i in range(60) if i % 3}, ("response", body): 2, ("response", "small"): 1})
+    revisits = [h for h, _ in by_id.values() if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 19 and {h["WARC-Refers-To-Target-URI"] for h in revisits} == {"http://x.org/c"}
+    assert all(by_id[h["WARC-Refers-To"]][0]["X-Page-ID"] == h["X-Refers-To-Page"] == "57" for h in revisits)
+    ends = Counter()
+    for r in found:
+        ends[r.path] = max(ends[r.path], r.start)
+    assert len(ends) > 4 and max(ends.values()) < 4000
+    whole = warc.captures(warc.read_records(spark, folder)).collect()
+    assert len(whole) == len(rows) and all(r.records == 3 for r in whole)
+    with pytest.raises(ValueError):
+        list(warc._parse(gzip.compress(b"x" * 100)[:-9]))
+
+
 def test_warc_archives_read_by_several_gzip_members():
     import gzip
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
