@@ -99,6 +99,7 @@ def test_ppm_matches_brute_force(spark, sf, case):
         want.append((-1 if i is None else i, held(i), len(w), sum(seen[x] > 0 for x in w), n,
                      sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w),
                      sum(math.log10(share(b[:p], b[p])) for p in range(ppm.ORDER, len(b)))))
+        want[-1] += (-want[-1][-1] / math.log10(2) / (len(t.encode()) + 1),)
     got = ppm.score(spark.createDataFrame(pairs, "doc_id long, text string"), bucket_bytes=20_000).toPandas()
     got["doc_id"] = got.doc_id.fillna(-1).astype(int)
     a = sorted(got.itertuples(index=False, name=None))
@@ -107,6 +108,17 @@ def test_ppm_matches_brute_force(spark, sf, case):
         assert x[5:] == pytest.approx(y[5:], rel=1e-9)
 
 
+def test_ppm_bits_tell_repeated_texts_whatever_their_length(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    own = ["".join(rng.choice(letters, int(n))) for n in rng.integers(300, 3000, 60)]
+    copied = ["".join(rng.choice(letters, n)) for n in (400, 3000)] * 12
+    got = ppm.score(docs_of(spark, [*own, *copied]).selectExpr("*", "1 AS key", "2 AS n", "3 AS bucket", "4 AS score")).toPandas().set_index("doc_id")
+    held = got[got.held_out]
+    assert held.bits_per_byte[held.index >= 60].max() < held.bits_per_byte[held.index < 60].min()
+    assert (got.score[60::2].nunique(), got.bits_per_byte[61::2].nunique()) == (1, 1)
+
+
 def test_ppm_probabilities_add_up_to_one():
     texts = pa.array(["abracadabra", "a cadabra", "abba"])
     grams, _ = ppm._positions(texts)

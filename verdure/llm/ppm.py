@@ -17,7 +17,9 @@ trie above those groups: contexts of two bytes or less, at most 256 * 256 * 257
 (packed: 140 MB if every byte pair were followed by every byte; a few hundred kB in text).
 
 Defined results: a null text is empty (its end only); a null id counts as the text '' in the fold
-rule; equal rows are scored alike; with no training rows every gram has the uniform probability.
+rule; equal rows are scored alike, in one bucket; with no training rows every gram has the uniform
+probability; no documents give no rows; further columns are ignored, whatever their names.  A text is one
+piece of work with several numbers of eight bytes for each of its bytes, however long it is.
 """
 from __future__ import annotations
 
@@ -279,7 +281,10 @@ def _base(keys: np.ndarray, n: np.ndarray) -> Trie:
 
 
 def score(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every document.
+
+    ``bits_per_byte`` is the code length in bits over the text's bytes and its end, which tells texts that the model
+    knows (repeated ones, too) from others whatever their length."""
     d = prepared(docs)
     counts = saved(gathered(d))
     totals = counts.where("kind = 1 AND n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -299,7 +304,7 @@ def score(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     words = counts.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("v"))
     answers = asked.join(probabilities(counts).unionByName(words), ["kind", "key"]).select("bucket", "kind", "key", "v")
     schema = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-              ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+              ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         kind, keys, v = (right.column(c).to_numpy() for c in ("kind", "key", "v"))
@@ -309,13 +314,16 @@ def score(docs: DataFrame, *, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             text = part.column("text").combine_chunks()
             at, per = _positions(text)
             total = np.add.reduceat(grams(at), np.cumsum(per) - per)
+            bits = -total / np.log10(2) / per
             at, per = _tokens(text)
             c, begin = words(at), np.cumsum(per) - per
             base = np.add.reduceat(np.log10((c + 1) / (n_all + v_all + 1)), begin)
             known = np.add.reduceat((c > 0).astype(np.int64), begin)
             out.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(per, pa.int64()),
-                                 "n_known": known, "train_tokens": np.full(len(per), n_all, np.int64), "base_score": base, "score": total}))
+                                 "n_known": known, "train_tokens": np.full(len(per), n_all, np.int64), "base_score": base, "score": total,
+                                 "bits_per_byte": bits}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in schema})
 
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+             "bits_per_byte double")
