@@ -43,9 +43,7 @@ def terms(text: Column, size: int = SHINGLE) -> Column:
 
 def _hash(term: str) -> Column:
     """64 bits of the term's MD5 as a long."""
-    m = F.md5(F.col(term).cast("binary"))
-    high, low = (F.conv(F.substring(m, at, 8), 16, 10).cast("long") for at in (1, 9))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    return F.conv(F.left(F.md5(F.col(term).cast("binary")), F.lit(16)), 16, -10).cast("long")
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str, size: int = SHINGLE) -> DataFrame:
