@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from verdure.llm import jaccard, licenses, mixing, ppm, sentencepieces, simhash, tokens, warc
-from verdure.llm.hashing import Lookup, word_hashes
+from verdure.llm.hashing import ChunkTable, Lookup, run_hashes, word_hashes
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,6 +48,29 @@ def test_lookup_finds_every_key():
     order = rng.permutation(len(keys))
     assert (Lookup(keys[order], values[order])(keys) == values).all()
 
+@pytest.mark.parametrize("bits,limit", [(64, 1 << 20), (2, 1 << 20), (0, 1 << 20), (64, 3), (2, 0)])
+def test_chunks_that_share_a_hash_keep_their_own_ids(monkeypatch, bits, limit):
+    monkeypatch.setattr("verdure.llm.hashing.run_hashes", lambda *a: run_hashes(*a) & np.uint64((1 << bits) - 1))
+    asked = []
+
+    def ask(chunks):
+        asked.extend(chunks)
+        return [[len(c), f, *c] for c, f in chunks]
+
+    table = ChunkTable("<u4", ask, limit=limit)
+    rng = np.random.default_rng(5)
+    for _ in range(4):
+        chunks = [(bytes(rng.integers(97, 99, rng.integers(1, 5), dtype=np.uint8)), int(rng.integers(0, 2))) for _ in range(300)]
+        length = np.array([len(c) for c, _ in chunks])
+        ids, size = table.encode(np.frombuffer(b"".join(c for c, _ in chunks), np.uint8), np.cumsum(length) - length,
+                                 np.array([f for _, f in chunks]))
+        assert size.tolist() == (length + 2).tolist()
+        assert ids.tolist() == [i for c, f in chunks for i in (len(c), f, *c)]
+    if bits == 64 and limit > 1000:
+        assert len(asked) == len(set(asked))
+    assert table.encode(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))[0].tolist() == []
+
+
 
 # ------------------------------------------------------------------ op2
 def brute_ppm(docs, held):

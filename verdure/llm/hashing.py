@@ -104,41 +104,74 @@ class Lookup:
         return self.values[at]
 
 
+class Pool:
+    """A growing array."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Where ``more`` begins."""
+        start, self.used = self.used, self.used + len(more)
+        if self.used > len(self.data):
+            grown = np.zeros(max(2 * len(self.data), self.used), self.data.dtype)
+            grown[:start] = self.data[:start]
+            self.data = grown
+        self.data[start:self.used] = more
+        return start
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after another."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
 class ChunkTable:
-    """Codes (arrays of ids) of the text chunks that a worker has met, by 64-bit hash.
+    """Codes (arrays of ids) of the text chunks that a worker has met, found by 64-bit hash and compared byte by byte.
 
     ``ask`` encodes new chunks, given as strings; every distinct one is asked for once, until ``limit``
-    entries or ids are held and the table starts anew.  About 40 bytes an entry."""
+    entries or the ids or bytes of as many are held and the table starts anew.  About 60 bytes an entry, and the chunk.
+    A chunk whose hash another one holds is asked for each time."""
 
     def __init__(self, dtype, ask, limit: int = 2_000_000):
         self.dtype, self.ask, self.limit = np.dtype(dtype), ask, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-
-    def _learn(self, keys: np.ndarray, chunks: list) -> None:
-        codes = self.ask(chunks)
+        self.keys = np.zeros(0, U)
+        # of each key: where its ids begin, how many they are, where its text begins, its length, its flag
+        self.rows = np.zeros((0, 5), np.int64)
+        self.ids, self.text = Pool(self.dtype), Pool(np.uint8)
+
+    def _asked(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these chunks one after another, ids per chunk)."""
+        codes = self.ask([(data[a:a + n].tobytes(), f) for a, n, f in zip(first.tolist(), length.tolist(), flags.tolist())])
         size = np.fromiter(map(len, codes), np.int64, len(codes))
-        total = int(size.sum())
-        if self.used + total > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.used + total), self.dtype)
-            grown[:self.used] = self.pool[:self.used]
-            self.pool = grown
-        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(codes), self.dtype, total)
+        return np.fromiter(chain.from_iterable(codes), self.dtype, int(size.sum())), size
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, length: np.ndarray, flags: np.ndarray) -> None:
+        ids, size = self._asked(data, first, length, flags)
+        rows = np.column_stack([self.ids.add(ids) + np.cumsum(size) - size, size,
+                                self.text.add(data[_runs(first, length)]) + np.cumsum(length) - length, length, flags])
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, at, size)
-        self.used += total
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows, axis=0)
+
+    def _others(self, rows: np.ndarray, data: np.ndarray, first: np.ndarray, length: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks that are not those of ``rows``."""
+        differs = (rows[:, 3] != length) | (rows[:, 4] != flags)
+        n = np.where(differs, 0, length)
+        same = self.text.data[_runs(rows[:, 2], n)] == (data[_runs(first, n)] if differs.any() else data)
+        if not same.all():
+            differs[np.repeat(np.arange(len(n)), n)[~same]] = True
+        return np.flatnonzero(differs)
 
     def encode(self, data: np.ndarray, first: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after another, ids per chunk).  Chunks begin at ``first`` and cover ``data``;
         ``flags``: 0 or 1, chunks with different flags are different (``ask`` gets (bytes, flag))."""
         if not len(first):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if len(self.keys) > self.limit or self.used > 8 * self.limit:
+        if len(self.keys) > self.limit or max(self.ids.used, self.text.used) > 8 * self.limit:
             self._clear()
         length = np.diff(np.r_[first, len(data)])
         h = run_hashes(data, first, length) + flags.astype(U)
@@ -154,14 +187,16 @@ class ChunkTable:
             missing = np.arange(len(distinct))
         if len(missing):
             where = order[new][missing]
-            whole = data.tobytes()
-            self._learn(distinct[missing], [(whole[a:a + n], f) for a, n, f in
-                                            zip(first[where].tolist(), length[where].tolist(), flags[where].tolist())])
+            self._learn(distinct[missing], data, first[where], length[where], flags[where])
             at = np.searchsorted(self.keys, distinct)
-        start, size = self.start[at][inverse], self.size[at][inverse]
-        total = np.cumsum(size)
-        index = np.repeat(start - (total - size), size) + np.arange(total[-1])
-        return self.pool[index], size
+        rows = self.rows[at][inverse]
+        start, size, pool = rows[:, 0], rows[:, 1], self.ids.data
+        others = self._others(rows, data, first, length, flags)
+        if len(others):
+            ids, n = self._asked(data, first[others], length[others], flags[others])
+            pool = np.r_[pool[:self.ids.used], ids]
+            start[others], size[others] = self.ids.used + np.cumsum(n) - n, n
+        return pool[_runs(start, size)], size
 
 
 def per_text(first: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
