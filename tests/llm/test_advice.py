@@ -49,6 +49,15 @@ def test_prose_with_the_letters_of_a_phrase_is_kept(spark):
     assert got == {1: prose, 2: prose + "\n" + used}
 
 
+def test_furniture_of_four_languages_goes_and_prose_that_names_it_stays(spark):
+    prose = ["Wer die Datenschutzerklärung sucht, der findet sie am Ende dieser langen Seite.", "On peut lire la suite de ce long roman dans le livre de poche.",
+             "Hay que leer más libros para entender bien la historia de este lugar."]
+    prose = [" ".join([p, *(f"wort{k}{i}" for i in range(40))]) + "." for k, p in enumerate(prose)]
+    furniture = ["Datenschutzerklärung.", "Alle Rechte vorbehalten.", "Tous droits réservés. Mentions légales.", "Lire la suite.", "Haga clic aquí.", "Aviso legal."]
+    docs = spark.createDataFrame([(1, "\n".join([*prose, *furniture])), (2, "\n".join(prose))], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in quality.clean(docs).collect()} == {k: "\n".join(prose) for k in (1, 2)}
+
+
 # ------------------------------------------------------------------ op6
 def test_token_query_gives_the_plain_library_ids(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")

@@ -37,6 +37,8 @@ SPECIAL = [
     *[f"{sentence(4)} Thinghereinthethingandthere{i} {'abcd' * 8}1 {'Ab1' * 12}" for i in range(20)],
     # phrases inside prose and words, side by side, and a line that is one; other scripts' full stops
     "The design industry may assign individuals, and read more of it. " + sentence(40) + "\nread more, read more\nTerms of use. Terms of use.",
+    sentence(50) + "\nDatenschutzerklärung.\nTOUS DROITS RÉSERVÉS, mentions légales.\nPara leer más, inicie otra vez y vea el aviso legal de hoy.\n"
+    "Überdatenschutzerklärungen gibt es.\nLeer más. Leer más, leer más.\nZum Inhalt springen.\nTodos los derechos reservados.",
     "Sign in or sign up. " + sentence(60), "\n".join(["क ख ग घ।", "هل هذا نص؟", "یہ ایک سطر ہے۔", "no end here"] * 14),
     # values behind names, beside base spans, with and without padding; copies of one string
     *[f"AWS_SIGNING={token(BASE64, 40)} end. sig={token(BASE64, 33)}== x" for _ in range(15)], f"{token(BASE64, 30)}={token(BASE64, 30)}=",

@@ -23,9 +23,15 @@ def _text(s: str) -> str:
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 # phrases by their number of words; every character that is no letter or digit stands twice in ``low2``, so that a match can take one on
 # each side and leave the other to its neighbour
-_PHRASES = {2: "click  here|cookie  policy|enable  javascript|lorem  ipsum|privacy  policy|read  more|sign  in|sign  up",
-            3: "all  rights  reserved|cookies  to  improve|javascript  is  disabled|skip  to  content|terms  of  service|terms  of  use",
-            4: "subscribe  to  our  newsletter"}
+_PHRASES = {1: "datenschutzerklärung|nutzungsbedingungen",
+            2: "click  here|cookie  policy|enable  javascript|lorem  ipsum|privacy  policy|read  more|sign  in|sign  up|"
+               "allgemeine  geschäftsbedingungen|cookies  akzeptieren|hier  klicken|javascript  aktivieren|newsletter  abonnieren|"
+               "activer  javascript|cliquez  ici|conditions  générales|mentions  légales|"
+               "aceptar  cookies|activar  javascript|aviso  legal|iniciar  sesión|leer  más",
+            3: "all  rights  reserved|cookies  to  improve|javascript  is  disabled|skip  to  content|terms  of  service|terms  of  use|"
+               "alle  rechte  vorbehalten|zum  inhalt  springen|accepter  les  cookies|aller  au  contenu|lire  la  suite|"
+               "politique  de  confidentialité|tous  droits  réservés|haga  clic  aquí|política  de  cookies|política  de  privacidad|términos  de  uso",
+            4: "subscribe  to  our  newsletter|todos  los  derechos  reservados"}
 _PHRASE_WORDS = " + ".join(rf"{n} * len(regexp_extract_all(low2, '(^|[^\p{{L}}\p{{N}}])({p})($|[^\p{{L}}\p{{N}}])'))" for n, p in _PHRASES.items())
 ORACLES["op1_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

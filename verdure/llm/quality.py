@@ -25,11 +25,17 @@ SEPARATORS = r"[|»›•·→]"
 UPPER, LOWER = r"\p{Lu}", r"\p{Ll}"
 BLANKS = " \t\n\x0b\x0c\r"
 
-# Fixed phrases of page furniture.
+# Fixed phrases of page furniture: English, German, French, Spanish.
 BOILERPLATE_PHRASES = [
     "all rights reserved", "click here", "cookie policy", "cookies to improve", "enable javascript",
     "javascript is disabled", "lorem ipsum", "privacy policy", "read more", "sign in", "sign up",
     "skip to content", "subscribe to our newsletter", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung",
+    "hier klicken", "javascript aktivieren", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "accepter les cookies", "activer javascript", "aller au contenu", "cliquez ici", "conditions générales",
+    "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "activar javascript", "aviso legal", "haga clic aquí", "iniciar sesión", "leer más",
+    "política de cookies", "política de privacidad", "términos de uso", "todos los derechos reservados",
 ]
 
 #: A line is page furniture if its phrases make up this share of its words.
