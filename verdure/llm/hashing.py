@@ -105,16 +105,16 @@ class Lookup:
 
 
 class Pool:
-    """A growing array."""
+    """A growing array, of numbers or of rows of ``width``."""
 
-    def __init__(self, dtype):
-        self.data, self.used = np.zeros(1 << 16, dtype), 0
+    def __init__(self, dtype, *width: int):
+        self.data, self.used = np.zeros((1 << 16, *width), dtype), 0
 
     def add(self, more: np.ndarray) -> int:
         """Where ``more`` begins."""
         start, self.used = self.used, self.used + len(more)
         if self.used > len(self.data):
-            grown = np.zeros(max(2 * len(self.data), self.used), self.data.dtype)
+            grown = np.zeros((max(2 * len(self.data), self.used), *self.data.shape[1:]), self.data.dtype)
             grown[:start] = self.data[:start]
             self.data = grown
         self.data[start:self.used] = more
@@ -131,7 +131,8 @@ class ChunkTable:
     """Codes (arrays of ids) of the text chunks that a worker has met, found by 64-bit hash and compared byte by byte.
 
     ``ask`` encodes new chunks, given as strings; every distinct one is asked for once, until ``limit``
-    entries or the ids or bytes of as many are held and the table starts anew.  About 60 bytes an entry, and the chunk.
+    entries, 8 ids or 64 bytes of text for each of as many are held and the table starts anew.  About 60 bytes an entry, and
+    its text.
     A chunk whose hash another one holds is asked for each time."""
 
     def __init__(self, dtype, ask, limit: int = 2_000_000):
@@ -139,9 +140,9 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, U)
-        # of each key: where its ids begin, how many they are, where its text begins, its length, its flag
-        self.rows = np.zeros((0, 5), np.int64)
+        self.keys, self.place = np.zeros(0, U), np.zeros(0, np.int64)
+        # at a key's place: where its ids begin, how many they are, where its text begins, its length, its flag
+        self.rows = Pool(np.int64, 5)
         self.ids, self.text = Pool(self.dtype), Pool(np.uint8)
 
     def _asked(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +156,8 @@ class ChunkTable:
         rows = np.column_stack([self.ids.add(ids) + np.cumsum(size) - size, size,
                                 self.text.add(data[_runs(first, length)]) + np.cumsum(length) - length, length, flags])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows, axis=0)
+        places = self.rows.add(rows) + np.arange(len(keys))
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, places)
 
     def _others(self, rows: np.ndarray, data: np.ndarray, first: np.ndarray, length: np.ndarray, flags: np.ndarray) -> np.ndarray:
         """Numbers of the chunks that are not those of ``rows``."""
@@ -171,7 +173,7 @@ class ChunkTable:
         ``flags``: 0 or 1, chunks with different flags are different (``ask`` gets (bytes, flag))."""
         if not len(first):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if len(self.keys) > self.limit or max(self.ids.used, self.text.used) > 8 * self.limit:
+        if len(self.keys) > self.limit or self.ids.used > 8 * self.limit or self.text.used > 64 * self.limit:
             self._clear()
         length = np.diff(np.r_[first, len(data)])
         h = run_hashes(data, first, length) + flags.astype(U)
@@ -189,7 +191,7 @@ class ChunkTable:
             where = order[new][missing]
             self._learn(distinct[missing], data, first[where], length[where], flags[where])
             at = np.searchsorted(self.keys, distinct)
-        rows = self.rows[at][inverse]
+        rows = self.rows.data[self.place[at]][inverse]
         start, size, pool = rows[:, 0], rows[:, 1], self.ids.data
         others = self._others(rows, data, first, length, flags)
         if len(others):
