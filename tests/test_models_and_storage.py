@@ -294,3 +294,51 @@ def test_views_are_plans_over_the_scans(spark, sf):
     plan = spark.sql("SELECT date, avg(ndvi) AS ndvi FROM panel GROUP BY date")._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "InMemoryTableScan" not in plan
     assert C.parse_feature("ndvi_lag_3").group == "ndvi_lag_roll" and json.loads(SE.Space(tuple(FEATURES)).decode([0.0] * 11).as_json())
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_windows_of_several_lengths_are_those_of_each(spark, exclude):
+    rows = [(g, f"2000-{m:02d}-01", None if m == 3 else float(10 * m + len(g)), float(m)) for g in ("a", "bb") for m in range(1, 8)] + [("short", "2000-01-01", 1.0, None)]
+    df = spark.createDataFrame(rows, "grid_id STRING, date STRING, x DOUBLE, y DOUBLE").selectExpr("grid_id", "CAST(date AS DATE) AS date", "x", "y")
+    got = DS.supervised_sequences(df, ["x", "y"], (2, 3, 9), label="y", exclude_current=exclude)
+    want = None
+    for n in (2, 3, 9):
+        one = DS.supervised_sequences(df, ["x", "y"], n, label="y", exclude_current=exclude).withColumn("length", F.lit(n))
+        want = one if want is None else want.unionByName(one)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+
+
+def test_all_lengths_come_from_one_window(spark, sf):
+    from verdure.plans.q_datasets import ds_supervised_seq
+
+    plan = ds_supervised_seq(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("collect_list") == 1
+
+
+def test_wide_rows_are_dealt_out_by_the_rows_behind_them(spark, sf, monkeypatch):
+    from verdure.plans.q_models import ml_data
+    from verdure.sources import fixtures as FX
+
+    assert [FX.tasks_for(n, 12) for n in (0, 1, 25_000, 25_001, 600_000, 36_000_000)] == [1, 1, 1, 2, 12, 72]
+    # merged by the bytes of its narrow rows, the panel would be one task per core at most, however large
+    monkeypatch.setattr(FX, "ROWS_PER_TASK", 500)
+    n = -(-FX.table(spark, sf, "lineitem").count() // 500)
+    assert ml_data(spark, sf)[0].rdd.getNumPartitions() == n > spark.sparkContext.defaultParallelism
+
+
+def test_the_cut_of_frozen_rows_is_a_literal(spark, sf):
+    from verdure.plans.q_models import ml_data
+
+    train, test, _ = ml_data(spark, sf)
+    for part in (train, test):
+        assert "scalar-subquery" not in part._jdf.queryExecution().optimizedPlan().toString()
+    empty = spark.createDataFrame([], "date DATE")
+    assert DS.split_chrono(empty, cut=DS.date_cut_now(empty, 0.8)).count() == 0
+
+
+def test_ranges_of_shifted_rows_can_be_set(spark):
+    df = spark.createDataFrame([(i, f"{i:03d}", float(i)) for i in range(50)], "id INT, o STRING, v DOUBLE")
+    for tasks in (1, 4, 60):
+        out = ML.shifted(df, "o", "v", "next", tasks)
+        assert {r.id: r.next for r in out.collect()} == {i: float((i + 1) % 50) for i in range(50)}
+        assert out.rdd.getNumPartitions() == tasks

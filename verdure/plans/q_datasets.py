@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import datasets as DS
+from ..operators import indices as I
 from ..operators.temporal import order_window
 from ..sources import fixtures as FX
 from . import sqlfrag as S
@@ -30,10 +31,10 @@ FROM s WHERE rn >= {need}"""
 
 
 def _seq(spark, d, length, exclude):
-    v = vhi_panel(spark, d)
+    v = I.add_vci_tci_vhi(FX.spread(FX.panel(spark, d), d))
     v = v.withColumn("target_vhi_h1", F.lead("vhi", 1).over(order_window(["grid_id"])))
     s = DS.supervised_sequences(v, SEQ_FEATS, length, exclude_current=exclude)
-    out = s.select("grid_id", "date", "label", F.posexplode("features").alias("pos", "value"))
+    out = s.select("grid_id", "date", "label", F.posexplode("features").alias("pos", "value"), *[c for c in s.columns if c == "length"])
     return rounded(out.withColumn("pos", F.col("pos").cast("bigint")))
 
 
@@ -42,11 +43,8 @@ LENGTHS = (3, 6, 12)
 
 @register("ds_supervised_seq", " UNION ALL ".join(f"SELECT {n} AS length, * FROM ({_seq_sql(n, False)})" for n in LENGTHS))
 def ds_supervised_seq(spark, d):
-    out = None
-    for n in LENGTHS:
-        s = _seq(spark, d, n, False).withColumn("length", F.lit(n))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Windows of every length from one pass over the panel, an entry a row."""
+    return _seq(spark, d, LENGTHS, False)
 
 
 @register("ds_sequence_excl", _seq_sql(3, True))
