@@ -319,10 +319,10 @@ def test_wide_rows_are_dealt_out_by_the_rows_behind_them(spark, sf, monkeypatch)
     from verdure.plans.q_models import ml_data
     from verdure.sources import fixtures as FX
 
-    assert [FX.tasks_for(n, 12) for n in (0, 1, 25_000, 25_001, 600_000, 36_000_000)] == [1, 1, 1, 2, 12, 72]
+    assert [FX.tasks_for(n, 12) for n in (0, 1, 25_000, 25_001, 600_000, 36_000_000, 36_000_001)] == [1, 1, 1, 2, 12, 36, 48]
     # merged by the bytes of its narrow rows, the panel would be one task per core at most, however large
     monkeypatch.setattr(FX, "ROWS_PER_TASK", 500)
-    n = -(-FX.table(spark, sf, "lineitem").count() // 500)
+    n = FX.tasks_for(FX.table(spark, sf, "lineitem").count(), spark.sparkContext.defaultParallelism)
     assert ml_data(spark, sf)[0].rdd.getNumPartitions() == n > spark.sparkContext.defaultParallelism
 
 
