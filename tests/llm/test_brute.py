@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from verdure.llm import jaccard, licenses, mixing, ppm, sentencepieces, simhash, tokens, warc
 from verdure.llm.hashing import ChunkTable, Lookup, run_hashes, word_hashes
@@ -445,6 +446,41 @@ def test_jaccard_of_texts_that_quote_one_passage(spark, monkeypatch):
     assert len(set(label)) < 90 and got.reindex(range(len(texts))).tolist() == label
 
 
+def test_jaccard_links_under_hot_signatures_are_few_and_whole(spark, monkeypatch):
+    """Ten hot signatures of nearly the same 100 near copies: about a link a set, whatever the order of the rows and the number of
+    blocks.  Among sets of several bands, whose sketches agree for some, every unrefuted pair stays joined."""
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", 20)
+    schema = "cluster long, id long"
+
+    def links(members, sk):
+        shuffled = members.orderBy(F.rand(7))
+        return {tuple(r) for r in jaccard._blocked_links(shuffled, spark.createDataFrame(sk, jaccard.SKETCH), 80).collect()}
+
+    copies = [(i, 40, 5, bytes([85] * 4), None) for i in range(100)]
+    found = links(spark.createDataFrame([(c, i) for c in range(10) for i in range(100) if i != 7 * c], schema), copies)
+    assert 99 <= len(found) <= 250 and set(brute_of(100, found)) == {0}
+
+    rng = np.random.default_rng(3)
+    kinds = [bytes(rng.integers(0, 256, 4).tolist()) for _ in range(40)]
+    several = [(i, 40, 5 + i % 3 % 2, kinds[i * 7 % 40], kinds[i * 11 % 40] if i % 2 else None) for i in range(150)]
+    found = links(spark.createDataFrame([(0, i) for i in range(150)], schema), several)
+    rows = [dict(zip(("id", "n", "band", "own", "up"), r)) for r in several]
+    label = brute_of(150, found)
+    pairs = {(a["id"], b["id"]) for a in rows for b in rows if a["id"] < b["id"] and jaccard.may_link(a, b, 80)}
+    assert len(pairs) > 100 and len(set(label)) > 5 and all(label[a] == label[b] for a, b in pairs)
+
+
+def brute_of(n, links):
+    """The smallest number that links join each of ``n`` with."""
+    label = list(range(n))
+    while True:
+        before = list(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return label
+
+
 def test_jaccard_ids_of_any_size_and_several_texts(spark):
     t, u = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     big = 1 << 62

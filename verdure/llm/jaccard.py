@@ -23,7 +23,8 @@ meet under another one too.  Only sets with as many hot ones (``exposed``) are c
 
 Candidates are first compared by sketches: the domain dealt to 4 k parts, two bits of every part's sum.  Each differing
 part costs a differing element, so more than k of them refute the pair, whatever the bits that happen to agree.  Pairs are
-compared as rows, exposed sets under a hot signature block by block, where only a spanning forest leaves a group.  The
+compared as rows, exposed sets under a hot signature block by block: each set of a block is linked with the first one, by id, of
+its part, and those first ones with each other, so signatures of the same near copies give the same few links.  The
 components of what is left are clusters: two sets that link are in the same one.  In a cluster every set is checked
 exactly, on the shingles of the texts, against the first one; the sets that do not link with it, if any, against all
 others, block by block.  Components of those links are the result.
@@ -397,8 +398,47 @@ def _paired_links(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long")
 
 
+def _reach(s: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(for every row the first one that unrefuted pairs of ``left`` and ``right`` rows join it with, a spanning forest of them)."""
+    unseen, first, forest = np.ones(len(s), bool), np.arange(len(s)), []
+    for root in range(len(s)):
+        if not unseen[root]:
+            continue
+        unseen[root], front = False, [root]
+        while front:
+            x = front.pop()
+            rest = np.flatnonzero(unseen & np.where(left[x], right, False) | unseen & np.where(right[x], left, False))
+            if not len(rest):
+                continue
+            differ = _FIELDS[s[rest] ^ s[x]].sum(axis=1)
+            hit = rest[differ * (100 + percent) <= (100 - percent) * (n[rest] + n[x])]
+            unseen[hit], first[hit] = False, root
+            forest.extend((x, y) for y in hit.tolist())
+            front.extend(hit.tolist())
+    return first, forest
+
+
+def _stars(s: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join, with those of the other pairs of blocks, what unrefuted pairs of ``left`` and ``right`` rows join.
+
+    A block with itself gives a link of each row with the first row of its part.  Two blocks only give links between
+    first rows of their parts, so all pairs of a group's blocks together have about as many links as the group has rows.
+    A block without an ``own`` row of the band was not compared with itself there: its rows stand for themselves."""
+    if (left & right).all():
+        first, _ = _reach(s, n, left, right, percent)
+        return [(int(x), y) for y, x in enumerate(first) if x != y]
+    _, forest = _reach(s, n, left, right, percent)
+    if not forest:
+        return []
+    first = np.arange(len(s))
+    for side in (left, right):
+        if own[side].any():
+            first = np.where(side, _reach(s, n, side, side, percent)[0], first)
+    return sorted({(int(first[x]), int(first[y])) for x, y in forest})
+
+
 def _blocked_links(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest (a, b), block by block, of the unrefuted pairs under hot signatures (cluster, id)."""
+    """Links (a, b) that join what the unrefuted pairs under hot signatures (cluster, id) join, compared block by block."""
     # signatures of the same sets are compared once: their number and two exclusive ors of hashes tell
     alike = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
     blocks = members.groupBy("cluster").agg(F.count("*").alias("sets"), *alike).where("sets > 1").groupBy("sets", "x0", "x1").agg(
@@ -407,6 +447,8 @@ def _blocked_links(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame
     m = _block_pairs(m, ["id", "n", "band", "own", "up"])
 
     def run(table: pa.Table) -> pa.Table:
+        # in the order of the ids, whatever order the shuffle has: the same sets give the same links under each signature
+        table = table.sort_by("id")
         id_, n, band = (table.column(c).to_numpy() for c in ("id", "n", "band"))
         block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
         left, right = block == i, block == j
@@ -415,21 +457,8 @@ def _blocked_links(members: DataFrame, sk: DataFrame, percent: int) -> DataFrame
         for at in np.unique(band):
             who = np.array([k for k in range(len(id_)) if band[k] == at or band[k] == at - 1 and up[k] is not None])
             s = np.stack([np.frombuffer(own[k] if band[k] == at else up[k], np.uint8) for k in who])
-            unseen = np.ones(len(who), bool)
-            for root in range(len(who)):
-                if not unseen[root]:
-                    continue
-                unseen[root], front = False, [root]
-                while front:
-                    x = front.pop()
-                    rest = np.flatnonzero(unseen & np.where(left[who[x]], right[who], False) | unseen & np.where(right[who[x]], left[who], False))
-                    if not len(rest):
-                        continue
-                    differ = _FIELDS[s[rest] ^ s[x]].sum(axis=1)
-                    hit = rest[differ * (100 + percent) <= (100 - percent) * (n[who[rest]] + n[who[x]])]
-                    unseen[hit] = False
-                    found.extend((who[x], who[y]) for y in hit.tolist())
-                    front.extend(hit.tolist())
+            links = _stars(s, n[who], left[who], right[who], band[who] == at, percent)
+            found.extend((who[x], who[y]) for x, y in links)
         return pa.table({"a": pa.array([id_[x] for x, _ in found], pa.int64()), "b": pa.array([id_[y] for _, y in found], pa.int64())})
 
     return m.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
